@@ -2,11 +2,13 @@
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .packing import op8_packing
+from .toxicity import op9_toxicity
+from .warc import OP3_SQL, op3_warc
 
 
 def queries():
-    return {f.__name__: f for f in (op5_exact_dedup, op8_packing)}
+    return {f.__name__: f for f in (op3_warc, op5_exact_dedup, op8_packing, op9_toxicity)}
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op3_warc": OP3_SQL, "op5_exact_dedup": OP5_SQL}
