@@ -62,10 +62,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         empty = suspects.filter("text = ''").select("doc_id", "fp", F.expr("cast(array() as array<bigint>)").alias("recipe"))
         lists = lists.unionByName(empty)
 
-    lists = lists.withColumn("key", F.xxhash64("recipe"))
-    groups = lists.groupBy("key", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    # once per id and text, so that repeated rows find one partner each
-    found = lists.join(groups, ["key", "recipe"]).groupBy("doc_id", "fp", "keep_id").agg(F.max("group_size").alias("group_size"))
+    # once per id and text, so that repeated rows find one partner each and nothing is summed after the join
+    lists = lists.withColumn("key", F.xxhash64("recipe")).groupBy("doc_id", "fp", "key", "recipe").agg(F.count("*").alias("n"))
+    groups = lists.groupBy("key", "recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")).filter("group_size > 1")
+    found = lists.join(groups, ["key", "recipe"]).select("doc_id", "fp", "keep_id", "group_size")
     whole = base.select("doc_id", "fp", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")).alias("b")
     joined = whole.join(found.alias("f"), F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.fp") == F.col("f.fp")), "left")
     keep = F.when(F.col("f.group_size").isNull(), F.col("b.doc_id")).otherwise(F.col("f.keep_id"))
