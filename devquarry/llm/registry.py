@@ -1,13 +1,15 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .gif import op6_gif
+from .kneser_ney import op4_kneser_ney
 from .packing import op8_packing
 from .toxicity import op9_toxicity
 from .warc import OP3_SQL, op3_warc
 
 
 def queries():
-    return {f.__name__: f for f in (op3_warc, op5_exact_dedup, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op3_warc, op4_kneser_ney, op5_exact_dedup, op6_gif, op8_packing, op9_toxicity)}
 
 
 def oracle_sql():
