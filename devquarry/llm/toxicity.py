@@ -39,6 +39,8 @@ IDENTITY_TERMS = (
 SWAP = {w: line[(i + 1) % len(line)] for line in IDENTITY_TERMS for i, w in enumerate(line)}
 #: Words whose weights a worker remembers.
 CACHE = 300_000
+#: Counters of the first selection of features.
+BINS = 1 << 22
 
 
 def features_of(word: str) -> list[int]:
@@ -114,15 +116,22 @@ class Rows:
 
 def significant(rows: list[np.ndarray], y: np.ndarray, least_rows: int, least_z: float) -> np.ndarray:
     """Features whose share of toxic and clean rows differs by ``least_z`` standard errors."""
-    seen = [np.unique(x) for x in rows]
-    f, where = np.unique(np.concatenate(seen), return_inverse=True)
-    toxic = np.repeat(y, [len(x) for x in seen])
     n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
-    c1 = np.bincount(where, toxic, len(f))
-    c = np.bincount(where, minlength=len(f))
-    p1, p0, p = c1 / n1, (c - c1) / n0, c / len(y)
-    z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    return f[(c >= least_rows) & (np.abs(z) >= least_z)]
+
+    def chosen(c1: np.ndarray, c: np.ndarray) -> np.ndarray:
+        p1, p0, p = c1 / n1, (c - c1) / n0, c / len(y)
+        z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+        return (c >= least_rows) & (np.abs(z) >= least_z)
+
+    # first by the hash's lower bits, in arrays of fixed size, then exactly for what is left
+    low, counts = np.uint32(BINS - 1), np.zeros((2, BINS), np.int32)
+    for x, label in zip(rows, y):
+        counts[int(label), np.unique(x & low)] += 1
+    likely = chosen(counts[1].astype(float), counts.sum(0).astype(float))
+    left = [np.unique(x[likely[x & low]]) for x in rows]
+    f, where = np.unique(np.concatenate(left), return_inverse=True)
+    c1 = np.bincount(where, np.repeat(y, [len(x) for x in left]), len(f))
+    return f[chosen(c1, np.bincount(where, minlength=len(f)).astype(float))]
 
 
 def fit(labels: np.ndarray, rows: list[np.ndarray], swapped: list[np.ndarray], clean_weight: float = 1.0, penalty: float = 1.0, l1: float = 2e-4, steps: int = 400, least_rows: int = 5, least_z: float = 5.0) -> Model:
@@ -158,7 +167,7 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], swapped: list[np.ndarray], c
     return Model(float(b), {int(f): float(c) for f, c in zip(chosen, w) if c})
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 8000, max_clean: int = 16000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: int = 8000) -> Model:
     """A model of the rows in ``docs`` that ``labels`` marks; both have doc_id."""
     marked = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # in doubt, toxic
     order = F.xxhash64("doc_id")
