@@ -4,12 +4,13 @@ from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .gif import op6_gif
 from .kneser_ney import op4_kneser_ney
 from .packing import op8_packing
+from .sentencepiece_bpe import op10_sentencepiece
 from .toxicity import op9_toxicity
 from .warc import OP3_SQL, op3_warc
 
 
 def queries():
-    return {f.__name__: f for f in (op3_warc, op4_kneser_ney, op5_exact_dedup, op6_gif, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op3_warc, op4_kneser_ney, op5_exact_dedup, op6_gif, op8_packing, op9_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql():
