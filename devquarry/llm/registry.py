@@ -3,6 +3,7 @@
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .gif import op6_gif
 from .kneser_ney import op4_kneser_ney
+from .minhash import op1_minhash
 from .packing import op8_packing
 from .sentencepiece_bpe import op10_sentencepiece
 from .toxicity import op9_toxicity
@@ -10,7 +11,7 @@ from .warc import OP3_SQL, op3_warc
 
 
 def queries():
-    return {f.__name__: f for f in (op3_warc, op4_kneser_ney, op5_exact_dedup, op6_gif, op8_packing, op9_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_minhash, op3_warc, op4_kneser_ney, op5_exact_dedup, op6_gif, op8_packing, op9_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql():
