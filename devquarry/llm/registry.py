@@ -7,12 +7,13 @@ from .minhash import op1_minhash
 from .packing import op8_packing
 from .recompression import op2_recompression
 from .sentencepiece_bpe import op10_sentencepiece
+from .suffix_array import op7_suffix_array
 from .toxicity import op9_toxicity
 from .warc import OP3_SQL, op3_warc
 
 
 def queries():
-    return {f.__name__: f for f in (op1_minhash, op2_recompression, op3_warc, op4_kneser_ney, op5_exact_dedup, op6_gif, op8_packing, op9_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_minhash, op2_recompression, op3_warc, op4_kneser_ney, op5_exact_dedup, op6_gif, op7_suffix_array, op8_packing, op9_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql():
