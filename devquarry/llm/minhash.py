@@ -4,10 +4,12 @@
    an odd sketch: a bitmap in which each (position, value) sample flips one bit. Two sketches' XOR has about
    as many ones as the samples differ, which for alike sets is more precise than banding.
 2. Rows with equal sets are one representative with members. Buckets of a band are never listed: each row
-   is compared with hubs of its buckets, first the smallest id, then one drawn by hash for each band.
+   is compared with hubs of its buckets, first the smallest id, then the largest.
 3. What shares a bucket but is not yet in one component is compared pair by pair, sketch first, so no link
    is lost; nothing is compared within a component.
-4. Candidates that the sketch allows are confirmed on the whole sets; links join components.
+4. Rows with candidates also get an odd sketch of their whole set. The ones of two such sketches' XOR are no
+   more than the sets' difference, so this filter loses nothing and for sets of up to some thousand
+   shingles leaves little but links. Candidates that both sketches allow are confirmed on the whole sets; links join components.
 
 A text with fewer words than ``width`` is one shingle; without words (or null) its set is empty, and it is
 linked with nothing. Repeated rows of an id are one document: the class of its first text by hash. Rows
@@ -23,11 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, shared_dir, slices
 from .components import connected_components
+from .recompression import few
 
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
-#: Words of the odd sketch, of 64 bits.
-SKETCH = 8
+#: Words, of 64 bits, of the odd sketch of the samples and of that of the whole set.
+SKETCH, WHOLE = 8, 16
 SHINGLES = f"doc_id long, n_shingles long, fp1 long, fp2 long, {', '.join(f's{i} long' for i in range(SKETCH))}, bands array<long>"
 
 
@@ -103,8 +106,9 @@ def shingle_sets(width: int):
     def rows(batches):
         for batch in batches:
             for part in slices(batch):
-                sets = [x.view(np.int64) for x in sets_of(part, width)]
-                yield pa.record_batch([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                sets = sets_of(part, width)
+                whole = np.stack([np.packbits((np.bincount((mix(x ^ MIX_A) % np.uint64(64 * WHOLE)).astype(np.int64), minlength=64 * WHOLE) & 1).astype(np.uint8), bitorder="little") for x in sets]).view(np.int64)
+                yield pa.record_batch([part.column("doc_id"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), *(pa.array(whole[:, i].copy()) for i in range(WHOLE))], ["doc_id", "shingles", *(f"w{i}" for i in range(WHOLE))])
 
     return rows
 
@@ -133,14 +137,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = keyed.join(members.filter("doc_id = rep").select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
 
     banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), "doc_id"))["doc_id"].alias("drawn"), F.count("*").alias("n")).filter("n > 1")
-    bucketed = cut(banded.join(hubs.select("band", "hub", "drawn"), "band"), folder, "buckets")
-    sketches = cut(reps.join(bucketed.select("doc_id").distinct(), "doc_id").select("doc_id", "n_shingles", *(f"s{i}" for i in range(SKETCH))), folder, "sketches")
-    candidates = own.join(sketches.select("doc_id"), "doc_id", "left_semi")
-    sets = cut(candidates.mapInArrow(shingle_sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), folder, "sets")
-    other = sketches.select(F.col("doc_id").alias("other"), F.col("n_shingles").alias("m_shingles"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)))
+    again = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    banded = few(banded, "band", again, "band")
+    hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last")
+    bucketed = cut(banded.join(hubs, "band"), folder, "buckets")
+    grouped = bucketed.select("doc_id").distinct()
+    candidates = few(own.filter("doc_id is not null"), "doc_id", grouped, "doc_id").join(grouped, "doc_id", "left_semi")
+    sets = cut(candidates.mapInArrow(shingle_sets(width), f"doc_id long, shingles array<long>, {', '.join(f'w{i} long' for i in range(WHOLE))}").dropDuplicates(["doc_id"]), folder, "sets")
+    own_sketch, whole_sketch = [f"s{i}" for i in range(SKETCH)], [f"w{i}" for i in range(WHOLE)]
+    sketches = cut(reps.select("doc_id", "n_shingles", *own_sketch).join(sets.select("doc_id", *whole_sketch), "doc_id"), folder, "sketches")
+    sets = sets.select("doc_id", "shingles")
+    theirs_too = [F.col("n_shingles").alias("m_shingles"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)), *(F.col(f"w{i}").alias(f"x{i}") for i in range(WHOLE))]
+    other = sketches.select(F.col("doc_id").alias("other"), *theirs_too)
     # a set can't be alike one of which it is less than percent
     plausible = f"100 * least(n_shingles, m_shingles) >= {percent} * greatest(n_shingles, m_shingles) and {allowed(percent / 100)}"
+    # of sets with a sum s of sizes and a difference d, (s - d) / (s + d) are shared
+    plausible += f" and {100 + percent} * ({' + '.join(f'bit_count(w{i} ^ x{i})' for i in range(WHOLE))}) <= {100 - percent} * (n_shingles + m_shingles)"
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (doc_id, other), those whose whole sets are alike."""
@@ -159,7 +171,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     links = confirmed(sketched(bucketed.filter("doc_id <> hub").select("doc_id", F.col("hub").alias("other"))), "links-1")
     component = placed(links, "components-1")
-    drawn = bucketed.filter("doc_id <> drawn").select("doc_id", F.col("drawn").alias("other")).distinct()
+    drawn = bucketed.filter("doc_id <> last").select("doc_id", F.col("last").alias("other")).distinct()
     theirs = component.select(F.col("doc_id").alias("other"), F.col("component").alias("their"))
     drawn = drawn.join(component, "doc_id").join(theirs, "other").filter("component <> their").select(F.least("doc_id", "other").alias("doc_id"), F.greatest("doc_id", "other").alias("other"))
     links = cut(links.unionByName(confirmed(sketched(drawn), "links-2")), folder, "links-12")
@@ -168,10 +180,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # what is left: rows outside their bucket's largest component, against all others of the bucket
     labelled = bucketed.select("doc_id", "band").join(component, "doc_id")
     sizes = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("band", "main")
+    mixed = sizes.groupBy("band").agg(F.max("n").alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = sizes.join(mixed, "band").filter("n = most").groupBy("band").agg(F.min("component").alias("main"))
     labelled = cut(labelled.join(mixed, "band").join(sketches, "doc_id"), folder, "mixed")
     minor = labelled.filter("component <> main")
-    sides = labelled.select("band", F.col("doc_id").alias("other"), F.col("component").alias("their"), "main", F.col("n_shingles").alias("m_shingles"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH))).drop("main")
+    sides = labelled.select("band", F.col("doc_id").alias("other"), F.col("component").alias("their"), *theirs_too)
     left = minor.join(sides, "band").filter(f"component <> their and {plausible}").select(F.least("doc_id", "other").alias("doc_id"), F.greatest("doc_id", "other").alias("other")).distinct()
     links = cut(links.unionByName(confirmed(left, "links-3")), folder, "links")
     component = placed(links, "components-3")
