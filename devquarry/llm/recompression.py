@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import MIX_A, MIX_B, STEP, Bytes, as_long, cut, delete, documents, joined, mix, powers, shared_dir, slices
 
@@ -218,11 +219,15 @@ def single_windows(span: int):
     return rows
 
 
-def few(df: DataFrame, key: str, of: DataFrame, of_key: str) -> DataFrame:
-    """The rows of ``df`` whose key may be among ``of``'s, by a bitmap of BITMAP_BITS bits at most; no row that is among them is lost."""
+def few(df: DataFrame, key: str, of: DataFrame, of_key: str, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose key may be among ``of``'s, or with ``inside`` false the others, which surely are not.
+
+    By a bitmap of BITMAP_BITS bits at most, so the broadcast has 2 MB however large ``of`` is.
+    """
     bits = of.select(F.expr(f"xxhash64({of_key}) & {BITMAP_BITS - 1}L").alias("p")).groupBy(F.expr("p >> 6").alias("word")).agg(F.bit_or(F.expr("1L << cast(p & 63 as int)")).alias("bits"))
     marked = df.withColumn("p", F.expr(f"xxhash64({key}) & {BITMAP_BITS - 1}L")).withColumn("word", F.expr("p >> 6"))
-    return marked.join(F.broadcast(bits), "word").filter("((bits >> cast(p & 63 as int)) & 1L) = 1L").select(*df.columns)
+    hit = F.expr("coalesce((bits >> cast(p & 63 as int)) & 1L, 0L) = 1L")
+    return marked.join(F.broadcast(bits), "word", "inner" if inside else "left").filter(hit if inside else ~hit).select(*df.columns)
 
 
 def repeated_spans(docs: DataFrame, folder: str, span: int = 50, rounds: int = ROUNDS) -> DataFrame:
@@ -247,8 +252,8 @@ def repeated_spans(docs: DataFrame, folder: str, span: int = 50, rounds: int = R
 KEPT = "doc_id long, n_words long, n_removed long, kept string"
 
 
-def without(span: int):
-    """Each text less the words of its spans."""
+def without(span: int, names: list[str]):
+    """Each text less the words of its spans, with the columns ``names``."""
 
     def rows(batches):
         for batch in batches:
@@ -269,20 +274,32 @@ def without(span: int):
                         keep = np.cumsum(edge)[:-1] == 0
                     removed.append(int(b - a - keep.sum()))
                     kept.append(joined(raw, texts.starts[a:b][keep], texts.ends[a:b][keep]))
-                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(texts.first)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                made = {"n_words": pa.array(np.diff(texts.first)), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+                yield pa.record_batch([made[c] if c in made else part.column(c) for c in names], names)
 
     return rows
 
 
-def remove_repeats(docs: DataFrame, span: int = 50, rounds: int = ROUNDS) -> DataFrame:
-    """The columns of KEPT for every row: the words no window of which starts in a document of smaller id."""
+def remove_repeats(docs: DataFrame, span: int = 50, rounds: int = ROUNDS, carry: list[str] | None = None) -> DataFrame:
+    """The columns of KEPT for every row: the words no window of which starts in a document of smaller id.
+
+    With ``carry`` also the text as it was, and a struct ``carried`` of those columns, whatever their names.
+    """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if carry:
+        columns.append(F.struct(*carry).alias("carried"))
+    own = docs.select(*columns)
     spans = cut(repeated_spans(own, folder, span, rounds).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("spans")), folder, "spans")
     for name in ("rows", "told", "windows"):
         delete(spark, f"{folder}/{name}")
-    return own.join(spans, "doc_id", "left").mapInArrow(without(span), KEPT)
+    names = [c.split()[0] for c in KEPT.split(", ")]
+    schema = T.StructType([T.StructField(c.split()[0], T.StringType() if c.endswith("string") else T.LongType()) for c in KEPT.split(", ")])
+    if carry is not None:
+        for c in own.columns[1:]:
+            schema, names = schema.add(own.schema[c]), [*names, c]
+    return own.join(spans, "doc_id", "left").mapInArrow(without(span, names), schema)
 
 
 def op2_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
