@@ -1,0 +1,73 @@
+"""Source trees, coverage reports, diffs and report sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Folders that a tree scan skips, and the size of files above which it does.
+SKIPPED, LARGEST = (".git", "node_modules", "target", "dist", "build", "vendor", "__pycache__", ".venv"), 1 << 20
+
+
+def source_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """path and content of the text files below ``root`` that the rules keep."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    kept = files.filter((F.col("length") <= LARGEST) & ~skipped_path(F.col("path")))
+    out = kept.select("path", F.decode("content", F.lit("UTF-8")).alias("content"))
+    return out.filter(~minified(F.col("path"), F.col("content")))
+
+
+def skipped_path(path: Column) -> Column:
+    return F.exists(F.split(path, "/"), lambda p: p.isin(*SKIPPED))
+
+
+def minified(path: Column, content: Column) -> Column:
+    """JavaScript of fewer than five lines with one over 500 bytes."""
+    lines = F.split(content, "\n")
+    return path.rlike(r"\.(js|mjs|cjs)$") & (F.size(lines) < 5) & F.exists(lines, lambda x: F.octet_length(x) > 500)
+
+
+def lcov(lines: DataFrame) -> DataFrame:
+    """file, line and hits from a coverage report's lines (report, number, value); a report's lines are one group."""
+    own = Window.partitionBy("report").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    named = lines.withColumn("file", F.last(F.nullif(F.regexp_extract("value", r"^SF:(.*)$", 1), F.lit("")), ignorenulls=True).over(own))
+    data = named.filter(F.col("value").rlike(r"^DA:\d+,\d+"))
+    return data.select("file", F.regexp_extract("value", r"^DA:(\d+),", 1).cast("long").alias("line"), F.regexp_extract("value", r"^DA:\d+,(\d+)", 1).cast("long").alias("hits"))
+
+
+def changed_files(diff: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(diff, F.lit(r"(?m)^\+\+\+ b/(\S+)"), F.lit(1)))
+
+
+def added_lines(diffs: DataFrame) -> DataFrame:
+    """id, file and line of what unified diffs (id, diff) add."""
+    text = diffs.select("id", F.posexplode(F.split("diff", "\n")).alias("n", "value"))
+    own = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    named = text.withColumn("file", F.last(F.nullif(F.regexp_extract("value", r"^\+\+\+ b/(\S+)", 1), F.lit("")), True).over(own))
+    hunk = F.when(F.col("value").rlike(r"^@@ "), F.struct("n", F.regexp_extract("value", r"\+(\d+)", 1).cast("long").alias("at")))
+    named = named.withColumn("hunk", F.last(hunk, True).over(own))
+    moved = F.when((F.col("n") > F.col("hunk.n")) & ~F.col("value").rlike(r"^[-\\]"), 1).otherwise(0)
+    placed = named.withColumn("moved", F.sum(moved).over(Window.partitionBy("id", "hunk.n").orderBy("n")))
+    return placed.filter(F.col("value").rlike(r"^\+(?!\+\+ )") & F.col("hunk").isNotNull()).select("id", "file", (F.col("hunk.at") + F.col("moved") - 1).alias("line"))
+
+
+def category_text(counts: Column) -> Column:
+    """A map of counts as sorted k=v;k=v."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+
+
+def write_csv(df: DataFrame, path: str, decimals: int = 2) -> None:
+    """Doubles with fixed decimals, a header, one folder."""
+    columns = [F.format_string(f"%.{decimals}f", c).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes]
+    df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_markdown(df: DataFrame, path: str, top: int = 10) -> None:
+    """The first rows as a Markdown table."""
+    head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
+    rows = df.limit(top).select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in df.columns]), F.lit(" |")).alias("row"))
+    rows.agg(F.concat_ws("\n", F.lit(head), F.collect_list("row")).alias("value")).write.mode("overwrite").text(path)
