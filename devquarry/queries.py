@@ -505,3 +505,110 @@ def store_page(t):
 @query("SELECT vec_id FROM embeddings WHERE label = 3 AND vec_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')")
 def store_delete(t):
     return t("embeddings").filter("label = 3").join(t("documents").filter("lang = 'fr'"), F.col("vec_id") == F.col("doc_id"), "left_anti").select("vec_id")
+
+
+# -- paths, classification, identities, chunks -------------------------------------------------------------
+
+from .functions import paths  # noqa: E402
+from .operators import chunking, classify, identity  # noqa: E402
+
+PATH_SQL = "concat(CASE doc_id % 5 WHEN 0 THEN 'src/' WHEN 1 THEN 'docs/legacy/' WHEN 2 THEN 'tests/' WHEN 3 THEN 'data/old/' ELSE '' END, source, CASE doc_id % 7 WHEN 0 THEN '.rs' WHEN 1 THEN '.md' WHEN 2 THEN '.json' WHEN 3 THEN '.PY' WHEN 4 THEN '.toml' WHEN 5 THEN '.tsx' ELSE '' END)"
+SHAPES["tree"] = f"SELECT doc_id, {PATH_SQL} AS path, text FROM {{documents}}"
+
+
+def sql_list(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+EXT = "lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1))"
+
+
+@query(f"""WITH k AS (SELECT doc_id, CASE WHEN {EXT} IN ({sql_list(paths.TEXT)}) THEN 'text' WHEN {EXT} IN ({sql_list(paths.DATA)}) THEN 'data' WHEN {EXT} IN ({sql_list(paths.CODE)}) THEN 'code' ELSE 'other' END AS kind FROM tree)
+    SELECT doc_id, kind, CASE kind WHEN 'text' THEN 0.1 WHEN 'data' THEN 0.2 ELSE 1.0 END::DOUBLE AS in_code, CASE kind WHEN 'data' THEN 0.3 WHEN 'code' THEN 0.5 ELSE 1.0 END::DOUBLE AS in_text FROM k""", "tree")
+def path_penalties(t):
+    p = F.col("path")
+    return t("tree").select("doc_id", paths.file_class(p).alias("kind"), paths.mode_penalty(p, "all").alias("in_code"), paths.mode_penalty(p, "text").alias("in_text"))
+
+
+@query("SELECT doc_id, CASE WHEN path LIKE '%legacy%' OR path LIKE '%/old/%' THEN 0.3 WHEN doc_id > 365 THEN 0.7 ELSE 1.0 END::DOUBLE AS keeps FROM tree", "tree")
+def path_archive(t):
+    return t("tree").select("doc_id", paths.archive_multiplier(F.col("path"), F.col("text"), F.col("doc_id")).alias("keeps"))
+
+
+@query("""SELECT CASE WHEN p LIKE '%test%' OR p LIKE '%spec%' THEN 'testing' WHEN regexp_matches(p, '\\.(css|scss|html|svelte|tsx|jsx)$|frontend|ui/|components/') THEN 'frontend' WHEN regexp_matches(p, '\\.github/|\\.(yml|yaml|toml)$|ci/|deploy') THEN 'configuration'
+    WHEN regexp_matches(p, '\\.md$|docs/|readme') THEN 'documentation' WHEN regexp_matches(p, '\\.(rs|py|ts|go|java)$|src/|lib/|backend/') THEN 'backend' ELSE 'general' END AS room, count(*) AS n FROM (SELECT lower(path) AS p FROM tree) GROUP BY 1""", "tree")
+def path_rooms(t):
+    return t("tree").groupBy(paths.room(F.col("path")).alias("room")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT CASE {EXT} WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' ELSE 'unknown' END AS language, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS confidence FROM tree GROUP BY 1", "tree")
+def path_languages(t):
+    d = t("tree")
+    n = d.groupBy(paths.language(F.col("path")).alias("language")).agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(d.agg(F.count("*").alias("total")))).select("language", "n", F.round(F.col("n") / F.col("total"), 9).alias("confidence"))
+
+
+@query("""WITH c AS (SELECT sha, message, lower(message) AS l FROM commits) SELECT sha, CASE WHEN l LIKE '%parser%' THEN 'feature' WHEN l LIKE '%revert%' THEN 'revert' WHEN regexp_matches(message, '^fix(\\(.*\\))?:') THEN 'bugfix' WHEN regexp_matches(message, '^docs:') THEN 'docs'
+    WHEN length(l) < 12 THEN 'chore' ELSE 'uncategorized' END AS category, CASE WHEN l LIKE '%parser%' OR l LIKE '%revert%' THEN 1.0 WHEN regexp_matches(message, '^fix(\\(.*\\))?:|^docs:') THEN 0.85 WHEN length(l) < 12 THEN 0.4 ELSE 0.0 END::DOUBLE AS confidence FROM c""", "commits")
+def git_classification(t):
+    m = F.col("message")
+    tiers = [classify.exact_tier(m, [("revert", "revert", 50), ("parser", "feature", 90)]), classify.regex_tier(m, [(r"^docs:", "docs", 100), (r"^fix(\(.*\))?:", "bugfix", 110)]), classify.fuzzy_tier(m, F.lit(False))]
+    return classify.cascade(t("commits"), tiers).select("sha", "category", "confidence")
+
+
+@query()
+def git_weighted_classification(t):
+    signals = {"bugfix": [("(?i)fix", 0.5), ("(?i)crash|null", 0.3)], "docs": [("^docs", 0.6)], "maintenance": [("(?i)tidy", 0.4), ("(?i)cache|up", 0.2)]}
+    return t("commits").select("sha", classify.weighted_tier(F.col("message"), signals).alias("w")).select("sha", "w.*")
+
+
+@query("SELECT c_name AS source, m AS target FROM (SELECT c_name, min(c_name) OVER (PARTITION BY c_nationkey, c_mktsegment) AS m FROM customer) WHERE c_name <> m")
+def identity_same_names(t):
+    a = t("customer").select(F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("name"), F.col("c_name").alias("email"))
+    return identity.same_name_pairs(a)
+
+
+MAIL_SQL = "concat(replace(c_name, 'Customer#', 'dev'), '@', c_mktsegment)"
+
+
+@query(f"WITH m AS (SELECT DISTINCT {MAIL_SQL} AS email, replace(c_name, 'Customer#', 'dev') AS l, c_mktsegment AS d FROM customer WHERE c_custkey <= 400) SELECT a.email AS first, b.email AS second, CAST(levenshtein(a.l, b.l) AS INT) AS edits FROM m a JOIN m b ON a.d = b.d AND a.email < b.email WHERE levenshtein(a.l, b.l) BETWEEN 1 AND 2")
+def identity_near_emails(t):
+    a = t("customer").filter("c_custkey <= 400").select(F.concat(F.expr("replace(c_name, 'Customer#', 'dev')"), F.lit("@"), "c_mktsegment").alias("email"))
+    return identity.near_emails(a)
+
+
+@query()
+def identity_resolution(t):
+    known = t("supplier").select(F.lower("s_name").alias("email"), F.col("s_name").alias("name"), F.col("s_name").alias("author"))
+    people = known.select("email", "name").union(t("supplier").select(F.concat(F.lit("x"), "s_name"), F.regexp_replace("s_name", "0$", "O"))).distinct()
+    return identity.resolve(people, known)
+
+
+@query()
+def review_clusters(t):
+    items = t("benchmark").select("item_id", text.chat_tokens(F.col("text")).alias("tokens"), (F.col("item_id") % 4).alias("kind"))
+    return identity.greedy_clusters(items, "item_id", "tokens", "kind")
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), w AS (SELECT doc_id, lines, unnest(range(0, CAST(greatest(ceil((len(lines) - 15) / 5.0), 0) AS BIGINT) * 5 + 1, 5)) AS b FROM l)
+    SELECT doc_id, b + 1 AS start, least(b + 15, len(lines)) AS "end", md5(array_to_string(list_slice(lines, b + 1, b + 15), chr(10))) AS digest FROM w""")
+def chunk_windows(t):
+    out = chunking.line_windows(t("documents"), "doc_id", "text", 15, 5)
+    return out.select("doc_id", "start", "end", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query(r"SELECT doc_id, callee FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b([A-Za-z_]\w*)\s*\(', 1))) AS callee FROM documents) WHERE callee NOT IN ('if', 'for', 'while', 'match', 'switch', 'return', 'catch', 'fn', 'def', 'function')")
+def chunk_calls(t):
+    return chunking.calls(t("documents"), "doc_id", "text")
+
+
+@query("WITH c AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS callee FROM lineitem WHERE l_orderkey % 10 = 1) SELECT DISTINCT a.src, b.src AS dst FROM c a JOIN c b USING (callee) WHERE a.src <> b.src")
+def chunk_sibling_tests(t):
+    return chunking.tests_of_same(t("lineitem").filter("l_orderkey % 10 = 1").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("callee")))
+
+
+@query("""WITH n AS (SELECT p_partkey AS id, p_brand AS name, p_size AS file FROM part), u AS (SELECT name, count(*) AS k, min(id) AS sole FROM n GROUP BY name), f AS (SELECT file, name, min(id) AS near FROM n GROUP BY ALL)
+    SELECT l_orderkey * 10 + l_linenumber AS src, callee, CASE WHEN k = 1 THEN sole ELSE near END AS dst FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS file, concat('Brand#', CAST(l_suppkey % 60 AS STRING)) AS callee FROM lineitem WHERE l_orderkey % 10 = 1) c LEFT JOIN u ON u.name = callee LEFT JOIN f ON f.name = callee AND f.file = c.file""")
+def chunk_call_resolution(t):
+    c = t("lineitem").filter("l_orderkey % 10 = 1").selectExpr("l_orderkey * 10 + l_linenumber as src", "cast(l_quantity as int) as file", "concat('Brand#', cast(l_suppkey % 60 as string)) as callee")
+    return chunking.resolve_calls(c, t("part").selectExpr("p_partkey as id", "p_brand as name", "p_size as file"))
