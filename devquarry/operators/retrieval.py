@@ -111,3 +111,34 @@ def budget_cut(items: DataFrame, key: str, cost: str, score: str, budget: int) -
         return pdf[kept]
 
     return items.groupBy(F.lit(1).alias("one")).applyInPandas(cut, items.schema)
+
+
+def add_lane(fused: DataFrame, lane: DataFrame, key: str, weight: float) -> DataFrame:
+    """Fused scores with weight / (60 + rank) of a third lane added."""
+    more = ranked(lane, key).select(key, (F.lit(weight) / (RRF + F.col("rank"))).alias("more"))
+    return fused.join(more, key, "full").select(key, (F.coalesce("score", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"))
+
+
+def fuse_all(vectors: DataFrame, lexical: DataFrame, key: str) -> DataFrame:
+    """Two-lane fusion over the vector lane: what the other lane lacks ranks after its last; ties by raw lexical score."""
+    n = lexical.agg(F.count("*").alias("n"))
+    a, b = ranked(vectors, key).select(key, F.col("rank").alias("a")), ranked(lexical, key).select(key, F.col("rank").alias("b"), F.col("score").alias("raw"))
+    joined = a.join(b, key, "left").join(F.broadcast(n))
+    score = 1 / (RRF + F.col("a")) + 1 / (RRF + F.coalesce("b", F.col("n") + 1))
+    return joined.select(key, score.alias("score"), F.coalesce("raw", F.lit(0.0)).alias("raw")).orderBy(F.desc("score"), F.desc("raw"), key)
+
+
+def route(contexts: DataFrame, key: str, vector: str, query: list[float], top: int | None = None, least: float | None = None) -> DataFrame:
+    """Indexes to search with their weights, max(0, cosine) or 1 where unknown: all, the best ``top``, or those of ``least`` and more."""
+    asked = F.array(*[F.lit(float(x)) for x in query])
+    weight = F.when(F.col(vector).isNull(), 1.0).otherwise(F.greatest(cosine(F.col(vector), asked), F.lit(0.0)))
+    out = contexts.select(key, weight.alias("weight"))
+    if least is not None:
+        out = out.filter(F.col("weight") >= least)
+    return out.orderBy(F.desc("weight"), key).limit(top) if top else out
+
+
+def memory_rank(items: DataFrame, key: str, top_k: int = 5) -> DataFrame:
+    """(0.6 cosine + 0.4 BM25) x e^(-0.1 hours), doubled in the query's cluster; items have these columns."""
+    score = (0.6 * F.col("cos") + 0.4 * F.col("bm25")) * F.exp(-0.1 * F.col("age_hours")) * F.when(F.col("in_cluster"), 2.0).otherwise(1.0)
+    return items.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(top_k)

@@ -608,7 +608,116 @@ def chunk_sibling_tests(t):
 
 
 @query("""WITH n AS (SELECT p_partkey AS id, p_brand AS name, p_size AS file FROM part), u AS (SELECT name, count(*) AS k, min(id) AS sole FROM n GROUP BY name), f AS (SELECT file, name, min(id) AS near FROM n GROUP BY ALL)
-    SELECT l_orderkey * 10 + l_linenumber AS src, callee, CASE WHEN k = 1 THEN sole ELSE near END AS dst FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS file, concat('Brand#', CAST(l_suppkey % 60 AS STRING)) AS callee FROM lineitem WHERE l_orderkey % 10 = 1) c LEFT JOIN u ON u.name = callee LEFT JOIN f ON f.name = callee AND f.file = c.file""")
+    SELECT l_orderkey * 10 + l_linenumber AS src, callee, CASE WHEN k = 1 THEN coalesce(sole, -1) ELSE coalesce(near, -1) END AS dst FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS file, concat('Brand#', CAST(l_suppkey % 60 AS STRING)) AS callee FROM lineitem WHERE l_orderkey % 10 = 1) c LEFT JOIN u ON u.name = callee LEFT JOIN f ON f.name = callee AND f.file = c.file""")
 def chunk_call_resolution(t):
     c = t("lineitem").filter("l_orderkey % 10 = 1").selectExpr("l_orderkey * 10 + l_linenumber as src", "cast(l_quantity as int) as file", "concat('Brand#', cast(l_suppkey % 60 as string)) as callee")
-    return chunking.resolve_calls(c, t("part").selectExpr("p_partkey as id", "p_brand as name", "p_size as file"))
+    return chunking.resolve_calls(c, t("part").selectExpr("p_partkey as id", "p_brand as name", "p_size as file")).fillna(-1, ["dst"])
+
+
+# -- review, routing, windows ------------------------------------------------------------------------------
+
+from .operators import review  # noqa: E402
+from .streaming import windows  # noqa: E402
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 < 0.2 THEN 'comment' ELSE list_extract(['approve', 'comment', 'request_changes', 'reject'], greatest(l_linenumber % 3, CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 1 ELSE 0 END) + 1) END AS verdict FROM lineitem""")
+def review_verdicts(t):
+    model = F.element_at(F.array(*map(F.lit, review.VERDICTS)), F.col("l_linenumber") % 3 + 1)
+    severity = F.when(F.col("l_returnflag") == "R", "critical").when(F.col("l_returnflag") == "A", "medium").otherwise("low")
+    return t("lineitem").select("l_orderkey", "l_linenumber", review.verdict(model, severity, F.col("l_discount") * 10, 0.2).alias("verdict"))
+
+
+@query("""WITH r AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) = 1 AND lang IN ('fr', 'de') AS lead FROM documents) SELECT doc_id, lang, n_chars FROM r ORDER BY r.lead DESC, n_chars DESC, doc_id LIMIT 25""")
+def review_sample(t):
+    return review.stratified(t("documents").select("doc_id", "lang", "n_chars"), "doc_id", "lang", "n_chars", ["fr", "de"], 25)
+
+
+@query("""WITH s AS (SELECT o_custkey AS author, count(*)::DOUBLE AS commits, sum(o_orderkey % 3)::DOUBLE AS prs, sum(floor(o_totalprice))::DOUBLE AS lines, sum(o_orderkey % 5)::DOUBLE AS complexity, sum(o_orderkey % 2)::DOUBLE AS ticketed FROM orders GROUP BY 1), b AS (SELECT min(commits) AS a0, max(commits) AS a1, min(prs) AS b0, max(prs) AS b1, min(lines) AS c0, max(lines) AS c1, min(complexity) AS d0, max(complexity) AS d1, min(ticketed) AS e0, max(ticketed) AS e1 FROM s)
+    SELECT author, round(0.22 * (commits - a0) / (a1 - a0) + 0.26 * (prs - b0) / (b1 - b0) + 0.26 * (lines - c0) / (c1 - c0) + 0.11 * (complexity - d0) / (d1 - d0) + 0.15 * (ticketed - e0) / (e1 - e0), 6) AS score FROM s, b""")
+def report_activity(t):
+    weekly = t("orders").selectExpr("o_custkey as author", "1 as commits", "o_orderkey % 3 as prs", "floor(o_totalprice) as lines", "o_orderkey % 5 as complexity", "o_orderkey % 2 as ticketed")
+    return review.activity(weekly).withColumn("score", F.round("score", 6))
+
+
+@query("WITH r AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1) SELECT user_id, CAST(unnest(generate_series(date_trunc('week', a), CAST(b AS DATE)::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS monday FROM r")
+def report_weeks(t):
+    r = t("events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return r.select("user_id", F.explode(review.week_spans(F.col("a"), F.col("b"))).alias("monday"))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, CAST(sum(user_id) AS BIGINT) AS input_tokens, CAST(sum(event_id) AS BIGINT) AS output_tokens, round(sum((user_id * CASE event_type WHEN 'click' THEN 3.0 WHEN 'view' THEN 1.0 ELSE 0 END + event_id * CASE event_type WHEN 'click' THEN 15.0 WHEN 'view' THEN 5.0 ELSE 0 END) / 1e6), 6) AS cost FROM events GROUP BY 1")
+def report_daily_cost(t):
+    e = t("events")
+    prices = e.sparkSession.createDataFrame([("click", 3.0, 15.0), ("view", 1.0, 5.0)], "model string, input double, output double")
+    usage = e.select("ts", F.col("event_type").alias("model"), F.col("user_id").alias("input_tokens"), F.col("event_id").alias("output_tokens"))
+    return review.daily_cost(usage, prices).withColumn("cost", F.round("cost", 6))
+
+
+@query()
+def review_claims(t):
+    e = t("events").selectExpr("'o' as owner", "'r' as repo", "user_id as pr", "event_type as sha", "case when event_id % 7 = 0 then 'completed' else 'in_progress' end as state", "ts as at")
+    return review.claims(e, 24)
+
+
+@query("SELECT p AS id, min(s) AS place, arg_max(b, s) AS body FROM (SELECT event_type AS p, event_id AS s, concat('v', CAST(event_id AS STRING)) AS b FROM events) GROUP BY p")
+def rules_merge(t):
+    return review.merge_rules(t("events").selectExpr("event_type as id", "event_id as source", "concat('v', cast(event_id as string)) as body"))
+
+
+@query("WITH n AS (SELECT DISTINCT src AS id FROM edges), a AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'Calls'), m AS (SELECT src, dst FROM edges WHERE kind <> 'Calls' AND dst IN (SELECT id FROM n)) SELECT src, dst FROM a UNION SELECT src, dst FROM m", "edges")
+def graph_contribution(t):
+    e = t("edges")
+    nodes = e.select(F.col("src").alias("id")).distinct()
+    return review.contribute(nodes, e.filter("kind = 'Calls'").select("src", "dst"), nodes, e.filter("kind <> 'Calls'").select("src", "dst"))[1]
+
+
+TURN_SQL = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: strlen(x) > 2)"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, {TURN_SQL} AS w FROM conversations), x AS (SELECT conv_id, turn, len(w) AS l, len(list_distinct(w)) AS k, unnest(list_distinct(w)) AS term FROM c), d AS (SELECT term, count(*) AS df FROM x GROUP BY term)
+    SELECT conv_id, turn, round(k / l * avg(greatest(ln((SELECT count(*) FROM c) / df), 0) + 1) * ln(l), 6) AS score FROM x JOIN d USING (term) GROUP BY conv_id, turn, l, k""")
+def chat_turn_scores(t):
+    c = t("conversations").select("conv_id", "turn", text.chat_tokens(F.col("text")).alias("w"))
+    return review.turn_scores(c, ["conv_id", "turn"], "w").withColumn("score", F.round("score", 6))
+
+
+@query()
+def chat_compression(t):
+    c = t("conversations").select("conv_id", "turn", F.length("text").cast("long").alias("cost"), F.size(F.array_distinct(text.chat_tokens(F.col("text")))).cast("double").alias("score"))
+    return review.compress(c, "conv_id", "turn", "cost", "score", 1500)
+
+
+@query()
+def memory_triples(t):
+    n = t("conversations").selectExpr("conv_id * 1000 + turn as id", "role as room", "array(role, 'chat') as tags", "text as content")
+    return review.extract_triples(n)
+
+
+@query(f"WITH {LANES_SQL} SELECT doc_id, round(1 / (60.0 + b.r) + 1 / (60.0 + coalesce(a.r, 41)), 9) AS score FROM b LEFT JOIN a USING (doc_id)")
+def search_fuse_all(t):
+    lexical = retrieval.bm25(t("documents"), "doc_id", "text", TERMS, 40)
+    other = t("documents").select("doc_id", F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "doc_id").limit(40)
+    return retrieval.fuse_all(other, lexical, "doc_id").select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {LANES_SQL}, c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS r FROM documents QUALIFY r <= 30) SELECT doc_id, round(sum(p), 9) AS score FROM (SELECT doc_id, 0.4 / (60 + r) AS p FROM a UNION ALL SELECT doc_id, 0.3 / (60 + r) FROM c) GROUP BY doc_id")
+def search_third_lane(t):
+    first = retrieval.fuse([(retrieval.bm25(t("documents"), "doc_id", "text", TERMS, 40), 0.4)], "doc_id", 40)
+    third = t("documents").select("doc_id", F.col("doc_id").cast("double").alias("score")).orderBy(F.desc("score")).limit(30)
+    return retrieval.add_lane(first, third, "doc_id", 0.3).withColumn("score", F.round("score", 9))
+
+
+@query()
+def search_routing(t):
+    return retrieval.route(vectors(t).filter("vec_id < 20"), "vec_id", "vec", first_vector(t), top=5)
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def events_hourly(t):
+    return windows.tumbling(t("events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", ["event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL '6' HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g)
+    SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, i""")
+def events_sessions(t):
+    return windows.sessions(t("events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "6 hours", "user_id").withColumn("start", F.col("start").cast("timestamp_ntz"))
