@@ -198,3 +198,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1])) ELSE ws END) AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS k FROM s), e AS (SELECT doc_id, unnest(sh) AS t FROM s),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 80 * (x.k + y.k - shared)),
+pair AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT doc_id, v FROM reach JOIN pair ON other = u)
+SELECT n.doc_id, CAST(k AS BIGINT) AS n_shingles, m AS component_id, n.doc_id = m AS kept FROM n JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) r ON r.doc_id = n.doc_id
+"""

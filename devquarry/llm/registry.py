@@ -3,11 +3,11 @@
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .gif import op6_gif
 from .kneser_ney import op4_kneser_ney
-from .minhash import op1_minhash
+from .minhash import OP1_SQL, op1_minhash
 from .packing import op8_packing
-from .recompression import op2_recompression
+from .recompression import OP2_SQL, op2_recompression
 from .sentencepiece_bpe import op10_sentencepiece
-from .suffix_array import op7_suffix_array
+from .suffix_array import OP7_SQL, op7_suffix_array
 from .toxicity import op9_toxicity
 from .warc import OP3_SQL, op3_warc
 
@@ -17,4 +17,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_warc": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op1_minhash": OP1_SQL, "op2_recompression": OP2_SQL, "op3_warc": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_suffix_array": OP7_SQL}

@@ -359,3 +359,16 @@ def remove_repeats(docs: DataFrame, span: int = 400, gram: int = GRAM, rows_each
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, s, md5(substring(x, 2 * s + 1, 800)) AS h FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399)) AS s FROM d WHERE length(x) >= 800)),
+hit AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+edge AS (SELECT doc_id, s, CASE WHEN s <= max(s) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 400 THEN 0 ELSE 1 END AS fresh FROM hit),
+run AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS b FROM (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS r FROM edge) GROUP BY doc_id, r),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM run),
+part AS (SELECT c.doc_id, string_agg(substring(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS t, max(b) AS last, sum(b - a) AS gone, count(*) AS n FROM cut c JOIN d ON d.doc_id = c.doc_id GROUP BY c.doc_id)
+SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(concat(coalesce(t, ''), substring(x, 2 * coalesce(last, 0) + 1)))) AS kept_sha256 FROM d LEFT JOIN part ON d.doc_id = part.doc_id
+"""
