@@ -1,6 +1,6 @@
 """Repeated byte strings by suffix arrays over shards of the corpus.
 
-1. Every ``span``-byte string has a synchronising place: where the hash of the next ``GRAM`` bytes is the least
+1. Every ``span``-byte string has a synchronising place: where the hash of the next ``gram`` bytes is the least
    within it. Equal strings have it at equal offsets, so only texts around equal grams need comparing.
    Consecutive strings with one place are a row: the gram and a hash of all bytes that the strings cover.
    Rows that several places share whole are repeats. A gram with rows of several kinds is open.
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, powers, shared_dir, slices
 from .recompression import BACK, few
 
-GRAM = 24
 #: Bytes of a shard, and rows of one gram that go to one shard.
 SHARD, ROWS = 1 << 20, 1 << 9
 
@@ -45,7 +44,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for i in range(h):
         key = key << np.uint64(bits) | wide[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     fresh = np.ones(n, bool)
     fresh[1:] = key[order[1:]] != key[order[:-1]]
     rank = np.empty(n, np.int64)
@@ -60,7 +59,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         at += np.arange(len(at)) - np.repeat(np.cumsum(sizes[wide_groups]) - sizes[wide_groups], sizes[wide_groups])
         own = order[at]
         after = np.where(own + h < n, rank[np.minimum(own + h, n - 1)], -1)
-        refined = np.lexsort((after, rank[own]))
+        refined = np.argsort(rank[own] * (n + 1) + after + 1)
         own, after = own[refined], after[refined]
         order[at] = own
         same = rank[own[1:]] == rank[own[:-1]]
@@ -82,7 +81,10 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
     shared = np.zeros(n, np.int64)
-    padded = np.concatenate([data.astype(np.int64), -1 - np.arange(most + 1)])
+    padded = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
+    wide = np.zeros(n + 1, np.uint64)  # four values at once
+    for i in range(4):
+        wide[:n] |= padded[i : i + n] << np.uint64(16 * i)
     anchors = np.arange(0, n, 16)
     for begin in (anchors, np.setdiff1d(np.arange(n), anchors, assume_unique=True)):
         # a lower bound from the anchor before: its common prefix less the distance
@@ -91,10 +93,15 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         live = np.flatnonzero(left >= 0)
         at, other, length = begin[live], left[live], floor[live]
         while len(at):
-            ok = (length < most) & (at + length < n) & (other + length < n)
-            ok[ok] = padded[at[ok] + length[ok]] == padded[other[ok] + length[ok]]
-            shared[at[~ok]] = length[~ok]
-            at, other, length = at[ok], other[ok], length[ok] + 1
+            ok = length + 4 <= most
+            ok[ok] = wide[np.minimum(at[ok] + length[ok], n)] == wide[np.minimum(other[ok] + length[ok], n)]
+            a, b, have = at[~ok], other[~ok], length[~ok]
+            for _ in range(4):  # the last values one by one
+                more = (have < most) & (a + have < n) & (b + have < n)
+                more[more] = padded[a[more] + have[more]] == padded[b[more] + have[more]]
+                have = have + more
+            shared[a] = np.minimum(have, most)
+            at, other, length = at[ok], other[ok], length[ok] + 4
     return shared[order]
 
 
@@ -293,9 +300,15 @@ def across(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return found_rows(own[2].view(np.int64), own[3], np.ones(own.shape[1]))
 
 
-def repeated_spans(docs: DataFrame, folder: str, span: int = 400, gram: int = GRAM, rows_each: int = ROWS, shard_bytes: int = SHARD) -> DataFrame:
+def usual_gram(span: int) -> int:
+    """Bytes of a gram: enough that texts with one gram nearly always share more than a phrase; 96 of 400."""
+    return max(span * 6 // 25, 1)
+
+
+def repeated_spans(docs: DataFrame, folder: str, span: int = 400, gram: int | None = None, rows_each: int = ROWS, shard_bytes: int = SHARD) -> DataFrame:
     """doc_id, place and n: strings ``place`` to ``place`` + n - 1 of the document also start elsewhere."""
     own = docs.filter("doc_id is not null").select("doc_id", "text")
+    gram = gram or usual_gram(span)
     table = cut(own.mapInArrow(sketch(span, gram), ROW), folder, "rows")
     again = table.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1")
     table = few(table, "gram", again, "gram")
@@ -345,7 +358,7 @@ def without(span: int):
     return rows
 
 
-def remove_repeats(docs: DataFrame, span: int = 400, gram: int = GRAM, rows_each: int = ROWS, shard_bytes: int = SHARD) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 400, gram: int | None = None, rows_each: int = ROWS, shard_bytes: int = SHARD) -> DataFrame:
     """The columns of KEPT for every row: the bytes that no repeated string covers."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
