@@ -4,10 +4,12 @@
    within it. Equal strings have it at equal offsets, so only texts around equal grams need comparing.
    Consecutive strings with one place are a row: the gram and a hash of all bytes that the strings cover.
    Rows that several places share whole are repeats. A gram with rows of several kinds is open.
-2. Open rows' bytes are dealt to shards, by gram, or by gram and part where a gram has more rows than a
-   shard holds. Each shard sorts the suffixes of its bytes (Larsson-Sadakane refinement), takes common
-   prefixes (Kasai) and so finds all strings that repeat within it.
-3. Grams in several shards: each shard gives its distinct strings as a sorted array of 128-bit values, dealt by value; arrays meet pairwise by binary search.
+2. Open rows' bytes are dealt to shards, by the least gram of their neighbourhood, so that alike stretches
+   meet whole, and by parts of it where it has more rows than a shard holds. Each shard sorts the suffixes
+   of its bytes (Larsson-Sadakane refinement), takes common prefixes (Kasai) and so finds all strings that
+   repeat within it.
+3. Grams in several shards: each shard gives its distinct strings as a sorted array of 128-bit values, dealt
+   by value; arrays meet pairwise by binary search.
 
 Bytes are those of UTF-8; null texts are empty. Texts shorter than ``span`` keep everything. Rows that repeat
 an id and its text repeat each other's strings, so both lose them; rows of one id must have one text.
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, powers, shared_dir, slices
 from .recompression import BACK, few
 
-#: Bytes of a shard, and rows of one gram that go to one shard.
-SHARD, ROWS = 1 << 20, 1 << 9
+#: Bytes of a shard, rows of one route that go to one shard, and how many neighbours a route looks at on either side.
+SHARD, ROWS, REACH = 1 << 20, 1 << 11, 4
 
 
 # -- suffix arrays -----------------------------------------------------------------------------------------
@@ -203,11 +205,34 @@ def sketch(span: int, gram: int):
     return rows
 
 
-PIECE = "doc_id long, gram long, parts int, place int, piece binary"
+ROUTED = "doc_id long, gram long, place int, n int, route long"
+
+
+def routes(batches):
+    """The open rows of each text with a route: the least gram of the row and its neighbours, so that alike stretches of texts go together."""
+    for batch in batches:
+        out = []
+        for doc, own in zip(batch.column("doc_id").to_pylist(), batch.column("rows").to_pylist()):
+            own.sort(key=lambda r: r["place"])
+            gram = np.array([r["gram"] for r in own])
+            place, n = (np.array([r[k] for r in own]) for k in ("place", "n"))
+            stretch = np.cumsum(np.append(True, place[1:] != place[:-1] + n[:-1]))
+            value = mix(gram.view(np.uint64))
+            least = value.copy()
+            for by in range(1, min(REACH, len(own) - 1) + 1):
+                same = stretch[by:] == stretch[:-by]
+                least[by:] = np.where(same, np.minimum(least[by:], value[:-by]), least[by:])
+                least[:-by] = np.where(same, np.minimum(least[:-by], value[by:]), least[:-by])
+            out.append((np.full(len(own), doc), gram, place, n, least.view(np.int64)))
+        if out:
+            yield pa.record_batch([pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*out), (np.int64, np.int64, np.int32, np.int32, np.int64))], ["doc_id", "gram", "place", "n", "route"])
+
+
+PIECE = "doc_id long, shard int, place int, spread binary, piece binary"
 
 
 def pieces(span: int):
-    """The bytes of the rows that a text has to show."""
+    """The bytes of the rows that a text has to show: adjacent rows of a shard are one piece. ``spread``: pairs (offset, n) of rows whose gram is in several shards."""
 
     def rows(batches):
         for batch in batches:
@@ -215,10 +240,16 @@ def pieces(span: int):
                 texts = Bytes(part.column("text"))
                 data, out = texts.data.tobytes(), []
                 for i, (doc, own) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("rows").to_pylist())):
-                    for r in own:
-                        a = int(texts.at[i]) + r["place"]
-                        out.append((doc, r["gram"], r["parts"], r["place"], data[a : a + r["n"] - 1 + span]))
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "gram", "parts", "place", "piece"])
+                    own.sort(key=lambda r: r["place"])
+                    base, held = int(texts.at[i]), []
+                    for r in [*own, None]:
+                        if held and (r is None or r["shard"] != held[-1]["shard"] or r["place"] != held[-1]["place"] + held[-1]["n"]):
+                            a, b = held[0]["place"], held[-1]["place"] + held[-1]["n"] - 1 + span
+                            spread = np.array([(h["place"] - a, h["n"]) for h in held if h["spread"]], np.int32)
+                            out.append((doc, held[0]["shard"], a, spread.tobytes(), data[base + a : base + b]))
+                            held = []
+                        held.append(r)
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["doc_id", "shard", "place", "spread", "piece"])
 
     return rows
 
@@ -246,7 +277,7 @@ def shard(span: int, buckets: int):
     def repeats(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         docs = table.column("doc_id").to_numpy()
         places = table.column("place").to_numpy().astype(np.int64)
-        parts = table.column("parts").to_numpy()
+        spread = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in table.column("spread").to_pylist()]
         texts = table.column("piece").to_pylist()
         where = (np.unique(docs, return_inverse=True)[1] << 32) + places
         doc, place, n = [], [], []
@@ -256,8 +287,8 @@ def shard(span: int, buckets: int):
             doc += [docs[i]] * len(begin)
             place += (places[i] + begin).tolist()
             n += length.tolist()
-            if parts[i] > 1:  # those that repeat here too, as what other shards may have once
-                once = np.arange(len(marks))
+            if len(spread[i]):  # those that repeat here too, as what other shards may have once
+                once = np.concatenate([np.arange(a, a + k) for a, k in spread[i].tolist()])
                 bytes_ = np.frombuffer(texts[i], np.uint8)
                 first.append(Strings(bytes_).of(once, once + span))
                 second.append(Strings(bytes_ ^ 0x5A).of(once, once + span))
@@ -318,13 +349,15 @@ def repeated_spans(docs: DataFrame, folder: str, span: int = 400, gram: int | No
     told = cut(table.join(known, ["gram", "content"]), folder, "told")
     spans = told.filter("k > 1").select("doc_id", "place", "n")
     open_rows = told.filter("kinds > 1 and (k = 1 or doc_id = first)")
-    size = open_rows.agg(F.sum(F.col("n") + span)).first()[0] or 0
+    lists = open_rows.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "place", "n")).alias("rows"))
+    routed = cut(lists.mapInArrow(routes, ROUTED), folder, "routed")
+    size = routed.agg(F.sum(F.col("n") * 2 + 1)).first()[0] or 0
     shards = max(1, -(-int(size) // shard_bytes))
-    parts = F.ceil(F.col("kinds") / rows_each).cast("int").alias("parts")
-    lists = open_rows.groupBy("doc_id").agg(F.collect_list(F.struct("gram", parts, "place", "n")).alias("rows"))
-    shown = few(own, "doc_id", lists, "doc_id").join(lists, "doc_id").mapInArrow(pieces(span), PIECE)
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", "place"), F.col("parts"))).otherwise(0)
-    dealt = shown.withColumn("shard", F.pmod(F.xxhash64("gram", part), F.lit(shards)))
+    sizes = routed.groupBy("route").agg(F.ceil(F.count("*") / rows_each).cast("int").alias("parts"))
+    sharded = routed.join(sizes, "route").withColumn("shard", F.pmod(F.xxhash64("route", F.pmod(F.xxhash64("doc_id"), F.col("parts"))), F.lit(shards)).cast("int"))
+    spread = sharded.groupBy("gram").agg((F.min("shard") < F.max("shard")).alias("spread"))
+    shown = sharded.join(spread, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("place", "n", "shard", "spread")).alias("rows"))
+    dealt = few(own, "doc_id", shown, "doc_id").join(shown, "doc_id").mapInArrow(pieces(span), PIECE)
     found = cut(dealt.groupBy("shard").applyInArrow(shard(span, min(shards, 1 << 16)), FOUND), folder, "found")
     met = found.filter("bucket >= 0").groupBy("bucket").applyInArrow(across, FOUND)
     return spans.unionByName(found.filter("bucket < 0").select("doc_id", "place", "n")).unionByName(met.select("doc_id", "place", "n"))
@@ -365,7 +398,7 @@ def remove_repeats(docs: DataFrame, span: int = 400, gram: int | None = None, ro
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spans = repeated_spans(own, folder, span, gram, rows_each, shard_bytes)
     spans = cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("spans")), folder, "spans")
-    for name in ("rows", "told", "found"):
+    for name in ("rows", "told", "routed", "found"):
         delete(spark, f"{folder}/{name}")
     return own.join(spans, "doc_id", "left").mapInArrow(without(span), KEPT)
 
