@@ -40,7 +40,7 @@ SWAP = {w: line[(i + 1) % len(line)] for line in IDENTITY_TERMS for i, w in enum
 #: Words whose weights a worker remembers.
 CACHE = 300_000
 #: Counters of the first selection of features.
-BINS = 1 << 22
+BINS = 1 << 20
 
 
 def features_of(word: str) -> list[int]:
@@ -118,16 +118,17 @@ def significant(rows: list[np.ndarray], y: np.ndarray, least_rows: int, least_z:
     """Features whose share of toxic and clean rows differs by ``least_z`` standard errors."""
     n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
 
-    def chosen(c1: np.ndarray, c: np.ndarray) -> np.ndarray:
+    def chosen(c1: np.ndarray, c: np.ndarray, share: float = 1.0) -> np.ndarray:
         p1, p0, p = c1 / n1, (c - c1) / n0, c / len(y)
         z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-        return (c >= least_rows) & (np.abs(z) >= least_z)
+        return (c >= least_rows) & (np.abs(z) >= share * least_z)
 
     # first by the hash's lower bits, in arrays of fixed size, then exactly for what is left
     low, counts = np.uint32(BINS - 1), np.zeros((2, BINS), np.int32)
     for x, label in zip(rows, y):
         counts[int(label), np.unique(x & low)] += 1
-    likely = chosen(counts[1].astype(float), counts.sum(0).astype(float))
+    step = 1 << 16  # temporaries of a stretch at a time
+    likely = np.concatenate([chosen(c[1].astype(float), c.sum(0).astype(float), 0.7) for c in (counts[:, i : i + step] for i in range(0, BINS, step))])
     left = [np.unique(x[likely[x & low]]) for x in rows]
     f, where = np.unique(np.concatenate(left), return_inverse=True)
     c1 = np.bincount(where, np.repeat(y, [len(x) for x in left]), len(f))
@@ -167,7 +168,7 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], swapped: list[np.ndarray], c
     return Model(float(b), {int(f): float(c) for f, c in zip(chosen, w) if c})
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: int = 8000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 6000) -> Model:
     """A model of the rows in ``docs`` that ``labels`` marks; both have doc_id."""
     marked = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # in doubt, toxic
     order = F.xxhash64("doc_id")
@@ -181,8 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean:
     got = got.sort_values(["label", "near", "x"]).drop_duplicates(["label", "near"])
     if not len(got):
         return Model()
-    take = lambda name: [np.frombuffer(x, np.uint32) for x in got[name]]
-    return fit(got["label"].to_numpy(), take("x"), take("swapped"))
+    labels, rows, swapped = got["label"].to_numpy(), *([np.frombuffer(x, np.uint32) for x in got[name]] for name in ("x", "swapped"))
+    del got
+    return fit(labels, rows, swapped)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
