@@ -13,7 +13,7 @@ def source_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """path and content of the text files below ``root`` that the rules keep."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     kept = files.filter((F.col("length") <= LARGEST) & ~skipped_path(F.col("path")))
-    out = kept.select("path", F.decode("content", F.lit("UTF-8")).alias("content"))
+    out = kept.select("path", F.decode("content", "UTF-8").alias("content"))
     return out.filter(~minified(F.col("path"), F.col("content")))
 
 
