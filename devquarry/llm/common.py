@@ -134,7 +134,7 @@ def joined(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b" ".join([data[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 22):
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20):
     """Consecutive rows of a batch, each slice of about ``most`` bytes in ``column`` at most, or of one longer row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     begin, held = 0, 0

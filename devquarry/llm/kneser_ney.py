@@ -128,7 +128,7 @@ def grams(order: int, shards: int):
             return rows(dealt(0, "words", [streams[-1]], [ones], shards) + dealt(order, "grams", streams, [ones], shards))
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=1 << 22):
                 stream, first = tokens(part)
                 held.append((stream, [history(stream, first, b) for b in range(order - 1, 0, -1)] + [stream]))
                 n += len(stream)
@@ -313,7 +313,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         arrays = Arrays(model)
         base = model.n_tokens + 0.5 * (model.n_types + 1)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=1 << 22):
                 stream, first = tokens(part)
                 columns = [history(stream, first, b) for b in range(model.order - 1, 0, -1)] + [stream]
                 count = arrays.find("words", 0, stream, "counts")
