@@ -709,7 +709,7 @@ def search_third_lane(t):
 
 @query()
 def search_routing(t):
-    return retrieval.route(vectors(t).filter("vec_id < 20"), "vec_id", "vec", first_vector(t), top=5)
+    return retrieval.route(vectors(t), "vec_id", "vec", first_vector(t), top=5)
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

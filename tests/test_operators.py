@@ -2,8 +2,10 @@
 
 import json
 
+import numpy as np
 import pandas as pd
 
+from devquarry import queries
 from devquarry.functions import text
 from devquarry.operators import graph, memory, ranges
 from devquarry.sources import files
@@ -76,3 +78,14 @@ def test_changes_are_applied_by_key(spark, tmp_path):
     pd.DataFrame([{"id": 2, "content": "", "at": 3, "removed": True}]).to_json(source / "1.json", orient="records", lines=True)
     run()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/v=1")).select("id", "content").collect())) == [(1, "c")]
+
+
+def test_routing_sees_every_vector(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    m = np.array([r.embedding for r in rows], float)
+    asked = m[[r.vec_id for r in rows].index(0)]
+    cos = np.maximum(m @ asked / np.linalg.norm(m, axis=1) / np.linalg.norm(asked), 0)
+    wanted = sorted((-round(c, 9), r.vec_id) for c, r in zip(cos, rows))[:5]
+    found = [(-round(r.weight, 9), r.vec_id) for r in queries.QUERIES["search_routing"](spark, sf).collect()]
+    assert found == wanted and any(i >= 20 for _, i in found)
