@@ -36,8 +36,9 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("src", "callee", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("near")).alias("dst"))
 
 
-def tests_of_same(calls: DataFrame, most: int = 1000) -> DataFrame:
-    """Both directions of pairs that call one callee; callees with over ``most`` callers are left to ``degrees``."""
-    few = calls.groupBy("callee").agg(F.countDistinct("src").alias("n")).filter(F.col("n") <= most).select("callee")
-    own = calls.join(few, "callee").select("src", "callee").distinct()
-    return own.join(own.withColumnRenamed("src", "dst"), "callee").filter("src <> dst").select("src", "dst").distinct()
+def tests_of_same(calls: DataFrame, salts: int = 16) -> DataFrame:
+    """Both directions of all pairs that call one callee. Pairs are dealt by callee and a salt of ``src``, so a large callee is ``salts`` tasks' work."""
+    own = calls.select("src", "callee").filter("src is not null").distinct()
+    left = own.withColumn("salt", F.pmod(F.xxhash64("src"), F.lit(salts)))
+    right = own.select(F.col("src").alias("dst"), "callee", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    return left.join(right, ["callee", "salt"]).filter("src <> dst").select("src", "dst").distinct()

@@ -7,7 +7,7 @@ import pandas as pd
 
 from devquarry import queries
 from devquarry.functions import text
-from devquarry.operators import graph, memory, ranges
+from devquarry.operators import chunking, graph, memory, ranges
 from devquarry.sources import files
 from devquarry.streaming import upsert
 from pyspark.sql import functions as F
@@ -89,3 +89,11 @@ def test_routing_sees_every_vector(spark):
     wanted = sorted((-round(c, 9), r.vec_id) for c, r in zip(cos, rows))[:5]
     found = [(-round(r.weight, 9), r.vec_id) for r in queries.QUERIES["search_routing"](spark, sf).collect()]
     assert found == wanted and any(i >= 20 for _, i in found)
+
+
+def test_pairs_of_a_large_callee_are_kept(spark):
+    calls = spark.range(1100).select(F.col("id").alias("src"), F.lit(7).alias("callee"))
+    few = spark.createDataFrame([(1, 8), (2, 8), (2, 8), (5000, 9), (None, 8)], "src long, callee int")
+    found = chunking.tests_of_same(calls.union(few))
+    assert found.count() == found.distinct().count() == 1100 * 1099
+    assert sorted(map(tuple, chunking.tests_of_same(few).collect())) == [(1, 2), (2, 1)]
