@@ -33,8 +33,14 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else winkler(x, y) for x, y in zip(a, b)])
 
 
-def normalized(name):
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N} ]", " "), " +", " "))
+def local_part(email):
+    """What stands before the @ of an e-mail, in lower case; all of it without one."""
+    return F.lower(F.split(email, "@")[0])
+
+
+def normalized(text):
+    """Lower case, with ``.``, ``-`` and ``_`` as spaces and single spaces between words."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[._-]", " "), r"\s+", " "))
 
 
 def same_name_pairs(authors: DataFrame) -> DataFrame:
@@ -58,16 +64,29 @@ def near_emails(authors: DataFrame) -> DataFrame:
     return found.filter("edits between 1 and 2")
 
 
-def resolve(people: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:
-    """email, name and the known author by e-mail, then by name, then the most similar normalised name with the same first letter."""
+def resolve(people: DataFrame, known: DataFrame, least: float = 0.85, least_normalized: float = 0.82) -> DataFrame:
+    """email, name and the known author by e-mail, then by name, then by likeness.
+
+    Likeness is the larger of the names' and the e-mails', ``least`` or more; else that of normalised names and local
+    parts, each with each, ``least_normalized`` or more. Who is left meets every row of ``known``, a bounded list that
+    is broadcast. Equal scores go to the smallest author.
+    """
     by_mail = known.select(F.col("email"), F.col("author").alias("by_mail")).dropDuplicates(["email"])
     by_name = known.groupBy("name").agg(F.min("author").alias("by_name"))
     out = people.join(by_mail, "email", "left").join(by_name, "name", "left")
-    left = out.filter("by_mail is null and by_name is null").select("email", "name", normalized(F.col("name")).alias("n")).withColumn("letter", F.substring("n", 1, 1))
-    have = known.select("author", normalized(F.col("name")).alias("m")).distinct().withColumn("letter", F.substring("m", 1, 1))
-    near = left.join(have, "letter").withColumn("s", jaro_winkler("n", "m")).filter(F.col("s") >= least)
-    best = near.groupBy("email", "name").agg(F.max_by("author", F.struct("s", "m")).alias("by_like"))
-    return out.join(best, ["email", "name"], "left").select("email", "name", F.coalesce("by_mail", "by_name", "by_like", "name").alias("author"))
+    forms = lambda mark: [F.lower("name").alias(f"name_{mark}"), F.lower("email").alias(f"email_{mark}"), normalized(F.col("name")).alias(f"plain_{mark}"), normalized(local_part(F.col("email"))).alias(f"local_{mark}")]
+    left = out.filter("by_mail is null and by_name is null").select("email", "name", *forms("a")).distinct().repartition(int(people.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # by number, as small rows meet many
+    have = known.select("author", *forms("b")).distinct()
+    alike = lambda pairs: F.greatest(*[jaro_winkler(f"{a}_a", f"{b}_b") for a, b in pairs])
+    both = left.crossJoin(F.broadcast(have)).withColumn("raw", alike([("name", "name"), ("email", "email")]))
+    both = both.withColumns({f"{a}_a": F.when(F.coalesce("raw", F.lit(0.0)) < least, F.col(f"{a}_a")) for a in ("plain", "local")})
+    both = both.withColumn("plain", alike([("local", "plain"), ("local", "local"), ("plain", "plain"), ("plain", "local")]))
+    like = F.when(F.col("raw") >= least, F.struct(F.lit(2).alias("step"), F.col("raw").alias("s"))).when(F.col("plain") >= least_normalized, F.struct(F.lit(1).alias("step"), F.col("plain").alias("s")))
+    near = both.select("email", "name", "author", like.alias("like")).filter("like is not null")
+    best = near.groupBy("email", "name").agg(F.min_by("author", F.struct(-F.col("like.step"), -F.col("like.s"), "author")).alias("by_like"))
+    best = best.select(F.col("email").alias("own_email"), F.col("name").alias("own_name"), "by_like")
+    same = F.col("email").eqNullSafe(F.col("own_email")) & F.col("name").eqNullSafe(F.col("own_name"))
+    return out.join(best, same, "left").select("email", "name", F.coalesce("by_mail", "by_name", "by_like", "name").alias("author"))
 
 
 def greedy_clusters(items: DataFrame, key: str, tokens: str, group: str, least: float = 0.7) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 
 from devquarry import queries
 from devquarry.functions import text
-from devquarry.operators import chunking, graph, memory, ranges
+from devquarry.operators import chunking, graph, identity, memory, ranges
 from devquarry.sources import files
 from devquarry.streaming import upsert
 from pyspark.sql import functions as F
@@ -97,3 +97,11 @@ def test_pairs_of_a_large_callee_are_kept(spark):
     found = chunking.tests_of_same(calls.union(few))
     assert found.count() == found.distinct().count() == 1100 * 1099
     assert sorted(map(tuple, chunking.tests_of_same(few).collect())) == [(1, 2), (2, 1)]
+
+
+def test_identities_by_likeness(spark):
+    known = [("cj@corp.com", "Catherine Jones"), ("bm@corp.com", "Bob Matsuoka"), ("margaret.hamilton@corp.com", "M H")]
+    people = [("kj@y.net", "Katherine Jones"), ("bob.matsuoka@co.com", "Bob M"), ("margaret.hamiltom@corp.com", "root"), ("zz@q.io", "Wyx Quux"), (None, "Catherine-Jones")]
+    have = spark.createDataFrame([(e, n, n) for e, n in known], "email string, name string, author string")
+    found = {r.name: r.author for r in identity.resolve(spark.createDataFrame(people, "email string, name string"), have).collect()}
+    assert found == {"Katherine Jones": "Catherine Jones", "Bob M": "Bob Matsuoka", "root": "M H", "Wyx Quux": "Wyx Quux", "Catherine-Jones": "Catherine Jones"}
