@@ -51,16 +51,20 @@ def same_name_pairs(authors: DataFrame) -> DataFrame:
 
 
 def near_emails(authors: DataFrame) -> DataFrame:
-    """Pairs of e-mails of one domain whose local parts are one or two edits apart.
+    """Pairs of e-mails whose local parts are one or two edits apart, of one domain or of two of which one ends with the other.
 
-    Parts within two edits share one of three pieces at a near place, so candidates meet on pieces, not as all pairs.
+    Domains meet on their endings. Parts within two edits share one of three pieces at a near place, so candidates meet on pieces, not as all pairs.
     """
     part = authors.select("email", F.split("email", "@")[0].alias("local"), F.split("email", "@")[1].alias("domain")).distinct()
     third = F.greatest(F.floor(F.length("local") / 3), F.lit(1)).cast("int")
     grams = part.withColumn("n", third).withColumn("piece", F.explode(F.expr("array_distinct(flatten(transform(sequence(greatest(cast(floor((length(local) - 2) / 3) as int), 1), cast(floor((length(local) + 2) / 3) as int)), k -> transform(sequence(1, length(local) - k + 1), i -> substring(local, i, k)))))")))
-    a, b = grams.alias("a"), grams.alias("b")
-    pairs = a.join(b, (F.col("a.domain") == F.col("b.domain")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.email") < F.col("b.email")) & (F.abs(F.length("a.local") - F.length("b.local")) <= 2))
-    found = pairs.select(F.col("a.email").alias("first"), F.col("b.email").alias("second"), F.levenshtein(F.col("a.local"), F.col("b.local")).alias("edits")).distinct()
+    domains = part.filter("domain <> ''").select("domain").distinct()
+    endings = domains.select("domain", F.explode(F.expr("transform(sequence(1, length(domain)), i -> substring(domain, i))")).alias("ending"))
+    a = grams.join(endings.join(domains.select(F.col("domain").alias("ending")), "ending"), "domain").alias("a")
+    b = grams.alias("b")
+    once = (F.col("a.domain") != F.col("b.domain")) | (F.col("a.email") < F.col("b.email"))
+    pairs = a.join(b, (F.col("a.ending") == F.col("b.domain")) & (F.col("a.piece") == F.col("b.piece")) & once & (F.abs(F.length("a.local") - F.length("b.local")) <= 2))
+    found = pairs.select(F.least("a.email", "b.email").alias("first"), F.greatest("a.email", "b.email").alias("second"), F.levenshtein(F.col("a.local"), F.col("b.local")).alias("edits")).distinct()
     return found.filter("edits between 1 and 2")
 
 

@@ -105,3 +105,10 @@ def test_identities_by_likeness(spark):
     have = spark.createDataFrame([(e, n, n) for e, n in known], "email string, name string, author string")
     found = {r.name: r.author for r in identity.resolve(spark.createDataFrame(people, "email string, name string"), have).collect()}
     assert found == {"Katherine Jones": "Catherine Jones", "Bob M": "Bob Matsuoka", "root": "M H", "Wyx Quux": "Wyx Quux", "Catherine-Jones": "Catherine Jones"}
+
+
+def test_near_emails_of_related_domains(spark):
+    emails = ["alice1@co.com", "alice2@contractor.co.com", "alice3@other.org", "alicex@co.com", "alice4@xco.com", "bob@co.com"]
+    found = identity.near_emails(spark.createDataFrame([(e,) for e in emails], "email string"))
+    wanted = [("alice1@co.com", "alice2@contractor.co.com", 1), ("alice1@co.com", "alice4@xco.com", 1), ("alice1@co.com", "alicex@co.com", 1), ("alice2@contractor.co.com", "alicex@co.com", 1), ("alice4@xco.com", "alicex@co.com", 1)]
+    assert sorted(map(tuple, found.collect())) == wanted
