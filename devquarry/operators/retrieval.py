@@ -99,18 +99,29 @@ def expand(hits: DataFrame, edges: DataFrame, multiplier: Column) -> DataFrame:
     return reached.groupBy("id").agg(F.max("score").alias("score")).join(hits.select("id"), "id", "left_anti")
 
 
-def budget_cut(items: DataFrame, key: str, cost: str, score: str, budget: int) -> DataFrame:
-    """The items of a ranked list that fit a token budget: too large ones are skipped, the first always stays."""
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, key], ascending=[False, True])
-        used, kept = 0, []
-        for i, c in enumerate(pdf[cost]):
-            kept.append(i == 0 or used + c <= budget)
-            used += c if kept[-1] else 0
-        return pdf[kept]
-
-    return items.groupBy(F.lit(1).alias("one")).applyInPandas(cut, items.schema)
+def budget_cut(items: DataFrame, key: str, cost: str, score: str, budget: int, at_once: int = 10_000) -> DataFrame:
+    """The items of a ranked list that fit a token budget: too large ones are skipped, the first always stays. Keys are unique, costs 0 or more.
+
+    The driver walks the list range by range: each is the next ``at_once`` items of those that the rest of the budget still
+    holds, so no task sees the whole list. What costs nothing is kept without a walk.
+    """
+    fields = dict(items.dtypes)
+    walk = items.select(F.col(key).alias("k"), F.col(score).alias("s"), F.col(cost).alias("c"))
+    order = [F.desc_nulls_last("s"), F.asc("k")]
+    first = walk.orderBy(*order).limit(1).collect()
+    used, kept, last = sum(r.c for r in first), [r.k for r in first], first
+    while last and used < budget:
+        k, s = last[-1].k, last[-1].s
+        later = F.col("s").isNull() & (F.col("k") > F.lit(k)) if s is None else F.col("s").isNull() | (F.col("s") < F.lit(s)) | ((F.col("s") == F.lit(s)) & (F.col("k") > F.lit(k)))
+        last = walk.filter(later & (F.col("c") > 0) & (F.col("c") <= F.lit(budget - used))).orderBy(*order).limit(at_once).collect()
+        for r in last:
+            if used + r.c <= budget:
+                used += r.c
+                kept.append(r.k)
+    keys = items.sparkSession.createDataFrame([(k,) for k in kept], f"{key} {fields[key]}")
+    chosen = items.filter(F.col(cost) > 0) if used <= budget else items
+    chosen = chosen.join(F.broadcast(keys), key, "left_semi").select(*items.columns)
+    return chosen.unionByName(items.filter(F.col(cost) == 0)) if used <= budget else chosen
 
 
 def add_lane(fused: DataFrame, lane: DataFrame, key: str, weight: float) -> DataFrame:

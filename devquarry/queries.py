@@ -233,7 +233,7 @@ def search_hybrid(t):
 
 @query()
 def search_token_budget(t):
-    items = t("documents").select("doc_id", F.floor((F.length("text") + 80) / 4).cast("long").alias("cost"), F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "doc_id").limit(200)
+    items = t("documents").select("doc_id", F.floor((F.length("text") + 80) / 4).cast("long").alias("cost"), F.col("n_chars").cast("double").alias("score"))
     return retrieval.budget_cut(items, "doc_id", "cost", "score", 50000).select("doc_id", "cost")
 
 

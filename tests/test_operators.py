@@ -7,7 +7,7 @@ import pandas as pd
 
 from devquarry import queries
 from devquarry.functions import text
-from devquarry.operators import chunking, graph, identity, memory, ranges
+from devquarry.operators import chunking, graph, identity, memory, ranges, retrieval
 from devquarry.sources import files
 from devquarry.streaming import upsert
 from pyspark.sql import functions as F
@@ -112,3 +112,23 @@ def test_near_emails_of_related_domains(spark):
     found = identity.near_emails(spark.createDataFrame([(e,) for e in emails], "email string"))
     wanted = [("alice1@co.com", "alice2@contractor.co.com", 1), ("alice1@co.com", "alice4@xco.com", 1), ("alice1@co.com", "alicex@co.com", 1), ("alice2@contractor.co.com", "alicex@co.com", 1), ("alice4@xco.com", "alicex@co.com", 1)]
     assert sorted(map(tuple, found.collect())) == wanted
+
+
+def test_budget_cut_sees_the_whole_list(spark):
+    def fits(rows, budget):
+        used, kept = 0, []
+        for i, (k, c, _) in enumerate(rows):
+            if i == 0 or used + c <= budget:
+                used += c
+                kept.append(k)
+        return kept
+
+    rng = np.random.default_rng(1)
+    small = [(i, int(c), float(300 - i)) for i, c in enumerate(rng.integers(0, 400, 300))]
+    late = [(i, 400 - (i == 260), float(300 - i)) for i in range(300)]
+    for rows, budget in ((small, 5000), (late, 1199), (small, 1), ([(1, 9, 1.0), (2, 0, 0.5)], 5), ([], 5)):
+        found = retrieval.budget_cut(spark.createDataFrame(rows, "id long, cost long, score double"), "id", "cost", "score", budget, at_once=7)
+        assert sorted(r.id for r in found.collect()) == sorted(fits(rows, budget))
+    found = queries.QUERIES["search_token_budget"](spark, "/root/testdata/sf0.001").collect()
+    ranked = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "cast(floor((length(text) + 80) / 4) as long) as cost", "n_chars").orderBy(F.desc("n_chars"), "doc_id").collect()
+    assert sorted(r.doc_id for r in found) == sorted(fits(list(map(tuple, ranked)), 50000))
