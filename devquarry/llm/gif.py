@@ -347,11 +347,11 @@ GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, 1)
 
 
 def store(text: bytes) -> bytes:
-    """A file that holds the bytes, padded by zeros to a positive multiple of 64. Its code streams are literal: searching repeats takes Python a third of a microsecond a byte."""
+    """A file that holds the bytes, padded by zeros to a positive multiple of 64. Its code streams are full LZW."""
     padded = text + bytes(-len(text) % WIDTH or (0 if text else WIDTH))
     lines = np.frombuffer(padded, np.uint8).reshape(-1, WIDTH)
     parts = [lines[i : i + FRAME_ROWS] for i in range(0, len(lines), FRAME_ROWS)]
-    return encode(WIDTH, min(len(lines), FRAME_ROWS), [Frame(p, disposal=2) for p in parts], GREY, stream=literal)
+    return encode(WIDTH, min(len(lines), FRAME_ROWS), [Frame(p, disposal=2) for p in parts], GREY)
 
 
 def load(media: bytes) -> tuple[bytes, list[np.ndarray], int]:

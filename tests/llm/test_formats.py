@@ -108,3 +108,10 @@ def test_token_columns(spark, docs, texts, both):
     assert found == {i: [*both[1].encode(t or ""), 2] for i, t in texts}
     back = {r.doc_id: r.text for r in sentencepiece_bpe.decoded(ids, model).collect()}
     assert back == {i: both[1].decode(found[i]) for i, _ in texts}
+
+
+def test_stored_files_are_full_lzw():
+    text = b"one line and the same line " * 20000
+    media = gif.store(text)
+    assert len(media) < len(text) / 4
+    assert gif.load(media)[0][: len(text)] == text
