@@ -1,10 +1,13 @@
 """Optimal length buckets and token-budget batches.
 
-The lengths of all rows are counted into a histogram of bounded size, dynamic programming chooses the
-bucket boundaries of least padding, and rows of a bucket fill batches of at most ``budget`` padded tokens.
+The lengths of all rows are counted one by one, dynamic programming chooses the bucket boundaries of least
+padding, and rows of a bucket fill batches of at most ``budget`` padded tokens. The words of a text are counted
+once. The histogram goes to the driver: d distinct lengths take d * d / 2 words at least, so a corpus of w words
+has sqrt(2 * w) of them at most, 100,000 at 30 GB and 6 million (100 MB) at 100 TB.
 
 Tokens are words; null and empty texts have none and go to the first bucket. A text longer than the
-budget has a batch of its own. Equal lengths are dealt by hash; an empty table gives an empty result.
+budget has a batch of its own. Equal lengths are dealt by hash; repeated rows have a slot each, and rows
+without id are dealt like others. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,12 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import documents
+from .common import cut, documents, shared_dir
 
-#: Lengths below 1,024 are counted one by one, longer ones to 1/512 of their power of two, rounded up.
-EXACT = 1024
-#: Parts of a bucket that are numbered on their own.
-PARTS = 512
+#: Parts of a bucket that are numbered on their own: so many, or as many as leave ROWS rows to a part.
+PARTS, ROWS = 512, 1 << 17
 
 
 def n_words(text: Column) -> Column:
@@ -27,12 +28,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def unit_of(n: Column) -> Column:
-    """The length rounded up to its bin's upper end."""
-    step = F.expr("shiftleft(1L, greatest(cast(floor(log2(n_tokens)) as int) - 9, 0))")
-    return F.when(n < EXACT, n).otherwise(F.ceil(n / step) * step).cast("long")
-
-
 def boundaries(units: np.ndarray, counts: np.ndarray, most: int) -> list[int]:
     """Upper ends of at most ``most`` buckets that minimise the sum of (upper end - length) over all rows.
 
@@ -46,18 +41,22 @@ def boundaries(units: np.ndarray, counts: np.ndarray, most: int) -> list[int]:
     best = units * rows[1:]  # padded tokens of the first i + 1 bins in one bucket
     cuts = []
     for _ in range(1, min(most, n)):
-        new, cut = best.copy(), np.zeros(n, np.int64)
-        todo = [(1, n - 1, 0, n - 2)]
-        while todo:
-            low, high, first, last = todo.pop()
-            if low > high:
-                continue
+        new, cut = best.copy(), np.zeros(n, np.int32)
+        low, high, first, last = (np.array([x]) for x in (1, n - 1, 0, n - 2))
+        while len(low):  # all stretches of a depth at once: together they look at each bin about once
             mid = (low + high) // 2
-            j = np.arange(first, min(last, mid - 1) + 1)
-            cost = best[j] + units[mid] * (rows[mid + 1] - rows[j + 1])
-            at = int(np.argmin(cost))
-            new[mid], cut[mid] = cost[at], j[at]
-            todo += [(low, mid - 1, first, int(j[at])), (mid + 1, high, int(j[at]), last)]
+            size = np.minimum(last, mid - 1) - first + 1
+            begin = np.cumsum(size) - size
+            own = np.repeat(np.arange(len(mid)), size)
+            j = np.arange(len(own)) - begin[own] + first[own]
+            cost = best[j] + units[mid[own]] * (rows[mid[own] + 1] - rows[j + 1])
+            least = np.minimum.reduceat(cost, begin)
+            hits = np.flatnonzero(cost == least[own])
+            at = j[hits[np.searchsorted(hits, begin)]]  # the first of equals
+            new[mid], cut[mid] = least, at
+            halves = [np.concatenate(x) for x in ((low, mid + 1), (mid - 1, high), (first, at), (at, last))]
+            order = np.argsort(halves[0])
+            low, high, first, last = (x[order][(halves[0] <= halves[1])[order]] for x in halves)
         cuts.append(cut)
         best = new
     ends, i = [], n - 1
@@ -73,14 +72,16 @@ def boundaries(units: np.ndarray, counts: np.ndarray, most: int) -> list[int]:
 
 def pack(docs: DataFrame, buckets: int = 16, budget: int = 65536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, bucket, boundary, batch_id, slot and padding of every row."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("n_tokens")).withColumn("unit", unit_of(F.col("n_tokens")))
-    bins = sized.groupBy("unit").agg(F.count("*").alias("n")).orderBy("unit").toPandas()  # at most 1,024 + 512 for each power of two
-    ends = boundaries(bins["unit"].to_numpy(np.int64), bins["n"].to_numpy(np.int64), buckets) or [0]
+    sized = docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("n_tokens"))
+    sized = cut(sized, shared_dir(docs.sparkSession), "lengths")
+    bins = sized.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toPandas()
+    ends = boundaries(bins["n_tokens"].to_numpy(np.int64), bins["n"].to_numpy(np.int64), buckets) or [0]
+    n_parts = max(PARTS, int(bins["n"].sum()) // ROWS)
 
     literal = F.array(*[F.lit(e).cast("long") for e in ends])
-    bucket = F.size(F.filter(literal, lambda e: e < F.col("unit")))
+    bucket = F.size(F.filter(literal, lambda e: e < F.col("n_tokens")))
     placed = sized.withColumn("bucket", bucket).withColumn("boundary", F.get(literal, F.col("bucket")))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(PARTS)).cast("int"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(n_parts)).cast("int"))
     # numbers that go through a bucket: those of a part follow all of the parts before it
     parts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     before = parts.withColumn("before", F.sum("n").over(Window.partitionBy("bucket").orderBy("part")) - F.col("n")).drop("n")
