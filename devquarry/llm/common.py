@@ -49,6 +49,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def version(text):
+    """Tells apart the rows of one id: a 64-bit hash of the text, null as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def fold_remainder(doc_id, modulus: int):
     """crc32 of the id as decimal text, modulo ``modulus``."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))

@@ -37,7 +37,7 @@ def repeated_bitmap(sums: DataFrame) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
+    """doc_id, keep_id, group_size, kept, text_sha256 and fp, a 64-bit hash of the text, of every row."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("fp", F.xxhash64("text")).withColumn("place", F.expr(f"fp & {BITMAP_BITS - 1}L"))
     base = base.withColumn("word", F.expr("place >> 6"))
@@ -71,12 +71,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep = F.when(F.col("f.group_size").isNull(), F.col("b.doc_id")).otherwise(F.col("f.keep_id"))
     return joined.select(
         F.col("b.doc_id").alias("doc_id"), keep.alias("keep_id"), F.coalesce("f.group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.col("b.doc_id").eqNullSafe(keep).alias("kept"), F.col("b.text_sha256").alias("text_sha256"),
+        F.col("b.doc_id").eqNullSafe(keep).alias("kept"), F.col("b.text_sha256").alias("text_sha256"), F.col("b.fp").alias("fp"),
     )
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(documents(spark, sf_dir))
+    return exact_groups(documents(spark, sf_dir)).drop("fp")
 
 
 OP5_SQL = """

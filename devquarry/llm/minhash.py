@@ -12,8 +12,10 @@
    shingles leaves little but links. Candidates that both sketches allow are confirmed on the whole sets; links join components.
 
 A text with fewer words than ``width`` is one shingle; without words (or null) its set is empty, and it is
-linked with nothing. Repeated rows of an id are one document: the class of its first text by hash. Rows
-without id keep no class and stay. Bands miss a pair at similarity 0.8 with probability 3 in a million.
+linked with nothing. Each row is a document: rows that repeat an id with another text have the component of
+their own text, so a component always has a kept row, and rows that repeat id and text are alike. Rows without
+id keep no class and stay. An empty table gives an empty result. Bands have as many values as leave a pair at
+the threshold unseen with probability 4 in a million at most: five at 0.8.
 """
 
 from __future__ import annotations
@@ -23,15 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, shared_dir, slices
+from .common import MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, shared_dir, slices, version
 from .components import connected_components
 from .recompression import few
 
-BANDS, ROWS = 32, 5
-SAMPLES = BANDS * ROWS
+SAMPLES, MISS = 160, 4e-6
 #: Words, of 64 bits, of the odd sketch of the samples and of that of the whole set.
 SKETCH, WHOLE = 8, 16
-SHINGLES = f"doc_id long, n_shingles long, fp1 long, fp2 long, {', '.join(f's{i} long' for i in range(SKETCH))}, bands array<long>"
+#: Sets that more than one of HEAVY rows have, HEAVY at most, are told to all tasks.
+HEAVY = 1000
+SHINGLES = f"doc_id long, id long, ver long, n_shingles long, fp1 long, fp2 long, {', '.join(f's{i} long' for i in range(SKETCH))}, bands array<long>"
 
 
 def shingle_hashes(texts: Bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +65,13 @@ def sets_of(part: pa.RecordBatch, width: int) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def signatures(width: int):
-    """The columns of SHINGLES."""
+def band_rows(threshold: float) -> int:
+    """Values of a band: the most that miss a pair at the threshold with probability MISS at most."""
+    return max(r for r in range(1, SAMPLES + 1) if SAMPLES % r == 0 and (r == 1 or (1 - threshold**r) ** (SAMPLES // r) <= MISS))
+
+
+def signatures(width: int, band: int):
+    """The columns of SHINGLES; bands have ``band`` values each."""
     keys = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * STEP)
     odd = (keys << np.uint64(1)) | np.uint64(1)
 
@@ -81,13 +89,13 @@ def signatures(width: int):
                     own, places = flat[begin:end], at[lo : lo + 64] - begin
                     for k in range(SAMPLES):
                         values[lo : lo + 64, k] = np.minimum.reduceat((own ^ keys[k]) * odd[k], places)
-                bands = np.zeros((len(sets), BANDS), np.uint64)
+                bands = np.zeros((len(sets), SAMPLES // band), np.uint64)
                 sketch = np.zeros((len(sets), SKETCH), np.uint64)
                 fp = np.zeros((len(sets), 2), np.uint64)
                 if len(full):
-                    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(full), BANDS))
-                    for r in range(ROWS):
-                        h = mix(h * MIX_A + values[:, r::ROWS])
+                    h = np.broadcast_to(np.arange(1, bands.shape[1] + 1, dtype=np.uint64), (len(full), bands.shape[1]))
+                    for r in range(band):
+                        h = mix(h * MIX_A + values[:, r::band])
                     bands[full] = h
                     bit = mix(values + keys) % np.uint64(64 * SKETCH)
                     cells = np.bincount((np.arange(len(full))[:, None] * 64 * SKETCH + bit.astype(np.int64)).ravel(), minlength=len(full) * 64 * SKETCH) & 1
@@ -95,8 +103,8 @@ def signatures(width: int):
                     fp[full, 0] = np.add.reduceat(mix(flat), at)
                     fp[full, 1] = np.add.reduceat(mix(flat ^ STEP), at)
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(sizes.astype(np.int64)), as_long(fp[:, 0].copy()), as_long(fp[:, 1].copy()), *(as_long(sketch[:, i].copy()) for i in range(SKETCH)), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "fp1", "fp2", *(f"s{i}" for i in range(SKETCH)), "bands"],
+                    [*(part.column(c) for c in ("doc_id", "id", "ver")), pa.array(sizes.astype(np.int64)), as_long(fp[:, 0].copy()), as_long(fp[:, 1].copy()), *(as_long(sketch[:, i].copy()) for i in range(SKETCH)), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
+                    ["doc_id", "id", "ver", "n_shingles", "fp1", "fp2", *(f"s{i}" for i in range(SKETCH)), "bands"],
                 )
 
     return rows
@@ -124,16 +132,46 @@ def allowed(threshold: float):
     return " + ".join(f"bit_count(s{i} ^ t{i})" for i in range(SKETCH)) + f" <= {int(ones)}"
 
 
+def numbered(docs: DataFrame, folder: str) -> tuple[DataFrame, bool]:
+    """The rows (id, ver, text) with doc_id, a number of their own, and whether that is another than the id: only rows of a repeated id get a new one."""
+    again = docs.filter("id is not null").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    again = cut(again.select("id"), folder, "repeated")
+    if again.isEmpty():
+        return docs.withColumn("doc_id", F.col("id")), False
+    suspects = few(docs, "id", again, "id")
+    clear = few(docs, "id", again, "id", inside=False).withColumn("doc_id", F.col("id"))
+    top = docs.agg(F.max("id")).first()[0]
+    texts = suspects.join(again, "id", "left_semi").select("id", "ver").distinct()
+    texts = cut(texts.withColumn("new", F.monotonically_increasing_id() + F.lit(top) + 1), folder, "numbers")
+    told = suspects.join(texts, ["id", "ver"], "left").withColumn("doc_id", F.coalesce("new", "id")).select(*clear.columns)
+    return clear.unionByName(told), True
+
+
+def classes_of(keyed: DataFrame, folder: str) -> DataFrame:
+    """doc_id and rep, the least of the rows with an equal set. Only rows that share their set may move, and those of very frequent sets don't either."""
+    key = ["fp1", "fp2", "n_shingles"]
+    counted = cut(keyed.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).filter("k > 1"), folder, "classes")
+    least = keyed.count() // HEAVY
+    own = keyed.select("doc_id", *key)
+    suspects = few(own, "fp1", counted, "fp1")
+    heavy = F.broadcast(counted.filter(F.col("k") > least).select(*key, "rep"))  # fewer than HEAVY rows
+    light = counted.filter(F.col("k") <= least).select(*key, "rep")
+    out = few(own, "fp1", counted, "fp1", inside=False).select("doc_id", F.col("doc_id").alias("rep"))
+    out = out.unionByName(suspects.join(heavy, key).select("doc_id", "rep"))
+    out = out.unionByName(suspects.join(heavy, key, "left_anti").join(light, key, "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")))
+    return cut(out, folder, "members")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document; links have 100 * |A & B| >= percent * |A | B|."""
+    """doc_id, ver, n_shingles, component_id and kept of every row; links have 100 * |A & B| >= percent * |A | B|. ``ver`` tells apart texts of one id."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = cut(own.mapInArrow(signatures(width), SHINGLES), folder, "signatures")
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), version(F.col("text")).alias("ver"), F.col("text").cast("string").alias("text"))
+    own, renumbered = numbered(own, folder)
+    table = cut(own.mapInArrow(signatures(width, band_rows(percent / 100)), SHINGLES), folder, "signatures")
     keyed = table.filter("doc_id is not null and n_shingles > 0")
     # one row for each set; equal sets are linked without being compared
-    classes = keyed.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = cut(keyed.select("doc_id", "fp1", "fp2", "n_shingles").join(classes, ["fp1", "fp2", "n_shingles"]).groupBy("doc_id").agg(F.min("rep").alias("rep")), folder, "members")
+    members = classes_of(keyed.dropDuplicates(["doc_id"]) if renumbered else keyed, folder)
     reps = keyed.join(members.filter("doc_id = rep").select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
 
     banded = reps.select("doc_id", F.explode("bands").alias("band"))
@@ -190,14 +228,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component = placed(links, "components-3")
 
     classed = members.join(component.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    for name in ("buckets", "sets", "mixed", "components-1", "components-2", "links-1", "links-2", "links-12", "links-3", "sketches"):
+    for name in ("buckets", "sets", "mixed", "components-1", "components-2", "links-1", "links-2", "links-12", "links-3", "sketches", "classes"):
         delete(spark, f"{folder}/{name}")
-    result = table.select("doc_id", "n_shingles").join(classed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    result = table.select("doc_id", "id", "ver", "n_shingles").join(classed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    if renumbered:  # a component's name is its least id, not its least number
+        result = cut(result, folder, "result")
+        least = result.groupBy("component_id").agg(F.min("id").alias("least"))
+        result = result.join(least, "component_id", "left").withColumn("component_id", F.col("least"))
+    return result.select(F.col("id").alias("doc_id"), "ver", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+    return near_duplicates(documents(spark, sf_dir), width=2, percent=80).drop("ver")
 
 
 OP1_SQL = r"""

@@ -12,7 +12,9 @@ cover. Rows of equal symbol and hash show repeats as a whole. Where rows share t
 of repeats, their windows are compared one by one.
 
 Null, empty and shorter texts have no windows and keep all words. Documents without id keep all words and
-cause no removal. Rows that repeat an id must repeat its text. A window's identity is 128 bits.
+cause no removal. Rows that repeat an id are documents of their own, none of which precedes another: each
+loses what starts in a smaller id, whether their texts are equal or not. An empty table gives an empty
+result. A window's identity is 128 bits, and a row's its id and a 64-bit hash of its text.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX_A, MIX_B, STEP, Bytes, as_long, cut, delete, documents, joined, mix, powers, shared_dir, slices
+from .common import MIX_A, MIX_B, STEP, Bytes, as_long, cut, delete, documents, joined, mix, powers, shared_dir, slices, version
 
 #: More rounds give longer symbols, but fewer whole ones in a window of 50 words; at four they cover about three words.
 ROUNDS = 4
@@ -155,7 +157,7 @@ class Windows:
         return mix((self.sums[end] - self.sums[begin]) * self.back[begin] + (end - begin).astype(np.uint64) * MIX_A)
 
 
-ROW = "doc_id long, anchor long, content long, place int, n int"
+ROW = "doc_id long, ver long, anchor long, content long, place int, n int"
 
 
 def window_rows(words: np.ndarray, first: np.ndarray, span: int, rounds: int):
@@ -192,7 +194,8 @@ def sketch(span: int, rounds: int):
                 if not len(texts.starts):
                     continue
                 text, anchor, content, place, n = window_rows(texts.word_hashes(), texts.first, span, rounds)
-                yield pa.record_batch([part.column("doc_id").take(pa.array(text)), as_long(anchor), as_long(content), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "anchor", "content", "place", "n"])
+                own = pa.array(text)
+                yield pa.record_batch([part.column("doc_id").take(own), part.column("ver").take(own), as_long(anchor), as_long(content), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "ver", "anchor", "content", "place", "n"])
 
     return rows
 
@@ -214,7 +217,8 @@ def single_windows(span: int):
                 text = np.repeat(np.arange(part.num_rows), counts)
                 begin = np.repeat(place + texts.first[text], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 text = np.repeat(text, n)
-                yield pa.record_batch([part.column("doc_id").take(pa.array(text)), pa.array(np.repeat(anchor, n)), as_long(windows.of(begin, begin + span)), pa.array((begin - texts.first[text]).astype(np.int32))], ["doc_id", "anchor", "window", "place"])
+                own = pa.array(text)
+                yield pa.record_batch([part.column("doc_id").take(own), part.column("ver").take(own), pa.array(np.repeat(anchor, n)), as_long(windows.of(begin, begin + span)), pa.array((begin - texts.first[text]).astype(np.int32))], ["doc_id", "ver", "anchor", "window", "place"])
 
     return rows
 
@@ -231,8 +235,8 @@ def few(df: DataFrame, key: str, of: DataFrame, of_key: str, inside: bool = True
 
 
 def repeated_spans(docs: DataFrame, folder: str, span: int = 50, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, place and n: windows ``place`` to ``place`` + n - 1 of the document also start in one of smaller id."""
-    own = docs.filter("doc_id is not null").select("doc_id", "text")
+    """doc_id, ver, place and n: windows ``place`` to ``place`` + n - 1 of the row also start in one of smaller id."""
+    own = docs.filter("doc_id is not null").select("doc_id", "ver", "text")
     table = cut(own.mapInArrow(sketch(span, rounds), ROW), folder, "rows")
     again = table.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1")
     table = few(table, "anchor", again, "anchor")
@@ -240,12 +244,12 @@ def repeated_spans(docs: DataFrame, folder: str, span: int = 50, rounds: int = R
     symbol = whole.groupBy("anchor").agg(F.count("*").alias("kinds"))
     known = whole.join(symbol, "anchor").select("anchor", "content", "first", "kinds")
     told = cut(table.join(known, ["anchor", "content"]).filter("doc_id > first or kinds > 1"), folder, "told")
-    later = told.filter("doc_id > first").select("doc_id", "place", "n")
-    open_rows = told.filter("doc_id = first").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "n")).alias("rows"))
-    texts = few(own, "doc_id", open_rows, "doc_id").join(open_rows, "doc_id")
-    single = cut(texts.mapInArrow(single_windows(span), "doc_id long, anchor long, window long, place int"), folder, "windows")
+    later = told.filter("doc_id > first").select("doc_id", "ver", "place", "n")
+    open_rows = told.filter("doc_id = first").groupBy("doc_id", "ver").agg(F.collect_set(F.struct("anchor", "place", "n")).alias("rows"))
+    texts = few(own, "doc_id", open_rows, "doc_id").join(open_rows, ["doc_id", "ver"])
+    single = cut(texts.mapInArrow(single_windows(span), "doc_id long, ver long, anchor long, window long, place int"), folder, "windows")
     firsts = single.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    more = single.join(firsts, ["anchor", "window"]).filter("doc_id > first").select("doc_id", "place", F.lit(1).alias("n"))
+    more = single.join(firsts, ["anchor", "window"]).filter("doc_id > first").select("doc_id", "ver", "place", F.lit(1).alias("n"))
     return later.unionByName(more)
 
 
@@ -287,19 +291,20 @@ def remove_repeats(docs: DataFrame, span: int = 50, rounds: int = ROUNDS, carry:
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), version(F.col("text")).alias("ver"), F.col("text").cast("string").alias("text")]
     if carry:
         columns.append(F.struct(*carry).alias("carried"))
     own = docs.select(*columns)
-    spans = cut(repeated_spans(own, folder, span, rounds).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("spans")), folder, "spans")
+    # sets, as rows of equal id and text show each other's spans
+    spans = cut(repeated_spans(own, folder, span, rounds).groupBy("doc_id", "ver").agg(F.collect_set(F.struct("place", "n")).alias("spans")), folder, "spans")
     for name in ("rows", "told", "windows"):
         delete(spark, f"{folder}/{name}")
     names = [c.split()[0] for c in KEPT.split(", ")]
     schema = T.StructType([T.StructField(c.split()[0], T.StringType() if c.endswith("string") else T.LongType()) for c in KEPT.split(", ")])
     if carry is not None:
-        for c in own.columns[1:]:
+        for c in own.columns[2:]:
             schema, names = schema.add(own.schema[c]), [*names, c]
-    return own.join(spans, "doc_id", "left").mapInArrow(without(span, names), schema)
+    return own.join(spans, ["doc_id", "ver"], "left").mapInArrow(without(span, names), schema)
 
 
 def op2_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@
 3. Grams in several shards: each shard gives its distinct strings as a sorted array of 128-bit values, dealt
    by value; arrays meet pairwise by binary search.
 
-Bytes are those of UTF-8; null texts are empty. Texts shorter than ``span`` keep everything. Rows that repeat
-an id and its text repeat each other's strings, so both lose them; rows of one id must have one text.
+Bytes are those of UTF-8; null texts are empty. Texts shorter than ``span`` keep everything. Each row is a
+document, told apart by its id and a 64-bit hash of its text: rows of one id and different texts keep their own
+spans, and rows that repeat an id and its text repeat each other's strings, so both lose them. Rows without id
+keep everything and cause no removal. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, powers, shared_dir, slices
+from .common import MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, powers, shared_dir, slices, version
 from .recompression import BACK, few
 
 #: Bytes of a shard, rows of one route that go to one shard, and how many neighbours a route looks at on either side.
@@ -156,7 +158,7 @@ class Strings:
 
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * STEP)
 LOW = np.uint64((1 << 24) - 1)
-ROW = "doc_id long, gram long, content long, place int, n int"
+ROW = "doc_id long, ver long, gram long, content long, place int, n int"
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -200,19 +202,20 @@ def sketch(span: int, gram: int):
                 texts = Bytes(part.column("text"))
                 text, grams, content, place, n = string_rows(texts.data, texts.at, span, gram)
                 if len(text):
-                    yield pa.record_batch([part.column("doc_id").take(pa.array(text)), as_long(grams), as_long(content), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "gram", "content", "place", "n"])
+                    own = pa.array(text)
+                    yield pa.record_batch([part.column("doc_id").take(own), part.column("ver").take(own), as_long(grams), as_long(content), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "ver", "gram", "content", "place", "n"])
 
     return rows
 
 
-ROUTED = "doc_id long, gram long, place int, n int, route long"
+ROUTED = "doc_id long, ver long, gram long, place int, n int, route long"
 
 
 def routes(batches):
     """The open rows of each text with a route: the least gram of the row and its neighbours, so that alike stretches of texts go together."""
     for batch in batches:
         out = []
-        for doc, own in zip(batch.column("doc_id").to_pylist(), batch.column("rows").to_pylist()):
+        for doc, ver, own in zip(batch.column("doc_id").to_pylist(), batch.column("ver").to_pylist(), batch.column("rows").to_pylist()):
             own.sort(key=lambda r: r["place"])
             gram = np.array([r["gram"] for r in own])
             place, n = (np.array([r[k] for r in own]) for k in ("place", "n"))
@@ -223,12 +226,12 @@ def routes(batches):
                 same = stretch[by:] == stretch[:-by]
                 least[by:] = np.where(same, np.minimum(least[by:], value[:-by]), least[by:])
                 least[:-by] = np.where(same, np.minimum(least[:-by], value[by:]), least[:-by])
-            out.append((np.full(len(own), doc), gram, place, n, least.view(np.int64)))
+            out.append((np.full(len(own), doc), np.full(len(own), ver), gram, place, n, least.view(np.int64)))
         if out:
-            yield pa.record_batch([pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*out), (np.int64, np.int64, np.int32, np.int32, np.int64))], ["doc_id", "gram", "place", "n", "route"])
+            yield pa.record_batch([pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*out), (np.int64, np.int64, np.int64, np.int32, np.int32, np.int64))], ["doc_id", "ver", "gram", "place", "n", "route"])
 
 
-PIECE = "doc_id long, shard int, place int, spread binary, piece binary"
+PIECE = "doc_id long, ver long, shard int, place int, spread binary, piece binary"
 
 
 def pieces(span: int):
@@ -239,30 +242,30 @@ def pieces(span: int):
             for part in slices(batch):
                 texts = Bytes(part.column("text"))
                 data, out = texts.data.tobytes(), []
-                for i, (doc, own) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("rows").to_pylist())):
+                for i, (doc, ver, own) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "ver", "rows")))):
                     own.sort(key=lambda r: r["place"])
                     base, held = int(texts.at[i]), []
                     for r in [*own, None]:
                         if held and (r is None or r["shard"] != held[-1]["shard"] or r["place"] != held[-1]["place"] + held[-1]["n"]):
                             a, b = held[0]["place"], held[-1]["place"] + held[-1]["n"] - 1 + span
                             spread = np.array([(h["place"] - a, h["n"]) for h in held if h["spread"]], np.int32)
-                            out.append((doc, held[0]["shard"], a, spread.tobytes(), data[base + a : base + b]))
+                            out.append((doc, ver, held[0]["shard"], a, spread.tobytes(), data[base + a : base + b]))
                             held = []
                         held.append(r)
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["doc_id", "shard", "place", "spread", "piece"])
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["doc_id", "ver", "shard", "place", "spread", "piece"])
 
     return rows
 
 
-FOUND = "doc_id long, place int, n int, bucket int, strings binary"
+FOUND = "doc_id long, ver long, place int, n int, bucket int, strings binary"
 
 
-def found_rows(doc, place, n, bucket=(), strings=()) -> pa.Table:
+def found_rows(doc, ver, place, n, bucket=(), strings=()) -> pa.Table:
     k, m = len(doc), len(bucket)
     return pa.table([
-        pa.array(np.concatenate([np.asarray(doc, np.int64), np.zeros(m, np.int64)])), pa.array(np.concatenate([np.asarray(place, np.int32), np.zeros(m, np.int32)])),
+        pa.array(np.concatenate([np.asarray(doc, np.int64), np.zeros(m, np.int64)])), pa.array(np.concatenate([np.asarray(ver, np.int64), np.zeros(m, np.int64)])), pa.array(np.concatenate([np.asarray(place, np.int32), np.zeros(m, np.int32)])),
         pa.array(np.concatenate([np.asarray(n, np.int32), np.zeros(m, np.int32)])), pa.array(np.concatenate([np.full(k, -1, np.int32), np.asarray(bucket, np.int32)])), pa.array([None] * k + list(strings), pa.binary()),
-    ], ["doc_id", "place", "n", "bucket", "strings"])
+    ], ["doc_id", "ver", "place", "n", "bucket", "strings"])
 
 
 def runs_of(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,16 +278,17 @@ def shard(span: int, buckets: int):
     """A shard's repeats; and for grams in several shards their strings, sorted and each once, for each bucket of values (bucket >= 0)."""
 
     def repeats(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        docs = table.column("doc_id").to_numpy()
+        docs, vers = table.column("doc_id").to_numpy(), table.column("ver").to_numpy()
         places = table.column("place").to_numpy().astype(np.int64)
         spread = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in table.column("spread").to_pylist()]
         texts = table.column("piece").to_pylist()
-        where = (np.unique(docs, return_inverse=True)[1] << 32) + places
-        doc, place, n = [], [], []
-        first, second, source, spot = [], [], [], []
+        where = (np.unique(np.stack([docs, vers], 1), axis=0, return_inverse=True)[1].ravel() << 32) + places
+        doc, ver, place, n = [], [], [], []
+        first, second, source, other, spot = [], [], [], [], []
         for i, marks in enumerate(repeated_starts(texts, where, span)):
             begin, length = runs_of(marks)
             doc += [docs[i]] * len(begin)
+            ver += [vers[i]] * len(begin)
             place += (places[i] + begin).tolist()
             n += length.tolist()
             if len(spread[i]):  # those that repeat here too, as what other shards may have once
@@ -293,42 +297,46 @@ def shard(span: int, buckets: int):
                 first.append(Strings(bytes_).of(once, once + span))
                 second.append(Strings(bytes_ ^ 0x5A).of(once, once + span))
                 source.append(np.full(len(once), docs[i]))
+                other.append(np.full(len(once), vers[i]))
                 spot.append(places[i] + once)
         if not first:
-            return found_rows(doc, place, n)
-        columns = [np.concatenate(c) for c in (first, second, source, spot)]
+            return found_rows(doc, ver, place, n)
+        columns = [np.concatenate(c) for c in (first, second, source, other, spot)]
         order = np.unique(columns[0], return_index=True)[1]
         columns = [c[order].astype(np.uint64) for c in columns]
         ends = np.searchsorted((columns[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
         filled = np.flatnonzero(np.diff(ends))
-        return found_rows(doc, place, n, filled, [np.stack([c[ends[b] : ends[b + 1]] for c in columns]).tobytes() for b in filled])
+        return found_rows(doc, ver, place, n, filled, [np.stack([c[ends[b] : ends[b + 1]] for c in columns]).tobytes() for b in filled])
 
     return repeats
 
 
 def meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Two sorted arrays (value, check, document, place, mark) as one; equal strings of different places are marked. By binary search."""
-    low = np.searchsorted(a[0], b[0], "left")
-    hit = low < len(a[0])
-    hit[hit] = (a[0][low[hit]] == b[0][hit]) & (a[1][low[hit]] == b[1][hit]) & ((a[2][low[hit]] != b[2][hit]) | (a[3][low[hit]] != b[3][hit]))
-    b[4][hit] = 1
-    high = np.searchsorted(b[0], a[0], "left")
-    back = high < len(b[0])
-    back[back] = (b[0][high[back]] == a[0][back]) & (b[1][high[back]] == a[1][back]) & ((b[2][high[back]] != a[2][back]) | (b[3][high[back]] != a[3][back]))
-    a[4][back] = 1
-    return np.insert(a, low, b, axis=1)
+    """Two sorted arrays (value, check, id, version, place, mark) as one; equal strings of different places are marked. By binary search."""
+
+    def mark(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(x[0], y[0], "left")
+        hit = at < len(x[0])
+        there, here = x[:5, at[hit]], y[:5, hit]
+        hit[hit] = (there[:2] == here[:2]).all(0) & (there[2:] != here[2:]).any(0)
+        y[5][hit] = 1
+        return at
+
+    at = mark(a, b)
+    mark(b, a)
+    return np.insert(a, at, b, axis=1)
 
 
 def across(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """The strings of a bucket that several shards have."""
     arrays = []
     for x in table.column("strings").to_pylist():
-        a = np.frombuffer(x, np.uint64).reshape(4, -1)
+        a = np.frombuffer(x, np.uint64).reshape(5, -1)
         arrays.append(np.concatenate([a, np.zeros((1, a.shape[1]), np.uint64)]))
     while len(arrays) > 1:  # pairwise, so that each string is merged as often as the number of shards has bits
         arrays = [meet(arrays[i], arrays[i + 1]) if i + 1 < len(arrays) else arrays[i] for i in range(0, len(arrays), 2)]
-    own = arrays[0][:, arrays[0][4] > 0]
-    return found_rows(own[2].view(np.int64), own[3], np.ones(own.shape[1]))
+    own = arrays[0][:, arrays[0][5] > 0]
+    return found_rows(own[2].view(np.int64), own[3].view(np.int64), own[4], np.ones(own.shape[1]))
 
 
 def usual_gram(span: int) -> int:
@@ -337,8 +345,8 @@ def usual_gram(span: int) -> int:
 
 
 def repeated_spans(docs: DataFrame, folder: str, span: int = 400, gram: int | None = None, rows_each: int = ROWS, shard_bytes: int = SHARD) -> DataFrame:
-    """doc_id, place and n: strings ``place`` to ``place`` + n - 1 of the document also start elsewhere."""
-    own = docs.filter("doc_id is not null").select("doc_id", "text")
+    """doc_id, ver, place and n: strings ``place`` to ``place`` + n - 1 of the row also start elsewhere."""
+    own = docs.filter("doc_id is not null").select("doc_id", "ver", "text")
     gram = gram or usual_gram(span)
     table = cut(own.mapInArrow(sketch(span, gram), ROW), folder, "rows")
     again = table.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1")
@@ -347,20 +355,20 @@ def repeated_spans(docs: DataFrame, folder: str, span: int = 400, gram: int | No
     kinds = whole.groupBy("gram").agg(F.count("*").alias("kinds"))
     known = whole.join(kinds, "gram").filter("k > 1 or kinds > 1")
     told = cut(table.join(known, ["gram", "content"]), folder, "told")
-    spans = told.filter("k > 1").select("doc_id", "place", "n")
+    spans = told.filter("k > 1").select("doc_id", "ver", "place", "n")
     open_rows = told.filter("kinds > 1 and (k = 1 or doc_id = first)")
-    lists = open_rows.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "place", "n")).alias("rows"))
+    lists = open_rows.groupBy("doc_id", "ver").agg(F.collect_set(F.struct("gram", "place", "n")).alias("rows"))
     routed = cut(lists.mapInArrow(routes, ROUTED), folder, "routed")
     size = routed.agg(F.sum(F.col("n") * 2 + 1)).first()[0] or 0
     shards = max(1, -(-int(size) // shard_bytes))
     sizes = routed.groupBy("route").agg(F.ceil(F.count("*") / rows_each).cast("int").alias("parts"))
-    sharded = routed.join(sizes, "route").withColumn("shard", F.pmod(F.xxhash64("route", F.pmod(F.xxhash64("doc_id"), F.col("parts"))), F.lit(shards)).cast("int"))
+    sharded = routed.join(sizes, "route").withColumn("shard", F.pmod(F.xxhash64("route", F.pmod(F.xxhash64("doc_id", "ver"), F.col("parts"))), F.lit(shards)).cast("int"))
     spread = sharded.groupBy("gram").agg((F.min("shard") < F.max("shard")).alias("spread"))
-    shown = sharded.join(spread, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("place", "n", "shard", "spread")).alias("rows"))
-    dealt = few(own, "doc_id", shown, "doc_id").join(shown, "doc_id").mapInArrow(pieces(span), PIECE)
+    shown = sharded.join(spread, "gram").groupBy("doc_id", "ver").agg(F.collect_list(F.struct("place", "n", "shard", "spread")).alias("rows"))
+    dealt = few(own, "doc_id", shown, "doc_id").join(shown, ["doc_id", "ver"]).mapInArrow(pieces(span), PIECE)
     found = cut(dealt.groupBy("shard").applyInArrow(shard(span, min(shards, 1 << 16)), FOUND), folder, "found")
     met = found.filter("bucket >= 0").groupBy("bucket").applyInArrow(across, FOUND)
-    return spans.unionByName(found.filter("bucket < 0").select("doc_id", "place", "n")).unionByName(met.select("doc_id", "place", "n"))
+    return spans.unionByName(found.filter("bucket < 0").select(*spans.columns)).unionByName(met.select(*spans.columns))
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -395,12 +403,12 @@ def remove_repeats(docs: DataFrame, span: int = 400, gram: int | None = None, ro
     """The columns of KEPT for every row: the bytes that no repeated string covers."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version(F.col("text")).alias("ver"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spans = repeated_spans(own, folder, span, gram, rows_each, shard_bytes)
-    spans = cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("spans")), folder, "spans")
+    spans = cut(spans.groupBy("doc_id", "ver").agg(F.collect_set(F.struct("place", "n")).alias("spans")), folder, "spans")
     for name in ("rows", "told", "routed", "found"):
         delete(spark, f"{folder}/{name}")
-    return own.join(spans, "doc_id", "left").mapInArrow(without(span), KEPT)
+    return own.join(spans, ["doc_id", "ver"], "left").mapInArrow(without(span), KEPT)
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
