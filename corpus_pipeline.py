@@ -2,7 +2,8 @@
 
 Every stage reads all rows that the stage before kept; all but the last return the columns of documents.
 Nulls and empty texts pass all stages. Rows that repeat an id leave exact deduplication as one if their
-texts are equal; the later stages take ids as unique. Further columns go along as far as the last stage.
+texts are equal; those of different texts are documents of their own in every stage. Further columns go
+along as far as the last stage. An empty table leaves every stage empty.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devquarry.llm.common import cut, documents, shared_dir
+from devquarry.llm.common import cut, documents, shared_dir, version
 from devquarry.llm.exact_dedup import exact_groups
 from devquarry.llm.minhash import near_duplicates
 from devquarry.llm.packing import pack
@@ -23,11 +24,13 @@ ORACLE_SQL = None
 
 
 def less(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among ``dropped``'s. Only rows that a bitmap can't clear are shuffled."""
+    """The rows whose doc_id and text are not among ``dropped``'s (doc_id, ver). Only rows that a bitmap can't clear are shuffled."""
     marked = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
     suspects = few(marked, "id", dropped, "doc_id").select("row.*")
     clear = few(marked, "id", dropped, "doc_id", inside=False).select("row.*")
-    return clear.unionByName(suspects.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns))
+    suspects = suspects.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), version(F.col("text")).alias("ver"))
+    gone = dropped.select(F.col("doc_id").alias("id"), "ver").distinct()
+    return clear.unionByName(suspects.join(gone, ["id", "ver"], "left_anti").select("row.*"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,15 +53,15 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         repeated = docs.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         docs = docs.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(repeated)
     folder = shared_dir(spark)
-    dropped = cut(exact_groups(docs).filter("not kept and doc_id is not null").select("doc_id"), folder, "dropped")
-    return less(docs, dropped)
+    dropped = exact_groups(docs).filter("not kept and doc_id is not null").select("doc_id", F.col("fp").alias("ver"))
+    return less(docs, cut(dropped, folder, "dropped"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class at a similarity of 0.8 on shingles of five words, the row with the smallest id."""
     folder = shared_dir(spark)
-    dropped = cut(near_duplicates(docs, width=5, percent=80).filter("not kept").select("doc_id"), folder, "dropped")
-    return less(docs, dropped)
+    dropped = near_duplicates(docs, width=5, percent=80).filter("not kept").select("doc_id", "ver")
+    return less(docs, cut(dropped, folder, "dropped"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
