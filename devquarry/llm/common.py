@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -16,6 +17,29 @@ MIX_A, MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 STEP = np.uint64(0x9E3779B97F4A7C13)
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, and of a row group that is written while texts pass.
+BATCH_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
+
+
+def give_back() -> None:
+    """From now on this process returns freed arrays of 256 KB or more at once, so that a reused worker keeps no peak of an earlier stage."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):  # glibc
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD, which otherwise grows to 32 MB
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
+give_back()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, as rows may be long; a smaller bound of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(64 << 20)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -34,7 +58,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, folder: str, name: str) -> DataFrame:
     """``df`` written below ``folder`` and read back: lineage ends here, and a lost executor costs nothing written."""
-    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    df.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
@@ -46,6 +70,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, shared_dir, slices, version
+from .common import MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, shared_dir, slices, small_batches, version
 from .components import connected_components
 from .recompression import few
 
@@ -165,6 +165,7 @@ def classes_of(keyed: DataFrame, folder: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, ver, n_shingles, component_id and kept of every row; links have 100 * |A & B| >= percent * |A | B|. ``ver`` tells apart texts of one id."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = shared_dir(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("id"), version(F.col("text")).alias("ver"), F.col("text").cast("string").alias("text"))
     own, renumbered = numbered(own, folder)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX_A, MIX_B, STEP, Bytes, as_long, cut, delete, documents, joined, mix, powers, shared_dir, slices, version
+from .common import MIX_A, MIX_B, STEP, Bytes, as_long, cut, delete, documents, joined, mix, powers, shared_dir, slices, small_batches, version
 
 #: More rounds give longer symbols, but fewer whole ones in a window of 50 words; at four they cover about three words.
 ROUNDS = 4
@@ -290,6 +290,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, rounds: int = ROUNDS, carry:
     With ``carry`` also the text as it was, and a struct ``carried`` of those columns, whatever their names.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = shared_dir(spark)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), version(F.col("text")).alias("ver"), F.col("text").cast("string").alias("text")]
     if carry:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, powers, shared_dir, slices, version
+from .common import MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, powers, shared_dir, slices, small_batches, version
 from .recompression import BACK, few
 
 #: Bytes of a shard, rows of one route that go to one shard, and how many neighbours a route looks at on either side.
@@ -402,6 +402,7 @@ def without(span: int):
 def remove_repeats(docs: DataFrame, span: int = 400, gram: int | None = None, rows_each: int = ROWS, shard_bytes: int = SHARD) -> DataFrame:
     """The columns of KEPT for every row: the bytes that no repeated string covers."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = shared_dir(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version(F.col("text")).alias("ver"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spans = repeated_spans(own, folder, span, gram, rows_each, shard_bytes)

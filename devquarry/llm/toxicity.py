@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold_remainder
+from .common import documents, fold_remainder, slices, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Identity terms by kind; a swap replaces each by the next of its line. Fixed values.
@@ -59,7 +60,7 @@ def hashed(words: set[str]) -> np.ndarray:
 
 def extract(batches):
     """label, near-copy key, features, and features after the swap (empty if nothing changes)."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         out = []
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             words = words_of(text)
@@ -172,6 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean:
     """A model of the rows in ``docs`` that ``labels`` marks; both have doc_id."""
     marked = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # in doubt, toxic
     order = F.xxhash64("doc_id")
+    small_batches(docs.sparkSession)
 
     def first(label: int, most: int) -> DataFrame:
         return marked.filter(F.col("toxic") == label).orderBy(order, "doc_id").limit(most)
@@ -193,13 +195,26 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches):
         own, cache = Model(bias, weights), {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             scores = [own.score(x, cache) for x in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.7) for s in scores], pa.int32())], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, score double, predicted int")
 
 
+def rejected(model: Model, least: float = 0.7):
+    """A column function: whether a text's score is ``least`` or more. Texts go to Python alone; rows stay with the JVM."""
+    bias, weights = model.bias, model.weights
+
+    @F.arrow_udf("boolean")
+    def over(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own, cache = Model(bias, weights), {}
+        for x in texts:
+            yield pa.array([own.score(t.as_py(), cache) >= least for t in x], pa.bool_())
+
+    return over
+
+
 def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     """A model learnt from the rows outside fold 1 of 3."""
     learn = labels.select("doc_id", "toxic").filter(fold_remainder(F.col("doc_id"), 3) != 1)
