@@ -8,16 +8,15 @@ along as far as the last stage. An empty table leaves every stage empty.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devquarry.llm.common import cut, documents, shared_dir, version
+from devquarry.llm.common import cut, documents, shared_dir, small_batches, version
 from devquarry.llm.exact_dedup import exact_groups
 from devquarry.llm.minhash import near_duplicates
 from devquarry.llm.packing import pack
 from devquarry.llm.recompression import few, remove_repeats
-from devquarry.llm.toxicity import Model, trained
+from devquarry.llm.toxicity import rejected, trained
 
 #: No SQL expresses the classifier, shingle classes and the optimal buckets; tests compare with brute force.
 ORACLE_SQL = None
@@ -35,15 +34,9 @@ def less(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier doesn't reject."""
+    small_batches(spark)
     model = trained(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bias, weights = model.bias, model.weights
-
-    def kept(batches):
-        own, cache = Model(bias, weights), {}
-        for batch in batches:
-            yield batch.filter(pa.array([own.score(x, cache) < 0.7 for x in batch.column("text").to_pylist()], pa.bool_()))
-
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.filter(~rejected(model)(F.col("text")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
