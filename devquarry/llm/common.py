@@ -22,12 +22,12 @@ BATCH_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
 
 
 def give_back() -> None:
-    """From now on this process returns freed arrays of 256 KB or more at once, so that a reused worker keeps no peak of an earlier stage."""
+    """From now on this process returns freed arrays of 16 MB or more, and what is free above 32 MB, at once, so that a reused worker keeps no peak of an earlier stage."""
     pa.set_memory_pool(pa.system_memory_pool())
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):  # glibc
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD, which otherwise grows to 32 MB
-        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 1 << 24)  # M_MMAP_THRESHOLD, which otherwise grows to 32 MB
+        libc.mallopt(-1, 1 << 25)  # M_TRIM_THRESHOLD
 
 
 give_back()
@@ -164,7 +164,7 @@ def joined(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b" ".join([data[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 18):
     """Consecutive rows of a batch, each slice of about ``most`` bytes in ``column`` at most, or of one longer row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     begin, held = 0, 0

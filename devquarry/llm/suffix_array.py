@@ -29,6 +29,8 @@ from .recompression import BACK, few
 
 #: Bytes of a shard, rows of one route that go to one shard, and how many neighbours a route looks at on either side.
 SHARD, ROWS, REACH = 1 << 20, 1 << 11, 4
+#: Tasks that shards are dealt to, at most: a shard's cost is not its bytes, so tasks are not merged by bytes.
+TASKS = 1 << 14
 
 
 # -- suffix arrays -----------------------------------------------------------------------------------------
@@ -48,31 +50,48 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for i in range(h):
         key = key << np.uint64(bits) | wide[i : i + n]
-    order = np.argsort(key)
-    fresh = np.ones(n, bool)
-    fresh[1:] = key[order[1:]] != key[order[:-1]]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]  # a group's rank is the place of its first
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    fresh = np.ones(n + 1, bool)
+    fresh[1:-1] = key[1:] != key[:-1]
+    heads = np.flatnonzero(fresh).astype(np.int32)
+    rank = np.full(n + h, -1, np.int32)  # past the end comes first
+    rank[order] = np.repeat(heads[:-1], np.diff(heads))  # a group's rank is the place of its first
     while h < depth:
-        heads = np.append(np.flatnonzero(fresh), n)
         sizes = np.diff(heads)
-        wide_groups = np.flatnonzero(sizes > 1)
-        if not len(wide_groups):
+        open_groups = sizes > 1
+        if not open_groups.any():
             break
-        at = np.repeat(heads[wide_groups], sizes[wide_groups])
-        at += np.arange(len(at)) - np.repeat(np.cumsum(sizes[wide_groups]) - sizes[wide_groups], sizes[wide_groups])
+        heads, sizes = heads[:-1][open_groups], sizes[open_groups]
+        if len(rank) < n + h:
+            rank = np.concatenate([rank[:n], np.full(h, -1, np.int32)])
+        # pairs are compared and swapped, larger groups are sorted
+        first = heads[sizes == 2]
+        left, right = order[first], order[first + 1]
+        low, high = rank[left + h], rank[right + h]
+        turn = np.flatnonzero(low > high)
+        order[first[turn]], order[first[turn] + 1] = right[turn], left[turn]
+        told = first[low != high]
+        heads, sizes = heads[sizes > 2], sizes[sizes > 2]
+        begin = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum(), dtype=np.int32) + np.repeat((heads - begin).astype(np.int32), sizes)
         own = order[at]
-        after = np.where(own + h < n, rank[np.minimum(own + h, n - 1)], -1)
-        refined = np.argsort(rank[own] * (n + 1) + after + 1)
+        after = rank[own + h]
+        refined = np.argsort(np.repeat(heads.astype(np.int64) << 32, sizes) + after)
         own, after = own[refined], after[refined]
         order[at] = own
-        same = rank[own[1:]] == rank[own[:-1]]
-        fresh[at[1:]] = ~(same & (after[1:] == after[:-1]))
-        fresh[at[0]] = True
-        starts = np.flatnonzero(fresh)
-        rank[own] = starts[np.searchsorted(starts, at, "right") - 1]
+        new = np.ones(len(at) + 1, bool)
+        new[1:-1] = after[1:] != after[:-1]
+        new[begin] = True
+        # ranks change once all groups have been compared
+        rank[order[told + 1]] = told + 1
+        starts = np.flatnonzero(new)
+        rank[own] = np.repeat(at[starts[:-1]], np.diff(starts))
+        fresh[told + 1] = True
+        fresh[at[starts[:-1]]] = True
+        heads = np.flatnonzero(fresh).astype(np.int32)
         h *= 2
-    return order, rank
+    return order, rank[:n]
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
@@ -365,7 +384,7 @@ def repeated_spans(docs: DataFrame, folder: str, span: int = 400, gram: int | No
     sharded = routed.join(sizes, "route").withColumn("shard", F.pmod(F.xxhash64("route", F.pmod(F.xxhash64("doc_id", "ver"), F.col("parts"))), F.lit(shards)).cast("int"))
     spread = sharded.groupBy("gram").agg((F.min("shard") < F.max("shard")).alias("spread"))
     shown = sharded.join(spread, "gram").groupBy("doc_id", "ver").agg(F.collect_list(F.struct("place", "n", "shard", "spread")).alias("rows"))
-    dealt = few(own, "doc_id", shown, "doc_id").join(shown, ["doc_id", "ver"]).mapInArrow(pieces(span), PIECE)
+    dealt = few(own, "doc_id", shown, "doc_id").join(shown, ["doc_id", "ver"]).mapInArrow(pieces(span), PIECE).repartition(min(shards, TASKS), "shard")
     found = cut(dealt.groupBy("shard").applyInArrow(shard(span, min(shards, 1 << 16)), FOUND), folder, "found")
     met = found.filter("bucket >= 0").groupBy("bucket").applyInArrow(across, FOUND)
     return spans.unionByName(found.filter("bucket < 0").select(*spans.columns)).unionByName(met.select(*spans.columns))
