@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Substrings that count as decisions, each on its own.
+#: Marks of documentation, anywhere in a text; substrings that count as decisions, each on its own.
+DOC_MARKS = ("///", "/**", '"""', "'''")
 DECISIONS = ("if ", "else if", "} else", "match ", "loop ", "while ", "for ", " && ", " || ", "? ")
 
 
@@ -43,11 +44,11 @@ def max_depth(text: Column) -> Column:
 
 def parameters(text: Column) -> Column:
     """The number of parameters of the first signature; markers are tried in order."""
-    after = F.when(text.contains("fn "), F.substring_index(text, "fn ", -1)).otherwise(F.lit(None).cast("string"))
+    after = F.lit(None).cast("string")
     for marker in ("fn ", "def ", "function "):
         spot = F.locate(marker, text)
         found = F.when(spot > 0, F.substring(text, spot, F.length(text)))
-        after = found if marker == "fn " else F.coalesce(after, found)
+        after = F.coalesce(after, found)
     inner = F.trim(F.regexp_extract(after, r"^[^(]*\(([^)]*)\)", 1))
     parts = F.filter(F.split(inner, ","), lambda p: F.trim(p) != "")
     return F.coalesce(F.when(inner.isin("", "self", "&self", "&mut self"), 0).otherwise(F.size(parts)), F.lit(0)).cast("long")
@@ -59,7 +60,7 @@ def grade(cyclomatic: Column) -> Column:
 
 def smells(text: Column) -> Column:
     """Names of the smells of a function's text, in fixed order."""
-    documented = text.rlike(r"(?m)^\s*(///|//!|/\*\*|\"\"\"|''')")
+    documented = F.exists(F.array(*map(F.lit, DOC_MARKS)), lambda m: F.contains(text, m))
     return F.array_compact(F.array(
         F.when(occurrences(text, "\n") > 50, "long_function"), F.when(max_depth(text) > 4, "deep_nesting"),
         F.when(parameters(text) > 5, "too_many_params"), F.when(~documented, "missing_docstring"),

@@ -87,12 +87,21 @@ def weekly_quality(commits: DataFrame) -> DataFrame:
 
 
 def percentile_thresholds(values: DataFrame, value: str, shares=(0.2, 0.4, 0.6, 0.8)) -> DataFrame:
-    """One row: the values of rank ceil(share n), null below five values. Ranks come from counts of equal values, so no window holds all rows."""
-    counts = values.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
-    wanted = upto.join(F.broadcast(total))
-    return wanted.agg(*[F.when(F.max("total") >= 5, F.min(F.when(F.col("upto") >= F.ceil(F.lit(s) * F.col("total")), F.col("v")))).alias(f"p{int(s * 100)}") for s in shares])
+    """One row: the values of rank ceil(share n), null below five values.
+
+    Values are counted, equal ones once, and split by 1,000 approximate quantiles into stretches whose counts place each
+    rank in one of them; only the stretches that hold a rank are sorted, each by itself, so no window holds all rows.
+    """
+    counts = values.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    cuts = counts.agg(F.percentile_approx("v", [i / 1000 for i in range(1, 1000)], 10000).alias("cuts"))
+    placed = counts.join(F.broadcast(cuts)).withColumn("stretch", F.when(F.size("cuts") > 0, F.size(F.filter("cuts", lambda c: c < F.col("v")))).otherwise(0)).drop("cuts")
+    sums = placed.groupBy("stretch").agg(F.sum("n").alias("own"))  # 1,000 rows at most
+    before = sums.withColumn("before", F.sum("own").over(Window.orderBy("stretch")) - F.col("own")).withColumn("total", F.sum("own").over(Window.partitionBy()))
+    asked = F.array(*[F.ceil(F.lit(s) * F.col("total")) for s in shares])
+    holding = before.filter(F.exists(asked, lambda r: (r > F.col("before")) & (r <= F.col("before") + F.col("own"))))
+    ranked = placed.join(F.broadcast(holding), "stretch").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("stretch").orderBy("v")))
+    hit = lambda s: (F.ceil(F.lit(s) * F.col("total")) > F.col("upto") - F.col("n")) & (F.ceil(F.lit(s) * F.col("total")) <= F.col("upto"))
+    return ranked.agg(*[F.max(F.when((F.col("total") >= 5) & hit(s), F.col("v"))).alias(f"p{int(s * 100)}") for s in shares])
 
 
 def commit_effort(files: DataFrame) -> DataFrame:

@@ -72,14 +72,21 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
 
 
 def louvain(edges: DataFrame, part: str | None = None, passes: int = 32) -> DataFrame:
-    """id and community by Louvain moves with unit weights, level by level. Each value of ``part`` is a graph of its own in one task."""
+    """id and community by Louvain moves, level by level; an edge has weight 1, so repeated pairs weigh as often as they occur.
+
+    Pairs are summed by Spark first. Moves go node by node, each on what the moves before left, so a graph is one task's
+    work, whose memory is that of its distinct pairs; each value of ``part`` is a graph of its own.
+    """
+    own = [part] if part else []
+    edges = edges.groupBy(*own, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
 
     def partition(pdf: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
-        pairs = {tuple(sorted(p)) for p in zip(np.searchsorted(names, pdf["src"]), np.searchsorted(names, pdf["dst"]), strict=True)}
         weights: dict[int, dict[int, float]] = {i: {} for i in range(len(names))}
-        for a, b in pairs:
-            weights[a][b] = weights[b][a] = 1.0
+        for a, b, w in zip(np.searchsorted(names, pdf["src"]).tolist(), np.searchsorted(names, pdf["dst"]).tolist(), pdf["weight"].tolist(), strict=True):
+            weights[a][b] = weights[a].get(b, 0.0) + w
+            if a != b:
+                weights[b][a] = weights[b].get(a, 0.0) + w
         belongs = np.arange(len(names))
         while True:
             community = {i: i for i in weights}

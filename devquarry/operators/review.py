@@ -6,15 +6,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Verdicts from mild to strict.
-VERDICTS = ("approve", "comment", "request_changes", "reject")
+#: Verdicts from mild to strict, then the one that stays; confidences up to which findings are advice, and from which they count.
+VERDICTS, UNKNOWN = ("APPROVE", "APPROVE*", "REQUEST_CHANGES", "BLOCK"), "UNKNOWN"
+ADVICE, COUNTS = 0.65, 0.80
 
 
-def verdict(model: Column, severity: Column, confidence: Column, least: float = 0.5) -> Column:
-    """The stricter of the model's verdict and the floor of the worst finding; comment where confidence is low."""
-    floor = F.when(severity == "critical", 3).when(severity == "high", 2).when(severity == "medium", 1).otherwise(0)
-    own = F.coalesce(F.array_position(F.array(*map(F.lit, VERDICTS)), model).cast("int") - 1, F.lit(0))
-    return F.when(confidence < least, "comment").otherwise(F.element_at(F.array(*map(F.lit, VERDICTS)), F.greatest(own, floor) + 1))
+def verdicts(reviews: DataFrame, findings: DataFrame, key: list[str]) -> DataFrame:
+    """key and verdict of each review (key, model): the stricter of the model's and the floor of its findings (key, effort, confidence).
+
+    A finding of high effort blocks, two of medium effort that count request changes, one approves with reservations. A
+    model that does not know stays so; if all findings are advice and none is of high effort, the review approves.
+    """
+    effort, counts = F.col("effort"), F.col("confidence") > COUNTS
+    per = findings.groupBy(*key).agg(F.max((effort == "high").cast("int")).alias("high"), F.sum(((effort == "medium") & counts).cast("int")).alias("medium"), F.max("confidence").alias("sure"))
+    joined = reviews.join(per, key, "left")
+    floor = F.when(F.col("high") == 1, 4).when(F.col("medium") >= 2, 3).when(F.col("medium") == 1, 2).otherwise(1)
+    ladder = F.array(*map(F.lit, VERDICTS))
+    own = F.greatest(F.array_position(ladder, F.col("model")).cast("int"), floor)
+    advice = (F.col("sure") <= ADVICE) & (F.col("high") == 0)
+    return joined.select(*key, F.when(F.col("model") == UNKNOWN, UNKNOWN).when(advice, VERDICTS[0]).otherwise(F.element_at(ladder, own)).alias("verdict"))
+
+
+#: Letter grades from best to worst with the verdict that each implies.
+GRADE_VERDICTS = {"A": "APPROVE", "B": "APPROVE", "C": "APPROVE*", "D": "REQUEST_CHANGES", "F": "BLOCK"}
 
 
 def stratified(items: DataFrame, key: str, category: str, effort: str, first: list[str], n: int) -> DataFrame:
@@ -39,21 +53,31 @@ def week_spans(first: Column, last: Column) -> Column:
 
 
 def daily_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Tokens and cost by day; prices (model, input, output) are for a million tokens."""
-    joined = usage.join(F.broadcast(prices.limit(1000)), "model", "left")  # a price list, bounded
+    """Tokens and cost by day; prices (model, input, output) are for a million tokens, those of a model that is listed twice by its dearest row. Usage is summed by day and model before it meets prices."""
+    used = usage.groupBy(F.to_date("ts").alias("day"), "model").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    price = prices.groupBy("model").agg(F.max("input").alias("input"), F.max("output").alias("output"))
     cost = (F.col("input_tokens") * F.coalesce("input", F.lit(0.0)) + F.col("output_tokens") * F.coalesce("output", F.lit(0.0))) / 1e6
-    return joined.groupBy(F.to_date("ts").alias("day")).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum(cost).alias("cost"))
+    return used.join(price, "model", "left").groupBy("day").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum(cost).alias("cost"))
 
 
 def claims(events: DataFrame, stale_hours: int) -> DataFrame:
-    """The claims that are granted: new ones, and those whose last is in progress but stale; never after completion."""
+    """The claims (state in_progress) that are granted, each key's in order of time.
+
+    The first is; a later one is if more than ``stale_hours`` have passed since the last that was granted, as a rejected
+    claim renews nothing; none is after a completion. Each grant depends on the one before, so a key's events are folded
+    in order; a key is one review of one commit.
+    """
     keys = ["owner", "repo", "pr", "sha"]
-    own = Window.partitionBy(*keys).orderBy("at")
-    before = F.lag(F.struct("state", "at")).over(own)
-    done = F.max((F.col("state") == "completed").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    marked = events.withColumn("before", before).withColumn("done", F.coalesce(done, F.lit(0)))
-    stale = (F.unix_timestamp("at") - F.unix_timestamp("before.at")) / 3600.0 > stale_hours
-    return marked.filter((F.col("done") == 0) & (F.col("before").isNull() | stale)).select(*events.columns)
+    others = [c for c in events.columns if c not in keys]
+    lists = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.unix_timestamp("at").alias("t"), (F.col("state") != "completed").alias("asks"), F.struct(*others).alias("row")))).alias("all"))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(False).alias("done"), F.expr("array()").cast(lists.schema["all"].dataType).alias("granted"))
+
+    def step(s: Column, e: Column) -> Column:
+        grant = e["asks"] & ~s["done"] & (s["last"].isNull() | (e["t"] - s["last"] > stale_hours * 3600))
+        return F.struct(F.when(grant, e["t"]).otherwise(s["last"]).alias("last"), (s["done"] | ~e["asks"]).alias("done"), F.when(grant, F.concat(s["granted"], F.array(e))).otherwise(s["granted"]).alias("granted"))
+
+    granted = lists.select(*keys, F.explode(F.aggregate("all", start, step)["granted"]).alias("e"))
+    return granted.select(*keys, "e.row.*").select(*events.columns)
 
 
 def merge_rules(rules: DataFrame) -> DataFrame:
@@ -95,15 +119,33 @@ def compress(turns: DataFrame, conversation: str, turn: str, cost: str, score: s
     return turns.groupBy(conversation).applyInPandas(keep, turns.schema)
 
 
-def extract_triples(notes: DataFrame) -> DataFrame:
-    """subject, predicate and object of notes (id, room, tags, content): tags, room, hashtags and sentences like "A uses B"."""
-    from ..functions.text import hashtags
-
-    subject = F.concat(F.lit("note:"), F.col("id").cast("string"))
-    verb = lambda pattern, name: F.when(F.col("content").rlike(pattern), F.struct(F.regexp_extract("content", pattern, 1).alias("s"), F.lit(name).alias("p"), F.regexp_extract("content", pattern, 2).alias("o")))
-    one = lambda p, o: F.struct(subject.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+#: Predicates and the phrases between their subject and object; what triples of notes carry; tags that exclude a note.
+PHRASES = (("is-a", (" is a ", " is an ")), ("works-at", (" works at ",)), ("uses", (" uses ", " using ")), ("depends-on", (" depends on ", " requires ")))
+AUTO_CONFIDENCE, AUTO_PROVENANCE = 0.6, "auto:remember"
+
+
+def extract_triples(notes: DataFrame, deny_tags: tuple[str, ...] = ()) -> DataFrame:
+    """subject, predicate, object, confidence and provenance of notes (id, room, tags, content).
+
+    Tags, rooms and hashtags are subjects of their own, so that one note may have several; of each predicate's phrases the
+    first in the list that occurs gives the words on its sides. A note with a denied tag gives nothing.
+    """
+    drawer, lower = F.concat(F.lit("drawer:"), F.col("id").cast("string")), F.lower("content")
+    triple = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    clean = F.filter(F.transform(F.coalesce("tags", F.expr("cast(array() as array<string>)")), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    marks = F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(r"#([A-Za-z0-9_-]+)"), F.lit(1)), F.lower))
+    word = lambda x: F.regexp_replace(x, r"[,.;:!?\"']+$", "")
+    found = []
+    for name, phrases in PHRASES:
+        at = F.coalesce(*[F.when(F.contains(lower, F.lit(p)), F.struct(F.locate(p, lower).alias("at"), F.lit(len(p)).alias("n"))) for p in phrases])
+        left = word(F.element_at(F.split(F.trim(F.substring(lower, F.lit(1), at["at"] - 1)), r"\s+"), -1))
+        right = word(F.split(F.trim(F.substring(lower, at["at"] + at["n"], F.length(lower))), r"\s+")[0])
+        found.append(F.when((left != "") & (right != ""), triple(left, name, right)))
+    room = F.trim("room")
     parts = F.concat(
-        F.transform(F.col("tags"), lambda x: one("has-tag", x)), F.array(one("in-room", F.col("room"))), F.transform(hashtags(F.col("content")), lambda x: one("mentions", x)),
-        F.array_compact(F.array(*[verb(rf"(?i)\b(\w+) {words} (\w+)\b", name) for words, name in (("uses", "uses"), ("depends on", "depends-on"), ("is an?", "is-a"), ("has", "has"))])),
+        F.transform(clean, lambda x: triple(F.concat(F.lit("tag:"), x), "tags", drawer)), F.array_compact(F.array(F.when(room != "", triple(F.concat(F.lit("room:"), room), "contains", drawer)))),
+        F.transform(F.coalesce(marks, F.expr("cast(array() as array<string>)")), lambda x: triple(F.concat(F.lit("topic:"), x), "mentioned-in", drawer)), F.array_compact(F.array(*found)),
     )
-    return notes.select(F.explode(F.array_distinct(parts)).alias("t")).select("t.s", "t.p", "t.o")
+    allowed = notes.filter(~F.arrays_overlap(clean, F.array(*map(F.lit, deny_tags)))) if deny_tags else notes
+    out = allowed.select(F.explode(F.array_distinct(parts)).alias("t"))
+    return out.select(F.col("t.s").alias("subject"), F.col("t.p").alias("predicate"), F.col("t.o").alias("object"), F.lit(AUTO_CONFIDENCE).alias("confidence"), F.lit(AUTO_PROVENANCE).alias("provenance"))

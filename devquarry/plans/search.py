@@ -1,37 +1,116 @@
-"""The hybrid search plan: intent, lanes, fusion."""
+"""The hybrid search plan: intent, lanes, fusion, score adjustments."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..functions import text as words
+from ..operators import index as postings
 from ..operators import retrieval
 
+#: What a document file keeps of a definition's score, what a definition of a sought name gains, the bounds of a branch's gain, and the score of a literal hit.
+DOC_KEEPS, NAME_GAINS, BRANCH_GAINS, LITERAL = 0.5, 2.0, (1.0, 3.0), 0.001
+DOC_FILES = "md mdx txt rst adoc".split()
+DEFINITIONS = "struct enum trait class interface type impl function method".split()
+
 
 @dataclass
 class SearchQuery:
     text: str
     top_k: int = 10
-    expand_graph: bool = False
+    mode: str = "code"
+    domain_terms: tuple[str, ...] = field(default=())
+
+
+def reason(vector: Column, lexical: Column, graph: Column | None = None, second: str = "vector") -> Column:
+    """Why a chunk was found, from the lanes that have it."""
+    by_graph = F.lit(False) if graph is None else F.coalesce(graph, F.lit(False))
+    v, b = F.coalesce(vector, F.lit(False)), F.coalesce(lexical, F.lit(False))
+    return F.when(v & b & by_graph, "hybrid+kg").when(v & b, "hybrid").when(v, second).when(b, "bm25").when(by_graph, "kg").otherwise("fallback:ripgrep")
 
 
-def hybrid(chunks: DataFrame, key: str, text: str, query: SearchQuery, vectors: DataFrame | None = None, embedded: list[float] | None = None) -> DataFrame:
-    """key, score and reason of the best chunks: lanes of 4 x top_k, weighted by the query's intent and fused by rank.
+def hybrid(code: postings.Index, other: postings.Index | DataFrame, query: SearchQuery, embedded: list[float] | None = None) -> DataFrame:
+    """key, score, reason and intent of the best chunks: lanes of 4 x top_k, weighted by the query's intent and fused by rank.
 
-    Without vectors the second lane counts terms with their repeats.
+    ``code`` indexes code tokens. The second lane is a table of vectors (key, vec), or an index of words whose repeats count.
+    The lane that a chunk comes from goes through the fusion, so no lane is read twice.
     """
-    name, alpha, beta, _ = words.intent(query.text)
-    terms = sorted({w.lower() for w in query.text.split()})
+    name, alpha, beta, _ = words.intent(query.text, query.domain_terms)
     want = 4 * query.top_k
-    lexical = retrieval.bm25(chunks, key, text, terms, want)
-    if vectors is not None and embedded is not None:
-        other = retrieval.vector_search(vectors, key, "vec", embedded, want)
-    else:
-        other = retrieval.bm25_true_tf(chunks, key, text, terms).filter("score > 0").orderBy(F.desc("score"), key).limit(want)
-    fused = retrieval.fuse([(other, alpha), (lexical, beta)], key, query.top_k)
-    marked = fused.join(lexical.select(key, F.lit(True).alias("a")), key, "left").join(other.select(key, F.lit(True).alias("b")), key, "left")
-    reason = F.when(F.col("a") & F.col("b"), "hybrid").when(F.col("b"), "vector" if vectors is not None else "terms").otherwise("bm25")
-    return marked.select(key, "score", reason.alias("reason"), F.lit(name).alias("intent")).orderBy(F.desc("score"), key)
+    lexical = postings.search(code, words.code_terms(query.text), want)
+    by_words = isinstance(other, postings.Index)
+    second = postings.search(other, words.chat_terms(query.text), want) if by_words else retrieval.vector_search(other, "key", "vec", embedded, want)
+    lanes = [retrieval.ranked(lane, "key").select("key", (F.lit(weight) / (retrieval.RRF + F.col("rank"))).alias("part"), F.lit(first).alias("first")) for lane, weight, first in ((second, alpha, True), (lexical, beta, False))]
+    fused = lanes[0].unionByName(lanes[1]).groupBy("key").agg(F.sum("part").alias("score"), F.bool_or("first").alias("a"), F.bool_or(~F.col("first")).alias("b"))
+    best = fused.orderBy(F.desc("score"), "key").limit(query.top_k)
+    return best.select("key", "score", reason(F.col("a"), F.col("b"), second="terms" if by_words else "vector").alias("reason"), F.lit(name).alias("intent"))
+
+
+def adjust(hits: DataFrame, query: str, mode: str = "code", branch: DataFrame | None = None, branch_gain: float = 1.5) -> DataFrame:
+    """Hits (key, score, file, chunk_type, name) with their final score, best first.
+
+    A document file loses half in a query for a definition, every file what the mode takes, a definition whose name
+    contains a word of the query is doubled, and files of the branch gain a factor from 1 to 3.
+    """
+    looks = words.intent(query)[0] == "definition"
+    factor = paths.mode_penalty(F.col("file"), mode)
+    if looks:
+        factor = factor * F.when(paths.extension(F.col("file")).isin(*DOC_FILES), DOC_KEEPS).otherwise(1.0)
+        tokens = [t for t in words.code_terms(query) if len(t) >= 2]
+        named = F.exists(F.array(*map(F.lit, tokens)), lambda t: F.contains(F.lower("name"), t)) if tokens else F.lit(False)
+        factor = factor * F.when(F.col("chunk_type").isin(*DEFINITIONS) & F.coalesce(named, F.lit(False)), NAME_GAINS).otherwise(1.0)
+    if branch is not None:
+        gain = min(max(branch_gain, BRANCH_GAINS[0]), BRANCH_GAINS[1])
+        own = branch.select("file", F.lit(gain).alias("gain")).distinct()
+        hits = hits.join(own, "file", "left")
+        factor = factor * F.coalesce("gain", F.lit(1.0))
+    return hits.withColumn("score", F.col("score") * factor).select("key", "file", "score").orderBy(F.desc("score"), "key")
+
+
+def entity_first(lane: DataFrame, entities: DataFrame, query: str) -> DataFrame:
+    """A lane (key, score) with the chunks of an entity that the one-word query names, ignoring case, before all others; the smallest key if there are several."""
+    word = query.strip().lower()
+    exact = entities.filter(F.lower("name") == word) if word and " " not in word and words.intent(query)[0] in ("definition", "unknown") else entities.limit(0)
+    top = lane.agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("top"))
+    first = exact.agg(F.min("key").alias("key")).filter("key is not null").join(F.broadcast(top)).select("key", (F.col("top") + 1.0).alias("score"))
+    return first.unionByName(lane.join(F.broadcast(first.select("key")), "key", "left_anti").select("key", "score"))
+
+
+def post_filter(hits: DataFrame, mode: str, exclude_archived: bool = False) -> DataFrame:
+    """Hits (key, score, file, content, chunk_type, age_days) without documentation strings and files of another mode, scaled by what archives keep."""
+    kind = paths.file_class(F.col("file"))
+    allowed = hits.filter("chunk_type <> 'docstring'")
+    allowed = allowed if mode == "all" else allowed.filter(kind.isin(mode, "other"))
+    keeps = paths.archive_multiplier(F.col("file"), F.col("content"), F.col("age_days"))
+    scaled = allowed.withColumn("keeps", keeps)
+    scaled = scaled.filter("keeps >= 0.7") if exclude_archived else scaled  # age alone is no archive
+    return scaled.withColumn("score", F.col("score") * F.col("keeps")).drop("keeps").orderBy(F.desc("score"), "key")
+
+
+def literal(chunks: DataFrame, key: str, text: str, query: str, want: int) -> DataFrame:
+    """key and a constant score of the first chunks that contain the query as it is."""
+    return chunks.filter(F.contains(F.col(text), F.lit(query))).select(F.col(key).alias("key"), F.lit(LITERAL).alias("score")).orderBy("key").limit(want)
+
+
+def grep_pattern(pattern: str, fixed: bool = False, word: bool = False, ignore_case: bool = False, multiline: bool = False) -> str:
+    """The regular expression of a grep request."""
+    import re
+
+    body = re.escape(pattern) if fixed else pattern
+    body = rf"\b(?:{body})\b" if word else body
+    return ("(?i)" if ignore_case else "") + ("(?s)" if multiline else "") + body
+
+
+def grep(files: DataFrame, pattern: str, invert: bool = False, glob: str | None = None, context: int = 0, most: int | None = None) -> DataFrame:
+    """path, line, text and context (lines before and after) of the lines that match, in order of path and line."""
+    kept = files.filter(F.col("path").rlike(paths.glob_regex(glob))) if glob else files
+    lines = kept.select("path", F.split("content", "\n").alias("all")).select("path", "all", F.posexplode("all").alias("i", "text"))
+    hit = F.col("text").rlike(pattern)
+    found = lines.filter(~hit if invert else hit)
+    around = F.slice("all", F.greatest(F.col("i") + 1 - context, F.lit(1)), F.least(F.col("i"), F.lit(context)) + 1 + context)
+    out = found.select("path", (F.col("i") + 1).cast("long").alias("line"), "text", F.array_join(around, "\n").alias("context")).orderBy("path", "line")
+    return out.limit(most) if most else out

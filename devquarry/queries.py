@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import reach_workers
 from .functions import code, scores, text
-from .operators import delivery, graph, memory, ranges, retrieval
+from .operators import delivery, graph, index, memory, ranges, retrieval
 from .plans import search
 from .sources import files
 
@@ -28,7 +28,7 @@ SHAPES = {
     "prs": """SELECT o_orderkey AS number, concat('dev', CAST(o_custkey % 40 AS STRING)) AS author, o_orderdate AS created_at,
         CASE WHEN o_orderstatus = 'F' THEN o_orderdate + (INTERVAL '1' HOUR) * CAST(o_orderkey % 900 AS INT) END AS merged_at FROM {orders}""",
     "edges": """SELECT DISTINCT l_suppkey AS src, l_partkey % 300 AS dst, CASE l_linenumber % 4 WHEN 0 THEN 'Implements' WHEN 1 THEN 'Writes' WHEN 2 THEN 'Calls' ELSE 'TestedBy' END AS kind
-        FROM {lineitem} WHERE l_orderkey % 50 = l_linenumber""",
+        FROM {lineitem}""",
     "drawers": """SELECT event_id AS id, user_id AS room, value / 1000.0 AS importance, ts AS created_at, event_id % 9 AS access_count, event_type AS kind,
         CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL '7' DAY END AS expires_at FROM {events}""",
     "triples": """SELECT concat('u', CAST(user_id AS STRING)) AS subject, event_type AS predicate, CAST(event_id % 13 AS STRING) AS object, event_id AS valid_from,
@@ -102,8 +102,8 @@ def code_smells(t):
 
 
 TOKENS_SQL = r"""list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(text, '[\p{L}\p{N}]+'), regexp_extract_all(camel, '[\p{L}\p{N}]+'),
-    regexp_extract_all(regexp_replace(regexp_replace(camel, '(\p{L})(\p{N})', '\1 \2', 'g'), '(\p{N})(\p{L})', '\1 \2', 'g'), '[\p{L}\p{N}]+')), lambda x: lower(x))))"""
-CAMEL_SQL = r"regexp_replace(regexp_replace(text, '(\p{Ll}|\p{N})(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g')"
+    regexp_extract_all(regexp_replace(regexp_replace(text, '(\p{L})([0-9])', '\1 \2', 'g'), '([0-9])(\p{L})', '\1 \2', 'g'), '[\p{L}\p{N}]+')), lambda x: lower(x))))"""
+CAMEL_SQL = r"regexp_replace(regexp_replace(text, '(\p{Ll}|[0-9])(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g')"
 DOC_TOKENS_SQL = f"tok AS (SELECT doc_id, {TOKENS_SQL} AS terms FROM (SELECT doc_id, text, {CAMEL_SQL} AS camel FROM documents))"
 
 
@@ -167,7 +167,7 @@ def search_corpus_statistics(t):
 
 @query(f"WITH {BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20")
 def search_bm25(t):
-    return retrieval.bm25(t("documents"), "doc_id", "text", TERMS, 20).withColumn("score", F.round("score", 6))
+    return index.search(indexed(t, "code"), TERMS, 20).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(r"""WITH tok AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: strlen(x) > 2) AS w FROM documents), st AS (SELECT count(*) AS n, greatest(avg(len(w)), 1) AS mean FROM tok),
@@ -178,6 +178,31 @@ def search_bm25_true_tf(t):
     return retrieval.bm25_true_tf(t("documents"), "doc_id", "text", TERMS).withColumn("score", F.round("score", 6))
 
 
+def lexical_lane(t) -> DataFrame:
+    return index.search(indexed(t, "code"), TERMS, 40).withColumnRenamed("key", "doc_id")
+
+
+@query(f"WITH {BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20")
+def search_bm25_scan(t):
+    return retrieval.bm25(t("documents"), "doc_id", "text", TERMS, 20).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {BM25_SQL} SELECT 7 AS doc_id, round(coalesce((SELECT score FROM bm WHERE doc_id = 7), 0), 6) AS score")
+def search_bm25_one(t):
+    score = index.score_one(indexed(t, "code"), TERMS, 7)
+    return t("documents").sparkSession.createDataFrame([(7, round(score, 6))], "doc_id int, score double")
+
+
+CHANGED_SQL = DOC_TOKENS_SQL.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN lang = 'fr' THEN 'the new thing' ELSE text END AS text FROM documents WHERE lang <> 'de')")
+
+
+@query(f"WITH {CHANGED_SQL}, st AS (SELECT count(*) AS n, greatest(avg(len(terms)), 1) AS mean FROM tok), df AS (SELECT u AS term, count(*) AS df FROM (SELECT unnest(terms) AS u FROM tok) GROUP BY u) SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(terms) / mean))), 6) AS score FROM tok, st, df WHERE df.term IN ('the', 'thing', 'ention') AND list_contains(terms, df.term) GROUP BY doc_id")
+def search_index_update(t):
+    d = t("documents").select("doc_id", "text", "lang")
+    changed = index.update(indexed(t, "code"), d.filter("lang = 'fr'").withColumn("text", F.lit("the new thing")), "doc_id", text.code_tokens(F.col("text")), d.filter("lang = 'de'").select("doc_id"))
+    return index.search(changed, TERMS).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 COS_SQL = "list_sum(list_transform(list_zip(vec, q), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(vec, lambda z: CAST(z AS DOUBLE) * z))) * sqrt(list_sum(list_transform(q, lambda z: CAST(z AS DOUBLE) * z))))"
 
 
@@ -213,7 +238,7 @@ LANES_SQL = f"""{BM25_SQL}, a AS (SELECT doc_id, row_number() OVER (ORDER BY sco
 
 @query(f"WITH {LANES_SQL} SELECT doc_id, round(sum(p), 9) AS score FROM (SELECT doc_id, 0.4 / (60 + r) AS p FROM a UNION ALL SELECT doc_id, 0.6 / (60 + r) FROM b) GROUP BY doc_id ORDER BY sum(p) DESC, doc_id LIMIT 20")
 def search_fusion(t):
-    a = retrieval.bm25(t("documents"), "doc_id", "text", TERMS, 40)
+    a = lexical_lane(t)
     b = t("documents").select("doc_id", F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "doc_id").limit(40)
     return retrieval.fuse([(a, 0.4), (b, 0.6)], "doc_id", 20).withColumn("score", F.round("score", 9))
 
@@ -226,9 +251,34 @@ def search_graph_expansion(t):
     return retrieval.expand(hits, e, graph.edge_multiplier(F.col("kind"))).withColumn("score", F.round("score", 9))
 
 
-@query()
+INDEXES: dict[tuple, index.Index] = {}
+
+
+def indexed(t, tokens: str) -> index.Index:
+    """The documents' index of code or chat tokens: built once for each state of the files, then kept in the shared folder."""
+    d = t("documents")
+    files_now = d.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_modification_time").alias("m"), F.col("_metadata.file_size").alias("s")).distinct()
+    state = files_now.agg(F.count("*"), F.sum(F.xxhash64("p", "m", "s").cast("decimal(38,0)"))).first()
+    key = (d.sparkSession.sparkContext.applicationId, tokens, *state)
+    if key not in INDEXES:
+        INDEXES[key] = index.build(d, "doc_id", {"code": text.code_tokens, "chat": text.chat_tokens}[tokens](F.col("text")))
+    return INDEXES[key]
+
+
+ASKED = "what is the thing ention"
+HYBRID_SQL = f"""{STATS_SQL}, a AS (SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(terms) / mean))) AS score
+    FROM tok, st, df WHERE df.term IN ('what', 'is', 'the', 'thing', 'ention') AND list_contains(terms, df.term) GROUP BY doc_id),
+    ct AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: strlen(x) > 2) AS w FROM documents), cs AS (SELECT count(*) AS n, greatest(avg(len(w)), 1) AS mean FROM ct),
+    cp AS (SELECT doc_id, len(w) AS l, term, len(list_filter(w, lambda x: x = term)) AS tf FROM ct, (SELECT unnest(['what', 'the', 'thing', 'ention']) AS term) WHERE list_contains(w, term)),
+    b AS (SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))) AS score FROM cp, cs, (SELECT term AS u, count(*) AS df FROM cp GROUP BY term) WHERE u = term GROUP BY doc_id),
+    f AS (SELECT doc_id, 0.8 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS p, 'b' AS lane FROM b QUALIFY row_number() OVER (ORDER BY score DESC, doc_id) <= 40
+    UNION ALL SELECT doc_id, 0.2 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)), 'a' FROM a QUALIFY row_number() OVER (ORDER BY score DESC, doc_id) <= 40)"""
+
+
+@query(f"WITH {HYBRID_SQL} SELECT doc_id, round(sum(p), 9) AS score, CASE WHEN count(*) = 2 THEN 'hybrid' WHEN min(lane) = 'b' THEN 'terms' ELSE 'bm25' END AS reason, 'conceptual' AS intent FROM f GROUP BY doc_id ORDER BY sum(p) DESC, doc_id LIMIT 10")
 def search_hybrid(t):
-    return search.hybrid(t("documents"), "doc_id", "text", search.SearchQuery("what is the thing ention", top_k=10))
+    found = search.hybrid(indexed(t, "code"), indexed(t, "chat"), search.SearchQuery(ASKED, top_k=10))
+    return found.select(F.col("key").alias("doc_id"), F.round("score", 9).alias("score"), "reason", "intent")
 
 
 @query()
@@ -261,9 +311,7 @@ def graph_components(t):
     e = t("edges")
     session = e.sparkSession.sparkContext
     if not session.getCheckpointDir():
-        import tempfile
-
-        session.setCheckpointDir(session.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+        session.setCheckpointDir(index.shared_folder(e.sparkSession))
     return graph.components(e.select("src", "dst"))
 
 
@@ -436,11 +484,11 @@ def memory_purge(t):
     return memory.purge_expired(t("drawers"), F.lit("2024-01-20").cast("timestamp_ntz")).select("id")
 
 
-@query("""WITH f AS (SELECT id, 1 AS layer, importance * 0.5 AS score FROM drawers ORDER BY importance DESC, id LIMIT 15), s AS (SELECT id, 2 AS layer, importance * 0.3 AS score FROM drawers WHERE id % 50 = 0)
+@query("""WITH f AS (SELECT id, 1 AS layer, importance * 0.5 AS score FROM drawers ORDER BY importance DESC, id LIMIT 15), s AS (SELECT id, 2 AS layer, importance * 0.3 AS score FROM drawers WHERE kind = 'purchase')
     SELECT id, layer, round(score, 6) AS score FROM (SELECT * FROM s UNION ALL SELECT * FROM f WHERE id NOT IN (SELECT id FROM s)) r ORDER BY r.score DESC, id LIMIT 10""", "drawers")
 def memory_recall(t):
     d = t("drawers")
-    return memory.recall(d, d.filter("id % 50 = 0").select("id", (F.col("importance") * 0.3).alias("score")), 10).withColumn("score", F.round("score", 6))
+    return memory.recall(d, d.filter("kind = 'purchase'").select("id", (F.col("importance") * 0.3).alias("score")), 10).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -451,24 +499,24 @@ def memory_query_hashes(t):
 # -- ranges and sets ---------------------------------------------------------------------------------------
 
 
-@query("WITH r AS (SELECT o_custkey % 20 AS file, o_orderkey % 4000 AS s, o_orderkey % 4000 + 60 AS e, o_orderkey AS chunk FROM orders WHERE o_orderkey % 40 = 1), p AS (SELECT user_id % 20 AS file, event_id % 4000 AS line, event_id FROM events) SELECT event_id, chunk FROM p JOIN r ON p.file = r.file AND line BETWEEN s AND e")
+@query("WITH r AS (SELECT o_custkey % 20 AS file, o_orderkey % 4000 AS s, o_orderkey % 4000 + 60 AS e, o_orderkey AS chunk FROM orders), p AS (SELECT user_id % 20 AS file, event_id % 4000 AS line, event_id FROM events) SELECT event_id, chunk FROM p JOIN r ON p.file = r.file AND line BETWEEN s AND e")
 def range_containment(t):
-    r = t("orders").filter("o_orderkey % 40 = 1").selectExpr("o_custkey % 20 as file", "o_orderkey % 4000 as s", "o_orderkey % 4000 + 60 as e", "o_orderkey as chunk")
+    r = t("orders").selectExpr("o_custkey % 20 as file", "o_orderkey % 4000 as s", "o_orderkey % 4000 + 60 as e", "o_orderkey as chunk")
     p = t("events").selectExpr("user_id % 20 as file", "event_id % 4000 as line", "event_id")
     return ranges.contained(p, r, "file", "line", "s", "e").select("event_id", "chunk")
 
 
-@query("""WITH r AS (SELECT o_custkey % 20 AS file, o_orderkey % 4000 AS s, o_orderkey % 4000 + 30 AS e, o_totalprice AS score FROM orders WHERE o_orderkey % 20 = 1), a AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY file ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM r),
+@query("""WITH r AS (SELECT o_custkey % 20 AS file, o_orderkey % 4000 AS s, o_orderkey % 4000 + 30 AS e, o_totalprice AS score FROM orders), a AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY file ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM r),
     b AS (SELECT *, sum(f) OVER (PARTITION BY file ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM a) SELECT file, min(s) AS s, max(e) AS e, max(score) AS score FROM b GROUP BY file, i""")
 def range_merge_overlaps(t):
-    r = t("orders").filter("o_orderkey % 20 = 1").selectExpr("o_custkey % 20 as file", "o_orderkey % 4000 as s", "o_orderkey % 4000 + 30 as e", "o_totalprice as score")
+    r = t("orders").selectExpr("o_custkey % 20 as file", "o_orderkey % 4000 as s", "o_orderkey % 4000 + 30 as e", "o_totalprice as score")
     return ranges.merge_overlaps(r, "file", "s", "e", "score")
 
 
-@query("WITH u AS (SELECT DISTINCT path FROM (SELECT concat('r/', source, '/', lang) AS path FROM documents UNION ALL SELECT concat('r/', source) FROM documents WHERE doc_id % 3 = 0)) SELECT a.path, arg_max(b.path, length(b.path)) AS parent FROM u a LEFT JOIN u b ON starts_with(a.path, concat(b.path, '/')) GROUP BY a.path")
+@query("WITH u AS (SELECT DISTINCT path FROM (SELECT concat('r/', source, '/', lang) AS path FROM documents UNION ALL SELECT concat('r/', source) FROM documents)) SELECT a.path, arg_max(b.path, length(b.path)) AS parent FROM u a LEFT JOIN u b ON starts_with(a.path, concat(b.path, '/')) GROUP BY a.path")
 def range_nearest_ancestor(t):
     d = t("documents")
-    return ranges.nearest_ancestor(d.select(F.concat_ws("/", F.lit("r"), "source", "lang").alias("path")).union(d.filter("doc_id % 3 = 0").select(F.concat_ws("/", F.lit("r"), "source"))))
+    return ranges.nearest_ancestor(d.select(F.concat_ws("/", F.lit("r"), "source", "lang").alias("path")).union(d.select(F.concat_ws("/", F.lit("r"), "source"))))
 
 
 @query("SELECT source, lang, min(doc_id) AS doc_id FROM documents GROUP BY source, lang")
@@ -571,9 +619,9 @@ def identity_same_names(t):
 MAIL_SQL = "concat(replace(c_name, 'Customer#', 'dev'), '@', c_mktsegment)"
 
 
-@query(f"WITH m AS (SELECT DISTINCT {MAIL_SQL} AS email, replace(c_name, 'Customer#', 'dev') AS l, c_mktsegment AS d FROM customer WHERE c_custkey <= 400) SELECT a.email AS first, b.email AS second, CAST(levenshtein(a.l, b.l) AS INT) AS edits FROM m a JOIN m b ON a.d = b.d AND a.email < b.email WHERE levenshtein(a.l, b.l) BETWEEN 1 AND 2")
+@query(f"WITH m AS (SELECT DISTINCT {MAIL_SQL} AS email, replace(c_name, 'Customer#', 'dev') AS l, c_mktsegment AS d FROM customer) SELECT a.email AS first, b.email AS second, CAST(levenshtein(a.l, b.l) AS INT) AS edits FROM m a JOIN m b ON a.d = b.d AND a.email < b.email WHERE levenshtein(a.l, b.l) BETWEEN 1 AND 2")
 def identity_near_emails(t):
-    a = t("customer").filter("c_custkey <= 400").select(F.concat(F.expr("replace(c_name, 'Customer#', 'dev')"), F.lit("@"), "c_mktsegment").alias("email"))
+    a = t("customer").select(F.concat(F.expr("replace(c_name, 'Customer#', 'dev')"), F.lit("@"), "c_mktsegment").alias("email"))
     return identity.near_emails(a)
 
 
@@ -602,15 +650,15 @@ def chunk_calls(t):
     return chunking.calls(t("documents"), "doc_id", "text")
 
 
-@query("WITH c AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS callee FROM lineitem WHERE l_orderkey % 10 = 1) SELECT DISTINCT a.src, b.src AS dst FROM c a JOIN c b USING (callee) WHERE a.src <> b.src")
+@query("WITH c AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS callee FROM lineitem) SELECT DISTINCT a.src, b.src AS dst FROM c a JOIN c b USING (callee) WHERE a.src <> b.src")
 def chunk_sibling_tests(t):
-    return chunking.tests_of_same(t("lineitem").filter("l_orderkey % 10 = 1").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("callee")))
+    return chunking.tests_of_same(t("lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("callee")))
 
 
 @query("""WITH n AS (SELECT p_partkey AS id, p_brand AS name, p_size AS file FROM part), u AS (SELECT name, count(*) AS k, min(id) AS sole FROM n GROUP BY name), f AS (SELECT file, name, min(id) AS near FROM n GROUP BY ALL)
-    SELECT l_orderkey * 10 + l_linenumber AS src, callee, CASE WHEN k = 1 THEN coalesce(sole, -1) ELSE coalesce(near, -1) END AS dst FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS file, concat('Brand#', CAST(l_suppkey % 60 AS STRING)) AS callee FROM lineitem WHERE l_orderkey % 10 = 1) c LEFT JOIN u ON u.name = callee LEFT JOIN f ON f.name = callee AND f.file = c.file""")
+    SELECT l_orderkey * 10 + l_linenumber AS src, callee, CASE WHEN k = 1 THEN coalesce(sole, -1) ELSE coalesce(near, -1) END AS dst FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS file, concat('Brand#', CAST(l_suppkey % 60 AS STRING)) AS callee FROM lineitem) c LEFT JOIN u ON u.name = callee LEFT JOIN f ON f.name = callee AND f.file = c.file""")
 def chunk_call_resolution(t):
-    c = t("lineitem").filter("l_orderkey % 10 = 1").selectExpr("l_orderkey * 10 + l_linenumber as src", "cast(l_quantity as int) as file", "concat('Brand#', cast(l_suppkey % 60 as string)) as callee")
+    c = t("lineitem").selectExpr("l_orderkey * 10 + l_linenumber as src", "cast(l_quantity as int) as file", "concat('Brand#', cast(l_suppkey % 60 as string)) as callee")
     return chunking.resolve_calls(c, t("part").selectExpr("p_partkey as id", "p_brand as name", "p_size as file")).fillna(-1, ["dst"])
 
 
@@ -620,11 +668,14 @@ from .operators import review  # noqa: E402
 from .streaming import windows  # noqa: E402
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 < 0.2 THEN 'comment' ELSE list_extract(['approve', 'comment', 'request_changes', 'reject'], greatest(l_linenumber % 3, CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 1 ELSE 0 END) + 1) END AS verdict FROM lineitem""")
+SHAPES["findings"] = """SELECT l_orderkey AS review, CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN 'high' WHEN l_returnflag = 'A' THEN 'medium' ELSE 'low' END AS effort, l_discount * 10 AS confidence FROM {lineitem}"""
+SHAPES["reviews"] = """SELECT o_orderkey AS review, CASE o_orderkey % 5 WHEN 0 THEN 'APPROVE' WHEN 1 THEN 'APPROVE*' WHEN 2 THEN 'REQUEST_CHANGES' WHEN 3 THEN 'UNKNOWN' ELSE 'BLOCK' END AS model FROM {orders}"""
+
+
+@query("""WITH f AS (SELECT review, max(CAST(effort = 'high' AS INT)) AS high, count(*) FILTER (effort = 'medium' AND confidence > 0.8) AS medium, max(confidence) AS sure FROM findings GROUP BY review), l AS (SELECT ['APPROVE', 'APPROVE*', 'REQUEST_CHANGES', 'BLOCK'] AS ladder)
+    SELECT r.review, CASE WHEN model = 'UNKNOWN' THEN 'UNKNOWN' WHEN sure <= 0.65 AND high = 0 THEN 'APPROVE' ELSE ladder[greatest(list_position(ladder, model), CASE WHEN high = 1 THEN 4 WHEN medium >= 2 THEN 3 WHEN medium = 1 THEN 2 ELSE 1 END)] END AS verdict FROM reviews r LEFT JOIN f USING (review), l""", "findings", "reviews")
 def review_verdicts(t):
-    model = F.element_at(F.array(*map(F.lit, review.VERDICTS)), F.col("l_linenumber") % 3 + 1)
-    severity = F.when(F.col("l_returnflag") == "R", "critical").when(F.col("l_returnflag") == "A", "medium").otherwise("low")
-    return t("lineitem").select("l_orderkey", "l_linenumber", review.verdict(model, severity, F.col("l_discount") * 10, 0.2).alias("verdict"))
+    return review.verdicts(t("reviews"), t("findings"), ["review"])
 
 
 @query("""WITH r AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) = 1 AND lang IN ('fr', 'de') AS lead FROM documents) SELECT doc_id, lang, n_chars FROM r ORDER BY r.lead DESC, n_chars DESC, doc_id LIMIT 25""")
@@ -690,19 +741,19 @@ def chat_compression(t):
 @query()
 def memory_triples(t):
     n = t("conversations").selectExpr("conv_id * 1000 + turn as id", "role as room", "array(role, 'chat') as tags", "text as content")
-    return review.extract_triples(n)
+    return review.extract_triples(n, ("system",))
 
 
 @query(f"WITH {LANES_SQL} SELECT doc_id, round(1 / (60.0 + b.r) + 1 / (60.0 + coalesce(a.r, 41)), 9) AS score FROM b LEFT JOIN a USING (doc_id)")
 def search_fuse_all(t):
-    lexical = retrieval.bm25(t("documents"), "doc_id", "text", TERMS, 40)
+    lexical = lexical_lane(t)
     other = t("documents").select("doc_id", F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "doc_id").limit(40)
     return retrieval.fuse_all(other, lexical, "doc_id").select("doc_id", F.round("score", 9).alias("score"))
 
 
 @query(f"WITH {LANES_SQL}, c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS r FROM documents QUALIFY r <= 30) SELECT doc_id, round(sum(p), 9) AS score FROM (SELECT doc_id, 0.4 / (60 + r) AS p FROM a UNION ALL SELECT doc_id, 0.3 / (60 + r) FROM c) GROUP BY doc_id")
 def search_third_lane(t):
-    first = retrieval.fuse([(retrieval.bm25(t("documents"), "doc_id", "text", TERMS, 40), 0.4)], "doc_id", 40)
+    first = retrieval.fuse([(lexical_lane(t), 0.4)], "doc_id", 40)
     third = t("documents").select("doc_id", F.col("doc_id").cast("double").alias("score")).orderBy(F.desc("score")).limit(30)
     return retrieval.add_lane(first, third, "doc_id", 0.3).withColumn("score", F.round("score", 9))
 
