@@ -130,3 +130,139 @@ def louvain(edges: DataFrame, part: str | None = None, passes: int = 32) -> Data
 
     kind = dict(edges.dtypes)["src"]
     return edges.groupBy(part or F.lit(1).alias("one")).applyInPandas(partition, f"id {kind}, community {kind}")
+
+
+# -- the symbol graph --------------------------------------------------------------------------------------
+
+#: Kinds of chunks that contain a file's other symbols, and kinds of edges that each intent follows.
+CONTAINERS = ("impl", "class", "struct", "module")
+INTENT_KINDS = {
+    "definition": ("Implements", "Aliases", "UsesType"),
+    "usage": ("CallsFunction", "CalledByFunction", "TestedBy", "CoOccursInTest"),
+    "conceptual": ("ReferencesConcept", "Documents"),
+    "bug_debt": ("RaisesError", "ErrorDescribes", "Configures"),
+    "unknown": ("CallsFunction", "CalledByFunction"),
+}
+
+
+def symbols(chunks: DataFrame) -> DataFrame:
+    """symbol, chunk and file of the first definition of each name."""
+    named = chunks.filter("name is not null and name <> ''")
+    return named.groupBy(F.col("name").alias("symbol")).agg(F.min(F.struct("id", "file")).alias("first")).select("symbol", F.col("first.id").alias("chunk"), F.col("first.file").alias("file"))
+
+
+def resolved(asked: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """``asked`` with ``to``: the symbol that ``name`` is, else the smallest whose last ``::`` segment it is; others go."""
+    exact = nodes.select(F.col("symbol").alias(name), F.col("symbol").alias("exact"))
+    suffix = nodes.groupBy(F.element_at(F.split("symbol", "::"), -1).alias(name)).agg(F.min("symbol").alias("near"))
+    joined = asked.join(exact, name, "left").join(suffix, name, "left")
+    return joined.withColumn("to", F.coalesce("exact", "near")).filter("to is not null").drop("exact", "near")
+
+
+def symbol_graph(chunks: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """src, dst and kind of the edges between symbols.
+
+    Chunks have id, file, name, chunk_type, calls and inherits; entities file, text and entity_type. Five passes: calls and
+    inheritance, what containers hold, what tests test, tests of one symbol, and what documentation names. Pairs of tests
+    are dealt by symbol and salt; repeated edges are one.
+    """
+    from .chunking import tests_of_same
+
+    nodes = symbols(chunks)
+    own = chunks.filter("name is not null and name <> ''")
+    out = None
+    called = resolved(own.select("name", "chunk_type", F.explode("calls").alias("target")), nodes, "target")
+    inherited = resolved(own.select("name", F.explode("inherits").alias("target")), nodes, "target")
+    in_file = own.select("file", F.col("name").alias("other")).distinct()
+    contains = own.filter(F.col("chunk_type").isin(*CONTAINERS)).select("file", "name").distinct().join(in_file, "file").filter("name <> other")
+    tested = called.filter("chunk_type = 'test' and to <> name")
+    together = tests_of_same(tested.select(F.col("name").alias("src"), F.col("to").alias("callee")))
+    parts = [
+        called.select(F.col("name").alias("src"), F.col("to").alias("dst"), F.lit("CallsFunction").alias("kind")), inherited.select(F.col("name").alias("src"), F.col("to").alias("dst"), F.lit("Implements").alias("kind")),
+        contains.select(F.col("name").alias("src"), F.col("other").alias("dst"), F.lit("ModuleContains").alias("kind")), tested.select(F.col("to").alias("src"), F.col("name").alias("dst"), F.lit("TestedBy").alias("kind")),
+        together.select("src", "dst", F.lit("CoOccursInTest").alias("kind")),
+    ]
+    if entities is not None:
+        kind = F.when(F.col("entity_type") == "doc_concept", "Documents").when(F.col("entity_type") == "phrase", "ReferencesConcept")
+        told = resolved(entities.withColumn("kind", kind).filter("kind is not null").select("file", "kind", F.col("text").alias("target")), nodes, "target")
+        parts.append(told.join(in_file, "file").select(F.col("other").alias("src"), F.col("to").alias("dst"), "kind"))
+    for p in parts:
+        p = p.filter("src <> dst").distinct()
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def neighbours(edges: DataFrame, seeds: DataFrame, hops: int, kinds: tuple[str, ...] | None = None, forward: bool = True, backward: bool = False) -> DataFrame:
+    """id, hop, via and kind of nodes within ``hops`` over edges of the kinds and directions; the smallest edge (via, kind) of the first visit, seeds left out."""
+    own = edges.filter(F.col("kind").isin(*kinds)) if kinds else edges
+    step = []
+    if forward:
+        step.append(own.select(F.col("src").alias("via"), F.col("dst").alias("id"), "kind"))
+    if backward:
+        step.append(own.select(F.col("dst").alias("via"), F.col("src").alias("id"), "kind"))
+    step = (step[0] if len(step) == 1 else step[0].unionByName(step[1])).distinct()
+    seen, front, out = seeds.select("id"), seeds.select(F.col("id").alias("via")), None
+    for hop in range(1, hops + 1):
+        reached = step.join(front, "via").join(seen, "id", "left_anti").groupBy("id").agg(F.min(F.struct("via", "kind")).alias("e"))
+        found = reached.select("id", F.lit(hop).alias("hop"), F.col("e.via").alias("via"), F.col("e.kind").alias("kind"))
+        out = found if out is None else out.unionByName(found)
+        seen, front = seen.unionByName(found.select("id")), found.select(F.col("id").alias("via"))
+    return out
+
+
+def entry_point(nodes: DataFrame, edges: DataFrame, asked: str) -> DataFrame:
+    """symbol of an entry: the exact name, else names that contain it ignoring case, the most connected first, then by name."""
+    exact = F.col("symbol") == F.lit(asked)
+    near = F.lower("symbol").contains(asked.lower())
+    ranked = nodes.filter(exact | near).join(degrees(edges).withColumnRenamed("id", "symbol"), "symbol", "left")
+    return ranked.orderBy(F.desc(exact), F.desc(F.coalesce("degree", F.lit(0))), "symbol").select("symbol").limit(1)
+
+
+def chunk_at(chunks: DataFrame, file: str, line: int) -> DataFrame:
+    """The narrowest chunk of ``file:line``."""
+    return chunks.filter((F.col("file") == F.lit(file)) & (F.col("start") <= line) & (F.col("end") >= line)).orderBy(F.col("end") - F.col("start"), "start").limit(1)
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
+    """The nodes that a condition keeps, and the edges both of whose ends it keeps."""
+    own = nodes.filter(keep)
+    ids = own.select("id")
+    return own, edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
+
+
+def export(nodes: DataFrame, edges: DataFrame, node_kinds: tuple[str, ...] = (), edge_kinds: tuple[str, ...] = (), least_weight: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """A graph for display: nodes of the kinds, edges of the kinds and the weight between them."""
+    own = edges.filter(F.col("weight") >= least_weight)
+    own = own.filter(F.col("kind").isin(*edge_kinds)) if edge_kinds else own
+    return subgraph(nodes, own, F.col("node_kind").isin(*node_kinds) if node_kinds else F.lit(True))
+
+
+def refine(expanded: DataFrame, vectors: DataFrame, asked: list[float], least: float = 0.4) -> DataFrame:
+    """Expanded hits (id, score) whose vector is alike the query's."""
+    from ..functions.scores import cosine
+
+    return expanded.join(vectors, "id").filter(cosine(F.col("vec"), F.array(*map(F.lit, asked))) >= least).select("id", "score")
+
+
+def knowledge_gaps(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """community, members, density and bridges of sparse communities: a density under 0.2 and as many bridges as members at most. Edges (src, dst) are undirected and once each."""
+    label = lambda end: communities.select(F.col("id").alias(end), F.col("community").alias(f"c_{end}"))
+    both = edges.join(label("src"), "src").join(label("dst"), "dst")
+    inside = both.filter("c_src = c_dst").groupBy(F.col("c_src").alias("community")).agg(F.count("*").alias("inside"))
+    across = both.filter("c_src <> c_dst")
+    bridges = across.select(F.col("c_src").alias("community")).unionByName(across.select(F.col("c_dst").alias("community"))).groupBy("community").agg(F.count("*").alias("bridges"))
+    out = communities.groupBy("community").agg(F.count("*").alias("members")).join(inside, "community", "left").join(bridges, "community", "left").fillna(0, ["inside", "bridges"])
+    out = out.withColumn("density", F.when(F.col("members") >= 2, F.col("inside") / (F.col("members") * (F.col("members") - 1) / 2)).otherwise(0.0))
+    return out.filter("density < 0.2 and bridges <= members").select("community", "members", "density", "bridges")
+
+
+def save(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """The graph as tables: nodes, and edges sorted by source; their reverse is the same table read by its other column."""
+    nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
+    edges.repartition("src").sortWithinPartitions("src").write.mode("overwrite").parquet(f"{folder}/edges")
+
+
+def load(spark, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes, edges and reversed edges of a saved graph."""
+    edges = spark.read.parquet(f"{folder}/edges")
+    return spark.read.parquet(f"{folder}/nodes"), edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])

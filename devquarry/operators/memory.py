@@ -73,3 +73,59 @@ def prompt_sections(triples: DataFrame) -> DataFrame:
     """predicate and its active facts, a line each."""
     line = F.format_string("- %s: %s", "subject", "object")
     return active(triples).groupBy("predicate").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("section"))
+
+
+def hits_of(events: DataFrame) -> DataFrame:
+    """drawer_id and hits of recalled drawers."""
+    return events.filter("drawer_id is not null").groupBy("drawer_id").agg(F.count("*").alias("hits"))
+
+
+def top_drawers(events: DataFrame, limit: int = 10) -> DataFrame:
+    return hits_of(events).orderBy(F.desc("hits"), "drawer_id").limit(limit)
+
+
+def top_misses(events: DataFrame, limit: int = 10) -> DataFrame:
+    """query_hash and misses of the queries that found nothing most often."""
+    return events.filter("drawer_id is null").groupBy("query_hash").agg(F.count("*").alias("misses")).orderBy(F.desc("misses"), "query_hash").limit(limit)
+
+
+def match_facts(facts: DataFrame, subject: str | None = None, predicate: str | None = None, object: str | None = None) -> DataFrame:
+    """Facts with the given parts; None matches all."""
+    for name, value in (("subject", subject), ("predicate", predicate), ("object", object)):
+        facts = facts.filter(F.col(name) == F.lit(value)) if value is not None else facts
+    return facts
+
+
+def neighbours_of(triples: DataFrame, entity: str) -> DataFrame:
+    """predicate, other end and direction of an entity's active triples."""
+    own = active(triples)
+    out = own.filter(F.col("subject") == entity).select("predicate", F.col("object").alias("other"), F.lit("out").alias("direction"))
+    return out.unionByName(own.filter(F.col("object") == entity).select("predicate", F.col("subject").alias("other"), F.lit("in").alias("direction"))).distinct()
+
+
+def retract(triples: DataFrame, subject: str, predicate: str, at: Column) -> DataFrame:
+    """The triples with the active one of a subject and predicate closed."""
+    hit = (F.col("subject") == subject) & (F.col("predicate") == predicate) & F.col("valid_to").isNull()
+    return triples.withColumn("valid_to", F.when(hit, at).otherwise(F.col("valid_to")))
+
+
+def recall_across(results: DataFrame, top_k: int) -> DataFrame:
+    """Of recalls in several palaces (palace, id, score) the best of all."""
+    return results.orderBy(F.desc("score"), "palace", "id").limit(top_k)
+
+
+def with_expiry(drawers: DataFrame, days: int = 7) -> DataFrame:
+    """Drawers whose session events expire after ``days``."""
+    return drawers.withColumn("expires_at", F.when(F.col("kind") == "session_event", F.col("created_at") + F.make_dt_interval(F.lit(days))).otherwise(F.lit(None)))
+
+
+def batch_key(rows: DataFrame, batch: str, key: str, content: str) -> DataFrame:
+    """batch and the first 16 bytes, in hex, of the SHA-256 of its contents in the order of their keys; a batch is of bounded size."""
+    listed = rows.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(key, content))).alias("all"))
+    return listed.select(batch, F.substring(F.sha2(F.array_join(F.transform("all", lambda x: x[content]), "\n"), 256), 1, 32).alias("cache_key"))
+
+
+def consolidate(drawers: DataFrame, actions: DataFrame) -> DataFrame:
+    """Drawers (id, importance, tags) after actions (kept, superseded): a kept one takes the greatest importance and all tags, superseded ones go."""
+    named = drawers.join(actions.select(F.col("superseded").alias("id"), "kept"), "id", "left").withColumn("owner", F.coalesce("kept", "id"))
+    return named.groupBy(F.col("owner").alias("id")).agg(F.max("importance").alias("importance"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))

@@ -153,3 +153,43 @@ def memory_rank(items: DataFrame, key: str, top_k: int = 5) -> DataFrame:
     """(0.6 cosine + 0.4 BM25) x e^(-0.1 hours), doubled in the query's cluster; items have these columns."""
     score = (0.6 * F.col("cos") + 0.4 * F.col("bm25")) * F.exp(-0.1 * F.col("age_hours")) * F.when(F.col("in_cluster"), 2.0).otherwise(1.0)
     return items.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(top_k)
+
+
+def similar_to(vectors: DataFrame, key: str, vector: str, seed, top_k: int) -> DataFrame:
+    """key and score of what is nearest to one item, which is left out; none if the item is unknown."""
+    found = vectors.filter(F.col(key) == F.lit(seed)).select(vector).first()
+    if found is None or found[0] is None:
+        return vectors.select(key, F.lit(0.0).alias("score")).limit(0)
+    return vector_search(vectors.filter(F.col(key) != F.lit(seed)), key, vector, [float(x) for x in found[0]], top_k)
+
+
+def child_weight(weight: Column, is_child: Column) -> Column:
+    """The weight of an index; one below the asked one gains half, between 1 and 4."""
+    return F.when(is_child, F.least(F.greatest(weight * 1.5, F.lit(1.0)), F.lit(4.0))).otherwise(weight)
+
+
+def indexed_text(content: Column, terms: Column) -> Column:
+    """What the lexical lane indexes: the content and its virtual terms."""
+    return F.concat_ws(" ", content, F.array_join(terms, " "))
+
+
+def bag_of_words(items: DataFrame, key: str, text: str, size: int = 256) -> DataFrame:
+    """key and vec: counts of lower-case ASCII words by a polynomial hash of base 31 modulo ``size``, of length 1. The hash wraps at 64 bits, which no builtin does."""
+
+    def rows(batches):
+        import re
+
+        for pdf in batches:
+            out = []
+            for t in pdf[text]:
+                v = np.zeros(size, np.float32)
+                for w in re.findall(r"[A-Za-z0-9]+", t or ""):
+                    h = 0
+                    for b in w.lower().encode():
+                        h = (h * 31 + b) & 0xFFFFFFFFFFFFFFFF
+                    v[h % size] += 1
+                norm = np.float32(np.sqrt((v * v).sum()))
+                out.append((v / norm if norm > 0 else v).tolist())
+            yield pd.DataFrame({key: pdf[key], "vec": out})
+
+    return items.select(key, text).mapInPandas(rows, f"{key} {dict(items.dtypes)[key]}, vec array<float>")

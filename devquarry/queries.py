@@ -140,7 +140,7 @@ def git_conventional_commits(t):
     return t("commits").select("sha", text.conventional_commit(F.col("message")).alias("c")).filter("c is not null").select("sha", "c.*")
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '\S*[\p{L}\p{N}]\S*')) AS tokens, CASE WHEN length(s) > 0 THEN round(length(regexp_replace(s, '\p{L}', '', 'g')) / length(s), 6) ELSE 1.0 END AS non_alpha FROM (SELECT doc_id, text, regexp_replace(text, '\s', '', 'g') AS s FROM documents)")
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '\S*[\p{L}\p{N}]\S*')) AS tokens, CASE WHEN length(s) > 0 THEN round(length(regexp_replace(s, '\p{L}', '', 'g')) / length(s), 6) ELSE 0.0 END AS non_alpha FROM (SELECT doc_id, text, regexp_replace(text, '\s', '', 'g') AS s FROM documents)")
 def memory_noise_measures(t):
     return t("documents").select("doc_id", text.meaningful_tokens(F.col("text")).alias("tokens"), F.round(text.non_alpha_ratio(F.col("text")), 6).alias("non_alpha"))
 
@@ -772,3 +772,6 @@ def events_hourly(t):
     SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, i""")
 def events_sessions(t):
     return windows.sessions(t("events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "6 hours", "user_id").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+from . import queries_more  # noqa: E402, F401
