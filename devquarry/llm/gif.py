@@ -5,7 +5,8 @@ files into one row for each shown frame. The payload form stores bytes as palett
 under a grey palette, so that the composed red channel is the payload.
 
 Null and empty texts have a payload of 64 zero bytes. Payloads over ``FRAME_ROWS`` lines become several
-frames. A broken file raises BadGif. Equal texts give equal files.
+frames. A broken file raises BadGif. Equal texts give equal files, so repeated rows have equal columns; a null
+id stays null. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, slices
 
 WIDTH, FRAME_ROWS = 64, 4096
 FULL = 4096  # codes have twelve bits at most
@@ -369,7 +370,7 @@ def stored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media of every row."""
 
     def files(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array([store(x) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -382,7 +383,7 @@ def digests(media: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def rows(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "media")):
             out = []
             for key, n, file in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media")):
                 file = file.as_py()

@@ -8,7 +8,8 @@ suffix, from which the next lower order is made in the same way.
 
 Null and empty texts are one end token. Without training texts every probability is uniform over one
 unseen token. Repeated rows count as often as they occur. Different n-grams of equal 64-bit hash share
-a count; among 10**9 n-grams a lookup errs with a probability under 10**-10.
+a count; among 10**9 n-grams a lookup errs with a probability under 10**-10. An empty table gives an
+empty result, and rows with a null id are scored like others.
 
 The shared folder must be a path that workers can map (a ``file:`` folder or a mounted one).
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -26,11 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_A, STEP, Bytes, cut, delete, documents, fold_remainder, mix, shared_dir, slices
+from .common import MIX_A, STEP, Bytes, cut, delete, documents, fold_remainder, mix, shared_dir, slices, small_batches
 
 START, END = np.uint64(0x51A27), np.uint64(0xE4D0)
 #: Bytes of training text for each shard of the tables, and tokens that a map task sums at a time.
 SHARD_BYTES, AT_ONCE = 8 << 20, 3_000_000
+#: Files that a worker maps at a time; systems allow a process some 65,000.
+MAPS = 8192
 PART = "level int, table string, shard int, body binary"
 
 
@@ -212,6 +216,7 @@ def local_path(uri: str) -> str:
 def train(docs: DataFrame, order: int = 2, shard_bytes: int = SHARD_BYTES) -> Model:
     """A model of all texts of ``docs``."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = shared_dir(spark)
     folder = local_path(f"{shared}/model")
     Path(folder).mkdir(parents=True)
@@ -255,16 +260,19 @@ def add_totals(df: DataFrame) -> list[tuple[int, str, bytes]]:
 
 
 class Arrays:
-    """The model's tables, each shard mapped when first asked for."""
+    """The model's tables, each shard mapped when asked for; the MAPS that were used last stay mapped."""
 
     def __init__(self, model: Model):
-        self.model, self.maps = model, {}
+        self.model, self.maps = model, OrderedDict()
 
     def shard(self, table: str, level: int, shard: int, name: str):
         key = (table, level, shard, name)
         if key not in self.maps:
             path = f"{self.model.folder}/{table}-{level}-{shard}-{name}.npy"
             self.maps[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            if len(self.maps) > MAPS:
+                self.maps.popitem(last=False)
+        self.maps.move_to_end(key)
         return self.maps[key]
 
     def find(self, table: str, level: int, keys: np.ndarray, name: str, width: int = 0) -> np.ndarray:

@@ -8,7 +8,8 @@ in a bitfield. The only path that reaches the end is what merging yields. Charac
 become byte pieces. Merges of U+2581 alone share one score, so runs of them are merged by position.
 
 Null and empty texts encode to no ids, or to the end id alone. Units of any length work; those over
-``CACHED`` characters are not remembered.
+``CACHED`` characters are not remembered. Repeated rows encode alike, a null id stays null, and an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, slices
 
 SPACE = "▁"
 #: Longest unit that is remembered, and how many are.
@@ -235,7 +236,7 @@ def encoded(docs: DataFrame, model: bytes, end: bool = True) -> DataFrame:
 
     def rows(batches):
         t = tokenizer(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids = [t.encode(x) + [t.end] * end for x in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -259,7 +260,7 @@ def digests(docs: DataFrame, model: bytes, end: bool = True) -> DataFrame:
     def rows(batches):
         t = tokenizer(model)
         names = [str(i) for i in range(len(t.pieces))]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out = []
             for text in batch.column("text").to_pylist():
                 ids = t.encode(text) + [t.end] * end

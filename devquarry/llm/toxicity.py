@@ -9,7 +9,8 @@ does not, and neutral mentions are not scored as toxic.
 The fit sees at most ``max_toxic`` + ``max_clean`` labelled rows, taken by hash of the id; scoring covers
 every whole text. Null and empty texts have no features and score as the intercept. Rows whose label or
 text is null, and nearly equal copies of a row, are left out of the fit; without rows of both labels
-every score is 0. Repeated rows score alike.
+every score is 0. Repeated rows score alike, a null id stays null and is never learnt from, and an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
