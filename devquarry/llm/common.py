@@ -74,6 +74,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Keys that have more than one of HEAVY rows are fewer than HEAVY; they are told to all tasks.
+HEAVY = 1000
+
+
+def told_by_key(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` with the facts of their key (one row a key, which must be there; ``size`` is its number of rows of ``total``).
+
+    The facts of frequent keys, HEAVY at most, are broadcast and their rows dealt by all their columns, so that no
+    key gathers in a task; the others meet by key.
+    """
+    others = [c for c in facts.columns if c != key]
+    of = facts.select(F.col(key), F.col(size).alias("own_size"), F.struct(*others).alias("facts"))
+    heavy = F.broadcast(of.filter(F.col("own_size") > total // HEAVY).select(key, F.col("facts").alias("told")))
+    light = of.filter(F.col("own_size") <= total // HEAVY).select(F.col(key).alias("met"), "facts")
+    marked = rows.join(heavy, key, "left").withColumn("met", F.when(F.col("told").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    found = marked.join(light, "met", "left").withColumn("told", F.coalesce("told", "facts"))
+    return found.select(*rows.columns, *[F.col(f"told.{c}").alias(c) for c in others])
+
+
 def version(text):
     """Tells apart the rows of one id: a 64-bit hash of the text, null as empty."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))

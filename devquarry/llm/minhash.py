@@ -25,15 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, shared_dir, slices, small_batches, version
+from .common import HEAVY, MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, shared_dir, slices, small_batches, version
 from .components import connected_components
 from .recompression import few
 
 SAMPLES, MISS = 160, 4e-6
 #: Words, of 64 bits, of the odd sketch of the samples and of that of the whole set.
 SKETCH, WHOLE = 8, 16
-#: Sets that more than one of HEAVY rows have, HEAVY at most, are told to all tasks.
-HEAVY = 1000
 SHINGLES = f"doc_id long, id long, ver long, n_shingles long, fp1 long, fp2 long, {', '.join(f's{i} long' for i in range(SKETCH))}, bands array<long>"
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX_A, MIX_B, STEP, Bytes, as_long, cut, delete, documents, joined, mix, powers, shared_dir, slices, small_batches, version
+from .common import MIX_A, MIX_B, STEP, Bytes, as_long, cut, delete, documents, joined, mix, powers, shared_dir, slices, small_batches, told_by_key, version
 
 #: More rounds give longer symbols, but fewer whole ones in a window of 50 words; at four they cover about three words.
 ROUNDS = 4
@@ -238,11 +238,12 @@ def repeated_spans(docs: DataFrame, folder: str, span: int = 50, rounds: int = R
     """doc_id, ver, place and n: windows ``place`` to ``place`` + n - 1 of the row also start in one of smaller id."""
     own = docs.filter("doc_id is not null").select("doc_id", "ver", "text")
     table = cut(own.mapInArrow(sketch(span, rounds), ROW), folder, "rows")
+    total = table.count()
     again = table.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1")
     table = few(table, "anchor", again, "anchor")
     whole = table.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"))
     symbol = whole.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    known = whole.join(symbol, "anchor").select("anchor", "content", "first", "kinds")
+    known = told_by_key(whole, symbol, "anchor", "kinds", total)
     told = cut(table.join(known, ["anchor", "content"]).filter("doc_id > first or kinds > 1"), folder, "told")
     later = told.filter("doc_id > first").select("doc_id", "ver", "place", "n")
     open_rows = told.filter("doc_id = first").groupBy("doc_id", "ver").agg(F.collect_set(F.struct("anchor", "place", "n")).alias("rows"))

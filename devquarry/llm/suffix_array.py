@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, powers, shared_dir, slices, small_batches, version
+from .common import MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, powers, shared_dir, slices, small_batches, told_by_key, version
 from .recompression import BACK, few
 
 #: Bytes of a shard, rows of one route that go to one shard, and how many neighbours a route looks at on either side.
@@ -368,11 +368,12 @@ def repeated_spans(docs: DataFrame, folder: str, span: int = 400, gram: int | No
     own = docs.filter("doc_id is not null").select("doc_id", "ver", "text")
     gram = gram or usual_gram(span)
     table = cut(own.mapInArrow(sketch(span, gram), ROW), folder, "rows")
+    total = table.count()
     again = table.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1")
     table = few(table, "gram", again, "gram")
     whole = table.groupBy("gram", "content").agg(F.min("doc_id").alias("first"), F.count("*").alias("k"))
     kinds = whole.groupBy("gram").agg(F.count("*").alias("kinds"))
-    known = whole.join(kinds, "gram").filter("k > 1 or kinds > 1")
+    known = told_by_key(whole, kinds, "gram", "kinds", total).filter("k > 1 or kinds > 1")
     told = cut(table.join(known, ["gram", "content"]), folder, "told")
     spans = told.filter("k > 1").select("doc_id", "ver", "place", "n")
     open_rows = told.filter("kinds > 1 and (k = 1 or doc_id = first)")
@@ -380,10 +381,11 @@ def repeated_spans(docs: DataFrame, folder: str, span: int = 400, gram: int | No
     routed = cut(lists.mapInArrow(routes, ROUTED), folder, "routed")
     size = routed.agg(F.sum(F.col("n") * 2 + 1)).first()[0] or 0
     shards = max(1, -(-int(size) // shard_bytes))
-    sizes = routed.groupBy("route").agg(F.ceil(F.count("*") / rows_each).cast("int").alias("parts"))
-    sharded = routed.join(sizes, "route").withColumn("shard", F.pmod(F.xxhash64("route", F.pmod(F.xxhash64("doc_id", "ver"), F.col("parts"))), F.lit(shards)).cast("int"))
-    spread = sharded.groupBy("gram").agg((F.min("shard") < F.max("shard")).alias("spread"))
-    shown = sharded.join(spread, "gram").groupBy("doc_id", "ver").agg(F.collect_list(F.struct("place", "n", "shard", "spread")).alias("rows"))
+    held = routed.count()
+    sizes = routed.groupBy("route").agg(F.count("*").alias("own_rows"), F.ceil(F.count("*") / rows_each).cast("int").alias("parts"))
+    sharded = told_by_key(routed, sizes, "route", "own_rows", held).withColumn("shard", F.pmod(F.xxhash64("route", F.pmod(F.xxhash64("doc_id", "ver"), F.col("parts"))), F.lit(shards)).cast("int"))
+    spread = sharded.groupBy("gram").agg(F.count("*").alias("gram_rows"), (F.min("shard") < F.max("shard")).alias("spread"))
+    shown = told_by_key(sharded, spread, "gram", "gram_rows", held).groupBy("doc_id", "ver").agg(F.collect_list(F.struct("place", "n", "shard", "spread")).alias("rows"))
     dealt = few(own, "doc_id", shown, "doc_id").join(shown, ["doc_id", "ver"]).mapInArrow(pieces(span), PIECE).repartition(min(shards, TASKS), "shard")
     found = cut(dealt.groupBy("shard").applyInArrow(shard(span, min(shards, 1 << 16)), FOUND), folder, "found")
     met = found.filter("bucket >= 0").groupBy("bucket").applyInArrow(across, FOUND)
