@@ -6,11 +6,11 @@ a labelled text and its copies with identity terms swapped for others of their k
 mention of a group, which changes under the swap, so cannot carry weight that another group's mention
 does not, and neutral mentions are not scored as toxic.
 
-The fit sees at most ``max_toxic`` + ``max_clean`` labelled rows, taken by hash of the id; scoring covers
-every whole text. Null and empty texts have no features and score as the intercept. Rows whose label or
-text is null, and nearly equal copies of a row, are left out of the fit; without rows of both labels
-every score is 0. Repeated rows score alike, a null id stays null and is never learnt from, and an empty table
-gives an empty result.
+The fit sees at most ``max_toxic`` + ``max_clean`` labelled rows, taken by hash of the id; their features are
+counted by Spark, and only those that are significant go to the driver. Scoring covers every whole text. Null
+and empty texts have no features and score as the intercept. Rows whose label or text is null, and nearly equal
+copies of a row, are left out of the fit; without rows of both labels every score is 0. Repeated rows score
+alike, a null id stays null and is never learnt from, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold_remainder, slices, small_batches
+from .common import cut, delete, documents, fold_remainder, shared_dir, slices, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Identity terms by kind; a swap replaces each by the next of its line. Fixed values.
@@ -137,12 +137,43 @@ def significant(rows: list[np.ndarray], y: np.ndarray, least_rows: int, least_z:
     return f[chosen(c1, np.bincount(where, minlength=len(f)).astype(float))]
 
 
-def fit(labels: np.ndarray, rows: list[np.ndarray], swapped: list[np.ndarray], clean_weight: float = 1.0, penalty: float = 1.0, l1: float = 2e-4, steps: int = 400, least_rows: int = 5, least_z: float = 5.0) -> Model:
-    """Accelerated proximal gradient on the regularised loss."""
+def significant_features(rows: DataFrame, least_rows: int = 5, least_z: float = 5.0) -> DataFrame:
+    """feature: what ``significant`` finds in rows (label, x), counted by Spark, so that the driver sees the chosen ones alone."""
+
+    def counts(batches):
+        for batch in batches:
+            for label in (0, 1):
+                own = [np.unique(np.frombuffer(x, np.uint32)) for x, y in zip(batch.column("x").to_pylist(), batch.column("label").to_pylist()) if y == label]
+                if own:
+                    f, n = np.unique(np.concatenate(own), return_counts=True)
+                    yield pa.record_batch([pa.array(f.astype(np.int64)), pa.array(n), pa.array(n * label)], ["feature", "n", "n1"])
+
+    sums = rows.select("label", "x").mapInArrow(counts, "feature long, n long, n1 long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).filter(F.col("n") >= least_rows)
+    totals = rows.agg(F.greatest(F.sum("label"), F.lit(1)).cast("double").alias("ones"), F.count("*").cast("double").alias("all"))  # one row
+    share = F.col("n") / F.col("all")
+    spread = F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / F.col("ones") + 1 / F.greatest(F.col("all") - F.col("ones"), F.lit(1.0)))
+    z = (F.col("n1") / F.col("ones") - (F.col("n") - F.col("n1")) / F.greatest(F.col("all") - F.col("ones"), F.lit(1.0))) / F.sqrt(spread)
+    return sums.join(F.broadcast(totals)).filter(F.abs(z) >= least_z).select("feature")
+
+
+def only(chosen: np.ndarray):
+    """Rows with the chosen features alone."""
+
+    def kept(batches):
+        pick = lambda x: (v := np.frombuffer(x, np.uint32))[np.isin(v, chosen)].tobytes()
+        for batch in batches:
+            swapped = [pick(s) or (b"" if not s else np.uint32(0).tobytes()) for s in batch.column("swapped").to_pylist()]
+            yield pa.record_batch([batch.column("label"), batch.column("near"), pa.array([pick(x) for x in batch.column("x").to_pylist()], pa.binary()), pa.array(swapped, pa.binary())], ["label", "near", "x", "swapped"])
+
+    return kept
+
+
+def fit(labels: np.ndarray, rows: list[np.ndarray], swapped: list[np.ndarray], chosen: np.ndarray | None = None, clean_weight: float = 1.0, penalty: float = 1.0, l1: float = 2e-4, steps: int = 400, least_rows: int = 5, least_z: float = 5.0) -> Model:
+    """Accelerated proximal gradient on the regularised loss, over the features ``chosen`` (sorted), else those that are significant in the rows."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return Model()
-    chosen = significant(rows, y, least_rows, least_z)
+    chosen = significant(rows, y, least_rows, least_z) if chosen is None else chosen
     x = Rows(rows, chosen)
     pairs = [i for i, s in enumerate(swapped) if len(s)]
     plain, other = Rows([rows[i] for i in pairs], chosen), Rows([swapped[i] for i in pairs], chosen)
@@ -181,13 +212,14 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean:
 
     sample = first(1, max_toxic).unionByName(first(0, max_clean))
     texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id")  # max_toxic + max_clean ids
-    got = texts.select("text", "toxic").mapInArrow(extract, "label int, near long, x binary, swapped binary").toPandas()
-    got = got.sort_values(["label", "near", "x"]).drop_duplicates(["label", "near"])
-    if not len(got):
-        return Model()
+    raw = texts.select("text", "toxic").mapInArrow(extract, "label int, near long, x binary, swapped binary")
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
+    once = cut(raw.groupBy("label", "near").agg(F.min(F.struct("x", "swapped")).alias("f")).select("label", "near", "f.*"), folder, "features")
+    chosen = np.sort(np.array([r.feature for r in significant_features(once).collect()], np.uint32))
+    got = once.mapInArrow(only(chosen), "label int, near long, x binary, swapped binary").toPandas().sort_values(["label", "near"])
+    delete(spark, folder)
     labels, rows, swapped = got["label"].to_numpy(), *([np.frombuffer(x, np.uint32) for x in got[name]] for name in ("x", "swapped"))
-    del got
-    return fit(labels, rows, swapped)
+    return fit(labels, rows, swapped, chosen) if len(got) else Model()
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
