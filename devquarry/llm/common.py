@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -62,6 +63,12 @@ def cut(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, upon which Spark removes the shuffle files of plans that are done with."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a table that ``cut`` wrote, through Hadoop's file system, so that any store works."""
     jvm = spark.sparkContext._jvm

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_A, STEP, Bytes, cut, delete, documents, fold_remainder, mix, shared_dir, slices, small_batches
+from .common import MIX_A, STEP, Bytes, cut, delete, documents, fold_remainder, mix, release, shared_dir, slices, small_batches
 
 START, END = np.uint64(0x51A27), np.uint64(0xE4D0)
 #: Bytes of training text for each shard of the tables, and tokens that a map task sums at a time.
@@ -232,6 +232,7 @@ def train(docs: DataFrame, order: int = 2, shard_bytes: int = SHARD_BYTES) -> Mo
         for lv, kind, body in add_totals(done.filter("table like 'totals-%'")):
             totals[lv, kind] = np.frombuffer(body, np.int64)
         parts = done.filter("table not like 'totals-%'")
+        release(spark)
     finish = parts.filter("table = 'contexts'").groupBy("level", "table", "shard").applyInArrow(merge(folder, shards), PART)
     finish.write.format("noop").mode("overwrite").save()  # contexts of the lowest level above one, if any are left
     delete(spark, f"{shared}/level1")
