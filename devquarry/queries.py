@@ -604,10 +604,13 @@ def git_classification(t):
     return classify.cascade(t("commits"), tiers).select("sha", "category", "confidence")
 
 
-@query()
+WEIGHED_SQL = "CASE WHEN regexp_matches(message, '(?i)fix') THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(message, '(?i)crash|null') THEN 0.3 ELSE 0 END AS b, CASE WHEN regexp_matches(message, '^docs') THEN 0.6 ELSE 0 END AS d, CASE WHEN regexp_matches(message, '(?i)tidy') THEN 0.4 ELSE 0 END + CASE WHEN regexp_matches(message, '(?i)cache|up') THEN 0.2 ELSE 0 END AS m"
+
+
+@query(f"WITH s AS (SELECT sha, {WEIGHED_SQL} FROM commits), g AS (SELECT *, greatest(b, d, m) AS top FROM s), k AS (SELECT *, top >= 0.55 AND CAST(b = top AS INT) + CAST(d = top AS INT) + CAST(m = top AS INT) = 1 AS ok FROM g) SELECT sha, CASE WHEN ok THEN CASE WHEN b = top THEN 'bugfix' WHEN d = top THEN 'docs' ELSE 'maintenance' END END AS category, round(CASE WHEN ok THEN least(top, 0.95) END, 6)::DOUBLE AS confidence, CASE WHEN ok THEN 'weighted' END AS method FROM k", "commits")
 def git_weighted_classification(t):
     signals = {"bugfix": [("(?i)fix", 0.5), ("(?i)crash|null", 0.3)], "docs": [("^docs", 0.6)], "maintenance": [("(?i)tidy", 0.4), ("(?i)cache|up", 0.2)]}
-    return t("commits").select("sha", classify.weighted_tier(F.col("message"), signals).alias("w")).select("sha", "w.*")
+    return t("commits").select("sha", classify.weighted_tier(F.col("message"), signals).alias("w")).select("sha", "w.*").withColumn("confidence", F.round("confidence", 6))
 
 
 @query("SELECT c_name AS source, m AS target FROM (SELECT c_name, min(c_name) OVER (PARTITION BY c_nationkey, c_mktsegment) AS m FROM customer) WHERE c_name <> m")
@@ -758,9 +761,9 @@ def search_third_lane(t):
     return retrieval.add_lane(first, third, "doc_id", 0.3).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query("WITH e AS (SELECT vec_id, COLUMNS('^(embedding|vec|vector)$') AS vec FROM embeddings), a AS (SELECT vec AS q FROM e WHERE vec_id = 0) SELECT vec_id, round(greatest(" + COS_SQL + ", 0), 5) AS weight FROM e, a ORDER BY " + COS_SQL + " DESC, vec_id LIMIT 5")
 def search_routing(t):
-    return retrieval.route(vectors(t), "vec_id", "vec", first_vector(t), top=5)
+    return retrieval.route(vectors(t), "vec_id", "vec", first_vector(t), top=5).withColumn("weight", F.round("weight", 5))
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
