@@ -29,6 +29,8 @@ SHAPES = {
         CASE WHEN o_orderstatus = 'F' THEN o_orderdate + (INTERVAL '1' HOUR) * CAST(o_orderkey % 900 AS INT) END AS merged_at FROM {orders}""",
     "edges": """SELECT DISTINCT l_suppkey AS src, l_partkey % 300 AS dst, CASE l_linenumber % 4 WHEN 0 THEN 'Implements' WHEN 1 THEN 'Writes' WHEN 2 THEN 'Calls' ELSE 'TestedBy' END AS kind
         FROM {lineitem}""",
+    "sources": """SELECT doc_id, lang, concat('/// adds', chr(10), 'fn f', CAST(doc_id AS STRING), '(a: i32, b: i32', CASE WHEN doc_id % 3 = 0 THEN ', c: u8, d: u8, e: u8, g: u8' ELSE '' END, ') {{', chr(10), '    if a > b && helper', CAST(doc_id % 17 AS STRING), '(b) {{', chr(10), '        for x in list(a) {{', chr(10),
+        CASE WHEN doc_id % 4 = 0 THEN repeat(concat('            match other(x) {{ _ => while y {{ if z || w {{ emit(x) }} }} }}', chr(10)), CAST(doc_id % 40 AS INT)) ELSE '' END, '        }}', chr(10), '    }} else if b {{ unwrap (b) }}', chr(10), '}}', chr(10), text) AS text FROM {documents}""",
     "drawers": """SELECT event_id AS id, user_id AS room, value / 1000.0 AS importance, ts AS created_at, event_id % 9 AS access_count, event_type AS kind,
         CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL '7' DAY END AS expires_at FROM {events}""",
     "triples": """SELECT concat('u', CAST(user_id AS STRING)) AS subject, event_type AS predicate, CAST(event_id % 13 AS STRING) AS object, event_id AS valid_from,
@@ -71,34 +73,34 @@ def query(sql: str | None = None, *shapes: str):
 DECISION_SQL = " + ".join(f"(length(text) - length(replace(text, '{p}', ''))) // {len(p)}" for p in code.DECISIONS)
 
 
-@query(f"SELECT doc_id, c AS cyclomatic, CASE WHEN c <= 5 THEN 'A' WHEN c <= 10 THEN 'B' WHEN c <= 15 THEN 'C' WHEN c <= 20 THEN 'D' ELSE 'F' END AS grade FROM (SELECT doc_id, CAST({DECISION_SQL} + 1 AS BIGINT) AS c FROM documents)")
+@query(f"SELECT doc_id, c AS cyclomatic, CASE WHEN c <= 5 THEN 'A' WHEN c <= 10 THEN 'B' WHEN c <= 15 THEN 'C' WHEN c <= 20 THEN 'D' ELSE 'F' END AS grade FROM (SELECT doc_id, CAST({DECISION_SQL} + 1 AS BIGINT) AS c FROM sources)", "sources")
 def code_cyclomatic(t):
-    d = t("documents").select("doc_id", code.cyclomatic(F.col("text")).alias("cyclomatic"))
+    d = t("sources").select("doc_id", code.cyclomatic(F.col("text")).alias("cyclomatic"))
     return d.withColumn("grade", code.grade(F.col("cyclomatic")))
 
 
 DEPTH_SQL = "(length(regexp_extract(text, '^([ \\t]*)', 1)) - length(replace(regexp_extract(text, '^([ \\t]*)', 1), ' ', ''))) // 4 + length(replace(regexp_extract(text, '^([ \\t]*)', 1), ' ', ''))"
 
 
-@query(f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents) SELECT doc_id, CAST(sum(({DECISION_SQL}) * (1 + {DEPTH_SQL})) AS BIGINT) AS cognitive, CAST(max({DEPTH_SQL}) AS BIGINT) AS depth FROM l GROUP BY doc_id")
+@query(f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM sources) SELECT doc_id, CAST(sum(({DECISION_SQL}) * (1 + {DEPTH_SQL})) AS BIGINT) AS cognitive, CAST(max({DEPTH_SQL}) AS BIGINT) AS depth FROM l GROUP BY doc_id", "sources")
 def code_cognitive(t):
-    return t("documents").select("doc_id", code.cognitive(F.col("text")).alias("cognitive"), code.max_depth(F.col("text")).alias("depth"))
+    return t("sources").select("doc_id", code.cognitive(F.col("text")).alias("cognitive"), code.max_depth(F.col("text")).alias("depth"))
 
 
-@query("SELECT lang, count(*) AS n, round(avg(c), 6) AS mean, round(avg(CAST(c <= 5 AS INT)), 6) AS share_a FROM (SELECT lang, " + DECISION_SQL + " + 1 AS c FROM documents) GROUP BY lang")
+@query("SELECT lang, count(*) AS n, round(avg(c), 6) AS mean, round(avg(CAST(c <= 5 AS INT)), 6) AS share_a FROM (SELECT lang, " + DECISION_SQL + " + 1 AS c FROM sources) GROUP BY lang", "sources")
 def code_quality_report(t):
-    d = t("documents").select("lang", code.cyclomatic(F.col("text")).alias("c"))
+    d = t("sources").select("lang", code.cyclomatic(F.col("text")).alias("c"))
     return d.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.avg((F.col("c") <= 5).cast("int")), 6).alias("share_a"))
 
 
-@query("SELECT doc_id, CAST(" + DECISION_SQL + " + 1 AS BIGINT) AS cyclomatic FROM documents ORDER BY 2 DESC, 1 LIMIT 20")
+@query("SELECT doc_id, CAST(" + DECISION_SQL + " + 1 AS BIGINT) AS cyclomatic FROM sources ORDER BY 2 DESC, 1 LIMIT 20", "sources")
 def code_hotspots(t):
-    return t("documents").select("doc_id", code.cyclomatic(F.col("text")).alias("cyclomatic")).orderBy(F.desc("cyclomatic"), "doc_id").limit(20)
+    return t("sources").select("doc_id", code.cyclomatic(F.col("text")).alias("cyclomatic")).orderBy(F.desc("cyclomatic"), "doc_id").limit(20)
 
 
 @query()
 def code_smells(t):
-    return t("documents").select("doc_id", F.array_join(code.smells(F.col("text")), ",").alias("smells"), code.parameters(F.col("text")).alias("parameters"))
+    return t("sources").select("doc_id", F.array_join(code.smells(F.col("text")), ",").alias("smells"), code.parameters(F.col("text")).alias("parameters"))
 
 
 TOKENS_SQL = r"""list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(text, '[\p{L}\p{N}]+'), regexp_extract_all(camel, '[\p{L}\p{N}]+'),
@@ -648,9 +650,9 @@ def chunk_windows(t):
     return out.select("doc_id", "start", "end", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
-@query(r"SELECT doc_id, callee FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b([A-Za-z_]\w*)\s*\(', 1))) AS callee FROM documents) WHERE callee NOT IN ('if', 'for', 'while', 'match', 'switch', 'return', 'catch', 'fn', 'def', 'function')")
+@query(r"SELECT doc_id, callee FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b([A-Za-z_]\w*)\s*\(', 1))) AS callee FROM sources) WHERE callee NOT IN ('if', 'for', 'while', 'match', 'switch', 'return', 'catch', 'fn', 'def', 'function')", "sources")
 def chunk_calls(t):
-    return chunking.calls(t("documents"), "doc_id", "text")
+    return chunking.calls(t("sources"), "doc_id", "text")
 
 
 @query("WITH c AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS callee FROM lineitem) SELECT DISTINCT a.src, b.src AS dst FROM c a JOIN c b USING (callee) WHERE a.src <> b.src")
