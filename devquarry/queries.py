@@ -292,6 +292,14 @@ def search_token_budget(t):
 # -- graph -------------------------------------------------------------------------------------------------
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` in a session that has a folder for checkpoints."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(index.shared_folder(df.sparkSession))
+    return df
+
+
 @query("SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id", "edges")
 def graph_degrees(t):
     return graph.degrees(t("edges"))
@@ -310,11 +318,7 @@ def graph_reachable(t):
 
 @query("WITH b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), w AS (SELECT src AS id, src AS c FROM b UNION SELECT dst, c FROM w JOIN b ON src = id) SELECT id, min(c) AS component FROM w GROUP BY id", "edges")
 def graph_components(t):
-    e = t("edges")
-    session = e.sparkSession.sparkContext
-    if not session.getCheckpointDir():
-        session.setCheckpointDir(index.shared_folder(e.sparkSession))
-    return graph.components(e.select("src", "dst"))
+    return graph.components(checkpointed(t("edges")).select("src", "dst"))
 
 
 @query()

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import code, rules, text
-from .operators import delivery, graph, index, memory, reports, retrieval
+from .operators import cluster, delivery, diffs, graph, index, memory, reports, retrieval
 from .plans import search
-from .queries import DECISION_SQL, SHAPES, first_vector, indexed, lexical_lane, query, sql_list, vectors
+from .queries import DECISION_SQL, SHAPES, checkpointed, first_vector, indexed, lexical_lane, query, sql_list, vectors
 from .queries import BM25_SQL, COS_SQL
 from .sources import delivery as delivery_sources
+from .sources import walk
 
 CATEGORY = "CASE o_orderkey % 7 WHEN 0 THEN 'feature' WHEN 1 THEN 'bugfix' WHEN 2 THEN 'docs' WHEN 3 THEN 'test' WHEN 4 THEN 'refactor' WHEN 5 THEN 'uncategorized' ELSE 'maintenance' END"
 SHAPES["work"] = f"""SELECT CAST(o_orderkey AS STRING) AS sha, concat('dev', CAST(o_custkey % 40 AS STRING)) AS author, concat('repo', CAST(o_custkey % 7 AS STRING)) AS repository, o_orderdate AS timestamp,
@@ -535,3 +536,55 @@ def search_intents(t):
 def search_frequent_terms(t):
     built = index.build(t("documents"), "doc_id", text.code_tokens(F.col("lang")))
     return index.top_terms(built, 3)
+
+
+# -- clusters, diffs and projects --------------------------------------------------------------------------
+
+
+@query()
+def concept_clusters(t):
+    return cluster.kmeans(checkpointed(t("embeddings")), "vec_id", "embedding", 8)[0].withColumn("distance", F.round("distance", 4))
+
+
+SHAPES["documented"] = """SELECT doc_id // 8 AS file, doc_id AS id, concat(CASE WHEN doc_id % 3 <> 0 THEN '/// ' ELSE '// ' END, replace(text, ' a', concat(chr(10), '  ///')), chr(10), 'fn f()') AS content FROM {documents}""".replace("doc_id // 8", "CAST(floor(doc_id / 8) AS BIGINT)")
+
+
+@query()
+def concept_files(t):
+    return cluster.file_concepts(t("documented"))
+
+
+@query("""WITH l AS (SELECT id, list_transform(string_split_regex(content, '\\r?\\n'), lambda x: ltrim(x, ' ')) AS x FROM documented), j AS (SELECT id, array_to_string(list_transform(list_filter(x, lambda y: starts_with(y, '///')), lambda y: trim(substr(y, 4), ' ')), ' ') AS doc FROM l)
+    SELECT id, CASE WHEN trim(doc, ' ') <> '' THEN doc END AS doc FROM j""", "documented")
+def code_doc_comments(t):
+    return t("documented").select("id", cluster.doc_comment(F.col("content")).alias("doc"))
+
+
+SHAPES["changes"] = """SELECT doc_id, concat('--- a/Head.rs', chr(10), '+pub fn ', lang, '_run(x: ', source, 'Kind)', chr(10), '-', replace(replace(text, ' a', concat(chr(10), '+class A')), ' de', concat(chr(10), ' fn x', chr(10), '-const De'))) AS diff FROM {documents}"""
+BEFORE_SQL = ", ".join(f"regexp_extract(y, '^.*?{word}([\\p{{L}}\\p{{N}}_]*)', 1)" for word in diffs.BEFORE)
+
+
+@query(f"""WITH l AS (SELECT doc_id, list_transform(list_filter(string_split_regex(diff, '\\r?\\n'), lambda x: regexp_matches(x, '^[+-]') AND NOT regexp_matches(x, '^(\\+\\+\\+|---)')), lambda x: trim(substr(x, 2), ' ')) AS x FROM changes),
+    n AS (SELECT doc_id, flatten(list_transform(x, lambda y: list_concat(list_filter([{BEFORE_SQL}], lambda z: strlen(z) >= 2 AND regexp_matches(z, '^[\\p{{L}}_]') AND z NOT IN ({sql_list(diffs.RESERVED)})),
+        list_filter(string_split_regex(y, '[^\\p{{L}}\\p{{N}}_]'), lambda z: strlen(z) >= 3 AND regexp_matches(z, '^\\p{{Lu}}') AND regexp_matches(z, '\\p{{Ll}}'))))) AS names FROM l)
+    SELECT doc_id, array_to_string(list_sort(list_distinct(names)), ',') AS names FROM n""", "changes")
+def review_changed_names(t):
+    return t("changes").select("doc_id", F.array_join(F.array_sort(diffs.changed_names(F.col("diff"), 1 << 30)), ",").alias("names"))
+
+
+@query()
+def review_units(t):
+    """Documents as files of reviews by source and language, their lines of three sentences as hunks."""
+    d = t("documents").select(F.concat_ws("/", "source", "lang").alias("review"), F.col("doc_id").alias("file_no"), F.expr("concat('src/', doc_id, '.rs')").alias("file"), F.expr("case doc_id % 9 when 0 then 'removed' when 1 then 'renamed' else 'modified' end").alias("status"), F.expr("case when doc_id % 7 = 0 then 'summary' else 'kept' end").alias("disposition"), F.posexplode_outer(F.when(F.col("doc_id") % 9 != 1, F.split("text", r"\. "))).alias("hunk_no", "text"))
+    return diffs.units(d, 2_000, 100_000, 40).select("review", "file_no", "chunk", "chunks", "note", "chars", "oversized", F.sha2("diff", 256).alias("diff_sha256"))
+
+
+@query("""WITH s AS (SELECT s_name AS project, CAST(s_suppkey AS VARCHAR) AS version, s_suppkey % 3 AS kind FROM supplier)
+    SELECT project, project AS subject, 'has_language' AS predicate, CASE kind WHEN 0 THEN 'Rust' ELSE 'JavaScript' END AS object FROM s WHERE kind < 2 UNION ALL SELECT project, project, 'has_version', version FROM s WHERE kind < 2
+    UNION ALL SELECT project, project, 'has_dependency', 'left' FROM s WHERE kind = 1 UNION ALL SELECT project, project, 'has_description', concat('About ', version) FROM s WHERE kind < 2 UNION ALL SELECT project, project, 'bootstrapped_at', '2024-01-01T00:00:00Z' FROM s""")
+def memory_project_facts(t):
+    s = t("supplier").select(F.col("s_name").alias("project"), F.col("s_suppkey").cast("string").alias("v"), (F.col("s_suppkey") % 3).alias("kind"))
+    cargo = s.filter("kind = 0").select("project", F.lit("Cargo.toml").alias("file"), F.concat(F.lit('[package]\nname = "'), "project", F.lit('"\nversion = "'), "v", F.lit('"')).alias("content"))
+    package = s.filter("kind = 1").select("project", F.lit("package.json").alias("file"), F.to_json(F.struct(F.col("project").alias("name"), F.col("v").alias("version"), F.struct(F.lit("1").alias("left")).alias("dependencies"))).alias("content"))
+    about = s.select("project", F.lit("CLAUDE.md").alias("file"), F.concat(F.lit("# About "), "v").alias("content"))
+    return walk.project_facts(cargo.union(package).union(about), F.lit("2024-01-01").cast("timestamp")).drop("provenance")

@@ -5,20 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Folders that a tree scan skips, and the size of files above which it does.
-SKIPPED, LARGEST = (".git", "node_modules", "target", "dist", "build", "vendor", "__pycache__", ".venv"), 1 << 20
-
-
-def source_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """path and content of the text files below ``root`` that the rules keep."""
+#: File endings that a scan keeps.
+SOURCE_ENDINGS = "rs py ts tsx js jsx mjs cjs go java c cpp h hpp cs rb php swift kt kts scala groovy gradle sh md mdx yaml yml toml json xml txt log".split()
+#: Folders that a scan skips; ``skipped`` adds those of a team's own tools.
+SKIPPED = (
+    ".git target node_modules .venv venv __pycache__ dist build .build .next .nuxt .svelte-kit vendor .cargo .npm .cache .pnpm-store .yarn .rustup .tox .bundle coverage .nyc_output .pytest_cache .mypy_cache .ruff_cache"
+    " .gradle .mvn .m2 out bin classes generated generated-sources generated-test-sources cdk.out cdk.out2 .aws-sam .turbo .idea .vscode .claude .cursor .aider .continue .obsidian"
+    " fixtures __fixtures__ testdata test-data test_data testresources test_resources"
+).split()
+#: Lock files, binary endings, endings and name parts of prose, and the size of files above which a scan skips them.
+SKIPPED_FILES = "Cargo.lock package-lock.json yarn.lock pnpm-lock.yaml poetry.lock Pipfile.lock Gemfile.lock composer.lock go.sum".split()
+BINARY_ENDINGS = "wasm so dylib dll exe pdf png jpg jpeg gif ico webp zip tar gz bz2 xz 7z rar ttf otf woff woff2 mp3 mp4 mov avi mkv db sqlite lock pyc class o a".split()
+PROSE_ENDINGS, PROSE_NAMES = "md mdx rst adoc txt".split(), r"(?i)changelog|license|notice"
+LARGEST = 1 << 20
+
+
+def source_tree(spark: SparkSession, root: str, glob: str = "*", prose: bool = True, skipped: tuple[str, ...] = ()) -> DataFrame:
+    """path and content of the text files below ``root`` that the rules keep, from any storage that Spark reads.
+
+    Spark's readers leave out files and folders whose name begins with a dot or an underscore, ignore files among them;
+    ``walk.source_files`` reads those too, from mounted folders.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    kept = files.filter((F.col("length") <= LARGEST) & ~skipped_path(F.col("path")))
+    kept = files.filter((F.col("length") <= LARGEST) & ~skipped_path(F.col("path"), skipped) & kept_file(F.col("path"), prose))
     out = kept.select("path", F.decode("content", "UTF-8").alias("content"))
     return out.filter(~minified(F.col("path"), F.col("content")))
 
 
-def skipped_path(path: Column) -> Column:
-    return F.exists(F.split(path, "/"), lambda p: p.isin(*SKIPPED))
+def skipped_path(path: Column, skipped: tuple[str, ...] = ()) -> Column:
+    return F.exists(F.split(path, "/"), lambda p: p.isin(*SKIPPED, *skipped))
+
+
+def kept_file(path: Column, prose: bool = True) -> Column:
+    """Whether a file's name and ending are those of a source: no lock, binary, minified or bundled file, and no prose unless asked."""
+    name = F.element_at(F.split(path, "/"), -1)
+    ending = F.lower(F.regexp_extract(name, r"^.+\.([^.]+)$", 1))
+    bundled = name.rlike(r"\.(min|bundle)\.(js|css)$|\.chunk\.js$") | (ending.isin("js", "css") & name.rlike(r"-[A-Za-z0-9]{8,}\.[^.]+$"))
+    kept = ending.isin(*SOURCE_ENDINGS) & ~name.isin(*SKIPPED_FILES) & ~ending.isin(*BINARY_ENDINGS) & ~bundled
+    return kept if prose else kept & ~ending.isin(*PROSE_ENDINGS) & ~name.rlike(PROSE_NAMES)
 
 
 def minified(path: Column, content: Column) -> Column:
