@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,25 @@ def result(category: Column | str, confidence: float, method: str) -> Column:
 
 
 def exact_tier(message: Column, rules: list[tuple[str, str, int]]) -> Column:
-    """Of the rules (keyword, category, priority) whose keyword occurs, ignoring case, that of highest priority, the first on ties."""
-    ordered = sorted(enumerate(rules), key=lambda r: (-r[1][2], r[0]))
-    return F.coalesce(*[F.when(F.lower(message).contains(k.lower()), result(c, 1.0, "exact")) for _, (k, c, _) in ordered])
+    """Of the rules (keyword, category, priority) whose keyword occurs, ignoring case, that of highest priority, the first in the message on ties.
+
+    Keywords are found from left to right, the longest at each place, and do not overlap; of equal keywords the first counts.
+    """
+    known = {}
+    for k, c, priority in rules:
+        if k:
+            known.setdefault(k.lower(), (k, c, priority))
+    if not known:
+        return F.lit(None).cast("struct<category:string,confidence:double,method:string>")
+    pattern = "(?i)(" + "|".join(re.escape(k) for k, _, _ in sorted(known.values(), key=lambda r: -len(r[0]))) + ")"
+    table = F.create_map(*[x for k, (_, c, priority) in known.items() for x in (F.lit(k), F.struct(F.lit(priority).alias("priority"), F.lit(c).alias("category")))])
+
+    def placed(match: Column, place: Column) -> Column:
+        rule = F.element_at(table, F.lower(match))
+        return F.struct(rule["priority"].alias("priority"), (-place).alias("place"), rule["category"].alias("category"))
+
+    best = F.array_max(F.transform(F.regexp_extract_all(message, F.lit(pattern), F.lit(1)), placed))
+    return F.when(best.isNotNull(), result(best["category"], 1.0, "exact"))
 
 
 def regex_tier(message: Column, rules: list[tuple[str, str, int]], confidence: float = 0.85) -> Column:
@@ -31,6 +49,55 @@ def weighted_tier(message: Column, signals: dict[str, list[tuple[str, float]]],
     return F.when((ties == 1) & (top >= least), F.struct(name.alias("category"), F.least(top, F.lit(most)).alias("confidence"), F.lit("weighted").alias("method")))
 
 
+#: Categories of the scored tier with the words that speak for each.
+WORDS = {
+    "feature": "add implement feature support introduce create build new extend enable", "bugfix": "fix bug issue broken regression hotfix patch resolve repair correct",
+    "chore": "chore ci build ops release version bump update upgrade automate", "integration": "integrate api webhook sdk plugin connector bridge endpoint external third-party",
+    "platform": "perf performance infra infrastructure architecture devops deploy scale optimize database", "docs": "docs readme documentation comment typo copy translation locale i18n asset",
+    "refactor": "refactor cleanup rename deps dependency style lint format test remove", "merge": "",
+}
+#: Scores of one, two and more words; of a ticket in front; of short and long messages; of merges.
+WORD_SCORES, TICKET_SCORE, SHORT, LONG = (0.40, 0.60, 0.75), 0.05, 12, 80
+SHORT_SCORES, LONG_SCORES = {"chore": 0.10, "merge": 0.10, "refactor": 0.05, "feature": -0.05, "bugfix": -0.03}, {"feature": 0.10, "platform": 0.10, "refactor": 0.05, "bugfix": 0.05}
+MERGE_SCORE, OTHER_THAN_MERGE = 0.65, -0.05
+#: Paths of tests, prose and manifests, each with the scores of a commit all of whose files are such; less than half gives none.
+PATH_SCORES = (
+    (r"tests?/|spec/|_test\.rs$|_spec\.rb$|\.(test|spec)\.ts$", {"refactor": 0.20, "bugfix": 0.10}), (r"docs?/|\.(md|rst|txt)$", {"docs": 0.20}),
+    (r"(^|/)(Cargo\.toml|package\.json|pyproject\.toml|requirements\.txt|Gemfile|pom\.xml|build\.gradle|go\.mod|Pipfile|setup\.py|composer\.json)$", {"chore": 0.20, "refactor": 0.10}),
+)
+TICKET = r"^[A-Z][A-Z0-9]*-[0-9]+[:,-]*(\s|$)"
+
+
+def scored_tier(message: Column, is_merge: Column, paths: Column, least: float = 0.55, most: float = 0.95) -> Column:
+    """The category whose words, ticket, length, merge marks and file paths score highest, in 32-bit sums; null on ties and below ``least``."""
+    single = lambda x: F.lit(x).cast("float")
+    trimmed = F.regexp_replace(message, r"^\s+|\s+$", "")
+    lower, length = F.lower(trimmed), F.octet_length(trimmed)
+    merged = F.coalesce(is_merge, F.lit(False)) | lower.startswith("merge ")
+
+    def ratio_of(pattern: str) -> Column:
+        return (F.size(F.filter(paths, lambda p: p.rlike(pattern))).cast("double") / F.when(F.size(paths) > 0, F.size(paths))).cast("float")
+
+    ratios = [ratio_of(x) for x, _ in PATH_SCORES]
+
+    def score(category: str) -> Column:
+        n = sum((lower.contains(w).cast("int") for w in WORDS[category].split()), F.lit(0))
+        out = F.when(n == 0, single(0.0)).when(n == 1, single(WORD_SCORES[0])).when(n == 2, single(WORD_SCORES[1])).otherwise(single(WORD_SCORES[2]))
+        out = out + F.when(trimmed.rlike(TICKET), single(TICKET_SCORE)).otherwise(single(0.0))
+        out = out + F.when(length < SHORT, single(SHORT_SCORES.get(category, 0.0))).when(length > LONG, single(LONG_SCORES.get(category, 0.0))).otherwise(single(0.0))
+        out = out + F.when(merged, single(MERGE_SCORE if category == "merge" else OTHER_THAN_MERGE)).otherwise(single(0.0))
+        own = single(0.0)
+        for ratio, (_, weights) in zip(ratios, PATH_SCORES):
+            if category in weights:
+                own = own + F.when(ratio >= single(0.5), ratio * single(weights[category])).otherwise(single(0.0))
+        return out + own
+
+    scored = F.array(*[F.struct(score(c).alias("score"), F.lit(c).alias("category")) for c in WORDS])
+    top = F.array_max(F.transform(scored, lambda s: s["score"]))
+    first = F.filter(scored, lambda s: s["score"] == top)
+    return F.when((F.size(first) == 1) & (top >= single(least)), F.struct(first[0]["category"].alias("category"), F.least(top.cast("double"), F.lit(most)).alias("confidence"), F.lit("weighted").alias("method")))
+
+
 def fuzzy_tier(message: Column, is_merge: Column) -> Column:
     lower = F.lower(F.trim(message))
     return (

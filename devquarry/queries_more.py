@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import code, rules, text
-from .operators import cluster, delivery, diffs, graph, index, memory, reports, retrieval
+from .operators import classify, cluster, delivery, diffs, graph, index, memory, reports, retrieval
 from .plans import search
 from .queries import DECISION_SQL, SHAPES, checkpointed, first_vector, indexed, lexical_lane, query, sql_list, vectors
 from .queries import BM25_SQL, COS_SQL
@@ -588,3 +588,33 @@ def memory_project_facts(t):
     package = s.filter("kind = 1").select("project", F.lit("package.json").alias("file"), F.to_json(F.struct(F.col("project").alias("name"), F.col("v").alias("version"), F.struct(F.lit("1").alias("left")).alias("dependencies"))).alias("content"))
     about = s.select("project", F.lit("CLAUDE.md").alias("file"), F.concat(F.lit("# About "), "v").alias("content"))
     return walk.project_facts(cargo.union(package).union(about), F.lit("2024-01-01").cast("timestamp")).drop("provenance")
+
+
+SHAPES["worded"] = """SELECT o_orderkey AS sha, o_orderkey % 13 = 0 AS is_merge, concat(CASE o_orderkey % 6 WHEN 0 THEN 'AB-12: ' WHEN 1 THEN 'Merge branch ' WHEN 2 THEN ' ab-1 ' ELSE '' END, CASE o_orderkey % 11 WHEN 0 THEN 'Fix broken cache' WHEN 1 THEN 'add' WHEN 2 THEN 'Refactor and rename parser tests'
+    WHEN 3 THEN 'docs: typo in readme' WHEN 4 THEN 'bump version' WHEN 5 THEN 'integrate webhook API' WHEN 6 THEN 'fix and add' WHEN 7 THEN 'hotfixes' WHEN 8 THEN 'x' ELSE o_comment END) AS message,
+    concat(CASE WHEN o_orderkey % 4 = 0 THEN 'a/tests/x.rs;' ELSE 'src/y.rs;' END, CASE o_orderkey % 5 WHEN 0 THEN 'docs/a.md' WHEN 1 THEN 'b/Cargo.toml' WHEN 2 THEN 'tests/t.ts' ELSE 'z.rs' END) AS paths FROM {orders}""".replace("o_comment", "o_orderpriority")
+
+
+def scored_sql() -> str:
+    """The scores by category, as 32-bit sums."""
+    single = lambda x: f"{x}::FLOAT"
+    sums = []
+    for c, words in classify.WORDS.items():
+        n = " + ".join(f"CAST(contains(l, '{w}') AS INT)" for w in words.split()) or "0"
+        parts = [f"CASE {n} WHEN 0 THEN {single(0)} WHEN 1 THEN {single(0.4)} WHEN 2 THEN {single(0.6)} ELSE {single(0.75)} END", f"CASE WHEN regexp_matches(m, '{classify.TICKET}') THEN {single(0.05)} ELSE {single(0)} END"]
+        parts.append(f"CASE WHEN strlen(m) < 12 THEN {single(classify.SHORT_SCORES.get(c, 0))} WHEN strlen(m) > 80 THEN {single(classify.LONG_SCORES.get(c, 0))} ELSE {single(0)} END")
+        parts.append(f"CASE WHEN is_merge OR starts_with(l, 'merge ') THEN {single(0.65 if c == 'merge' else -0.05)} ELSE {single(0)} END")
+        own = " + ".join(f"CASE WHEN r{i} >= 0.5 THEN r{i} * {single(w[c])} ELSE {single(0)} END" for i, (_, w) in enumerate(classify.PATH_SCORES) if c in w)
+        sums.append(f"({' + '.join(parts)} + ({own or single(0)})) AS {c}")
+    return ", ".join(sums)
+
+
+PATH_RATIOS_SQL = ", ".join(f"len(list_filter(p, lambda x: regexp_matches(x, '{pattern}')))::FLOAT / len(p)::FLOAT AS r{i}" for i, (pattern, _) in enumerate(classify.PATH_SCORES))
+
+
+@query(f"""WITH a AS (SELECT sha, is_merge, trim(message) AS m, lower(trim(message)) AS l, string_split(paths, ';') AS p FROM worded), b AS (SELECT *, {PATH_RATIOS_SQL} FROM a), s AS (SELECT sha, {scored_sql()} FROM b),
+    g AS (SELECT sha, unnest([{', '.join(f"{{'c': '{c}', 's': {c}}}" for c in classify.WORDS)}]) AS x FROM s), k AS (SELECT sha, max(x.s) AS top FROM g GROUP BY sha), f AS (SELECT sha, any_value(x.c) AS c, any_value(top) AS top, count(*) AS n FROM g JOIN k USING (sha) WHERE x.s = top GROUP BY sha)
+    SELECT sha, c AS category, round(least(top::DOUBLE, 0.95), 6) AS confidence FROM f WHERE n = 1 AND top >= 0.55::FLOAT""", "worded")
+def git_scored_classification(t):
+    found = classify.scored_tier(F.col("message"), F.col("is_merge"), F.split("paths", ";"))
+    return t("worded").select("sha", found.alias("w")).filter("w is not null").select("sha", "w.category", F.round("w.confidence", 6).alias("confidence"))

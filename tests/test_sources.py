@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from devquarry.operators import cluster, diffs
+from devquarry.operators import classify, cluster, diffs
 from devquarry.sources import files, scip, walk
 
 
@@ -153,3 +153,17 @@ def test_names_and_sections(spark):
     source = "/// Title\n/// Why: first\n///  more words\n\n/// What: does it\n/// Test: none\n/// not taken\nfn f() {}\n/// Why: late"
     asked = spark.createDataFrame([(source,), ("# Why:\n# What: py\nx = 1",), ("code\n/// Why: no",), (None,)], "s string").select(diffs.doc_sections(F.col("s")).alias("d")).select("d.*").collect()
     assert [tuple(r) for r in asked] == [("first more words", "does it"), (None, "py"), (None, None), (None, None)]
+
+
+def test_keywords_do_not_overlap(spark):
+    rules = [("re", "a", 9), ("revert", "b", 50), ("vertex", "c", 90), ("Fix.", "d", 50), ("", "e", 99), ("fix.", "f", 100)]
+    cases = {"Revertex": "b", "vertex revert": "c", "fix. then revert": "d", "REVERT fix.": "b", "fixe": None, "pre": "a", "": None}
+    df = spark.createDataFrame([(x,) for x in cases], "m string").select("m", classify.exact_tier(F.col("m"), rules).alias("x"), classify.exact_tier(F.col("m"), []).alias("y"))
+    assert {r.m: r.x and r.x.category for r in df.collect()} == cases and df.filter("y is not null").count() == 0
+
+
+def test_scores_of_messages(spark):
+    rows = [("Merge branch x", False, []), ("fix bug", False, []), ("add support for new feature", False, []), ("", False, []), ("fix add", False, []), (" AB-1: fix", False, []), ("tidy", True, []), ("docs", False, ["a.md", "b.md"]), ("fix", None, None), (None, False, [])]
+    df = spark.createDataFrame(rows, "m string, g boolean, p array<string>").select(classify.scored_tier(F.col("m"), F.col("g"), F.col("p")).alias("w"))
+    found = [r.w and (r.w.category, round(r.w.confidence, 4)) for r in df.collect()]
+    assert found == [("merge", 0.65), ("bugfix", 0.57), ("feature", 0.75), None, None, None, ("merge", 0.75), ("docs", 0.6), None, None]
