@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import code
+from ..sources import files
+
 #: Bytes of a unit, bytes of all units of a review, and units of a review.
 UNIT, TOTAL, CALLS = 120_000, 1_000_000, 40
 #: Words before a name, in the order in which a line is searched, and short words that are no names.
@@ -13,6 +16,8 @@ BEFORE = (
     "fn ", "def ", "class ", "struct ", "type ", "impl ", "interface ", "const ", "enum ", "trait ", "async fn ", "pub fn ", "pub struct ", "pub enum ", "pub trait ", "pub type ", "pub const ", "private ", "protected ",
 )
 RESERVED = ("if", "as", "fn", "in", "is", "do", "be", "by", "or")
+#: What the smells are called in a review, and how severe they are.
+SMELLS = {"long_function": ("long_method", "medium"), "deep_nesting": ("deep_nesting", "high"), "too_many_params": ("too_many_params", "medium"), "missing_docstring": ("missing_docstring", "low")}
 
 
 def units(hunks: DataFrame, unit: int = UNIT, total: int = TOTAL, calls: int = CALLS) -> DataFrame:
@@ -119,3 +124,49 @@ def doc_sections(source: Column) -> Column:
         return F.struct(done.alias("done"), F.when(head != "", head).otherwise(s["at"]).alias("at"), section("Why", "why").alias("why"), section("What", "what").alias("what"))
 
     return F.aggregate(lines, blank, step, lambda s: F.struct(F.nullif(s["why"], F.lit("")).alias("why"), F.nullif(s["what"], F.lit("")).alias("what")))
+
+
+def reviewed_files(diffs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """id, file, changed, source, modified_chunks, cyclomatic, cognitive, grade, smells and recommendations of each file of unified diffs (id, diff).
+
+    A file with indexed chunks (file, start_line, end_line, content) is measured on all of them in their order, another on
+    its added lines. Modified are the chunks that hold an added line. Smells are placed at the first added line. A file's
+    chunks make one text, which the limit on scanned files bounds; files outside the diffs are not read further.
+    """
+    changed = diffs.select("id", F.explode(files.changed_files(F.col("diff"))).alias("file")).distinct()
+    added = files.added_text(diffs).filter("file is not null")
+    joined = lambda *order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x[order[-1]]), "\n")
+    new = added.groupBy("id", "file").agg(F.count("*").alias("changed"), F.min("line").alias("line"), joined("line", "text").alias("new_text"))
+    wanted = chunks.select("file", "start_line", "end_line", "content").join(changed.select("file").distinct(), "file", "left_semi")
+    indexed = wanted.groupBy("file").agg(joined("start_line", "end_line", "content").alias("old_text"))
+    pairs = wanted.select("file", "start_line", "end_line").join(changed, "file")
+    lines = added.select(F.col("id").alias("i"), F.col("file").alias("f"), "line")
+    touched = pairs.join(lines, (F.col("id") == F.col("i")) & (F.col("file") == F.col("f")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left_semi").groupBy("id", "file").agg(F.count("*").alias("touched"))
+    rows = changed.join(new, ["id", "file"], "left").join(indexed, "file", "left").join(touched, ["id", "file"], "left")
+    text, old = F.coalesce("old_text", "new_text", F.lit("")), F.col("old_text").isNotNull()
+    found = rows.select(
+        "id", "file", F.coalesce("changed", F.lit(0)).alias("changed"), F.coalesce("line", F.lit(0)).alias("line"), F.when(old, "indexed").otherwise("new_file").alias("source"),
+        F.when(old, F.coalesce("touched", F.lit(0))).alias("modified_chunks"), code.cyclomatic(text).alias("cyclomatic"), code.cognitive(text).alias("cognitive"), code.smells(text).alias("names"),
+    ).withColumn("grade", code.grade(F.col("cyclomatic")))
+    near = lambda told, rest: F.concat(F.lit(f"{told} near line "), F.col("line").cast("string"), rest)
+    advice = F.create_map(
+        F.lit("long_function"), near("Long method detected", F.concat(F.lit("; split the "), F.col("changed").cast("string"), F.lit("-line change into focused functions"))),
+        F.lit("deep_nesting"), near("Deep nesting", F.lit("; use early returns or guard clauses")), F.lit("too_many_params"), near("Too many parameters", F.lit("; group related arguments into a struct")),
+        F.lit("missing_docstring"), F.lit("Add a doc comment explaining the intent of the new code"),
+    )
+    complex_ = F.when(F.col("grade") >= "C", F.concat(F.lit("Cyclomatic complexity is "), F.col("cyclomatic").cast("string"), F.lit(" (grade "), F.col("grade"), F.lit("); extract logic into smaller helper functions")))
+    known = F.when(F.col("modified_chunks") > 0, F.concat(F.lit("This change modifies "), F.col("modified_chunks").cast("string"), F.lit(" already-indexed chunk(s); review their existing complexity before merging")))
+    table = F.create_map(*[x for k, (name, severity) in SMELLS.items() for x in (F.lit(k), F.struct(F.lit(name).alias("category"), F.lit(severity).alias("severity")))])
+    smells = F.transform("names", lambda n: F.struct(table[n]["category"].alias("category"), F.col("line").alias("line"), table[n]["severity"].alias("severity")))
+    told = F.array_compact(F.concat(F.array(complex_), F.transform("names", lambda n: advice[n]), F.array(known)))
+    return found.select("id", "file", "changed", "source", "modified_chunks", "cyclomatic", "cognitive", "grade", smells.alias("smells"), told.alias("recommendations"))
+
+
+def review_reports(diffs: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """id, files, overall_grade (the worst), changed_lines, smell_count and summary of each diff; one without files has grade A."""
+    sums = reviewed.groupBy("id").agg(F.count("*").alias("n"), F.max("grade").alias("worst"), F.sum("changed").alias("lines"), F.sum(F.size("smells")).alias("found"), F.count_if(F.col("source") == "indexed").alias("old"))
+    all_ = diffs.select("id").distinct().join(sums, "id", "left")
+    out = all_.select("id", F.coalesce("n", F.lit(0)).alias("files"), F.coalesce("worst", F.lit("A")).alias("overall_grade"), F.coalesce("lines", F.lit(0)).alias("changed_lines"), F.coalesce("found", F.lit(0)).alias("smell_count"), F.coalesce("old", F.lit(0)).alias("old"))
+    many = lambda column: F.when(F.col(column) == 1, "").otherwise("s")
+    summary = F.format_string("%d file%s analyzed (%d indexed, %d new); %d smell%s found; overall grade %s", "files", many("files"), "old", F.col("files") - F.col("old"), "smell_count", many("smell_count"), "overall_grade")
+    return out.withColumn("summary", summary).drop("old")

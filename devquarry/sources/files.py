@@ -65,6 +65,11 @@ def changed_files(diff: Column) -> Column:
 
 def added_lines(diffs: DataFrame) -> DataFrame:
     """id, file and line of what unified diffs (id, diff) add."""
+    return added_text(diffs).drop("text")
+
+
+def added_text(diffs: DataFrame) -> DataFrame:
+    """id, file, line and text of what unified diffs (id, diff) add."""
     text = diffs.select("id", F.posexplode(F.split("diff", "\n")).alias("n", "value"))
     own = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     named = text.withColumn("file", F.last(F.nullif(F.regexp_extract("value", r"^\+\+\+ b/(\S+)", 1), F.lit("")), True).over(own))
@@ -72,7 +77,7 @@ def added_lines(diffs: DataFrame) -> DataFrame:
     named = named.withColumn("hunk", F.last(hunk, True).over(own))
     moved = F.when((F.col("n") > F.col("hunk.n")) & ~F.col("value").rlike(r"^[-\\]"), 1).otherwise(0)
     placed = named.withColumn("moved", F.sum(moved).over(Window.partitionBy("id", "hunk.n").orderBy("n")))
-    return placed.filter(F.col("value").rlike(r"^\+(?!\+\+ )") & F.col("hunk").isNotNull()).select("id", "file", (F.col("hunk.at") + F.col("moved") - 1).alias("line"))
+    return placed.filter(F.col("value").rlike(r"^\+(?!\+\+ )") & F.col("hunk").isNotNull()).select("id", "file", (F.col("hunk.at") + F.col("moved") - 1).alias("line"), F.substring("value", F.lit(2), F.length("value")).alias("text"))
 
 
 def category_text(counts: Column) -> Column:

@@ -167,3 +167,21 @@ def test_scores_of_messages(spark):
     df = spark.createDataFrame(rows, "m string, g boolean, p array<string>").select(classify.scored_tier(F.col("m"), F.col("g"), F.col("p")).alias("w"))
     found = [r.w and (r.w.category, round(r.w.confidence, 4)) for r in df.collect()]
     assert found == [("merge", 0.65), ("bugfix", 0.57), ("feature", 0.75), None, None, None, ("merge", 0.75), ("docs", 0.6), None, None]
+
+
+def test_reviews_of_diffs(spark):
+    mixed = "--- a/old.rs\n+++ b/old.rs\n@@ -1,2 +2,3 @@\n fn a() {}\n+fn a2() {}\n--- /dev/null\n+++ b/new.rs\n@@ -0,0 +1,1 @@\n+/// doc of b\n"
+    body = "fn big() {\n" + "if x && y { z }\n" * 8 + "}"
+    df = spark.createDataFrame([(1, mixed), (2, "")], "id int, diff string")
+    chunks = spark.createDataFrame([("old.rs", 1, 3, body), ("old.rs", 10, 20, "fn other() {}"), ("else.rs", 1, 9, "x")], "file string, start_line long, end_line long, content string")
+    found = diffs.reviewed_files(df, chunks)
+    rows = {r.file: r for r in found.collect()}
+    assert set(rows) == {"old.rs", "new.rs"}
+    old, new = rows["old.rs"], rows["new.rs"]
+    assert (old.source, old.modified_chunks, old.cyclomatic, old.grade, old.changed) == ("indexed", 1, 17, "D", 1)
+    assert [tuple(x) for x in old.smells] == [("missing_docstring", 3, "low")]
+    assert old.recommendations[0] == "Cyclomatic complexity is 17 (grade D); extract logic into smaller helper functions" and len(old.recommendations) == 3 and "modifies 1 already" in old.recommendations[2]
+    assert (new.source, new.modified_chunks, new.grade, new.smells, new.recommendations) == ("new_file", None, "A", [], [])
+    reports = {r.id: r for r in diffs.review_reports(df, found).collect()}
+    assert reports[1].summary == "2 files analyzed (1 indexed, 1 new); 1 smell found; overall grade D" and reports[1].changed_lines == 2
+    assert reports[2].summary == "0 files analyzed (0 indexed, 0 new); 0 smells found; overall grade A"
