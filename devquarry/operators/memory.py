@@ -129,3 +129,55 @@ def consolidate(drawers: DataFrame, actions: DataFrame) -> DataFrame:
     """Drawers (id, importance, tags) after actions (kept, superseded): a kept one takes the greatest importance and all tags, superseded ones go."""
     named = drawers.join(actions.select(F.col("superseded").alias("id"), "kept"), "id", "left").withColumn("owner", F.coalesce("kept", "id"))
     return named.groupBy(F.col("owner").alias("id")).agg(F.max("importance").alias("importance"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
+
+
+#: The fields of a model's actions, those that each kind needs, and the least importance of merged drawers.
+ACTION = "array<struct<action:string,`from`:string,`to`:string,canonical_content:string,superseded_ids:array<string>,drawer_id:string,reason:string>>"
+NEEDED = {"alias": ("from", "to"), "merge": ("canonical_content", "superseded_ids"), "flag": ("drawer_id", "reason")}
+LEAST_IMPORTANCE = 0.5
+
+
+def parsed_actions(answer: Column) -> Column:
+    """The actions in a model's answer, from its first [ to its last ]; none if that is no list of whole, known actions."""
+    found = F.from_json(F.regexp_extract(answer, r"(?s)(\[.*\])", 1), ACTION)
+
+    def whole(a: Column) -> Column:
+        known = F.lit(False)
+        for kind, needs in NEEDED.items():
+            own = a["action"] == kind
+            for n in needs:
+                own = own & a[n].isNotNull()
+            known = known | own
+        return F.coalesce(known, F.lit(False))
+
+    return F.when(F.forall(found, whole), found).otherwise(F.from_json(F.lit("[]"), ACTION))
+
+
+def planned_calls(batches: DataFrame, cache: DataFrame, most: int = 20) -> DataFrame:
+    """batch, cache_key and answer of the batches (batch, cache_key) of a cycle: answered from the cache, or with no answer and to be asked.
+
+    Batches go in their order until ``most`` calls are used up. A key that occurs again is asked once. Of several cached answers of a key the smallest counts.
+    """
+    known = batches.join(cache.groupBy("cache_key").agg(F.min("answer").alias("answer")), "cache_key", "left")
+    asked = known.filter("answer is null").groupBy("cache_key").agg(F.min("batch").alias("first"))
+    last = asked.orderBy("first").limit(most).agg(F.max("first").alias("last"), F.count("*").alias("n"))
+    # the cycle ends as soon as its calls are used up, cached batches after the last call included
+    return known.join(F.broadcast(last)).filter((F.col("n") < most) | (F.col("batch") <= F.col("last"))).select("batch", "cache_key", "answer")
+
+
+def applied_actions(drawers: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Merged drawers, aliases, flags and superseded ids from the answers (batch, answer) for drawers (batch, place, id, importance, tags).
+
+    A merged drawer (batch, at, content, importance, tags, canonical_for) has the greatest importance of those it replaces, 0.5
+    at least, and their tags in the order of drawers, each once; ids outside the batch only count as superseded.
+    """
+    actions = answers.select("batch", F.posexplode(parsed_actions(F.col("answer"))).alias("at", "a"))
+    merges = actions.filter("a.action = 'merge'").select("batch", "at", F.col("a.canonical_content").alias("content"), F.col("a.superseded_ids").alias("canonical_for"))
+    named = merges.select("batch", "at", F.explode(F.array_distinct("canonical_for")).alias("key"))
+    met = named.join(drawers.select("batch", "place", F.col("id").cast("string").alias("key"), "importance", "tags"), ["batch", "key"])
+    tags = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("tags", F.expr("cast(array() as array<string>)")).alias("tags")))), lambda x: x["tags"])))
+    merged = met.groupBy("batch", "at").agg(F.max("importance").alias("most"), tags.alias("tags"))
+    out = merges.join(merged, ["batch", "at"], "left").select("batch", "at", "content", F.greatest(F.coalesce("most", F.lit(LEAST_IMPORTANCE)), F.lit(LEAST_IMPORTANCE)).alias("importance"), F.coalesce("tags", F.expr("cast(array() as array<string>)")).alias("tags"), "canonical_for")
+    aliases = actions.filter("a.action = 'alias'").select("batch", "at", F.col("a.from").alias("alias"), F.col("a.to").alias("name"))
+    flags = actions.filter("a.action = 'flag'").select("batch", "at", F.col("a.drawer_id").alias("id"), F.col("a.reason").alias("reason"))
+    return out, aliases, flags, merges.select(F.explode("canonical_for").alias("id")).distinct()

@@ -618,3 +618,24 @@ PATH_RATIOS_SQL = ", ".join(f"len(list_filter(p, lambda x: regexp_matches(x, '{p
 def git_scored_classification(t):
     found = classify.scored_tier(F.col("message"), F.col("is_merge"), F.split("paths", ";"))
     return t("worded").select("sha", found.alias("w")).filter("w is not null").select("sha", "w.category", F.round("w.confidence", 6).alias("confidence"))
+
+
+@query()
+def review_diff_reports(t):
+    """Documents as diffs of fifty files, half of which have documents as indexed chunks."""
+    d = t("documents").selectExpr("doc_id as id", "concat('+++ b/f', doc_id % 50, '.rs\\n@@ -0,0 +', doc_id % 30 + 1, ',9 @@\\n+', replace(text, '. ', '\\n+')) as diff")
+    chunks = t("documents").selectExpr("concat('f', doc_id % 25, '.rs') as file", "doc_id % 7 * 10 + 1 as start_line", "doc_id % 7 * 10 + 10 as end_line", "left(text, 1000) as content")
+    return diffs.review_reports(d, diffs.reviewed_files(d, chunks))
+
+
+@query("""WITH a AS (SELECT o_custkey AS batch, o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'merge' WHEN 1 THEN 'flag' ELSE 'bad' END AS kind, o_totalprice / 1e6 AS importance, o_orderpriority AS tag FROM orders),
+    g AS (SELECT batch, list_sort(list(id) FILTER (kind = 'merge')) AS ids, count(*) FILTER (kind = 'bad') AS bad FROM a GROUP BY batch), k AS (SELECT * FROM g WHERE bad = 0 AND len(ids) > 0)
+    SELECT k.batch, array_to_string(any_value(ids), ',') AS canonical_for, round(greatest(max(importance), 0.5), 9) AS importance, array_to_string(list_sort(list_distinct(list(tag))), ',') AS tags FROM k JOIN a ON a.batch = k.batch AND list_contains(ids, a.id) GROUP BY k.batch""")
+def memory_applied_actions(t):
+    o = t("orders").select(F.col("o_custkey").alias("batch"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("place"), (F.col("o_totalprice") / 1e6).alias("importance"), F.array("o_orderpriority").alias("tags"))
+    ids = F.array_sort(F.collect_list(F.when(F.col("id") % 3 == 0, F.col("id").cast("long"))))
+    wrong = F.count_if(F.col("id") % 3 == 2)
+    merge = F.to_json(F.struct(F.lit("merge").alias("action"), F.lit("c").alias("canonical_content"), F.transform(ids, lambda x: x.cast("string")).alias("superseded_ids")))
+    answers = o.groupBy("batch").agg(F.when(F.size(ids) > 0, F.concat(F.lit("```json\n["), merge, F.when(wrong > 0, ',{"action":"bad"}').otherwise(""), F.lit("]\n```"))).otherwise("none").alias("answer"))
+    found = memory.applied_actions(o, answers)[0]
+    return found.select("batch", F.array_join("canonical_for", ",").alias("canonical_for"), F.round("importance", 9).alias("importance"), F.array_join(F.array_sort("tags"), ",").alias("tags"))

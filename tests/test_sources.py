@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from devquarry.operators import classify, cluster, diffs
+from devquarry.operators import classify, cluster, diffs, memory
 from devquarry.sources import files, scip, walk
 
 
@@ -185,3 +185,19 @@ def test_reviews_of_diffs(spark):
     reports = {r.id: r for r in diffs.review_reports(df, found).collect()}
     assert reports[1].summary == "2 files analyzed (1 indexed, 1 new); 1 smell found; overall grade D" and reports[1].changed_lines == 2
     assert reports[2].summary == "0 files analyzed (0 indexed, 0 new); 0 smells found; overall grade A"
+
+
+def test_consolidation(spark):
+    answers = {
+        1: '```json\n[{"action":"merge","canonical_content":"C","superseded_ids":["b","a","zz"]},{"action":"alias","from":"x","to":"y"},{"action":"flag","drawer_id":"a","reason":"r"}]\n```', 2: "sorry", 3: '[{"action":"merge","canonical_content":"D"}]',
+        4: '[{"action":"merge","canonical_content":"E","superseded_ids":["q"]}]', 5: None, 6: "[]", 7: '[{"action":"alias","from":"x"',
+    }
+    drawers = spark.createDataFrame([(1, 0, "a", 0.2, ["t", "u"]), (1, 1, "b", 0.9, ["u", "v"]), (1, 2, "c", 1.0, ["w"]), (4, 0, "a", 0.9, None)], "batch int, place int, id string, importance double, tags array<string>")
+    merged, aliases, flags, gone = memory.applied_actions(drawers, spark.createDataFrame(list(answers.items()), "batch int, answer string"))
+    assert {(r.batch, r.content, r.importance, tuple(r.tags)) for r in merged.collect()} == {(1, "C", 0.9, ("t", "u", "v")), (4, "E", 0.5, ())}
+    assert [(r.alias, r.name) for r in aliases.collect()] == [("x", "y")] and [(r.id, r.reason) for r in flags.collect()] == [("a", "r")]
+    assert {r.id for r in gone.collect()} == {"a", "b", "zz", "q"}
+    batches = spark.createDataFrame([(i, k) for i, k in enumerate("abcadeb")], "batch int, cache_key string")
+    cache = spark.createDataFrame([("b", "1"), ("b", "0")], "cache_key string, answer string")
+    plan = lambda most: [(r.batch, r.answer) for r in memory.planned_calls(batches, cache, most).orderBy("batch").collect()]
+    assert plan(2) == [(0, None), (1, "0"), (2, None)] and len(plan(20)) == 7 and plan(3)[-1] == (4, None)
