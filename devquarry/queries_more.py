@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import code, rules, text
-from .operators import classify, cluster, delivery, diffs, graph, index, memory, reports, retrieval
+from .operators import classify, cluster, delivery, diffs, entities, graph, index, memory, reports, retrieval
 from .plans import search
 from .queries import DECISION_SQL, SHAPES, checkpointed, first_vector, indexed, lexical_lane, query, sql_list, vectors
 from .queries import BM25_SQL, COS_SQL
@@ -639,3 +639,17 @@ def memory_applied_actions(t):
     answers = o.groupBy("batch").agg(F.when(F.size(ids) > 0, F.concat(F.lit("```json\n["), merge, F.when(wrong > 0, ',{"action":"bad"}').otherwise(""), F.lit("]\n```"))).otherwise("none").alias("answer"))
     found = memory.applied_actions(o, answers)[0]
     return found.select("batch", F.array_join("canonical_for", ",").alias("canonical_for"), F.round("importance", 9).alias("importance"), F.array_join(F.array_sort("tags"), ",").alias("tags"))
+
+
+SHAPES["rusty"] = """SELECT CAST(doc_id AS STRING) AS file, concat('x', regexp_replace(lower(concat(source, '')), '[^a-z0-9]', '_')) AS own, concat('"', replace(replace(coalesce(text, ''), '"', ''), chr(92), ''), '"') AS told, CAST(doc_id % 10 AS STRING) AS n FROM {documents}""".replace(
+    "regexp_replace(lower(concat(source, '')), '[^a-z0-9]', '_')", "translate(lower(source), '-. /:', '_____')"
+)
+
+
+@query("""WITH s AS (SELECT file, own, told, strlen(own) AS k, strlen(n) AS d, n FROM rusty)
+    SELECT file, 'ExternalCrate' AS kind, own AS text, 0 AS "start", 8 + k + d AS "end", CAST(1 AS BIGINT) AS line FROM s UNION ALL SELECT file, 'ModulePath', concat(own, '::a', n), 0, 8 + k + d, 1 FROM s
+    UNION ALL SELECT file, 'ModulePath', concat(own, '::a', n), 4, 4 + k + 3 + d, 1 FROM s UNION ALL SELECT file, 'Annotation', concat('#[', own, ']'), 9 + k + d, 9 + k + d + k + 3, 2 FROM s
+    UNION ALL SELECT file, 'LiteralString', told, 30 + k + k + d, 30 + k + k + d + strlen(told), 3 FROM s WHERE strlen(told) >= 13""", "rusty")
+def code_entities(t):
+    sources = t("rusty").select("file", F.lit("rust").alias("language"), F.expr("concat('use ', own, '::a', n, ';\\n#[', own, ']\\nfn f() { let t = ', told, '; }')").alias("content"))
+    return entities.entities(sources).drop("id")

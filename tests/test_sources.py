@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from devquarry.operators import classify, cluster, diffs, memory
+from devquarry.operators import classify, cluster, diffs, entities, memory
 from devquarry.sources import files, scip, walk
 
 
@@ -201,3 +201,29 @@ def test_consolidation(spark):
     cache = spark.createDataFrame([("b", "1"), ("b", "0")], "cache_key string, answer string")
     plan = lambda most: [(r.batch, r.answer) for r in memory.planned_calls(batches, cache, most).orderBy("batch").collect()]
     assert plan(2) == [(0, None), (1, "0"), (2, None)] and len(plan(20)) == 7 and plan(3)[-1] == (4, None)
+
+
+def test_entities_of_sources(spark):
+    source = '''use std::sync::Arc;
+use serde::{Deserialize, Serialize};
+// Comment with NotAType and "not a string literal"
+#[derive(Debug)]
+pub struct MyType<T: Clone + Send> { v: Vec<T> }
+type Alias = Option<MyType<u8>>;
+fn run(x: &str) -> Outcome { let é = "a long literal"; if bad { bail!("no {}", x) } open(x).unwrap(); Arc::new("short") }
+#[test]
+fn it_works() { let made = Arc::new(MyType { v: 1 }); check(made) }
+'''
+    df = spark.createDataFrame([("a.rs", "rust", source), ("b.py", "python", "# NoType\nclass Foo(Base):\n    x = 'Quoted'\n"), ("c.cpp", "cpp", "std::map<Key, int> m;"), ("d.zig", "zig", "const X"), ("e.rs", "rust", None), ("f.rs", "rust", "")], "file string, language string, content string")
+    found = entities.entities(df).cache()
+    of = lambda file, kind: [r.text for r in found.filter(f"file = '{file}' and kind = '{kind}'").orderBy("start").collect()]
+    assert of("a.rs", "ExternalCrate") == ["serde"] and of("a.rs", "Annotation") == ["#[derive(Debug)]", "#[test]"] and of("a.rs", "LiteralString") == ['"a long literal"']
+    assert set(of("a.rs", "NamedType")) == {"MyType", "T", "Clone", "Send", "Vec", "Alias", "Option", "Outcome"} and of("a.rs", "TraitBound") == [": Clone + Send"]
+    assert set(of("a.rs", "ModulePath")) == {"std::sync::Arc", "std::sync", "serde::{Deserialize, Serialize}", "Arc::new"}
+    assert of("a.rs", "ErrorVariant") == ['bail!("no {}", x)', "open(x).unwrap()"] and of("a.rs", "TypeAlias") == ["type Alias = Option<MyType<u8>>;"]
+    assert of("a.rs", "TestRelation") == ["made", "Arc", "new", "v", "check", "made"]
+    assert of("b.py", "NamedType") == ["Foo", "Base"] and of("c.cpp", "ModulePath") == ["std::map"] and of("c.cpp", "NamedType") == ["Key"]
+    raw = source.encode()
+    for r in found.filter("file = 'a.rs' and kind not in ('ExternalCrate', 'ModulePath')").collect():
+        assert raw[r.start : r.end].decode() == r.text and raw[: r.start].count(b"\n") + 1 == r.line
+    assert found.filter("file > 'c.cpp'").count() == 0 and {r.kind for r in entities.entities_of(found, "TypeAlias").collect()} == {"TypeAlias"}
