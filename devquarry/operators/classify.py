@@ -72,30 +72,33 @@ def scored_tier(message: Column, is_merge: Column, paths: Column, least: float =
     """The category whose words, ticket, length, merge marks and file paths score highest, in 32-bit sums; null on ties and below ``least``."""
     single = lambda x: F.lit(x).cast("float")
     trimmed = F.regexp_replace(message, r"^\s+|\s+$", "")
-    lower, length = F.lower(trimmed), F.octet_length(trimmed)
-    merged = F.coalesce(is_merge, F.lit(False)) | lower.startswith("merge ")
 
     def ratio_of(pattern: str) -> Column:
         return (F.size(F.filter(paths, lambda p: p.rlike(pattern))).cast("double") / F.when(F.size(paths) > 0, F.size(paths))).cast("float")
 
-    ratios = [ratio_of(x) for x, _ in PATH_SCORES]
-
-    def score(category: str) -> Column:
-        n = sum((lower.contains(w).cast("int") for w in WORDS[category].split()), F.lit(0))
-        out = F.when(n == 0, single(0.0)).when(n == 1, single(WORD_SCORES[0])).when(n == 2, single(WORD_SCORES[1])).otherwise(single(WORD_SCORES[2]))
-        out = out + F.when(trimmed.rlike(TICKET), single(TICKET_SCORE)).otherwise(single(0.0))
-        out = out + F.when(length < SHORT, single(SHORT_SCORES.get(category, 0.0))).when(length > LONG, single(LONG_SCORES.get(category, 0.0))).otherwise(single(0.0))
-        out = out + F.when(merged, single(MERGE_SCORE if category == "merge" else OTHER_THAN_MERGE)).otherwise(single(0.0))
+    def score(category: str, v: Column) -> Column:
+        n = sum((v["lower"].contains(w).cast("int") for w in WORDS[category].split()), F.lit(0))
+        out = F.element_at(F.array(single(0.0), *map(single, WORD_SCORES)), F.least(n, F.lit(len(WORD_SCORES))) + 1)
+        out = out + F.when(v["ticket"], single(TICKET_SCORE)).otherwise(single(0.0))
+        out = out + F.when(v["length"] < SHORT, single(SHORT_SCORES.get(category, 0.0))).when(v["length"] > LONG, single(LONG_SCORES.get(category, 0.0))).otherwise(single(0.0))
+        out = out + F.when(v["merged"], single(MERGE_SCORE if category == "merge" else OTHER_THAN_MERGE)).otherwise(single(0.0))
         own = single(0.0)
-        for ratio, (_, weights) in zip(ratios, PATH_SCORES):
+        for i, (_, weights) in enumerate(PATH_SCORES):
             if category in weights:
-                own = own + F.when(ratio >= single(0.5), ratio * single(weights[category])).otherwise(single(0.0))
+                own = own + F.when(v[f"r{i}"] >= single(0.5), v[f"r{i}"] * single(weights[category])).otherwise(single(0.0))
         return out + own
 
-    scored = F.array(*[F.struct(score(c).alias("score"), F.lit(c).alias("category")) for c in WORDS])
-    top = F.array_max(F.transform(scored, lambda s: s["score"]))
-    first = F.filter(scored, lambda s: s["score"] == top)
-    return F.when((F.size(first) == 1) & (top >= single(least)), F.struct(first[0]["category"].alias("category"), F.least(top.cast("double"), F.lit(most)).alias("confidence"), F.lit("weighted").alias("method")))
+    def choice(s: Column) -> Column:
+        top = s[0]["score"]
+        found = F.struct(s[0]["category"].alias("category"), F.least(top.cast("double"), F.lit(most)).alias("confidence"), F.lit("weighted").alias("method"))
+        return F.when((top != s[1]["score"]) & (top >= single(least)), found)
+
+    # lambdas bind what is used more than once, so that each part is found once a row
+    ratios = [ratio_of(x).alias(f"r{i}") for i, (x, _) in enumerate(PATH_SCORES)]
+    merged = F.coalesce(is_merge, F.lit(False))
+    parts = F.transform(F.array(trimmed), lambda x: F.struct(F.lower(x).alias("lower"), F.octet_length(x).alias("length"), x.rlike(TICKET).alias("ticket"), (merged | F.lower(x).startswith("merge ")).alias("merged"), *ratios))
+    ranked = F.transform(parts, lambda v: F.sort_array(F.array(*[F.struct(score(c, v).alias("score"), F.lit(c).alias("category")) for c in WORDS]), False))
+    return F.transform(ranked, choice)[0]
 
 
 def fuzzy_tier(message: Column, is_merge: Column) -> Column:
