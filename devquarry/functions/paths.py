@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Extensions of text and data files; name beginnings that make a file text.
 TEXT = "md mdx rst txt adoc asciidoc html htm tex org wiki rtf".split()
-DATA = "json jsonl ndjson csv tsv psv yaml yml toml xml xls xlsx ods parquet avro arrow proto graphql db sqlite lock".split()
-CODE = "rs ts tsx js jsx mjs cjs py go java c cpp cc cxx h hpp cs rb swift kt kts scala ex exs hs ml sh bash zsh lua r jl dart sql".split()
+DATA = "json jsonl ndjson csv tsv psv yaml yml toml xml xls xlsx ods parquet avro arrow proto graphql sql db sqlite lock".split()
+CODE = "rs ts tsx js jsx mjs cjs py go java c cpp cc cxx h hpp cs rb swift kt kts scala ex exs hs ml elm zig nim v sol sh bash zsh fish ps1 lua r jl dart cr clj cljs erl fs fsx sql".split()
 TEXT_NAMES = "readme changelog license notice contributing".split()
 #: What a score keeps of text, data and code files in each mode; mode all is mode code.
 PENALTIES = {"code": (0.1, 0.2, 1.0), "text": (1.0, 0.3, 0.5), "data": (0.3, 1.0, 0.3)}
@@ -29,6 +29,18 @@ def file_class(path: Column) -> Column:
     return F.when(extension(path).isin(*TEXT) | named, "text").when(extension(path).isin(*DATA), "data").when(extension(path).isin(*CODE), "code").otherwise("other")
 
 
+def allowed_in(path: Column, mode: str, left_out: tuple[str, ...] = ()) -> Column:
+    """Whether a mode shows the file: code and data by their endings, text by its endings and names, all everything. Code leaves out paths that contain a fragment of ``left_out``."""
+    if mode == "all":
+        return F.lit(True)
+    if mode == "text":
+        return file_class(path) == "text"
+    own = extension(path).isin(*(CODE if mode == "code" else DATA))
+    for fragment in left_out if mode == "code" else ():
+        own = own & ~F.contains(F.lower(path), F.lit(fragment.lower()))
+    return own
+
+
 def mode_penalty(path: Column, mode: str) -> Column:
     text, data, code = PENALTIES["code" if mode == "all" else mode]
     kind = file_class(path)
@@ -69,4 +81,5 @@ def glob_regex(pattern: str) -> str:
 
 
 def is_test_file(path: Column) -> Column:
-    return F.lower(path).rlike(r"(^|/)(tests?|spec|__tests__)/|(_test|_spec|\.test|\.spec)\.[a-z]+$|(^|/)test_[^/]*$")
+    """A path below tests or __tests__, or a name like x_test.rs, test_x, x.spec.y or x.test.y."""
+    return F.lower(path).rlike(r"^tests\z|(^|/)(tests|__tests__)/|_test\.rs\z|(^|/)test_[^/]*\z|(^|/)[^/]*\.(spec|test)\.[^./]*\z")

@@ -210,17 +210,25 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int, kinds: tuple[str,
     return out
 
 
-def entry_point(nodes: DataFrame, edges: DataFrame, asked: str) -> DataFrame:
-    """symbol of an entry: the exact name, else names that contain it ignoring case, the most connected first, then by name."""
+def entry_point(nodes: DataFrame, edges: DataFrame, asked: str, chunks: DataFrame | None = None) -> DataFrame:
+    """symbol of an entry: of ``file:line`` the chunk's symbol, else the exact name, else names that contain it ignoring case, the most connected first, then by name."""
     exact = F.col("symbol") == F.lit(asked)
     near = F.lower("symbol").contains(asked.lower())
     ranked = nodes.filter(exact | near).join(degrees(edges).withColumnRenamed("id", "symbol"), "symbol", "left")
-    return ranked.orderBy(F.desc(exact), F.desc(F.coalesce("degree", F.lit(0))), "symbol").select("symbol").limit(1)
+    found = ranked.orderBy(F.desc(exact), F.desc(F.coalesce("degree", F.lit(0))), "symbol").select("symbol").limit(1)
+    file, colon, line = asked.rpartition(":")
+    if chunks is None or not colon or not line.isdigit():
+        return found
+    unnamed = F.concat("file", F.lit(":"), F.col("start").cast("string"))
+    name = F.col("name") if "name" in chunks.columns else F.lit(None).cast("string")
+    at = chunk_at(chunks, file, int(line)).select(F.coalesce(name, unnamed).alias("symbol"))
+    return at.withColumn("o", F.lit(0)).unionByName(found.withColumn("o", F.lit(1))).orderBy("o").select("symbol").limit(1)
 
 
 def chunk_at(chunks: DataFrame, file: str, line: int) -> DataFrame:
-    """The narrowest chunk of ``file:line``."""
-    return chunks.filter((F.col("file") == F.lit(file)) & (F.col("start") <= line) & (F.col("end") >= line)).orderBy(F.col("end") - F.col("start"), "start").limit(1)
+    """The first chunk, by path, start and end, whose path ends with ``file`` and that holds the line."""
+    held = F.col("file").endswith(file) & (F.col("start") <= line) & (F.col("end") >= line)
+    return chunks.filter(held).orderBy("file", "start", "end").limit(1)
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:

@@ -1,18 +1,25 @@
-"""A stored inverted index: postings by term, so that a query reads its terms' rows and never the texts."""
+"""A stored inverted index: postings by term, so that a query reads its terms' rows and never the texts.
+
+Postings lie in immutable segments (``segments.py``). An update writes the postings of what changed and the keys that are
+dead, whatever the index holds, and a manifest that makes both visible; segments of one size are merged.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import segments
 from .retrieval import B, K1
 
-#: Folders that postings are dealt to by term; a query lists only its terms' folders.
-BUCKETS = 64
+#: Documents for which a segment has a folder of terms, the most folders, and documents for which a term's postings are dealt to one file.
+DOCS_A_BUCKET, BUCKETS, DOCS_A_PART = 512, 4096, 1 << 20
+#: Most tasks that write a segment.
+WRITERS = 1 << 14
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,28 +33,51 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/index-{uuid.uuid4().hex}"
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 @dataclass
 class Index:
-    """Postings (term, key, tf, length) in the folder, the number of documents, and their mean length (1 at least)."""
+    """A version of an index: postings (term, key, tf, length), the number of documents, and their mean length (1 at least)."""
 
     spark: SparkSession
-    folder: str
-    n_docs: int
-    mean: float
+    version: segments.Version
+
+    @property
+    def folder(self) -> str:
+        return self.version.folder
+
+    @property
+    def n_docs(self) -> int:
+        return self.version.facts["docs"]
+
+    @property
+    def mean(self) -> float:
+        return max(self.version.facts["length"] / self.n_docs, 1.0) if self.n_docs else 1.0
+
+    def read(self, what: str, fields: str, kept, of: list[segments.Segment] | None = None) -> DataFrame:
+        """The live rows of a part of the segments, each reduced by ``kept`` (segment, rows) before the dead keys are looked up."""
+        kind, found = self.version.facts["key"], None
+        for s in self.version.segments if of is None else of:
+            own = kept(s, self.spark.read.schema(f"key {kind}, {fields}").parquet(f"{s.path}/{what}")).withColumn("segment", F.lit(s.number))
+            found = own if found is None else found.unionByName(own)
+        if found is None:
+            found = kept(None, self.spark.createDataFrame([], f"key {kind}, {fields}")).withColumn("segment", F.lit(0))
+        return segments.live(found, segments.dead_keys(self.spark, self.version, kind)).drop("segment")
 
-    def postings(self, terms: list[str] | None = None) -> DataFrame:
-        table = self.spark.read.parquet(f"{self.folder}/postings")
-        if terms is None:
-            return table.drop("bucket")
-        # the terms' buckets are constants to the optimizer, which lists their folders alone
-        return table.filter(F.col("bucket").isin(*[bucket_of(F.lit(t)) for t in terms]) & F.col("term").isin(*terms)).drop("bucket")
+    def postings(self, terms: list[str] | None = None, of: list[segments.Segment] | None = None) -> DataFrame:
+        def kept(s: segments.Segment | None, rows: DataFrame) -> DataFrame:
+            if terms is not None:
+                rows = rows.filter(F.col("term").isin(*terms))
+            if terms is not None and s is not None:  # the terms' buckets are constants to the optimizer, which lists their folders alone
+                rows = rows.filter(F.col("bucket").isin(*[bucket_of(F.lit(t), s.facts["buckets"]) for t in terms]))
+            return rows.select("term", "key", "tf", "length")
 
-    def lengths(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/lengths")
+        return self.read("postings", "length long, term string, tf long, bucket int", kept, of)
+
+    def lengths(self, of: list[segments.Segment] | None = None) -> DataFrame:
+        return self.read("lengths", "length long", lambda _, rows: rows, of)
 
 
 def postings_of(chunks: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -56,32 +86,73 @@ def postings_of(chunks: DataFrame, key: str, tokens: Column) -> DataFrame:
     return listed.select("key", F.size("all").cast("long").alias("length"), F.explode("all").alias("term")).groupBy("key", "length", "term").agg(F.count("*").alias("tf"))
 
 
-def build(chunks: DataFrame, key: str, tokens: Column, parts: int = 1) -> Index:
-    """Write the index of the chunks. A term's postings are dealt to ``parts`` files, so that no frequent term is one task's work."""
+def write_segment(spark: SparkSession, folder: str, number: int, lengths: DataFrame, postings: DataFrame) -> segments.Segment:
+    """Lengths and postings as one segment. A term's postings are dealt to files by key where there are many documents, so that no frequent term is one task's work."""
+    path = segments.fresh(folder, "segment")
+    lengths.select("key", "length").write.parquet(f"{path}/lengths")
+    docs, total = spark.read.parquet(f"{path}/lengths").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    buckets = min(1 << max(docs // DOCS_A_BUCKET, 1).bit_length() - 1, BUCKETS)
+    parts = 1 + docs // DOCS_A_PART
+    dealt = postings.select("key", "length", "term", "tf", bucket_of(F.col("term"), buckets).alias("bucket"))
+    dealt = dealt.repartition(min(buckets * parts, WRITERS), "bucket", F.pmod(F.xxhash64("key"), F.lit(parts))).sortWithinPartitions("bucket", "term", "key")
+    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    return segments.Segment(number, path, docs, {"buckets": buckets, "length": total})
+
+
+def build(chunks: DataFrame, key: str, tokens: Column, folder: str | None = None) -> Index:
+    """Write the index of the chunks, whose keys are unique."""
     spark = chunks.sparkSession
-    folder = shared_folder(spark)
-    chunks.select(F.col(key).alias("key"), F.size(tokens).cast("long").alias("length")).write.parquet(f"{folder}/lengths")
-    dealt = postings_of(chunks, key, tokens).withColumn("bucket", bucket_of(F.col("term")))
-    dealt = dealt.repartition(BUCKETS * parts, "bucket", F.pmod(F.xxhash64("key"), F.lit(parts))).sortWithinPartitions("bucket", "term", "key")
-    dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
-    return opened(spark, folder)
-
-
-def opened(spark: SparkSession, folder: str) -> Index:
-    n, mean = spark.read.parquet(f"{folder}/lengths").agg(F.count("*"), F.greatest(F.avg("length"), F.lit(1.0))).first()
-    return Index(spark, folder, int(n), float(mean or 1.0))
-
-
-def update(index: Index, chunks: DataFrame, key: str, tokens: Column, removed: DataFrame) -> Index:
-    """A new index: postings of the changed ``chunks`` in place of their old ones, those of ``removed`` keys gone. The old one stays as it was."""
-    folder = shared_folder(index.spark)
-    gone = chunks.select(F.col(key).alias("key")).unionByName(removed.select(F.col(key).alias("key"))).distinct()
-    added = chunks.select(F.col(key).alias("key"), F.size(tokens).cast("long").alias("length"))
-    index.lengths().join(gone, "key", "left_anti").unionByName(added).write.parquet(f"{folder}/lengths")
-    merged = index.postings().join(gone, "key", "left_anti").unionByName(postings_of(chunks, key, tokens).select("term", "key", "tf", "length"), allowMissingColumns=True)
-    merged = merged.withColumn("bucket", bucket_of(F.col("term"))).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "key")
-    merged.write.partitionBy("bucket").parquet(f"{folder}/postings")
-    return opened(index.spark, folder)
+    kind = chunks.schema[key].dataType.simpleString()
+    empty = segments.Version(folder or shared_folder(spark), facts={"key": kind, "docs": 0, "length": 0})
+    return Index(spark, segments.commit(spark, grown(spark, empty, chunks, key, tokens)))
+
+
+def grown(spark: SparkSession, version: segments.Version, chunks: DataFrame, key: str, tokens: Column) -> segments.Version:
+    """``version`` with a segment of the chunks; not yet visible."""
+    lengths = chunks.select(F.col(key).alias("key"), F.size(tokens).cast("long").alias("length"))
+    number = max(version.next_number() - 1, 1) if version.dead else version.next_number()  # what the last dead keys leave room for
+    own = write_segment(spark, version.folder, number, lengths, postings_of(chunks, key, tokens))
+    facts = version.facts | {"docs": version.facts["docs"] + own.rows, "length": version.facts["length"] + own.facts["length"]}
+    return replace(version, segments=(*version.segments, own) if own.rows else version.segments, facts=facts)
+
+
+def opened(spark: SparkSession, folder: str, number: int | None = None) -> Index:
+    return Index(spark, segments.opened(spark, folder, number))
+
+
+def forked(index: Index) -> Index:
+    """An index of its own that begins with this one's segments; nothing is copied."""
+    return Index(index.spark, segments.forked(index.spark, index.version, shared_folder(index.spark)))
+
+
+def update(index: Index, chunks: DataFrame, key: str, tokens: Column, removed: DataFrame | None = None, merging: bool = True) -> Index:
+    """The next version: ``chunks`` in place of what their keys had, ``removed`` keys gone. It writes what changed alone, besides merges; this version stays readable."""
+    spark, version = index.spark, index.version
+    gone = chunks.select(F.col(key).alias("key"))
+    if removed is not None:
+        gone = gone.unionByName(removed.select(F.col(key).alias("key")))
+    dead = segments.with_dead(spark, version, gone)
+    keys = spark.read.schema(f"key {version.facts['key']}").parquet(dead.dead[-1][0])
+    docs, length = index.lengths().join(keys, "key", "left_semi").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    dead = replace(dead, facts=version.facts | {"docs": version.facts["docs"] - docs, "length": version.facts["length"] - length})
+    found = Index(spark, segments.commit(spark, grown(spark, dead, chunks, key, tokens)))
+    while merging and (old := segments.to_merge(found.version)):
+        found = merge(found, old)
+    return found
+
+
+def merge(index: Index, old: list[segments.Segment] | None = None) -> Index:
+    """The next version, with the live rows of some segments (all unless told) as one."""
+    old = list(index.version.segments) if old is None else old
+    number = max((s.number for s in old), default=1)
+    new = write_segment(index.spark, index.folder, number, index.lengths(old), index.postings(None, old))
+    return Index(index.spark, segments.commit(index.spark, segments.merged(index.version, old, new)))
+
+
+def holding_all(index: Index, terms: list[str]) -> DataFrame:
+    """The keys of documents that hold every term."""
+    wanted = sorted(set(terms))
+    return index.postings(wanted).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") == len(wanted)).select("key")
 
 
 def search(index: Index, terms: list[str], top_k: int | None = None) -> DataFrame:

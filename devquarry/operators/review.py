@@ -52,12 +52,19 @@ def week_spans(first: Column, last: Column) -> Column:
     return F.sequence(F.date_trunc("week", first).cast("date"), last.cast("date"), F.expr("interval 7 days"))
 
 
-def daily_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Tokens and cost by day; prices (model, input, output) are for a million tokens, those of a model that is listed twice by its dearest row. Usage is summed by day and model before it meets prices."""
+def daily_cost(usage: DataFrame, prices: DataFrame, other: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Tokens and cost by day. Prices (family, input, output, and place, their order) are for a million tokens; a model has those of the first family that its name contains, ignoring case, or ``other``.
+
+    Usage is summed by day and model before models meet the families, which are a short list of the caller's.
+    """
     used = usage.groupBy(F.to_date("ts").alias("day"), "model").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
-    price = prices.groupBy("model").agg(F.max("input").alias("input"), F.max("output").alias("output"))
-    cost = (F.col("input_tokens") * F.coalesce("input", F.lit(0.0)) + F.col("output_tokens") * F.coalesce("output", F.lit(0.0))) / 1e6
-    return used.join(price, "model", "left").groupBy("day").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum(cost).alias("cost"))
+    listed = [(r.family.lower(), float(r.input), float(r.output)) for r in prices.orderBy("place").collect()]
+    rates = [F.lit(x) for x in other]
+    for family, *own in reversed(listed):
+        held = F.contains(F.lower("model"), F.lit(family))
+        rates = [F.when(held, own[i]).otherwise(rates[i]) for i in range(2)]
+    cost = (F.col("input_tokens") * rates[0] + F.col("output_tokens") * rates[1]) / 1e6
+    return used.groupBy("day").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum(cost).alias("cost"))
 
 
 def claims(events: DataFrame, stale_hours: int) -> DataFrame:

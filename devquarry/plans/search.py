@@ -14,8 +14,10 @@ from ..operators import retrieval
 
 #: What a document file keeps of a definition's score, what a definition of a sought name gains, the bounds of a branch's gain, and the score of a literal hit.
 DOC_KEEPS, NAME_GAINS, BRANCH_GAINS, LITERAL = 0.5, 2.0, (1.0, 3.0), 0.001
-DOC_FILES = "md mdx txt rst adoc".split()
-DEFINITIONS = "struct enum trait class interface type impl function method".split()
+DOC_FILES = "md txt toml yaml yml json".split()
+DEFINITIONS = "struct enum class trait type_alias function method".split()
+#: Fixed value: what an exactly named entity gets, as a multiple of the text lane's weight.
+NAMED_GETS = 1.5
 
 
 @dataclass
@@ -27,10 +29,10 @@ class SearchQuery:
 
 
 def reason(vector: Column, lexical: Column, graph: Column | None = None, second: str = "vector") -> Column:
-    """Why a chunk was found, from the lanes that have it."""
+    """Why a chunk was found: lanes that hold it count before the graph that led to it."""
     by_graph = F.lit(False) if graph is None else F.coalesce(graph, F.lit(False))
     v, b = F.coalesce(vector, F.lit(False)), F.coalesce(lexical, F.lit(False))
-    return F.when(v & b & by_graph, "hybrid+kg").when(v & b, "hybrid").when(v, second).when(b, "bm25").when(by_graph, "kg").otherwise("fallback:ripgrep")
+    return F.when(v & b, "hybrid").when(v, second).when(b, "bm25").when(by_graph, "hybrid+kg").otherwise("fallback:ripgrep")
 
 
 def hybrid(code: postings.Index, other: postings.Index | DataFrame, query: SearchQuery, embedded: list[float] | None = None) -> DataFrame:
@@ -60,7 +62,7 @@ def adjust(hits: DataFrame, query: str, mode: str = "code", branch: DataFrame |
     factor = paths.mode_penalty(F.col("file"), mode)
     if looks:
         factor = factor * F.when(paths.extension(F.col("file")).isin(*DOC_FILES), DOC_KEEPS).otherwise(1.0)
-        tokens = [t for t in words.code_terms(query) if len(t) >= 2]
+        tokens = [t.lower() for t in query.split() if len(t.encode()) >= 2]
         named = F.exists(F.array(*map(F.lit, tokens)), lambda t: F.contains(F.lower("name"), t)) if tokens else F.lit(False)
         factor = factor * F.when(F.col("chunk_type").isin(*DEFINITIONS) & F.coalesce(named, F.lit(False)), NAME_GAINS).otherwise(1.0)
     if branch is not None:
@@ -72,19 +74,22 @@ def adjust(hits: DataFrame, query: str, mode: str = "code", branch: DataFrame |
 
 
 def entity_first(lane: DataFrame, entities: DataFrame, query: str) -> DataFrame:
-    """A lane (key, score) with the chunks of an entity that the one-word query names, ignoring case, before all others; the smallest key if there are several."""
-    word = query.strip().lower()
-    exact = entities.filter(F.lower("name") == word) if word and " " not in word and words.intent(query)[0] in ("definition", "unknown") else entities.limit(0)
-    top = lane.agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("top"))
-    first = exact.agg(F.min("key").alias("key")).filter("key is not null").join(F.broadcast(top)).select("key", (F.col("top") + 1.0).alias("score"))
-    return first.unionByName(lane.join(F.broadcast(first.select("key")), "key", "left_anti").select("key", "score"))
-
-
-def post_filter(hits: DataFrame, mode: str, exclude_archived: bool = False) -> DataFrame:
-    """Hits (key, score, file, content, chunk_type, age_days) without documentation strings and files of another mode, scaled by what archives keep."""
-    kind = paths.file_class(F.col("file"))
-    allowed = hits.filter("chunk_type <> 'docstring'")
-    allowed = allowed if mode == "all" else allowed.filter(kind.isin(mode, "other"))
+    """key, score and rank of a lane (key, score; a top-k list) behind the chunk of an entity that the one-word query names, ignoring case; the smallest key if there are several.
+
+    The named chunk has rank 1 and a fixed multiple of the text lane's weight as its score, whatever the others have.
+    """
+    word, (name, _, weight, _) = query.strip().lower(), words.intent(query)
+    exact = entities.filter(F.lower("name") == word) if word and " " not in word and name in ("definition", "unknown") else entities.limit(0)
+    first = exact.agg(F.min("key").alias("key")).filter("key is not null")
+    rest = lane.join(F.broadcast(first), "key", "left_anti").select("key", "score")
+    shift = first.agg(F.count("*").cast("int").alias("shift"))
+    below = retrieval.ranked(rest, "key").join(F.broadcast(shift)).select("key", "score", (F.col("rank") + F.col("shift")).alias("rank"))
+    return first.select("key", F.lit(NAMED_GETS * weight).alias("score"), F.lit(1).alias("rank")).unionByName(below)
+
+
+def post_filter(hits: DataFrame, mode: str, exclude_archived: bool = False, left_out: tuple[str, ...] = ()) -> DataFrame:
+    """Hits (key, score, file, content, chunk_type, age_days) without documentation strings and files that the mode doesn't show, scaled by what archives keep."""
+    allowed = hits.filter("chunk_type <> 'docstring'").filter(paths.allowed_in(F.col("file"), mode, left_out))
     keeps = paths.archive_multiplier(F.col("file"), F.col("content"), F.col("age_days"))
     scaled = allowed.withColumn("keeps", keeps)
     scaled = scaled.filter("keeps >= 0.7") if exclude_archived else scaled  # age alone is no archive
@@ -94,23 +99,3 @@ def post_filter(hits: DataFrame, mode: str, exclude_archived: bool = False) -> D
 def literal(chunks: DataFrame, key: str, text: str, query: str, want: int) -> DataFrame:
     """key and a constant score of the first chunks that contain the query as it is."""
     return chunks.filter(F.contains(F.col(text), F.lit(query))).select(F.col(key).alias("key"), F.lit(LITERAL).alias("score")).orderBy("key").limit(want)
-
-
-def grep_pattern(pattern: str, fixed: bool = False, word: bool = False, ignore_case: bool = False, multiline: bool = False) -> str:
-    """The regular expression of a grep request."""
-    import re
-
-    body = re.escape(pattern) if fixed else pattern
-    body = rf"\b(?:{body})\b" if word else body
-    return ("(?i)" if ignore_case else "") + ("(?s)" if multiline else "") + body
-
-
-def grep(files: DataFrame, pattern: str, invert: bool = False, glob: str | None = None, context: int = 0, most: int | None = None) -> DataFrame:
-    """path, line, text and context (lines before and after) of the lines that match, in order of path and line."""
-    kept = files.filter(F.col("path").rlike(paths.glob_regex(glob))) if glob else files
-    lines = kept.select("path", F.split("content", "\n").alias("all")).select("path", "all", F.posexplode("all").alias("i", "text"))
-    hit = F.col("text").rlike(pattern)
-    found = lines.filter(~hit if invert else hit)
-    around = F.slice("all", F.greatest(F.col("i") + 1 - context, F.lit(1)), F.least(F.col("i"), F.lit(context)) + 1 + context)
-    out = found.select("path", (F.col("i") + 1).cast("long").alias("line"), "text", F.array_join(around, "\n").alias("context")).orderBy("path", "line")
-    return out.limit(most) if most else out

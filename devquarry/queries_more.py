@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from .functions import code, rules, text
 from .operators import classify, cluster, delivery, diffs, entities, graph, index, memory, reports, retrieval
-from .plans import search
-from .queries import DECISION_SQL, SHAPES, checkpointed, first_vector, indexed, lexical_lane, query, sql_list, vectors
-from .queries import BM25_SQL, COS_SQL
+from .plans import grep, search
+from .queries import DECISION_SQL, SHAPES, checkpointed, first_vector, indexed, kept, lexical_lane, query, sql_list, vectors
+from .queries import BM25_SQL, COS_SQL, DOC_TOKENS_SQL
 from .sources import delivery as delivery_sources
 from .sources import walk
 
@@ -367,28 +367,28 @@ def graph_knowledge_gaps(t):
 
 # -- search and stores -------------------------------------------------------------------------------------
 
-HITS = "SELECT doc_id AS key, n_chars / 100.0 AS score, concat(CASE doc_id % 3 WHEN 0 THEN 'docs/guide.md' WHEN 1 THEN 'src/lib.rs' ELSE 'data/x.json' END) AS file, CASE doc_id % 4 WHEN 0 THEN 'struct' WHEN 1 THEN 'function' ELSE 'docstring' END AS chunk_type, concat('Code', CAST(doc_id % 10 AS STRING), 'Indexer') AS name, text AS content, doc_id AS age_days FROM {documents}"
+HITS = "SELECT doc_id AS key, n_chars / 100.0 AS score, concat(CASE doc_id % 11 WHEN 0 THEN 'docs/guide.md' WHEN 1 THEN 'src/lib.rs' WHEN 2 THEN 'data/x.json' WHEN 3 THEN 'src/x.zig' WHEN 4 THEN 'x.bin' WHEN 5 THEN 'License' WHEN 6 THEN 'db/up.sql' WHEN 7 THEN 'b.adoc' WHEN 8 THEN 'conf.toml' ELSE 'lib/a.PY' END) AS file, CASE doc_id % 5 WHEN 0 THEN 'struct' WHEN 1 THEN 'function' WHEN 2 THEN 'interface' WHEN 3 THEN 'type_alias' ELSE 'docstring' END AS chunk_type, concat('Code', CAST(doc_id % 10 AS STRING), CASE WHEN doc_id % 7 = 0 THEN 'Walker' ELSE 'Indexer' END) AS name, text AS content, doc_id AS age_days FROM {documents}"
 SHAPES["hits"] = HITS
 
 
-@query("""SELECT key, file, round(score * CASE WHEN file LIKE '%.md' THEN 0.1 * 0.5 WHEN file LIKE '%.json' THEN 0.2 ELSE 1.0 END * CASE WHEN chunk_type IN ('struct', 'function') THEN 2.0 ELSE 1.0 END * CASE WHEN file = 'src/lib.rs' THEN 3.0 ELSE 1.0 END, 6) AS score FROM hits""", "hits")
+@query("""SELECT key, file, round(score * CASE WHEN file LIKE '%.md' THEN 0.1 * 0.5 WHEN file IN ('data/x.json', 'conf.toml') THEN 0.2 * 0.5 WHEN file IN ('License', 'b.adoc') THEN 0.1 WHEN file = 'db/up.sql' THEN 0.2 ELSE 1.0 END * CASE WHEN chunk_type IN ('struct', 'function', 'type_alias') AND name LIKE '%Indexer' THEN 2.0 ELSE 1.0 END * CASE WHEN file = 'src/lib.rs' THEN 3.0 ELSE 1.0 END, 6) AS score FROM hits""", "hits")
 def search_adjust(t):
     h = t("hits")
     branch = h.sparkSession.createDataFrame([("src/lib.rs",)], "file string")
-    return search.adjust(h, "CodeIndexer", "code", branch, 9.0).withColumn("score", F.round("score", 6))
+    return search.adjust(h, "struct Indexer", "code", branch, 9.0).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT key, file, round(score * CASE WHEN age_days > 365 THEN 0.7 ELSE 1.0 END, 6) AS score FROM hits WHERE chunk_type <> 'docstring' AND file = 'src/lib.rs'", "hits")
+@query("SELECT key, file, round(score * CASE WHEN age_days > 365 THEN 0.7 ELSE 1.0 END, 6) AS score FROM hits WHERE chunk_type <> 'docstring' AND file IN ('src/lib.rs', 'src/x.zig', 'db/up.sql', 'lib/a.PY')", "hits")
 def search_post_filter(t):
     return search.post_filter(t("hits").withColumn("content", F.lit("x")), "code", True).select("key", "file", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {BM25_SQL}, l AS (SELECT doc_id, score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 40), n AS (SELECT min(doc_id) AS doc_id FROM documents WHERE lower(source) = lower((SELECT min(source) FROM documents))) SELECT doc_id, round((SELECT max(score) FROM l) + 1, 6) AS score FROM n UNION ALL SELECT doc_id, round(score, 6) FROM l WHERE doc_id NOT IN (SELECT doc_id FROM n)")
+@query(f"WITH {BM25_SQL}, l AS (SELECT doc_id, score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 40), n AS (SELECT min(doc_id) AS doc_id FROM documents WHERE lower(source) = lower((SELECT min(source) FROM documents))) SELECT doc_id, 1.05::DOUBLE AS score, 1 AS rank FROM n UNION ALL SELECT doc_id, round(score, 6), CAST(1 + row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) FROM l WHERE doc_id NOT IN (SELECT doc_id FROM n)")
 def search_entity_first(t):
     d = t("documents")
     word = d.agg(F.min("source")).first()[0]
     out = search.entity_first(lexical_lane(t).withColumnRenamed("doc_id", "key"), d.select(F.col("doc_id").alias("key"), F.col("source").alias("name")), word.upper())
-    return out.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+    return out.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @query("SELECT doc_id AS key, 0.001::DOUBLE AS score FROM documents WHERE contains(text, 'thing ') ORDER BY doc_id LIMIT 40")
@@ -396,19 +396,46 @@ def search_literal(t):
     return search.literal(t("documents"), "doc_id", "text", "thing ", 40)
 
 
-@query(r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents) SELECT concat('d/', doc_id, '.md') AS path, line, text FROM l WHERE regexp_matches(text, '(?i)\b(?:the|license)\b')")
+#: A text's lines; none after a last line feed.
+LINES_SQL = "SELECT doc_id, CASE WHEN text = '' THEN [] WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS a FROM documents"
+
+
+def grepped(t):
+    return t("documents").select(F.concat(F.lit("d/"), "doc_id", F.lit(".md")).alias("path"), F.col("text").alias("content"))
+
+
+@query(rf"WITH f AS ({LINES_SQL}), l AS (SELECT doc_id, unnest(a) AS text, unnest(range(1, len(a) + 1)) AS line FROM f) SELECT concat('d/', doc_id, '.md') AS path, line, text FROM l WHERE regexp_matches(text, '(?i)\b(?:the|license)\b')")
 def search_grep(t):
-    f = t("documents").select(F.concat(F.lit("d/"), "doc_id", F.lit(".md")).alias("path"), F.col("text").alias("content"))
-    return search.grep(f, search.grep_pattern("the|license", word=True, ignore_case=True), glob="d/*.md").drop("context")
+    return grep.grep(grepped(t), grep.Request("the|license", word=True, ignore_case=True, glob="d/*.md")).select("path", "line", "text")
 
 
-@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents) SELECT doc_id, count(*) AS n FROM l WHERE NOT contains(text, 'a.b') AND NOT contains(text, 'e') GROUP BY doc_id")
+@query(f"WITH f AS ({LINES_SQL}), l AS (SELECT doc_id, unnest(a) AS text FROM f) SELECT doc_id, count(*) AS n FROM l WHERE NOT contains(text, 'a.b') AND NOT contains(text, 'e') GROUP BY doc_id")
 def search_grep_inverted(t):
     f = t("documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
-    found = search.grep(f, search.grep_pattern("a.b", fixed=True) + "|e", invert=True)
+    found = grep.grep(f, grep.Request(r"a\.b|e", invert=True))
     return found.groupBy(F.col("path").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH f AS ({LINES_SQL}), l AS (SELECT doc_id, a, unnest(a) AS text, unnest(range(1, len(a) + 1)) AS line FROM f)
+    SELECT concat('d/', doc_id, '.md') AS path, line, CAST(strpos(lower(text), 'licen') AS BIGINT) AS "column", text, array_to_string(a[greatest(line - 1, 1):line - 1], '|') AS before, array_to_string(a[line + 1:line + 2], '|') AS after FROM l WHERE contains(lower(text), 'licen')""")
+def search_grep_context(t):
+    """Pruned by the trigrams of the kept index."""
+    found = grep.grep(grepped(t), grep.Request("licen", ignore_case=True, before=1, after=2), kept(t, "documents", "trigrams", lambda: grep.trigram_index(grepped(t))))
+    return found.withColumn("before", F.array_join("before", "|")).withColumn("after", F.array_join("after", "|"))
+
+
+@query("SELECT concat('d/', doc_id, '.md') AS path FROM documents WHERE regexp_matches(text, 'permission\\s+is')")
+def search_grep_files(t):
+    pruned = kept(t, "documents", "trigrams", lambda: grep.trigram_index(grepped(t)))
+    return grep.grep(grepped(t), grep.Request(r"permission\s+is", files_with_matches=True), pruned).select("path")
+
+
+@query("""WITH m AS (SELECT doc_id, string_split(text, 'n.' || chr(10)) AS p FROM documents WHERE contains(text, 'n.' || chr(10))), k AS (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM m),
+    h AS (SELECT doc_id, array_to_string(p[1:i], 'n.' || chr(10)) AS head FROM k) SELECT concat('d/', doc_id, '.md') AS path, CAST(1 + length(head) - length(replace(head, chr(10), '')) AS BIGINT) AS line, CAST(1 + length(string_split(head, chr(10))[-1]) AS BIGINT) AS "column" FROM h""")
+def search_grep_multiline(t):
+    return grep.grep(grepped(t), grep.Request("n\\.\n", multiline=True)).select("path", "line", "column")
+
+
 @query("WITH e AS (SELECT vec_id, COLUMNS('^(embedding|vec|vector)$') AS vec FROM embeddings), a AS (SELECT vec AS q FROM e WHERE vec_id = 3) SELECT vec_id, round(" + COS_SQL + ", 5) AS score FROM e, a WHERE vec_id <> 3 ORDER BY " + COS_SQL + " DESC, vec_id LIMIT 10")
 def search_similar(t):
     return retrieval.similar_to(vectors(t), "vec_id", "vec", 3, 10).withColumn("score", F.round("score", 5))
@@ -526,16 +553,23 @@ def concept_embeddings(t):
     return retrieval.bag_of_words(t("documents"), "doc_id", "text", 64).select("doc_id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 3).alias("norm"))
 
 
-@query("WITH i AS (SELECT q, CASE WHEN contains(q, 'what is') THEN 'conceptual' WHEN contains(q, 'error') THEN 'bug_debt' ELSE 'unknown' END AS intent FROM (SELECT CASE turn % 3 WHEN 0 THEN 'what is' WHEN 1 THEN 'error' ELSE 'abc' END AS q, conv_id FROM conversations)) SELECT q, intent, count(*) AS n FROM i GROUP BY ALL")
+#: Phrases with their intents, which every turn of a conversation stands for in turn.
+PHRASES = {
+    "what is BM25": "conceptual", "FIXME authentication": "bug_debt", "abc": "unknown", "callers of the user class": "definition", "where is CodeIndexer used": "usage", "structs that derives from Default": "definition",
+    "functions that raises ConfigError": "bug_debt", "authenticate tested by login_test": "usage", "error handling in payment flow": "bug_debt", "axum middleware concurrency limiter": "conceptual", "is_default_doc_excluded": "definition", "reservation booking flow": "unknown",
+}
+
+
+@query("WITH i AS (SELECT CASE turn % 12 " + " ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate(PHRASES)) + " END AS q FROM conversations) SELECT q, CASE q " + " ".join(f"WHEN '{q}' THEN '{n}'" for q, n in PHRASES.items()) + " END AS intent, count(*) AS n FROM i GROUP BY ALL")
 def search_intents(t):
-    c = t("conversations").select(F.expr("case turn % 3 when 0 then 'what is' when 1 then 'error' else 'abc' end").alias("q"))
+    listed = F.array(*map(F.lit, PHRASES))
+    c = t("conversations").select(F.get(listed, (F.col("turn") % 12).cast("int")).alias("q"))
     return c.groupBy("q", text.intent_of(F.col("q")).alias("intent")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT u AS term, count(*) AS df FROM (SELECT unnest(terms) AS u FROM tok) GROUP BY u HAVING count(*) >= 3".replace("FROM tok", "FROM (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(lang), '[\\p{L}]+'))) AS terms FROM documents)"))
+@query(f"WITH {DOC_TOKENS_SQL} SELECT u AS term, count(*) AS df FROM (SELECT unnest(terms) AS u FROM tok) GROUP BY u HAVING count(*) >= 3")
 def search_frequent_terms(t):
-    built = index.build(t("documents"), "doc_id", text.code_tokens(F.col("lang")))
-    return index.top_terms(built, 3)
+    return index.top_terms(indexed(t, "code"), 3)
 
 
 # -- clusters, diffs and projects --------------------------------------------------------------------------
@@ -622,9 +656,9 @@ def git_scored_classification(t):
 
 @query()
 def review_diff_reports(t):
-    """Documents as diffs of fifty files, half of which have documents as indexed chunks."""
-    d = t("documents").selectExpr("doc_id as id", "concat('+++ b/f', doc_id % 50, '.rs\\n@@ -0,0 +', doc_id % 30 + 1, ',9 @@\\n+', replace(text, '. ', '\\n+')) as diff")
-    chunks = t("documents").selectExpr("concat('f', doc_id % 25, '.rs') as file", "doc_id % 7 * 10 + 1 as start_line", "doc_id % 7 * 10 + 10 as end_line", "left(text, 1000) as content")
+    """Documents as diffs of files of eight documents each, half of which have their documents as indexed chunks."""
+    d = t("documents").selectExpr("doc_id as id", "concat('+++ b/f', floor(doc_id / 8), '.rs\\n@@ -0,0 +', doc_id % 30 + 1, ',9 @@\\n+', replace(text, '. ', '\\n+')) as diff")
+    chunks = t("documents").filter("floor(doc_id / 8) % 2 = 0").selectExpr("concat('f', floor(doc_id / 8), '.rs') as file", "doc_id % 7 * 10 + 1 as start_line", "doc_id % 7 * 10 + 10 as end_line", "text as content")
     return diffs.review_reports(d, diffs.reviewed_files(d, chunks))
 
 

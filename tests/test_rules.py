@@ -5,7 +5,7 @@ import subprocess
 
 from pyspark.sql import functions as F
 
-from devquarry.functions import code, rules, text
+from devquarry.functions import code, paths, rules, text
 from devquarry.operators import graph, index, reports, retrieval, review
 from devquarry.plans import search
 from devquarry.sources import delivery
@@ -19,7 +19,7 @@ def test_intents_in_order(spark):
     wanted = {
         "explain the schema": "definition", "what is the error handling model": "definition", "QueryClassifier intent classification": "definition", "apply_archive_downrank": "definition",
         "MAX_BATCH_SIZE": "definition", "BM25": "definition", "HNSW vector similarity search": "conceptual", "callers of parse": "usage", "tested by whom": "usage", "fn parse": "definition", "TODO list": "bug_debt",
-        "axum middleware concurrency limiter": "conceptual", "reservation booking flow": "unknown", "RoomType struct": "definition", "how does ranking work": "conceptual",
+        "axum middleware concurrency limiter": "conceptual", "reservation booking flow": "unknown", "RoomType struct": "definition", "callers of the user class": "definition", "API endpoints": "definition", "the payment_processor retries failed attempts five times": "unknown", "how does ranking work": "conceptual",
     }
     assert {q: text.intent(q)[0] for q in wanted} == wanted
     assert values(spark, list(wanted), text.intent_of) == list(wanted.values())
@@ -77,7 +77,7 @@ def test_sections_rooms_hunks_and_files(spark):
 
 def test_index_search_and_update(spark):
     docs = spark.createDataFrame([(1, "authentication login password secure"), (2, "rendering ui components"), (3, "CodeIndexer")], "id long, text string")
-    built = index.build(docs, "id", text.code_tokens(F.col("text")), parts=3)
+    built = index.build(docs, "id", text.code_tokens(F.col("text")))
     assert [r.key for r in index.search(built, text.code_terms("indexer")).collect()] == [3]
     assert index.score_one(built, ["authentication"], 1) > index.score_one(built, ["authentication"], 2) == 0.0
     changed = index.update(built, spark.createDataFrame([(2, "login page")], "id long, text string"), "id", text.code_tokens(F.col("text")), spark.createDataFrame([(1,)], "id long"))
@@ -93,8 +93,34 @@ def test_graph_tables(spark, tmp_path):
     graph.save(edges.select(F.col("src").alias("id")), edges, str(tmp_path / "g"))
     nodes, forward, backward = graph.load(spark, str(tmp_path / "g"))
     assert nodes.count() == 2 and sorted(map(tuple, backward.select("src", "dst").collect())) == [("b", "a"), ("c", "b")] and forward.count() == 2
-    chunks = spark.createDataFrame([("f", 1, 90), ("f", 10, 20)], "file string, start int, end int")
-    assert graph.chunk_at(chunks, "f", 15).first().start == 10
+    chunks = spark.createDataFrame([("src/f", 10, 20, "inner"), ("src/f", 1, 90, "outer"), ("g", 1, 90, None)], "file string, start int, end int, name string")
+    assert graph.chunk_at(chunks, "f", 15).first().start == 1  # the first in order whose path ends so
+    named = edges.select(F.col("src").alias("symbol"))
+    assert [graph.entry_point(named, edges, asked, chunks).first().symbol for asked in ("f:15", "g:3")] == ["outer", "g:1"]
+    assert graph.entry_point(named, edges, "A", chunks).first().symbol == "a" and graph.entry_point(named, edges, "f:99", chunks).first() is None
+
+
+def test_normalized_queries(spark):
+    asked = ["The quick Brown Fox!", "don't re-index foo/bar.rs", "what is it?", "  ", None]
+    assert values(spark, asked, text.normalize_query) == ["quick brown fox", "don t re index foo bar rs", "what", "", None]
+
+
+def test_files_by_mode(spark):
+    files = ["a.rs", "x.zig", "up.sql", "README", "docs/LICENSE-MIT", "n.md", "x.json", "x.bin", "vendor/P/a.py"]
+    shown = lambda mode, *out: [f for f, ok in zip(files, values(spark, files, lambda p: paths.allowed_in(p, mode, *out))) if ok]
+    assert shown("code") == ["a.rs", "x.zig", "up.sql", "vendor/P/a.py"] and shown("code", ("vendor/p/",)) == ["a.rs", "x.zig", "up.sql"]
+    assert shown("text") == ["README", "docs/LICENSE-MIT", "n.md"] and shown("data") == ["up.sql", "x.json"] and shown("all") == files
+    tests = ["tests/a.rs", "x/tests/a", "a_test.rs", "src/a_test.go", "test_a.py", "a.spec.ts", "a.test.js", "spec/a.rb", "test/a.py", "__tests__/a.js", "contest.py", "tests", "a.tests.x"]
+    assert [f for f, ok in zip(tests, values(spark, tests, paths.is_test_file)) if ok] == ["tests/a.rs", "x/tests/a", "a_test.rs", "test_a.py", "a.spec.ts", "a.test.js", "__tests__/a.js", "tests"]
+
+
+def test_adjusted_scores(spark):
+    rows = [("a", 1.0, "x.json", "struct", "CodeIndexer"), ("b", 1.0, "a.rs", "interface", "CodeIndexer"), ("c", 1.0, "a.rs", "struct", "CodeIndexer"), ("d", 1.0, "a.rs", "struct", "Indexer"), ("e", 1.0, "a.rst", "struct", "Other"), ("f", 1.0, "a.rs", "type_alias", None)]
+    hits = spark.createDataFrame(rows, "key string, score double, file string, chunk_type string, name string")
+    found = {r.key: r.score for r in search.adjust(hits, "struct CodeIndexer").collect()}
+    assert {k: round(v, 9) for k, v in found.items()} == {"a": 0.2, "b": 1.0, "c": 2.0, "d": 1.0, "e": 0.1, "f": 1.0}
+    lanes = spark.createDataFrame([(v, b, g) for v in (True, False) for b in (True, False) for g in (True, False)], "v boolean, b boolean, g boolean")
+    assert [r[0] for r in lanes.select(search.reason(F.col("v"), F.col("b"), F.col("g"))).collect()] == ["hybrid", "hybrid", "vector", "vector", "bm25", "bm25", "hybrid+kg", "fallback:ripgrep"]
 
 
 def test_bag_of_words(spark):
