@@ -65,3 +65,9 @@ def smells(text: Column) -> Column:
         F.when(occurrences(text, "\n") > 50, "long_function"), F.when(max_depth(text) > 4, "deep_nesting"),
         F.when(parameters(text) > 5, "too_many_params"), F.when(~documented, "missing_docstring"),
     ))
+
+
+def signature(source: Column) -> Column:
+    """The first line that is no comment, attribute or decorator, 240 characters of it at most; null without any."""
+    lines = F.transform(F.split(source, r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.left(F.get(F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^(//|@|#(?!define))")), F.lit(0)), F.lit(240))

@@ -107,7 +107,7 @@ def changed_names(diff: Column, most: int) -> Column:
 
 def doc_sections(source: Column) -> Column:
     """why and what: the sections of those names in the leading comments of a source; null where one is missing or empty."""
-    lines = F.transform(F.split(source, r"\r?\n"), F.ltrim)
+    lines = F.transform(F.split(source, r"\r?\n"), lambda x: F.ltrim(x))
     blank = F.struct(F.lit(False).alias("done"), F.lit("").alias("at"), F.lit(None).cast("string").alias("why"), F.lit(None).cast("string").alias("what"))
 
     def step(s: Column, line: Column) -> Column:

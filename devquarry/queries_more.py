@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import code, rules, text
-from .operators import classify, cluster, delivery, diffs, entities, graph, index, memory, reports, retrieval
+from .operators import classify, cluster, delivery, diffs, entities, graph, index, memory, parse, reports, retrieval
 from .plans import grep, search
 from .queries import DECISION_SQL, SHAPES, checkpointed, first_vector, indexed, kept, lexical_lane, query, sql_list, vectors
 from .queries import BM25_SQL, COS_SQL, DOC_TOKENS_SQL
@@ -687,3 +687,19 @@ SHAPES["rusty"] = """SELECT CAST(doc_id AS STRING) AS file, concat('x', regexp_r
 def code_entities(t):
     sources = t("rusty").select("file", F.lit("rust").alias("language"), F.expr("concat('use ', own, '::a', n, ';\\n#[', own, ']\\nfn f() { let t = ', told, '; }')").alias("content"))
     return entities.entities(sources).drop("id")
+
+
+# -- definitions by scopes -----------------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN doc_id % 40 ELSE 0 END AS k FROM documents)
+    SELECT concat('s', doc_id, '.rs::function::f', doc_id, '::2') AS id, 'function' AS kind, CAST(CASE WHEN doc_id % 3 = 0 THEN 6 ELSE 2 END AS INTEGER) AS parameters, CAST(6 + 3 * k AS INTEGER) AS cyclomatic, CAST(9 + 15 * k AS INTEGER) AS cognitive, CAST(CASE WHEN k > 0 THEN 5 ELSE 2 END AS INTEGER) AS nesting, CAST(7 + k AS INTEGER) AS end_line FROM s""")
+def code_definitions(t):
+    """The function that begins each source; what follows it is prose, which may hold other heads."""
+    own = parse.definitions(t("sources").select(F.concat(F.lit("s"), "doc_id", F.lit(".rs")).alias("path"), F.lit("rust").alias("language"), F.col("text").alias("content")))
+    return own.filter(F.col("start_line") == 2).select("id", "kind", "parameters", "cyclomatic", "cognitive", "nesting", "end_line")
+
+
+@query(r"SELECT doc_id, md5(left(list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^(//|@)') AND (NOT starts_with(x, '#') OR starts_with(x, '#define')))[1], 240)) AS digest FROM documents")
+def code_signatures(t):
+    return t("documents").select("doc_id", F.md5(code.signature(F.col("text")).cast("binary")).alias("digest"))
