@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.delivery import keep_last
 
@@ -20,23 +19,6 @@ def apply_changes(table: DataFrame, changes: DataFrame, key: str, order: str) ->
     return table.join(last.select(key), key, "left_anti").unionByName(last.filter("not removed").select(*table.columns))
 
 
-def maintain(changes: DataFrame, folder: str, checkpoint: str, key: str, order: str, columns: list[str]) -> StreamingQuery:
-    """Keep versions of a table below ``folder``: each micro-batch writes a new one, so a repeated batch replaces its own."""
-    spark = changes.sparkSession
-
-    def step(batch: DataFrame, number: int) -> None:
-        try:
-            table = spark.read.parquet(f"{folder}/v={number - 1}")
-        except Exception as e:
-            if number or "PATH_NOT_FOUND" not in str(e):
-                if number:
-                    raise
-            table = batch.select(*columns).limit(0)
-        apply_changes(table, batch, key, order).write.mode("overwrite").parquet(f"{folder}/v={number}")
-
-    return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def access_counts(events: DataFrame, key: str) -> DataFrame:
     """Running counts; write in update mode."""
     return events.groupBy(key).agg(F.count("*").alias("accesses"))
