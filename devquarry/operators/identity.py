@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import zlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 
 def winkler(a: str, b: str) -> float:
@@ -22,7 +26,7 @@ def winkler(a: str, b: str) -> float:
     if not hits:
         return 0.0
     m, other = len(hits), [b[j] for j in range(len(b)) if used[j]]
-    swaps = sum(x != y for (x, _), y in zip(hits, other)) / 2
+    swaps = sum(x != y for (x, _), y in zip(hits, other)) // 2  # whole pairs of letters out of place
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
     return jaro + prefix * 0.1 * (1 - jaro)
@@ -50,44 +54,183 @@ def same_name_pairs(authors: DataFrame) -> DataFrame:
     return marked.filter("email <> target").select(F.col("email").alias("source"), "target")
 
 
+#: Lengths up to which local parts meet on what is left without one or two characters, and from which on thirds.
+SHORT, LONG = 24, 23
+#: The shortest local part of a suggestion, and its confidence by edits.
+LEAST_LOCAL, BY_EDITS = 3, {1: 0.85, 2: 0.78}
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def variants(words: pd.Series) -> pd.Series:
+    """What is left of each word without at most two characters, each once; two words within two edits share one."""
+    def left(w: str) -> list[str]:
+        once = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        return list({w} | once | {x[:i] + x[i + 1 :] for x in once for i in range(len(x))})
+
+    return words.map(left)
+
+
 def near_emails(authors: DataFrame) -> DataFrame:
-    """Pairs of e-mails whose local parts are one or two edits apart, of one domain or of two of which one ends with the other.
+    """first, second, edits and confidence of e-mails whose local parts, of three bytes at least, are one or two edits apart, of one domain or of two of which one ends with the other. The larger is the alias of the smaller.
 
-    Domains meet on their endings. Parts within two edits share one of three pieces at a near place, so candidates meet on pieces, not as all pairs.
+    Domains meet on their endings. Short local parts meet on what is left without two characters at most, long ones on
+    pieces of a third, one of which two edits leave whole: keys that only few parts share, so no domain is a task's work.
     """
-    part = authors.select("email", F.split("email", "@")[0].alias("local"), F.split("email", "@")[1].alias("domain")).distinct()
-    third = F.greatest(F.floor(F.length("local") / 3), F.lit(1)).cast("int")
-    grams = part.withColumn("n", third).withColumn("piece", F.explode(F.expr("array_distinct(flatten(transform(sequence(greatest(cast(floor((length(local) - 2) / 3) as int), 1), cast(floor((length(local) + 2) / 3) as int)), k -> transform(sequence(1, length(local) - k + 1), i -> substring(local, i, k)))))")))
+    split = F.split("email", "@")
+    part = authors.select("email", split[0].alias("local"), split[1].alias("domain")).filter(f"octet_length(local) >= {LEAST_LOCAL}").distinct()
+    pieces = F.expr("array_distinct(flatten(transform(sequence(greatest(cast(floor((length(local) - 2) / 3) as int), 1), cast(floor((length(local) + 2) / 3) as int)), k -> transform(sequence(1, length(local) - k + 1), i -> substring(local, i, k)))))")
+    short = part.filter(F.length("local") <= SHORT).withColumn("piece", F.explode(variants("local")))
+    long = part.filter(F.length("local") >= LONG).withColumn("piece", F.explode(F.transform(pieces, lambda x: F.concat(F.lit("\0"), x))))
+    grams = short.unionByName(long)
     domains = part.filter("domain <> ''").select("domain").distinct()
     endings = domains.select("domain", F.explode(F.expr("transform(sequence(1, length(domain)), i -> substring(domain, i))")).alias("ending"))
     a = grams.join(endings.join(domains.select(F.col("domain").alias("ending")), "ending"), "domain").alias("a")
     b = grams.alias("b")
     once = (F.col("a.domain") != F.col("b.domain")) | (F.col("a.email") < F.col("b.email"))
     pairs = a.join(b, (F.col("a.ending") == F.col("b.domain")) & (F.col("a.piece") == F.col("b.piece")) & once & (F.abs(F.length("a.local") - F.length("b.local")) <= 2))
-    found = pairs.select(F.least("a.email", "b.email").alias("first"), F.greatest("a.email", "b.email").alias("second"), F.levenshtein(F.col("a.local"), F.col("b.local")).alias("edits")).distinct()
-    return found.filter("edits between 1 and 2")
+    found = pairs.select(F.least("a.email", "b.email").alias("first"), F.greatest("a.email", "b.email").alias("second"), F.levenshtein(F.col("a.local"), F.col("b.local"), 2).alias("edits")).distinct()
+    return found.filter("edits between 1 and 2").withColumn("confidence", F.when(F.col("edits") == 1, BY_EDITS[1]).otherwise(BY_EDITS[2]))
+
+
+#: The domain of private addresses, the ending of host names, and confidences of the noise rules.
+PRIVATE, HOSTS = "users.noreply.github.com", ".local"
+NOISE = {"host": 0.90, "login": 0.90, "part": 0.78, "typo": 0.88}
+
+
+def noise_aliases(authors: DataFrame, domain: str | None = None) -> DataFrame:
+    """source, target, confidence and rule of authors' e-mails that look like another's: host names and misspelt domains of ``domain``, private addresses by their login.
+
+    A login or local part inside another meets it on its first three characters; nothing is compared with all. Of several
+    rules for a pair the most confident counts.
+    """
+    mail = authors.select("email").filter("email is not null").distinct()
+    split = mail.select("email", F.lower(F.regexp_extract("email", "^(.*)@([^@]*)$", 1)).alias("local"), F.lower(F.regexp_extract("email", "^(.*)@([^@]*)$", 2)).alias("domain")).filter("local <> '' and domain <> ''")
+    out = []
+    if domain:
+        home = domain.strip().lstrip("@").lower()
+        edits = F.levenshtein(F.col("domain"), F.lit(home), 2)
+        rule = F.when(F.col("domain").endswith(HOSTS), "host").when((F.col("domain") != home) & edits.between(1, 2), "typo")
+        stray = split.withColumn("rule", rule).filter("rule is not null").withColumn("target", F.concat("local", F.lit(f"@{home}")))
+        there = mail.select(F.lower("email").alias("target")).distinct()
+        out.append(stray.join(there, "target", "left_semi").select(F.col("email").alias("source"), "target", "rule"))
+    private = split.filter((F.col("domain") == PRIVATE) & F.contains("local", F.lit("+"))).select(F.col("email").alias("source"), F.regexp_extract("local", r"^[^+]*\+(.*)$", 1).alias("login")).filter("login <> ''")
+    others = split.select(F.col("email").alias("target"), "local")
+    out.append(private.join(others, F.col("login") == F.col("local")).filter("source <> target").select("source", "target", F.lit("login").alias("rule")))
+
+    def inside(inner: DataFrame, word: str, outer: DataFrame, text: str) -> DataFrame:
+        """Pairs whose ``word`` stands inside ``text``, but isn't all of it: by the first three characters of the word among the runs of the text."""
+        heads = inner.withColumn("head", F.substring(word, 1, 3))
+        runs = F.expr(f"array_distinct(flatten(transform(sequence(1, 3), k -> transform(sequence(1, greatest(length({text}) - k + 1, 1)), i -> substring({text}, i, k)))))")
+        return heads.join(outer.withColumn("head", F.explode(runs)), "head").filter((F.col(word) != F.col(text)) & F.contains(F.col(text), F.col(word)))
+
+    for pairs in (inside(private, "login", others, "local"), inside(others, "local", private, "login")):
+        out.append(pairs.filter("source <> target").select("source", "target", F.lit("part").alias("rule")))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    confidence = F.lit(0.0)
+    for rule, value in NOISE.items():
+        confidence = F.when(F.col("rule") == rule, value).otherwise(confidence)
+    best = found.withColumn("confidence", confidence).groupBy("source", "target").agg(F.max_by("rule", F.struct("confidence", "rule")).alias("rule"), F.max("confidence").alias("confidence"))
+    return best.select("source", "target", "confidence", "rule")
+
+
+# -- pairs of alike names --------------------------------------------------------------------------------------
+
+#: Letters from rare to frequent, the order in which a name's letters become keys, and how many of them a key holds besides a common beginning of 0 to 4.
+RARE, TOGETHER = "zqxjkvbpgwyfmculdhrsnioate", (2, 2, 1, 1, 1)
+ORDER = {c: i for i, c in enumerate(RARE)}
+
+
+def length_classes(most: int) -> list[tuple[int, int]]:
+    """The least and greatest lengths of classes: single lengths at first, then about an eighth wide."""
+    out, low = [], 1
+    while low <= most:
+        high = max(low, low * 9 // 8)
+        out.append((low, high))
+        low = high + 1
+    return out
+
+
+def name_keys(word: str, least: float, left: bool) -> list[int]:
+    """Keys of which two words share one if their Jaro-Winkler likeness is ``least`` or more.
+
+    A common beginning of p letters leaves a Jaro likeness j of at least (least - p/10) / (1 - p/10). So of lengths a and
+    b at least o = (3j - 1) ab / (a + b) letters are common, and of the rarest a - o + k letters of the one and b - o + k
+    of the other k are: keys are the beginning, the classes of both lengths, whose least lengths make o, and k of these
+    letters.
+    """
+    n, out = len(word), set()
+    if not n:
+        return [0]
+    seen: dict[str, int] = {}
+    letters = []
+    for c in word:
+        seen[c] = seen.get(c, 0) + 1
+        letters.append((ORDER.get(c, -1), c, seen[c]))
+    letters = [f"{c}{i}" for _, c, i in sorted(letters)]
+    for p in range(min(4, n) + 1):
+        jaro = (least - p / 10) / (1 - p / 10)
+        ratio = max(3 * jaro - 2, 0.05)  # of the lengths, the shorter by the longer; lower ones have classes up to 20 n all the same
+        classes = length_classes(math.floor(n / ratio) + 1)
+        own = next(c for c in classes if c[0] <= n <= c[1])
+        for other in classes:
+            if other[1] < max(p, ratio * n - 1e-9):
+                continue
+            common = max(math.ceil((3 * jaro - 1) * own[0] * other[0] / (own[0] + other[0]) - 1e-9), 1)
+            if common > min(n, other[1]):
+                continue
+            k = min(TOGETHER[p], common)
+            sizes = (own[0], other[0]) if left else (other[0], own[0])
+            head = f"{p}|{word[:p]}|{sizes}|"
+            for some in itertools.combinations(letters[: n - common + k], k):
+                raw = (head + "".join(some)).encode()
+                out.add((zlib.crc32(raw) << 32 | zlib.crc32(raw[::-1])) - (1 << 63))
+    return list(out)
+
+
+def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """a, b and score of all pairs of distinct words (word) of two tables with a Jaro-Winkler likeness of ``least`` (0.82 or above) or more.
+
+    Pairs meet on keys that no such pair misses, so words are never all compared; a pair is measured once.
+    """
+    def keyed(words: DataFrame, name: str, first: bool) -> DataFrame:
+        keys = F.pandas_udf(lambda s: s.map(lambda w: name_keys(w, least, first)), "array<long>")
+        return words.filter("word is not null").select("word").distinct().select(F.col("word").alias(name), F.explode(keys("word")).alias("key"))
+
+    pairs = keyed(left, "a", True).join(keyed(right, "b", False), "key").select("a", "b").distinct()
+    return pairs.withColumn("score", jaro_winkler("a", "b")).filter(F.col("score") >= least)
 
 
 def resolve(people: DataFrame, known: DataFrame, least: float = 0.85, least_normalized: float = 0.82) -> DataFrame:
     """email, name and the known author by e-mail, then by name, then by likeness.
 
     Likeness is the larger of the names' and the e-mails', ``least`` or more; else that of normalised names and local
-    parts, each with each, ``least_normalized`` or more. Who is left meets every row of ``known``, a bounded list that
-    is broadcast. Equal scores go to the smallest author.
+    parts, each with each, ``least_normalized`` or more. Words meet by the keys of ``alike``; equal scores go to the
+    smallest author.
     """
     by_mail = known.select(F.col("email"), F.col("author").alias("by_mail")).dropDuplicates(["email"])
     by_name = known.groupBy("name").agg(F.min("author").alias("by_name"))
     out = people.join(by_mail, "email", "left").join(by_name, "name", "left")
-    forms = lambda mark: [F.lower("name").alias(f"name_{mark}"), F.lower("email").alias(f"email_{mark}"), normalized(F.col("name")).alias(f"plain_{mark}"), normalized(local_part(F.col("email"))).alias(f"local_{mark}")]
-    left = out.filter("by_mail is null and by_name is null").select("email", "name", *forms("a")).distinct().repartition(int(people.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # by number, as small rows meet many
-    have = known.select("author", *forms("b")).distinct()
-    alike = lambda pairs: F.greatest(*[jaro_winkler(f"{a}_a", f"{b}_b") for a, b in pairs])
-    both = left.crossJoin(F.broadcast(have)).withColumn("raw", alike([("name", "name"), ("email", "email")]))
-    both = both.withColumns({f"{a}_a": F.when(F.coalesce("raw", F.lit(0.0)) < least, F.col(f"{a}_a")) for a in ("plain", "local")})
-    both = both.withColumn("plain", alike([("local", "plain"), ("local", "local"), ("plain", "plain"), ("plain", "local")]))
-    like = F.when(F.col("raw") >= least, F.struct(F.lit(2).alias("step"), F.col("raw").alias("s"))).when(F.col("plain") >= least_normalized, F.struct(F.lit(1).alias("step"), F.col("plain").alias("s")))
-    near = both.select("email", "name", "author", like.alias("like")).filter("like is not null")
-    best = near.groupBy("email", "name").agg(F.min_by("author", F.struct(-F.col("like.step"), -F.col("like.s"), "author")).alias("by_like"))
+    mine = out.filter("by_mail is null and by_name is null").select("email", "name").distinct()
+
+    def forms(rows: DataFrame, *kept: str) -> list[DataFrame]:
+        """The rows with a form as word: names and e-mails in lower case, normalised names, normalised local parts."""
+        made = (F.lower("name"), F.lower("email"), normalized(F.col("name")), normalized(local_part(F.col("email"))))
+        return [rows.select(*kept, f.alias("word")).distinct() for f in made]
+
+    def scored(a: DataFrame, b: DataFrame, bound: float, step: int) -> DataFrame:
+        near = alike(a, b, bound)
+        met = a.join(near, a["word"] == near["a"]).drop("word", "a").join(b.groupBy("word").agg(F.min("author").alias("author")), F.col("b") == F.col("word"))
+        return met.select("email", "name", "author", F.lit(step).alias("step"), "score")
+
+    theirs = forms(known, "author")
+    own = forms(mine, "email", "name")
+    found = scored(own[0], theirs[0], least, 2).unionByName(scored(own[1], theirs[1], least, 2))
+    for i in (2, 3):
+        for j in (2, 3):
+            found = found.unionByName(scored(own[i], theirs[j], least_normalized, 1))
+    best = found.groupBy("email", "name").agg(F.min_by("author", F.struct(-F.col("step"), -F.col("score"), "author")).alias("by_like"))
     best = best.select(F.col("email").alias("own_email"), F.col("name").alias("own_name"), "by_like")
     same = F.col("email").eqNullSafe(F.col("own_email")) & F.col("name").eqNullSafe(F.col("own_name"))
     return out.join(best, same, "left").select("email", "name", F.coalesce("by_mail", "by_name", "by_like", "name").alias("author"))

@@ -39,7 +39,7 @@ SHAPES = {
     "triples": """SELECT concat('u', CAST(user_id AS STRING)) AS subject, event_type AS predicate, CAST(event_id % 13 AS STRING) AS object, event_id AS valid_from,
         value / 100.0 - 0.2 AS confidence, concat('src', CAST(event_id % 4 AS STRING)) AS provenance, event_id AS created_at FROM {events}""",
 }
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -664,7 +664,7 @@ def identity_same_names(t):
 MAIL_SQL = "concat(replace(c_name, 'Customer#', 'dev'), '@', c_mktsegment)"
 
 
-@query(f"WITH m AS (SELECT DISTINCT {MAIL_SQL} AS email, replace(c_name, 'Customer#', 'dev') AS l, c_mktsegment AS d FROM customer) SELECT a.email AS first, b.email AS second, CAST(levenshtein(a.l, b.l) AS INT) AS edits FROM m a JOIN m b ON a.d = b.d AND a.email < b.email WHERE levenshtein(a.l, b.l) BETWEEN 1 AND 2")
+@query(f"WITH m AS (SELECT DISTINCT {MAIL_SQL} AS email, replace(c_name, 'Customer#', 'dev') AS l, c_mktsegment AS d FROM customer) SELECT a.email AS first, b.email AS second, CAST(levenshtein(a.l, b.l) AS INT) AS edits, CASE levenshtein(a.l, b.l) WHEN 1 THEN 0.85 ELSE 0.78 END::DOUBLE AS confidence FROM m a JOIN m b ON a.d = b.d AND a.email < b.email WHERE levenshtein(a.l, b.l) BETWEEN 1 AND 2")
 def identity_near_emails(t):
     a = t("customer").select(F.concat(F.expr("replace(c_name, 'Customer#', 'dev')"), F.lit("@"), "c_mktsegment").alias("email"))
     return identity.near_emails(a)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import code, rules, text
-from .operators import classify, cluster, delivery, diffs, entities, graph, index, memory, parse, reports, retrieval
+from .operators import classify, cluster, delivery, diffs, entities, graph, identity, index, memory, parse, reports, retrieval
 from .plans import grep, search
 from .queries import DECISION_SQL, SHAPES, checkpointed, first_vector, indexed, kept, lexical_lane, query, sql_list, vectors
 from .queries import BM25_SQL, COS_SQL, DOC_TOKENS_SQL
@@ -703,3 +703,23 @@ def code_definitions(t):
 @query(r"SELECT doc_id, md5(left(list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^(//|@)') AND (NOT starts_with(x, '#') OR starts_with(x, '#define')))[1], 240)) AS digest FROM documents")
 def code_signatures(t):
     return t("documents").select("doc_id", F.md5(code.signature(F.col("text")).cast("binary")).alias("digest"))
+
+
+# -- names ---------------------------------------------------------------------------------------------------
+
+SHAPES["mails"] = """SELECT DISTINCT concat(lower(split_part(name, ' ', 1)), CASE WHEN client_id % 5 = 0 THEN '' ELSE CAST(client_id % 90 AS STRING) END, CASE client_id % 7 WHEN 0 THEN '@co.com' WHEN 1 THEN '@c0.com' WHEN 2 THEN '@mac.local' WHEN 3 THEN '@coo.com' ELSE '@else.org' END) AS email FROM {clients} WHERE name IS NOT NULL
+    UNION SELECT concat(CAST(client_id AS STRING), '+', lower(split_part(name, ' ', 1)), CASE WHEN client_id % 2 = 0 THEN CAST(client_id % 9 AS STRING) ELSE '' END, '@users.noreply.github.com') FROM {clients} WHERE name IS NOT NULL AND client_id % 50 = 3"""
+
+
+@query("""WITH m AS (SELECT email, split_part(email, '@', 1) AS l, split_part(email, '@', 2) AS d FROM mails WHERE email NOT LIKE '@%'), p AS (SELECT email, split_part(l, '+', 2) AS login FROM m WHERE d = 'users.noreply.github.com' AND split_part(l, '+', 2) <> ''),
+    a AS (SELECT email AS source, l || '@co.com' AS target, CASE WHEN d LIKE '%.local' THEN 0.90 ELSE 0.88 END AS confidence, CASE WHEN d LIKE '%.local' THEN 'host' ELSE 'typo' END AS rule FROM m WHERE (d LIKE '%.local' OR (d <> 'co.com' AND levenshtein(d, 'co.com') BETWEEN 1 AND 2)) AND l || '@co.com' IN (SELECT email FROM mails)
+    UNION ALL SELECT p.email, m.email, CASE WHEN l = login THEN 0.90 ELSE 0.78 END, CASE WHEN l = login THEN 'login' ELSE 'part' END FROM p, m WHERE p.email <> m.email AND (contains(l, login) OR contains(login, l)))
+    SELECT source, target, confidence::DOUBLE AS confidence, rule FROM a""", "mails")
+def identity_noise_aliases(t):
+    return identity.noise_aliases(t("mails"), "co.com")
+
+
+@query("WITH n AS (SELECT DISTINCT regexp_replace(lower(name), '[^ -~]', '?', 'g') AS word FROM clients WHERE name IS NOT NULL), v AS (SELECT DISTINCT regexp_replace(lower(name), '[^ -~]', '?', 'g') AS word FROM vendors WHERE name IS NOT NULL) SELECT v.word AS a, n.word AS b, round(jaro_winkler_similarity(v.word, n.word), 6) AS score FROM v, n WHERE jaro_winkler_similarity(v.word, n.word) >= 0.85")
+def identity_alike_names(t):
+    named = lambda table: t(table).select(F.regexp_replace(F.lower("name"), "[^ -~]", "?").alias("word"))
+    return identity.alike(named("vendors"), named("clients"), 0.85).withColumn("score", F.round("score", 6))
