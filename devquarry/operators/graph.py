@@ -274,3 +274,11 @@ def load(spark, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, edges and reversed edges of a saved graph."""
     edges = spark.read.parquet(f"{folder}/edges")
     return spark.read.parquet(f"{folder}/nodes"), edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
+
+
+def context(nodes: DataFrame, edges: DataFrame, name: str, depth: int) -> DataFrame:
+    """id, symbol and hop of what is within ``depth`` calls of a symbol (the smallest id of its name), callers and callees alike; the symbol itself is left out."""
+    start = nodes.filter(F.col("symbol") == F.lit(name)).agg(F.min("id").alias("id")).filter("id is not null")
+    if depth < 1:
+        return nodes.limit(0).select("id", "symbol", F.lit(0).alias("hop"))
+    return neighbours(edges, start, depth, ("Calls",), True, True).join(nodes.select("id", "symbol"), "id").select("id", "symbol", "hop")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -181,3 +182,16 @@ def applied_actions(drawers: DataFrame, answers: DataFrame) -> tuple[DataFrame,
     aliases = actions.filter("a.action = 'alias'").select("batch", "at", F.col("a.from").alias("alias"), F.col("a.to").alias("name"))
     flags = actions.filter("a.action = 'flag'").select("batch", "at", F.col("a.drawer_id").alias("id"), F.col("a.reason").alias("reason"))
     return out, aliases, flags, merges.select(F.explode("canonical_for").alias("id")).distinct()
+
+
+@F.pandas_udf(LongType())
+def fact_hash(subject: pd.Series, predicate: pd.Series, obj: pd.Series) -> pd.Series:
+    """XXH3 of 64 bits, as a signed long, over the parts of a fact, each behind its length in eight bytes; null if a part is."""
+    def one(*parts: str | None) -> int | None:
+        if any(p is None for p in parts):
+            return None
+        raw = [p.encode() for p in parts]
+        h = xxhash.xxh3_64_intdigest(b"".join(len(p).to_bytes(8, "little") + p for p in raw))
+        return h - (1 << 64) if h >> 63 else h
+
+    return pd.Series([one(*x) for x in zip(subject, predicate, obj)], dtype="Int64")

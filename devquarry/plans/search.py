@@ -99,3 +99,22 @@ def post_filter(hits: DataFrame, mode: str, exclude_archived: bool = False, left
 def literal(chunks: DataFrame, key: str, text: str, query: str, want: int) -> DataFrame:
     """key and a constant score of the first chunks that contain the query as it is."""
     return chunks.filter(F.contains(F.col(text), F.lit(query))).select(F.col(key).alias("key"), F.lit(LITERAL).alias("score")).orderBy("key").limit(want)
+
+
+def in_language(vectors: DataFrame, key: str, vector: str, query: list[float], top_k: int, language: str) -> DataFrame:
+    """key, score and language of those of the ``top_k`` nearest vectors that are in a language, ignoring case; fewer than ``top_k`` may be."""
+    best = retrieval.vector_search(vectors, key, vector, query, top_k)
+    return best.join(vectors.select(key, "language"), key).filter(F.lower("language") == language.lower()).select(key, "score", "language").orderBy(F.desc("score"), key)
+
+
+def rendered(hits: DataFrame, query: str, full: bool = False, truncated: bool = False) -> DataFrame:
+    """One row, text: the hits (rank, file, start_line, end_line, language, content, compact_snippet, score, reason), a top-k list, as Markdown."""
+    body = F.col("content") if full else F.coalesce("compact_snippet", "content")
+    ended = F.when(body.endswith("\n"), body).otherwise(F.concat(body, F.lit("\n")))
+    head = F.format_string("\n### %d. `%s:%d-%d` [score: %.2f, %s]\n", F.col("rank"), "file", F.col("start_line"), F.col("end_line"), F.col("score"), "reason")
+    text = F.concat(head, F.lit("```"), F.coalesce("language", F.lit("")), F.lit("\n"), ended, F.lit("```\n"))
+    all_ = hits.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", text.alias("text")))).alias("items"))
+    plural = F.when(F.col("n") == 1, "").otherwise("s")
+    title = F.format_string("## Search Results for \"%s\" (%d result%s)\n", F.lit(query), F.col("n"), plural)
+    note = "\n_Note: results truncated to fit token budget._\n" if truncated else ""
+    return all_.select(F.concat(title, F.lit(note), F.array_join(F.transform("items", lambda x: x["text"]), "")).alias("text"))
