@@ -127,3 +127,33 @@ def fallback(commits: DataFrame, rules: DataFrame, least: float) -> DataFrame:
     joined = commits.join(rules.select("repository", F.col("category").alias("usual")), "repository", "left")
     weak = ((F.col("category") == "uncategorized") | (F.col("confidence") < least)) & F.col("usual").isNotNull()
     return joined.withColumn("category", F.when(weak, F.col("usual")).otherwise(F.col("category"))).drop("usual")
+
+
+#: Columns of a rule file's rows.
+RULE = "id string, category string, tier string, pattern string, priority int"
+
+
+def load_rules(spark, paths: list[str]) -> DataFrame:
+    """id, category, tier (exact or regex), pattern and priority of rule files in JSON lines; a rule that several files name is the last file's, at its first place."""
+    if not paths:
+        raise ValueError("at least one rule file is needed")
+    found = None
+    for i, path in enumerate(paths):
+        own = spark.read.schema(RULE).json(path).withColumn("file", F.lit(i)).withColumn("line", F.monotonically_increasing_id())
+        found = own if found is None else found.unionByName(own)
+    columns = ["category", "tier", "pattern", "priority"]
+    last = found.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct("file", "line")).alias("rule"), F.min(F.struct("file", "line")).alias("place"))
+    return last.orderBy("place").select("id", *[F.coalesce(f"rule.{c}", F.lit(100)).alias(c) if c == "priority" else F.col(f"rule.{c}").alias(c) for c in columns])
+
+
+def tiers_of(rules: DataFrame, message: Column) -> list[Column]:
+    """The exact and the regex tier of loaded rules, which are a short list."""
+    rows = rules.collect()
+    listed = {tier: [(r.pattern, r.category, r.priority) for r in rows if r.tier == tier] for tier in ("exact", "regex")}
+    return [make(message, listed[tier]) for tier, make in (("exact", exact_tier), ("regex", regex_tier)) if listed[tier]]
+
+
+def dry_run(rules: DataFrame, message: str) -> DataFrame:
+    """message, category, confidence and method of one message by loaded rules; the method is none where no rule holds."""
+    one = rules.sparkSession.createDataFrame([(message,)], "message string")
+    return cascade(one, tiers_of(rules, F.col("message")))

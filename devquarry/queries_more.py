@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import code, rules, text
-from .operators import classify, cluster, delivery, diffs, entities, graph, identity, index, memory, parse, reports, retrieval
+from .operators import classify, cluster, delivery, diffs, entities, graph, identity, index, ledgers, memory, parse, patches, ranges, reports, retrieval, stores
 from .plans import grep, search
 from .queries import DECISION_SQL, SHAPES, checkpointed, first_vector, indexed, kept, lexical_lane, query, sql_list, vectors
 from .queries import BM25_SQL, COS_SQL, DOC_TOKENS_SQL
 from .sources import delivery as delivery_sources
 from .sources import walk
+from .streaming import tables
 
 CATEGORY = "CASE o_orderkey % 7 WHEN 0 THEN 'feature' WHEN 1 THEN 'bugfix' WHEN 2 THEN 'docs' WHEN 3 THEN 'test' WHEN 4 THEN 'refactor' WHEN 5 THEN 'uncategorized' ELSE 'maintenance' END"
 SHAPES["work"] = f"""SELECT CAST(o_orderkey AS STRING) AS sha, concat('dev', CAST(o_custkey % 40 AS STRING)) AS author, concat('repo', CAST(o_custkey % 7 AS STRING)) AS repository, o_orderdate AS timestamp,
@@ -459,30 +460,34 @@ def search_indexed_text(t):
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (3, 14, 15, 92, -1)")
 def store_lookup(t):
-    d = t("documents").select("doc_id", "source")
-    return d.join(F.broadcast(d.sparkSession.createDataFrame([(3,), (14,), (15,), (92,), (-1,)], "doc_id long")), "doc_id", "left_semi")  # five ids
+    return stores.lookup(t("documents").select("doc_id", "source"), "doc_id", [3, 14, 15, 92, -1])
 
 
-@query("SELECT DISTINCT source FROM documents")
+@query("SELECT DISTINCT source FROM documents WHERE source IS NOT NULL")
 def store_files(t):
-    return t("documents").select("source").distinct()
+    return stores.files(t("documents"), "source")
 
 
-@query("SELECT lang, source, count(*) AS n FROM documents WHERE lang <> 'fr' GROUP BY ALL")
+SHAPES["placed"] = "SELECT l_orderkey * 8 + l_linenumber AS id, concat('src/f', CAST(l_orderkey % 97 AS STRING), '.rs') AS file, concat('fn', CAST(l_partkey % 40 AS STRING)) AS name, l_suppkey AS start_line, l_suppkey + CAST(l_quantity AS BIGINT) AS end_line FROM {lineitem}"
+
+
+@query("SELECT store, CAST(sum(removed) AS BIGINT) AS removed, CAST(sum(kept) AS BIGINT) AS kept FROM (SELECT 'chunks' AS store, CAST(file = 'src/f7.rs' AS INT) AS removed, CAST(file <> 'src/f7.rs' AS INT) AS kept FROM placed UNION ALL SELECT 'entities', CAST(file = 'src/f7.rs' AS INT), CAST(file <> 'src/f7.rs' AS INT) FROM (SELECT DISTINCT file, name FROM placed)) GROUP BY store", "placed")
 def store_remove_file(t):
-    d = t("documents")
-    kept = d.join(d.filter("lang = 'fr'").select("lang").distinct(), "lang", "left_anti")
-    return kept.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    chunks = t("placed")
+    kept, gone = stores.without_file({"chunks": chunks, "entities": chunks.select("file", "name").distinct()}, "src/f7.rs")
+    left = kept["chunks"].select(F.lit("chunks").alias("store")).unionByName(kept["entities"].select(F.lit("entities").alias("store")))
+    return gone.join(left.groupBy("store").agg(F.count("*").alias("kept")), "store")
 
 
-@query("SELECT file, arg_min(id, id) AS id FROM defs WHERE file LIKE '%7' AND chunk_type = 'function' GROUP BY file", "defs")
+@query("SELECT 'any' AS asked, * FROM (SELECT id, start_line FROM placed WHERE file LIKE '%f7.rs' ORDER BY start_line, end_line, id LIMIT 1) UNION ALL SELECT 'named', * FROM (SELECT id, start_line FROM placed WHERE file LIKE '%f7.rs' AND name = 'fn3' ORDER BY start_line, end_line, id LIMIT 1)", "placed")
 def store_seed(t):
-    return t("defs").filter(F.col("file").endswith("7") & (F.col("chunk_type") == "function")).groupBy("file").agg(F.min_by("id", "id").alias("id"))
+    one = lambda asked, *name: stores.seed(t("placed"), "f7.rs", *name).select(F.lit(asked).alias("asked"), "id", "start_line")
+    return one("any").unionByName(one("named", "fn3"))
 
 
 @query("SELECT id, name, chunk_type FROM defs WHERE chunk_type = 'class' AND file = 'f10' ORDER BY chunk_type, name", "defs")
 def store_entities(t):
-    return t("defs").filter("chunk_type = 'class' and file = 'f10'").select("id", "name", "chunk_type").orderBy("chunk_type", "name")
+    return stores.entities(t("defs"), "chunk_type", "name", ("class",), "f10").select("id", "name", "chunk_type")
 
 
 @query("WITH r AS (SELECT CASE WHEN value >= 20 THEN user_id END AS d FROM events) SELECT d AS drawer_id, count(*) AS hits FROM r WHERE d IS NOT NULL GROUP BY d ORDER BY hits DESC, d LIMIT 10")
@@ -723,3 +728,94 @@ def identity_noise_aliases(t):
 def identity_alike_names(t):
     named = lambda table: t(table).select(F.regexp_replace(F.lower("name"), "[^ -~]", "?").alias("word"))
     return identity.alike(named("vendors"), named("clients"), 0.85).withColumn("score", F.round("score", 6))
+
+
+# -- diffs, ledgers, streams ---------------------------------------------------------------------------------
+
+#: A text's lines as a diff of one file: the first is its head's section, others are added, removed or kept by their number.
+SHAPES["patches"] = """SELECT doc_id AS id, concat('diff --git a/d', CAST(doc_id AS STRING), '.md b/d', CAST(doc_id AS STRING), '.md', chr(10), '--- a/d', CAST(doc_id AS STRING), '.md', chr(10), '+++ b/d', CAST(doc_id AS STRING), '.md', chr(10), '@@ -', CAST(doc_id % 90 AS STRING), ',3 +', CAST(doc_id % 70 AS STRING), ' @@ sec', chr(10), '-old', chr(10), ' same', chr(10), '+', replace(text, chr(10), concat(chr(10), '+')), chr(10)) AS diff FROM {documents}"""
+
+
+@query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) SELECT doc_id AS id, concat('d', doc_id, '.md') AS file, CAST(doc_id % 70 + 1 AS BIGINT) AS first_line, CAST(doc_id % 70 + len(a) AS BIGINT) AS last_line, CAST(len(a) AS BIGINT) AS n FROM l")
+def diff_added_lines(t):
+    own = patches.added_lines(t("patches"))
+    return own.groupBy("id", "file").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count("*").alias("n"))
+
+
+@query("SELECT id, md5(diff) AS digest FROM patches", "patches")
+def diff_round_trip(t):
+    return patches.joined(patches.parts(t("patches"))).select("id", F.md5(F.col("diff").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id AS id, CAST(doc_id % 90 AS BIGINT) AS old_start, 3::BIGINT AS old_lines, CAST(doc_id % 70 AS BIGINT) AS new_start, 1::BIGINT AS new_lines, 'sec' AS section, 'modified' AS change FROM documents")
+def diff_hunks(t):
+    d = t("patches")
+    return patches.hunks(d).join(patches.changed_files(d).select("id", "file_no", "change"), ["id", "file_no"]).select("id", "old_start", "old_lines", "new_start", "new_lines", "section", "change")
+
+
+@query("""WITH a AS (SELECT DISTINCT concat('src/f', l_suppkey % 50, '.rs') AS file, l_partkey % 50 AS line FROM lineitem WHERE l_linenumber = 1), h AS (SELECT concat(CASE WHEN l_suppkey % 3 = 0 THEN '/build/b/' WHEN l_suppkey % 3 = 1 THEN '/build/a/' ELSE '' END, 'src/f', l_suppkey % 50, '.rs') AS file, l_partkey % 50 AS line, max(l_linenumber % 3) AS hits FROM lineitem WHERE l_linenumber > 1 GROUP BY 1, 2),
+    p AS (SELECT DISTINCT file FROM h), o AS (SELECT f.file, min(p.file) AS path, count(*) AS candidates FROM (SELECT DISTINCT file FROM a) f JOIN p ON ends_with(p.file, f.file) AND p.file <> f.file GROUP BY f.file),
+    j AS (SELECT a.file, coalesce(o.candidates, 0) AS candidates, x.hits AS own, y.hits AS near FROM a LEFT JOIN o USING (file) LEFT JOIN h x ON x.file = a.file AND x.line = a.line LEFT JOIN h y ON y.file = o.path AND y.line = a.line)
+    SELECT file, count(coalesce(own, near)) AS instrumented, count(*) FILTER (coalesce(own, near) > 0) AS covered, round(100.0 * count(*) FILTER (coalesce(own, near) > 0) / nullif(count(coalesce(own, near)), 0), 6)::DOUBLE AS percent,
+    CASE WHEN count(own) > 0 AND count(*) FILTER (own IS NULL AND near IS NOT NULL) > 0 THEN 'both' WHEN count(own) > 0 THEN 'exact' WHEN count(near) > 0 THEN 'ending' ELSE 'none' END AS found, CAST(max(candidates) AS BIGINT) AS candidates FROM j GROUP BY file""")
+def review_coverage_by_ending(t):
+    lines = t("lineitem").selectExpr("concat('src/f', l_suppkey % 50, '.rs') as file", "l_partkey % 50 as line", "l_linenumber", "l_suppkey % 3 as side")
+    where = F.expr("concat(case side when 0 then '/build/b/' when 1 then '/build/a/' else '' end, file)")
+    hits = lines.filter("l_linenumber > 1").groupBy(where.alias("file"), "line").agg(F.max(F.col("l_linenumber") % 3).alias("hits"))
+    return ranges.coverage_by_ending(lines.filter("l_linenumber = 1").select("file", "line").distinct(), hits).withColumn("percent", F.round("percent", 6))
+
+
+@query("WITH r AS (SELECT o_custkey % 50 AS repo, CAST(isoyear(o_orderdate) AS INT) AS iso_year, CAST(week(o_orderdate) AS INT) AS iso_week, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders) SELECT repo AS repo_name, iso_year, iso_week, max(o_orderkey) AS collected_at, arg_max(n, o_orderkey) AS commit_count FROM r GROUP BY 1, 2, 3")
+def ledger_runs(t):
+    """Odd orders are in the ledger, even ones are recorded on it; a key's later row replaces the one before where it is newer."""
+    o = t("orders").select((F.col("o_custkey") % 50).alias("repo_name"), F.expr("cast(extract(yearofweek from o_orderdate) as int)").alias("iso_year"), F.weekofyear("o_orderdate").alias("iso_week"), F.col("o_orderkey").alias("collected_at"), F.floor("o_totalprice").cast("long").alias("commit_count"), F.lit(1).alias("repo_count"))
+    runs = ledgers.record_runs(o.limit(0), o.filter("collected_at % 2 = 1"))
+    newer = ledgers.record_runs(runs, o.filter("collected_at % 2 = 0").unionByName(runs))
+    return newer.select("repo_name", "iso_year", "iso_week", "collected_at", "commit_count")
+
+
+@query("WITH a AS (SELECT doc_id % 4 AS k FROM documents) SELECT CASE k WHEN 0 THEN 'usage' WHEN 1 THEN 'conceptual' WHEN 2 THEN 'definition' ELSE 'unknown' END AS intent, count(*) AS n FROM a GROUP BY k")
+def search_agent_intents(t):
+    asked = F.expr("case doc_id % 4 when 0 then concat('who calls ', source) when 1 then 'how it works' when 2 then concat('fn f', doc_id) else 'show me it' end")
+    return t("documents").groupBy(text.agent_intent(asked).alias("intent")).agg(F.count("*").alias("n"))
+
+
+@query("WITH e AS (SELECT vec_id, label, COLUMNS('^(embedding|vec|vector)$') AS vec FROM embeddings), a AS (SELECT vec AS q FROM e WHERE vec_id = 0), b AS (SELECT vec_id, label, round(" + COS_SQL + ", 5) AS score FROM e, a ORDER BY " + COS_SQL + " DESC, vec_id LIMIT 40) SELECT vec_id, score FROM b WHERE label % 2 = 0")
+def search_in_language(t):
+    v = vectors(t).withColumn("language", F.when(F.col("label") % 2 == 0, "Rust").otherwise("go"))
+    return search.in_language(v, "vec_id", "vec", first_vector(t), 40, "rust").select("vec_id", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH {BM25_SQL}, b AS (SELECT doc_id, score, row_number() OVER (ORDER BY bm.score DESC, doc_id) AS rank FROM bm ORDER BY bm.score DESC, doc_id LIMIT 10) SELECT md5(concat('## Search Results for \"the thing ention\" (', count(*), ' result', CASE WHEN count(*) = 1 THEN '' ELSE 's' END, ')', chr(10), string_agg(concat(chr(10), '### ', rank, '. `d', b.doc_id, ':1-2` [score: ', format('{{:.2f}}', score), ', bm25]', chr(10), '```', lang, chr(10), text, CASE WHEN text LIKE '%' || chr(10) THEN '' ELSE chr(10) END, '```', chr(10)), '' ORDER BY rank))) AS digest FROM b JOIN documents d ON d.doc_id = b.doc_id")
+def search_rendered(t):
+    best = retrieval.ranked(index.search(indexed(t, "code"), ["the", "thing", "ention"], 10), "key")
+    d = t("documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("language"), F.col("text").alias("content"))
+    hits = best.join(d, "key").select("rank", F.concat(F.lit("d"), "key").alias("file"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), "language", "content", F.lit(None).cast("string").alias("compact_snippet"), "score", F.lit("bm25").alias("reason"))
+    return search.rendered(hits, "the thing ention").select(F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("WITH l AS (SELECT client_id, max(change_id) AS at FROM client_changes WHERE client_id IS NOT NULL GROUP BY 1) SELECT l.client_id, l.at, c.segment, c.city FROM l JOIN client_changes c ON c.change_id = l.at WHERE coalesce(c.op, '') <> 'D'")
+def stream_client_state(t):
+    """The clients' last changes by a stream into a keyed table: its rows are the state."""
+    source = t("client_changes")
+    columns = "client_id long, at long, segment string, city string"
+    table = tables.create(source.sparkSession, index.shared_folder(source.sparkSession), columns, "client_id", "at")
+    files = source.inputFiles()
+    folder, _, name = files[0].rpartition("/")
+    read = source.sparkSession.readStream.schema(source.schema).option("pathGlobFilter", name if len(files) == 1 else "*").parquet(folder)
+    changes = read.select("client_id", F.col("change_id").alias("at"), "segment", "city", (F.coalesce("op", F.lit("")) == "D").alias("removed"))
+    tables.maintain(changes, table.version.folder, f"{table.version.folder}-checkpoint").awaitTermination()
+    return tables.opened(source.sparkSession, table.version.folder).rows()
+
+
+@query("WITH o AS (SELECT file, name, min(id) AS only FROM defs GROUP BY 1, 2) SELECT DISTINCT a.only AS src, b.only AS dst FROM defs p JOIN o a USING (file, name) JOIN o b ON b.file = p.file AND b.name = p.called", "defs")
+def graph_dispatched(t):
+    """Chunks by the number of their file's name go to one of two adapters, which make edges inside a file."""
+    def make(chunks):
+        nodes = chunks.select("id", F.col("name").alias("symbol"), "file")
+        first = nodes.groupBy("file", "symbol").agg(F.min("id").alias("dst"))
+        calls = chunks.select(F.col("id").alias("src"), "file", F.col("called").alias("symbol"))
+        return nodes, calls.join(first, ["file", "symbol"]).select("src", "dst", F.lit("Calls").alias("kind"))
+
+    odd = ("odd", lambda f: f.rlike("[13579]$"), make)
+    return stores.dispatched(t("defs"), [odd, ("any", lambda f: f.isNotNull(), make)])[1].drop("kind")

@@ -35,20 +35,19 @@ class Table:
     def read(self, keys: list | None = None, of: Iterable[segments.Segment] | None = None, hidden: bool = False) -> DataFrame:
         """The live rows, of some keys alone if told."""
         facts, found = self.version.facts, None
-        fields = f"{facts['columns']}, removed boolean, bucket int"
+        fields = f"{facts['columns']}, removed boolean, own_bucket int"
         for s in self.version.segments if of is None else of:
             own = self.spark.read.schema(fields).parquet(s.path)
             if keys is not None:  # the keys' folders are constants to the optimizer
-                own = own.filter(F.col("bucket").isin(*[F.pmod(F.xxhash64(self.literal(k)), F.lit(s.facts["buckets"])).cast("int") for k in keys]) & F.col(self.key).isin(*keys))
-            own = own.withColumn("segment", F.lit(s.number))
+                own = own.filter(F.col("own_bucket").isin(*[F.pmod(F.xxhash64(self.literal(k)), F.lit(s.facts["buckets"])).cast("int") for k in keys]) & F.col(self.key).isin(*keys))
+            own = own.withColumn("own_segment", F.lit(s.number))
             found = own if found is None else found.unionByName(own)
         if found is None:
-            found = self.spark.createDataFrame([], fields).withColumn("segment", F.lit(0))
+            found = self.spark.createDataFrame([], fields).withColumn("own_segment", F.lit(0))
         dead = segments.dead_keys(self.spark, self.version, facts["kind"])
         if dead is not None and keys is not None:
             dead = dead.filter(F.col("dead").isin(*keys))
-        rows = segments.live(found.withColumn("key", F.col(self.key)), dead) if self.key != "key" else segments.live(found, dead)
-        rows = rows.drop("segment", "bucket") if self.key == "key" else rows.drop("segment", "bucket", "key")
+        rows = segments.live(found, dead, self.key, "own_segment").drop("own_segment", "own_bucket")
         return rows if hidden else rows.filter("not removed").drop("removed")
 
     def literal(self, value):
@@ -63,7 +62,7 @@ class Table:
 
 
 def create(spark: SparkSession, folder: str, columns: str, key: str, order: str) -> Table:
-    """An empty table; ``columns`` is DDL and holds the key and the order."""
+    """An empty table; ``columns`` is DDL and holds the key and the order. The names removed, dead, before, own_segment and own_bucket are the table's."""
     kind = dict(spark.createDataFrame([], columns).dtypes)[key]
     return Table(spark, segments.commit(spark, segments.Version(folder, facts={"columns": columns, "key": key, "order": order, "kind": kind, "batch": -1})))
 
@@ -75,9 +74,9 @@ def opened(spark: SparkSession, folder: str) -> Table:
 def write_segment(table: Table, number: int, rows: DataFrame, expected: int) -> segments.Segment:
     path = segments.fresh(table.version.folder, "segment")
     buckets = min(1 << max(expected // ROWS_A_BUCKET, 1).bit_length() - 1, BUCKETS)
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(table.key), F.lit(buckets)).cast("int")).repartition(buckets, "bucket").sortWithinPartitions("bucket", table.key)
-    dealt.write.partitionBy("bucket").parquet(path)
-    written = table.spark.read.schema(f"{table.version.facts['columns']}, removed boolean, bucket int").parquet(path).count() if expected else 0
+    dealt = rows.withColumn("own_bucket", F.pmod(F.xxhash64(table.key), F.lit(buckets)).cast("int")).repartition(buckets, "own_bucket").sortWithinPartitions("own_bucket", table.key)
+    dealt.write.partitionBy("own_bucket").parquet(path)
+    written = table.spark.read.schema(f"{table.version.facts['columns']}, removed boolean, own_bucket int").parquet(path).count() if expected else 0
     return segments.Segment(number, path, written, {"buckets": buckets})
 
 

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from devquarry.functions import text
-from devquarry.operators import diffs, external, graph, ledgers, memory, patches, ranges
+from devquarry.operators import classify, diffs, external, graph, ledgers, memory, patches, ranges
 from devquarry.plans import search
 
 GIT = """commit text
@@ -169,3 +169,13 @@ def test_context(spark):
     edges = spark.createDataFrame([(0, 1, "Calls"), (1, 2, "Calls"), (3, 0, "Calls"), (0, 4, "Uses")], "src long, dst long, kind string")
     assert {(r.symbol, r.hop) for r in graph.context(nodes, edges, "a", 2).collect()} == {("b", 1), ("d", 1), ("c", 2)}
     assert graph.context(nodes, edges, "a", 0).count() == 0 and graph.context(nodes, edges, "zz", 3).count() == 0
+
+
+def test_rule_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "r1", "category": "bugfix", "tier": "regex", "pattern": "^fix", "priority": 10}\n{"id": "r2", "category": "docs", "tier": "exact", "pattern": "readme"}\n')
+    (tmp_path / "b.json").write_text('{"id": "r1", "category": "repair", "tier": "regex", "pattern": "^fix", "priority": 10}\n')
+    rules = classify.load_rules(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.json")])
+    assert [(r.id, r.category, r.priority) for r in rules.collect()] == [("r1", "repair", 10), ("r2", "docs", 100)]
+    assert [(r.category, r.method) for m in ("fix it", "the README", "other") for r in classify.dry_run(rules, m).collect()] == [("repair", "regex"), ("docs", "exact"), ("uncategorized", "none")]
+    with pytest.raises(ValueError):
+        classify.load_rules(spark, [])

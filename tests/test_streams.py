@@ -37,7 +37,7 @@ def test_tables(spark, tmp_path, monkeypatch):
     looked = tables.merge(table).get([one[0]])
     assert [tuple(r) for r in looked.collect()] == [one]
     plan = looked._jdf.queryExecution().executedPlan().toString()
-    assert any("bucket#" in x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:])  # one folder of the merged segment is listed
+    assert any("own_bucket#" in x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:])  # one folder of the merged segment is listed
     assert len(tables.opened(spark, folder).version.segments) == 1 and table.get(["nobody"]).count() == 0
     with pytest.raises(segments.Outdated):
         tables.apply(table, changes(spark, [("k1", 999, 1, False)]), 9)
