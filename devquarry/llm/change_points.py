@@ -180,3 +180,30 @@ def change_points(rows: DataFrame, key: str, day: str, value: str, least: int =
 def op13_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/sale_lines.parquet").filter("flag = 'kept'")
     return change_points(lines, "vendor_id", "shipped_at", "quantity")
+
+
+#: All prefixes in order, each with the least of (cost, segments, start) over all starts.
+OP13_SQL = """
+WITH RECURSIVE taken AS (SELECT vendor_id, date_diff('day', DATE '1970-01-01', CAST(shipped_at AS DATE)) AS day, CAST(sum(quantity) AS HUGEINT) AS t
+    FROM sale_lines WHERE flag = 'kept' AND quantity IS NOT NULL AND shipped_at IS NOT NULL GROUP BY 1, 2),
+days AS (SELECT vendor_id, min(day) AS a, unnest(range(min(day), max(day) + 1)) AS day FROM taken GROUP BY vendor_id),
+filled AS (SELECT d.vendor_id, a, d.day, coalesce(t, 0) AS t FROM days d LEFT JOIN taken u ON u.vendor_id IS NOT DISTINCT FROM d.vendor_id AND u.day = d.day),
+sums AS (SELECT vendor_id, a, day, CAST(sum(t) OVER w AS HUGEINT) AS s, CAST(sum(t * t) OVER w AS HUGEINT) AS q FROM filled WINDOW w AS (PARTITION BY vendor_id ORDER BY day)),
+series AS (SELECT vendor_id, a, count(*) AS n, list_prepend(CAST(0 AS HUGEINT), list(s ORDER BY day)) AS s, list_prepend(CAST(0 AS HUGEINT), list(q ORDER BY day)) AS q FROM sums GROUP BY vendor_id, a),
+solved AS (
+    SELECT vendor_id, a, n, s, q, CAST(0 AS BIGINT) AS e, [{'c': CAST(0 AS BIGINT), 'k': CAST(0 AS BIGINT), 's': CAST(0 AS BIGINT)}] AS best FROM series
+    UNION ALL
+    SELECT vendor_id, a, n, s, q, e + 1, list_append(best, CASE WHEN e + 1 >= 7 OR e + 1 = n THEN list_min(list_transform(list_filter(range(0, greatest(e - 5, 1)), lambda x: x = 0 OR x >= 7), lambda x: {
+        'c': best[x + 1].c + CASE WHEN x > 0 THEN 20000 ELSE 0 END + (e + 1 - x) * CAST(floor(1000 * ln(CAST(1 + ((e + 1 - x) * (q[e + 2] - q[x + 1]) - (s[e + 2] - s[x + 1]) * (s[e + 2] - s[x + 1])) // ((e + 1 - x) * (e + 1 - x)) AS DOUBLE))) AS BIGINT),
+        'k': best[x + 1].k + 1, 's': x})) END)
+    FROM solved WHERE e < n),
+parts AS (
+    SELECT vendor_id, a, s, q, best, best[n + 1] AS whole, best[n + 1].s AS x, n AS e FROM solved WHERE e = n
+    UNION ALL
+    SELECT vendor_id, a, s, q, best, whole, best[x + 1].s, x FROM parts WHERE x > 0),
+told AS (SELECT vendor_id, a + x AS first_day, e - x AS n_days, s[e + 1] - s[x + 1] AS total, q[e + 1] - q[x + 1] AS squares, whole, x FROM parts)
+SELECT vendor_id, CAST(row_number() OVER (PARTITION BY vendor_id ORDER BY x) AS INTEGER) AS segment_no, first_day, n_days, CAST(total AS BIGINT) AS total,
+    CAST(1 + (n_days * squares - total * total) // (n_days * n_days) AS BIGINT) AS spread, n_days * CAST(floor(1000 * ln(CAST(1 + (n_days * squares - total * total) // (n_days * n_days) AS DOUBLE))) AS BIGINT) AS cost,
+    whole.k AS n_segments, whole.c AS best_cost
+FROM told
+"""

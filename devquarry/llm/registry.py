@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from .change_points import op13_change_points
+from .change_points import OP13_SQL, op13_change_points
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .fill_in_middle import OP11_SQL, op11_fill_in_middle
 from .gif import op6_gif
@@ -20,4 +20,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_minhash": OP1_SQL, "op2_recompression": OP2_SQL, "op3_warc": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_suffix_array": OP7_SQL, "op11_fill_in_middle": OP11_SQL}
+    return {"op1_minhash": OP1_SQL, "op2_recompression": OP2_SQL, "op3_warc": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_suffix_array": OP7_SQL, "op11_fill_in_middle": OP11_SQL, "op13_change_points": OP13_SQL}
