@@ -794,7 +794,7 @@ def search_rendered(t):
     return search.rendered(hits, "the thing ention").select(F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("WITH l AS (SELECT client_id, max(change_id) AS at FROM client_changes WHERE client_id IS NOT NULL GROUP BY 1) SELECT l.client_id, l.at, c.segment, c.city FROM l JOIN client_changes c ON c.change_id = l.at WHERE coalesce(c.op, '') <> 'D'")
+@query("WITH l AS (SELECT client_id, max(change_id) AS at FROM client_changes WHERE client_id IS NOT NULL GROUP BY 1) SELECT DISTINCT l.client_id, l.at, c.segment, c.city FROM l JOIN client_changes c ON c.change_id = l.at WHERE coalesce(c.op, '') <> 'D'")
 def stream_client_state(t):
     """The clients' last changes by a stream into a keyed table: its rows are the state."""
     source = t("client_changes")
