@@ -6,8 +6,9 @@ once. The histogram goes to the driver: d distinct lengths take d * d / 2 words
 has sqrt(2 * w) of them at most, 100,000 at 30 GB and 6 million (100 MB) at 100 TB.
 
 Tokens are words; null and empty texts have none and go to the first bucket. A text longer than the
-budget has a batch of its own. Equal lengths are dealt by hash; repeated rows have a slot each, and rows
-without id are dealt like others. An empty table gives an empty result.
+budget has a batch of its own. Rows are dealt by their number, which is written with the lengths, so no id
+gathers; repeated rows have a slot each, and rows without id are dealt like others. Only the id and the text
+are read, so further columns can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def boundaries(units: np.ndarray, counts: np.ndarray, most: int) -> list[int]:
 
 def pack(docs: DataFrame, buckets: int = 16, budget: int = 65536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, bucket, boundary, batch_id, slot and padding of every row."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("n_tokens"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("n_tokens"), F.monotonically_increasing_id().alias("row"))
     sized = cut(sized, shared_dir(docs.sparkSession), "lengths")
     bins = sized.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toPandas()
     ends = boundaries(bins["n_tokens"].to_numpy(np.int64), bins["n"].to_numpy(np.int64), buckets) or [0]
@@ -81,11 +82,11 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 65536, id_col: str =
     literal = F.array(*[F.lit(e).cast("long") for e in ends])
     bucket = F.size(F.filter(literal, lambda e: e < F.col("n_tokens")))
     placed = sized.withColumn("bucket", bucket).withColumn("boundary", F.get(literal, F.col("bucket")))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(n_parts)).cast("int"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(n_parts)).cast("int"))
     # numbers that go through a bucket: those of a part follow all of the parts before it
     parts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     before = parts.withColumn("before", F.sum("n").over(Window.partitionBy("bucket").orderBy("part")) - F.col("n")).drop("n")
-    own = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("doc_id", "n_tokens"))
+    own = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("doc_id", "n_tokens", "row"))
     numbered = placed.withColumn("own", own).join(before, ["bucket", "part"])
     number = F.col("before") + F.col("own") - 1
     capacity = F.greatest(F.floor(F.lit(budget) / F.greatest("boundary", F.lit(1))), F.lit(1)).cast("long")
