@@ -6,12 +6,15 @@
    dropped its repeats, and get an identifier that is checked against the chunks' own characters.
 3. Rows are equal when their ordered identifier lists are; only these lists move.
 
-Null texts count as empty. Repeated rows are members of a group like any others. An empty table gives
-an empty result. Rows with a null id come back too; a null loses the choice of the row that stays.
+Null texts count as empty. Repeated rows are members of a group like any others. A very long text is many
+chunks, none of which is longer than 2,048 characters. Only the id and the text are read, so further columns
+can't clash. An empty table gives an empty result. Rows with a null id come back too; a null loses the choice of the row that stays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +39,7 @@ def repeated_bitmap(sums: DataFrame) -> DataFrame:
     )
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and fp, a 64-bit hash of the text, of every row."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("fp", F.xxhash64("text")).withColumn("place", F.expr(f"fp & {BITMAP_BITS - 1}L"))
@@ -46,24 +49,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     suspects = marked.select("doc_id", "fp", "text", chunks(F.col("text")).alias("chunks"))
 
     # identifiers: the chunk's 64-bit hash, and a number that tells apart different chunks of one hash
-    distinct = suspects.select(F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.xxhash64("chunk").alias("hash"))
+    distinct = suspects.select(F.explode("chunks").alias("chunk")).groupBy("chunk").agg(chunk_hash(F.col("chunk")).alias("hash"))
     clashing = distinct.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
-    recipe = F.transform("chunks", lambda c: F.xxhash64(c))
+    recipe = F.transform("chunks", lambda c: chunk_hash(c))
     if clashing.isEmpty():
-        lists = suspects.select("doc_id", "fp", recipe.alias("recipe"))
+        lists = suspects.select("doc_id", "fp", recipe.alias("recipe"), F.lit(1).alias("n"))
     else:
         number = distinct.join(clashing, "hash").select("hash", "chunk").groupBy("hash").agg(F.array_sort(F.collect_set("chunk")).alias("same"))
         told = (
-            suspects.select("doc_id", "fp", F.posexplode("chunks").alias("at", "chunk")).withColumn("hash", F.xxhash64("chunk"))
+            suspects.select("doc_id", "fp", F.posexplode("chunks").alias("at", "chunk")).withColumn("hash", chunk_hash(F.col("chunk")))
             .join(number, "hash", "left").withColumn("part", F.struct("at", "hash", F.coalesce(F.array_position("same", F.col("chunk")), F.lit(0)).alias("n")))
         )
-        told = told.groupBy("doc_id", "fp").agg(F.array_sort(F.collect_set("part")).alias("parts"))
-        lists = told.select("doc_id", "fp", F.flatten(F.transform("parts", lambda p: F.array(p["hash"], p["n"].cast("long")))).alias("recipe"))
-        empty = suspects.filter("text = ''").select("doc_id", "fp", F.expr("cast(array() as array<bigint>)").alias("recipe"))
+        told = told.groupBy("doc_id", "fp").agg(F.array_sort(F.collect_set("part")).alias("parts"), F.count_if(F.col("at") == 0).alias("n"))  # rows that repeat id and text are counted by their first chunks
+        lists = told.select("doc_id", "fp", F.flatten(F.transform("parts", lambda p: F.array(p["hash"], p["n"].cast("long")))).alias("recipe"), "n")
+        empty = suspects.filter("text = ''").select("doc_id", "fp", F.expr("cast(array() as array<bigint>)").alias("recipe"), F.lit(1).cast("long").alias("n"))
         lists = lists.unionByName(empty)
 
     # once per id and text, so that repeated rows find one partner each and nothing is summed after the join
-    lists = lists.withColumn("key", F.xxhash64("recipe")).groupBy("doc_id", "fp", "key", "recipe").agg(F.count("*").alias("n"))
+    lists = lists.withColumn("key", F.xxhash64("recipe")).groupBy("doc_id", "fp", "key", "recipe").agg(F.sum("n").alias("n"))
     groups = lists.groupBy("key", "recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")).filter("group_size > 1")
     found = lists.join(groups, ["key", "recipe"]).select("doc_id", "fp", "keep_id", "group_size")
     whole = base.select("doc_id", "fp", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")).alias("b")

@@ -9,7 +9,8 @@ suffix, from which the next lower order is made in the same way.
 Null and empty texts are one end token. Without training texts every probability is uniform over one
 unseen token. Repeated rows count as often as they occur. Different n-grams of equal 64-bit hash share
 a count; among 10**9 n-grams a lookup errs with a probability under 10**-10. An empty table gives an
-empty result, and rows with a null id are scored like others.
+empty result, and rows with a null id are scored like others. A very long text
+is scored at once by its task. Only the id and the text are read, so further columns can't clash.
 
 The shared folder must be a path that workers can map (a ``file:`` folder or a mounted one).
 """

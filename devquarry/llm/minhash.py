@@ -14,7 +14,8 @@
 A text with fewer words than ``width`` is one shingle; without words (or null) its set is empty, and it is
 linked with nothing. Each row is a document: rows that repeat an id with another text have the component of
 their own text, so a component always has a kept row, and rows that repeat id and text are alike. Rows without
-id keep no class and stay. An empty table gives an empty result. Bands have as many values as leave a pair at
+id keep no class and stay. A very long text is one task's set of shingles. Only the id and the text are read, so
+further columns can't clash. An empty table gives an empty result. Bands have as many values as leave a pair at
 the threshold unseen with probability 4 in a million at most: five at 0.8.
 """
 

@@ -9,7 +9,7 @@ become byte pieces. Merges of U+2581 alone share one score, so runs of them are
 
 Null and empty texts encode to no ids, or to the end id alone. Units of any length work; those over
 ``CACHED`` characters are not remembered. Repeated rows encode alike, a null id stays null, and an empty
-table gives an empty result.
+table gives an empty result. Only the id and the text are read, so further columns can't clash.
 """
 
 from __future__ import annotations

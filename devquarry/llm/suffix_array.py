@@ -14,7 +14,8 @@
 Bytes are those of UTF-8; null texts are empty. Texts shorter than ``span`` keep everything. Each row is a
 document, told apart by its id and a 64-bit hash of its text: rows of one id and different texts keep their own
 spans, and rows that repeat an id and its text repeat each other's strings, so both lose them. Rows without id
-keep everything and cause no removal. An empty table gives an empty result.
+keep everything and cause no removal. A very long text is read by one task; its open stretches go to shards like
+others'. Only the id and the text are read, so further columns can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations

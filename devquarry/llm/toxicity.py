@@ -10,7 +10,8 @@ The fit sees at most ``max_toxic`` + ``max_clean`` labelled rows, taken by hash
 counted by Spark, and only those that are significant go to the driver. Scoring covers every whole text. Null
 and empty texts have no features and score as the intercept. Rows whose label or text is null, and nearly equal
 copies of a row, are left out of the fit; without rows of both labels every score is 0. Repeated rows score
-alike, a null id stays null and is never learnt from, and an empty table gives an empty result.
+alike, a null id stays null and is never learnt from, and an empty table gives an empty result. A very long text is
+one set of features. Only ids, texts and labels are read, so further columns can't clash.
 """
 
 from __future__ import annotations

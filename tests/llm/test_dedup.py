@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from devquarry.llm import exact_dedup, minhash, recompression, suffix_array
 
@@ -28,9 +29,18 @@ def test_exact(spark, docs, texts, nothing):
     assert sorted(((r.doc_id or 0), r.keep_id, r.group_size) for r in null) == [(0, 1, 2), (1, 1, 2)]
 
 
-def test_chunks_make_the_text(docs, spark):
-    from pyspark.sql import functions as F
+def test_chunks_of_one_hash(spark, docs, texts):
+    """Different chunks of one hash get numbers; rows that repeat an id are counted each."""
+    weak = lambda c: F.length(c).cast("long") % 3
+    rows = docs.union(docs.filter("doc_id in (0, 1, 151, 159)")).union(docs.filter("doc_id = 1"))
+    wanted = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(rows).collect())
+    found = exact_dedup.exact_groups(rows, chunk_hash=weak).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in found) == wanted and len(found) == len(texts) + 5
+    sizes, groups = {r.doc_id: r.group_size for r in found}, Counter((t or "") for _, t in texts)
+    assert sizes[159] == 2 and sizes[1] >= 3 and sizes[151] >= groups[""] + 1
+
 
+def test_chunks_make_the_text(docs, spark):
     assert docs.filter(F.array_join(exact_dedup.chunks(F.col("text")), "") != F.col("text")).count() == 0
 
 

@@ -115,3 +115,16 @@ def test_stored_files_are_full_lzw():
     media = gif.store(text)
     assert len(media) < len(text) / 4
     assert gif.load(media)[0][: len(text)] == text
+
+
+def test_no_texts_and_null_ids(spark, docs, nothing):
+    from devquarry.llm import toxicity
+
+    model = sentencepiece_bpe.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+    assert sentencepiece_bpe.digests(nothing, model).count() == 0
+    assert gif.digests(gif.stored(nothing)).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.score(nothing, toxicity.train(nothing, labels)).count() == 0
+    unnamed = spark.createDataFrame([(None, "a b"), (None, None), (3, "a b")], "doc_id long, text string")
+    rows = sentencepiece_bpe.digests(unnamed, model).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["3", "None", "None"] and len({r.ids_sha256 for r in rows}) == 2

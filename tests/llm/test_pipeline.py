@@ -21,5 +21,12 @@ def test_stages_keep_their_columns(spark):
     assert extra.filter("n_chars <> length(text)").count() == 0
 
 
+def test_empty_tables(spark):
+    docs = corpus_pipeline.documents(spark, SF).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, SF)
+        assert found.count() == 0 and (name == "packing" or found.columns == docs.columns), name
+
+
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
