@@ -41,11 +41,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id."""
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null")
-    if not again.isEmpty():
-        repeated = docs.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        docs = docs.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(repeated)
     folder = shared_dir(spark)
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
+    again = cut(again, folder, "again")
+    if not again.isEmpty():  # only rows that a bitmap can't clear are shuffled
+        marked = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
+        suspects = few(marked, "id", again, "doc_id").select("row.*")
+        repeated = suspects.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        others = few(marked, "id", again, "doc_id", inside=False).select("row.*").unionByName(suspects.join(again, "doc_id", "left_anti"))
+        docs = others.unionByName(repeated)
     dropped = exact_groups(docs).filter("not kept and doc_id is not null").select("doc_id", F.col("fp").alias("ver"))
     return less(docs, cut(dropped, folder, "dropped"))
 
