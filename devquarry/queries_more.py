@@ -425,10 +425,10 @@ def search_grep_context(t):
     return found.withColumn("before", F.array_join("before", "|")).withColumn("after", F.array_join("after", "|"))
 
 
-@query("SELECT concat('d/', doc_id, '.md') AS path FROM documents WHERE regexp_matches(text, 'permission\\s+is')")
+@query("SELECT concat('d/', doc_id, '.md') AS path FROM documents WHERE regexp_matches(text, 'icen[cs]ed?\\s+\\w')")
 def search_grep_files(t):
     pruned = kept(t, "documents", "trigrams", lambda: grep.trigram_index(grepped(t)))
-    return grep.grep(grepped(t), grep.Request(r"permission\s+is", files_with_matches=True), pruned).select("path")
+    return grep.grep(grepped(t), grep.Request(r"icen[cs]ed?\s+\w", files_with_matches=True), pruned).select("path")
 
 
 @query("""WITH m AS (SELECT doc_id, string_split(text, 'n.' || chr(10)) AS p FROM documents WHERE contains(text, 'n.' || chr(10))), k AS (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM m),
