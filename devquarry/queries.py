@@ -124,7 +124,10 @@ def text_chat_tokens(t):
     return d.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))
 
 
-@query(r"SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}]', ' ', 'g'), ' +'), lambda x: x <> '' AND x NOT IN (" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")), ' ') AS query FROM conversations")
+NORMALIZED_SQL = r"array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}]', ' ', 'g'), ' +'), lambda x: x <> '' AND x NOT IN (" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")), ' ')"
+
+
+@query(f"SELECT conv_id, turn, {NORMALIZED_SQL} AS query FROM conversations")
 def text_normalized_query(t):
     return t("conversations").select("conv_id", "turn", text.normalize_query(F.col("text")).alias("query"))
 
@@ -533,7 +536,9 @@ def memory_recall(t):
     return memory.recall(d, d.filter("kind = 'purchase'").select("id", (F.col("importance") * 0.3).alias("score")), 10).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH h AS (SELECT conv_id, turn, hex(encode({NORMALIZED_SQL})) AS x FROM conversations), k AS (SELECT conv_id, turn, list_reduce(list_prepend(CAST(14695981039346656037 AS UBIGINT), list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS UBIGINT))),
+    lambda s, c: CAST((CAST(xor(s, c) AS HUGEINT) * 1099511628211) % CAST(18446744073709551616 AS HUGEINT) AS UBIGINT)) AS v FROM h)
+    SELECT conv_id, turn, CAST(CASE WHEN v >= 9223372036854775808 THEN CAST(v AS HUGEINT) - CAST(18446744073709551616 AS HUGEINT) ELSE v END AS BIGINT) AS hash FROM k""")
 def memory_query_hashes(t):
     return t("conversations").select("conv_id", "turn", memory.fnv1a(text.normalize_query(F.col("text"))).alias("hash"))
 
