@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .index import shared_folder
+
 #: How much a score keeps over an edge of each kind; 0.70 for all others.
 MULTIPLIERS = {"Implements": 0.85, "UsesType": 0.75, "TestedBy": 0.80, "Documents": 0.65, "ReferencesConcept": 0.60, "Writes": 0.90, "Reads": 0.80, "AccessesResource": 0.75}
 
@@ -22,12 +24,21 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+def settled(front: DataFrame) -> DataFrame:
+    """What a hop has found, in the checkpoint folder: the next hop's plan begins there, however many there are."""
+    shared_folder(front.sparkSession)  # a local session gets a folder if it has none
+    return front.checkpoint()
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """id and hop of nodes within ``hops`` of the seeds (column id), seeds left out; first visit counts."""
     seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     front = seen
     for hop in range(1, hops + 1):
         front = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
+        front = settled(front)
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen.filter("hop > 0")
 
@@ -39,8 +50,12 @@ def shortest_path(edges: DataFrame, source, target, most: int) -> DataFrame:
     seen = front.select("id")
     for _ in range(most):
         step = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        front = step.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
+        front = settled(step.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
+        if front.isEmpty():
+            break
         levels, seen = levels.unionByName(front), seen.unionByName(front.select("id"))
+        if not front.filter(F.col("id") == F.lit(target)).isEmpty():
+            break
     return levels.filter(F.col("id") == F.lit(target)).select("path")
 
 
@@ -204,8 +219,10 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int, kinds: tuple[str,
     seen, front, out = seeds.select("id"), seeds.select(F.col("id").alias("via")), None
     for hop in range(1, hops + 1):
         reached = step.join(front, "via").join(seen, "id", "left_anti").groupBy("id").agg(F.min(F.struct("via", "kind")).alias("e"))
-        found = reached.select("id", F.lit(hop).alias("hop"), F.col("e.via").alias("via"), F.col("e.kind").alias("kind"))
+        found = settled(reached.select("id", F.lit(hop).alias("hop"), F.col("e.via").alias("via"), F.col("e.kind").alias("kind")))
         out = found if out is None else out.unionByName(found)
+        if found.isEmpty():
+            break
         seen, front = seen.unionByName(found.select("id")), found.select(F.col("id").alias("via"))
     return out
 

@@ -30,6 +30,12 @@ def test_shortest_path_and_components(spark):
     edges = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "D"), ("X", "Y")], "src string, dst string")
     assert [r.path for r in graph.shortest_path(edges, "A", "D", 5).collect()] == [["A", "B", "C", "D"]]
     assert graph.shortest_path(edges, "A", "Y", 5).count() == 0
+    chain = spark.range(14).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit("Calls").alias("kind"))
+    assert graph.shortest_path(chain.select("src", "dst"), 0, 13, 20).first().path == list(range(14))
+    seeds = spark.createDataFrame([(0,)], "id long")
+    far = graph.reachable(chain, seeds, 40)
+    assert {r.id: r.hop for r in far.collect()} == {i: i for i in range(1, 15)} and far._jdf.queryExecution().toString().count("Join") == 0
+    assert {(r.id, r.hop, r.via) for r in graph.neighbours(chain, seeds, 40).collect()} == {(i, i, i - 1) for i in range(1, 15)}
     found = dict(graph.components(edges).collect())
     assert found == {"A": "A", "B": "A", "C": "A", "D": "A", "X": "X", "Y": "X"}
 
