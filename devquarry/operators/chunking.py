@@ -42,3 +42,16 @@ def tests_of_same(calls: DataFrame, salts: int = 16) -> DataFrame:
     left = own.withColumn("salt", F.pmod(F.xxhash64("src"), F.lit(salts)))
     right = own.select(F.col("src").alias("dst"), "callee", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     return left.join(right, ["callee", "salt"]).filter("src <> dst").select("src", "dst").distinct()
+
+
+def test_groups(calls: DataFrame) -> DataFrame:
+    """callee, src and tests, the number of distinct callers of the callee, of each caller that has a sibling: the pairs of ``tests_of_same`` in a row for each member."""
+    own = calls.select("src", "callee").filter("src is not null").distinct()
+    sizes = own.groupBy("callee").agg(F.count("*").alias("tests")).filter("tests > 1")
+    return own.join(sizes, "callee").select("callee", "src", "tests")
+
+
+def siblings(groups: DataFrame, asked: DataFrame) -> DataFrame:
+    """src and dst: the siblings of some callers (src), looked up in their groups."""
+    mine = groups.join(asked.select("src").distinct(), "src", "left_semi").select("src", "callee")
+    return mine.join(groups.select("callee", F.col("src").alias("dst")), "callee").filter("src <> dst").select("src", "dst").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import code, rules, text
-from .operators import classify, cluster, delivery, diffs, entities, graph, identity, index, ledgers, memory, parse, patches, ranges, reports, retrieval, stores
+from .operators import chunking, classify, cluster, delivery, diffs, entities, graph, identity, index, ledgers, memory, parse, patches, ranges, reports, retrieval, stores
 from .plans import grep, search
 from .queries import DECISION_SQL, SHAPES, checkpointed, first_vector, indexed, kept, lexical_lane, query, sql_list, vectors
 from .queries import BM25_SQL, COS_SQL, DOC_TOKENS_SQL
@@ -819,3 +819,14 @@ def graph_dispatched(t):
 
     odd = ("odd", lambda f: f.rlike("[13579]$"), make)
     return stores.dispatched(t("defs"), [odd, ("any", lambda f: f.isNotNull(), make)])[1].drop("kind")
+
+
+@query("WITH o AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS callee FROM lineitem), g AS (SELECT callee, count(*) AS tests FROM o GROUP BY 1 HAVING count(*) > 1) SELECT callee, src, tests FROM o JOIN g USING (callee)")
+def chunk_test_groups(t):
+    return chunking.test_groups(t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("callee")))
+
+
+@query("WITH o AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS callee FROM lineitem) SELECT DISTINCT a.src, b.src AS dst FROM o a JOIN o b USING (callee) WHERE a.src = 3 AND b.src <> 3")
+def chunk_siblings(t):
+    calls = t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("callee"))
+    return chunking.siblings(chunking.test_groups(calls), calls.filter("src = 3"))

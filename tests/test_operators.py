@@ -105,6 +105,10 @@ def test_pairs_of_a_large_callee_are_kept(spark):
     found = chunking.tests_of_same(calls.union(few))
     assert found.count() == found.distinct().count() == 1100 * 1099
     assert sorted(map(tuple, chunking.tests_of_same(few).collect())) == [(1, 2), (2, 1)]
+    groups = chunking.test_groups(calls.union(few))
+    assert groups.count() == 1102 and {(r.callee, r.tests) for r in groups.select("callee", "tests").distinct().collect()} == {(7, 1100), (8, 2)}
+    asked = spark.createDataFrame([(1,)], "src long")
+    assert {r.dst for r in chunking.siblings(groups, asked).collect()} == set(range(1100)) - {1}
 
 
 def test_identities_by_likeness(spark):
