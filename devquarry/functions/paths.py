@@ -63,6 +63,16 @@ def language(path: Column) -> Column:
     return out
 
 
+#: Manifests and the build system that each tells of.
+MANIFESTS = {"cargo.toml": "cargo", "pom.xml": "maven", "build.gradle": "gradle", "build.gradle.kts": "gradle", "package.json": "npm", "pyproject.toml": "pip", "setup.py": "pip", "requirements.txt": "pip", "go.mod": "go-mod"}
+
+
+def build_system(path: Column) -> Column:
+    """What a manifest's name tells; null for other files."""
+    name = F.substring_index(F.lower(path), "/", -1)
+    return F.coalesce(*[F.when(name == m, b) for m, b in MANIFESTS.items()])
+
+
 def room(path: Column) -> Column:
     """The room of a path; rules in order."""
     p = F.lower(path)

@@ -14,6 +14,35 @@ def line_windows(files: DataFrame, key: str, text: str, size: int = 150, stride:
     return starts.select(key, (F.col("at") + 1).alias("start"), F.least(F.col("at") + size, "n").cast("long").alias("end"), F.array_join(F.slice("lines", F.col("at").cast("int") + 1, F.lit(size)), "\n").alias("content"))
 
 
+def split_oversized(chunks: DataFrame, most: int = 200, size: int = 100, stride: int = 50, emptied: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks (id, file, start_line, end_line, content) with parent_id and child_ids; those of more than ``most`` lines also as windows of ``size`` lines.
+
+    Windows begin ``stride`` lines apart, the first that reaches the end is the last, and their ids are the parent's with
+    ::sub:: and a number. The parent stays and lists them. Further columns are the parent's; arrays named in ``emptied``
+    are empty in windows. Null content has no windows.
+    """
+    split = F.split(F.coalesce("content", F.lit("")), "\r?\n")
+    lines = chunks.withColumn("_lines", F.when(F.element_at(split, -1) == "", F.slice(split, 1, F.size(split) - 1)).otherwise(split))
+    n = F.size("_lines")
+    large = (F.col("end_line") - F.col("start_line") + 1 > most) & (n > 0)
+    places = F.when(large, F.sequence(F.lit(0), (F.ceil(F.greatest(n - size, F.lit(0)) / stride)).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+    name = lambda i: F.concat(F.col("id").cast("string"), F.lit("::sub::"), i.cast("string"))
+
+    def window(i):
+        at = i * stride
+        return F.struct(
+            name(i).alias("id"), (F.col("start_line") + at).cast("long").alias("start_line"), (F.col("start_line") + F.least(at + size, n) - 1).cast("long").alias("end_line"),
+            F.array_join(F.slice("_lines", at + 1, F.lit(size)), "\n").alias("content"), F.col("id").cast("string").alias("parent_id"), F.expr("cast(array() as array<string>)").alias("child_ids"),
+        )
+
+    own = F.struct(F.col("id").cast("string").alias("id"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.col("content").alias("content"), F.lit(None).cast("string").alias("parent_id"), F.transform(places, name).alias("child_ids"))
+    rest = [c for c in chunks.columns if c not in ("id", "start_line", "end_line", "content")]
+    out = lines.select(*rest, F.explode(F.concat(F.transform(places, window), F.array(own))).alias("_chunk")).select(*rest, "_chunk.*")
+    for c in emptied:
+        out = out.withColumn(c, F.when(F.col("parent_id").isNull(), F.col(c)).otherwise(F.slice(c, 1, 0)))
+    return out
+
+
 def heading_chunks(files: DataFrame, key: str, text: str) -> DataFrame:
     """key, section, heading and lines of Markdown cut at headings."""
     lines = files.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line"))

@@ -261,3 +261,31 @@ def activity_log(entries: DataFrame, since: Column | None = None, until: Column
     for name, value in equal.items():
         entries = entries.filter(F.col(name) == F.lit(value))
     return between(entries, "at", since, until).orderBy(F.desc("at"), F.desc("id")).offset(offset).limit(limit)
+
+
+#: What people are counted by, and the name of those without it.
+HEADCOUNTS = {"team": ("team", "<unassigned>"), "status": ("employment_type", "<unknown>"), "vendor": ("contractor_source", "<unknown>")}
+
+
+def headcount(people: DataFrame, by: str) -> DataFrame:
+    """Active people by team, status (kind of employment) or vendor (of contractors), the largest group first; the name of the group is in a column ``by``."""
+    column, unknown = HEADCOUNTS[by]
+    own = people.filter("status = 'active'")
+    own = own.filter("employment_type = 'Contractor'") if by == "vendor" else own
+    return own.groupBy(F.coalesce(column, F.lit(unknown)).alias(by)).agg(F.count("*").alias("headcount")).orderBy(F.desc("headcount"), by)
+
+
+def people_list(people: DataFrame, most: int = 500) -> DataFrame:
+    """The first ``most`` active people by department, team and name; those without come first."""
+    names = ["full_name", "team", "department", "title", "level", "employment_type", "status", "contractor_source"]
+    return people.filter("status = 'active'").orderBy("department", "team", "full_name").limit(most).select(*names)
+
+
+def budget(lines: DataFrame, team: str | None = None, category: str | None = None) -> DataFrame:
+    """Heads, yearly cost and the year's total of active lines by team and organisation, of one of each if told, the dearest first."""
+    own = lines.filter("status is null or status in ('Active', 'active')")
+    own = own.filter(F.col("team") == F.lit(team)) if team is not None else own
+    own = own.filter(F.col("organization") == F.lit(category)) if category is not None else own
+    named = [F.coalesce(c, F.lit("<unassigned>")).alias(c) for c in ("team", "organization")]
+    sums = own.groupBy(*named).agg(F.count("*").alias("headcount"), F.round(F.sum("annual_cost"), 2).alias("annual_cost_total"), F.round(F.sum("year_total"), 2).alias("year_total"))
+    return sums.orderBy(F.desc("year_total"), "team", "organization")

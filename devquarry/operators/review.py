@@ -100,6 +100,111 @@ def contribute(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame, more_e
     return all_nodes, edges.unionByName(known.select(*edges.columns)).distinct()
 
 
+#: Words of contributed edges and what kind they are.
+EDGE_WORDS = {"reads": "Reads", "writes": "Writes", "references": "References", "calls_function": "CallsFunction", "calls_proc": "CallsFunction", "accesses_resource": "AccessesResource"}
+
+
+def replace_contributions(kept: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contributions after each producer in ``new`` has replaced all of its own, and producer and replaced, whether it had any.
+
+    Rows (producer, id, src, dst, kind, tag) are nodes (id), edges (src, dst) or, with neither, the mark of a producer
+    that may have nothing else; a producer that only has its mark in ``new`` is emptied. Rows without producer go.
+    """
+    told = new.filter("producer is not null")
+    producers = told.select("producer").distinct()
+    before = kept.join(F.broadcast(producers), "producer", "left_semi").select("producer").distinct().withColumn("replaced", F.lit(True))
+    flags = producers.join(before, "producer", "left").select("producer", F.coalesce("replaced", F.lit(False)).alias("replaced"))
+    return kept.join(F.broadcast(producers), "producer", "left_anti").unionByName(told), flags
+
+
+def without_producer(kept: DataFrame, producer: str) -> DataFrame:
+    return kept.filter(F.col("producer") != F.lit(producer))
+
+
+def merge_contributions(nodes: DataFrame, edges: DataFrame, kept: DataFrame, tags: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (id), edges (src, dst, kind) and one row of counts after all contributions are merged in order of producer.
+
+    A node that exists stays. An edge's kind is told by its word, else by its tag, where ``tags`` and custom:... stand for
+    themselves; others are dropped, as are edges to nodes that no producer up to their own has given, and repeated ones.
+    Merging again changes nothing. Each node has the first producer that gives it, so that no producer waits for another.
+    """
+    given = kept.filter("id is not null").select("producer", "id")
+    first = nodes.select("id", F.lit("").alias("since")).unionByName(given.select("id", F.col("producer").alias("since"))).groupBy("id").agg(F.min("since").alias("since"))
+    known = lambda c: F.when(F.col(c).isin(*tags) | F.startswith(F.col(c), F.lit("custom:")), F.col(c)) if tags else F.when(F.startswith(F.col(c), F.lit("custom:")), F.col(c))
+    word = F.coalesce(*[F.when(F.col("kind") == w, k) for w, k in EDGE_WORDS.items()], known("kind"), known("tag"))
+    drawn = kept.filter("src is not null or dst is not null").select("producer", "src", "dst", word.alias("kind"))
+    for end in ("src", "dst"):
+        drawn = drawn.join(first.select(F.col("id").alias(end), F.col("since").alias(f"{end}_since")), end, "left")
+    there = F.coalesce((F.col("src_since") <= F.col("producer")) & (F.col("dst_since") <= F.col("producer")), F.lit(False))
+    fate = F.when(F.col("kind").isNull(), "unknown").when(~there, "dangling").otherwise("good")
+    drawn = drawn.select("src", "dst", "kind", fate.alias("fate"))
+    fresh = drawn.filter("fate = 'good'").select("src", "dst", "kind").distinct().join(edges.select("src", "dst", "kind"), ["src", "dst", "kind"], "left_anti")
+    fates = drawn.agg(F.count_if(F.col("fate") == "good").alias("good"), F.count_if(F.col("fate") == "dangling").alias("edges_dangling"), F.count_if(F.col("fate") == "unknown").alias("edges_unknown_kind"))
+    counts = [first.agg(F.count_if(F.col("since") != "").alias("nodes_added")), given.agg(F.count("*").alias("given")), fates, fresh.agg(F.count("*").alias("edges_added"))]
+    rows = counts[0]
+    for more in counts[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    one = rows.agg(*[F.max(c).alias(c) for c in rows.columns])  # each column stands in one of four rows
+    stats = one.select("nodes_added", (F.col("given") - F.col("nodes_added")).alias("nodes_existing"), "edges_added", (F.col("good") - F.col("edges_added")).alias("edges_duplicate"), "edges_dangling", "edges_unknown_kind")
+    return first.select("id"), edges.select("src", "dst", "kind").unionByName(fresh), stats
+
+
+def trend_tags(findings: DataFrame, group: str, cluster: str, place: str, period: str, confidence: str) -> DataFrame:
+    """Findings with trend: of a group's clusters, new ones are in its latest period alone, resolved ones aren't in it.
+
+    The latest period is the one whose first finding comes last by ``place``, a distinct number in its group. A cluster in
+    the latest and an earlier period is worsening if its last confidence is over its first by more than 0.1, else recurring.
+    """
+    latest = findings.groupBy(group, period).agg(F.min(place).alias("_first")).groupBy(group).agg(F.max_by(period, "_first").alias("_latest"))
+    marked = findings.join(latest, group)
+    now = F.col(period) == F.col("_latest")
+    spans = marked.groupBy(group, cluster).agg(F.bool_or(now).alias("_now"), F.bool_or(~now).alias("_then"), F.min_by(confidence, place).alias("_from"), F.max_by(confidence, place).alias("_to"))
+    both = F.col("_now") & F.col("_then")
+    trend = F.when(both & (F.col("_to") > F.col("_from") + 0.1), "worsening").when(both, "recurring").when(F.col("_now"), "new").otherwise("resolved")
+    return findings.join(spans.select(group, cluster, trend.alias("trend")), [group, cluster])
+
+
+def history_scores(turns: DataFrame, conversation: str, turn: str, text: str) -> DataFrame:
+    """conversation, turn, cost and score: the share of a turn's words that are distinct x their mean rarity in the conversation x the logarithm of its bytes.
+
+    A word is what is left of letters and digits between spaces, in lower case. Scores are rounded to nine digits, as
+    sums depend on their order. A null turn is an empty one.
+    """
+    own = turns.select(conversation, turn, F.coalesce(text, F.lit("")).alias("_text"))
+    words = F.filter(F.transform(F.split("_text", r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"[^\p{IsAlphabetic}\p{N}]", ""))), lambda w: w != "")
+    cost = F.floor(F.size(F.filter(F.split("_text", r"\s+"), lambda w: w != "")) * 1.3).cast("long")
+    told = own.select(conversation, turn, cost.alias("cost"), F.log(F.greatest(F.octet_length("_text"), F.lit(1)).cast("double")).alias("_long"), words.alias("_words"))
+    sizes = told.groupBy(conversation).agg(F.count("*").alias("_turns"))
+    terms = told.select(conversation, turn, F.explode(F.array_distinct("_words")).alias("_term"))
+    df = terms.groupBy(conversation, "_term").agg(F.count("*").alias("_df")).join(sizes, conversation)
+    rare = terms.join(df, [conversation, "_term"]).groupBy(conversation, turn).agg(F.avg(F.greatest(F.log(F.col("_turns") / F.col("_df")), F.lit(0.0)) + 1).alias("_rare"))
+    share = F.size(F.array_distinct("_words")) / F.size("_words")
+    score = F.when(F.size("_words") > 0, share * F.col("_rare") * F.col("_long")).otherwise(0.0)
+    return told.join(rare, [conversation, turn], "left").select(conversation, turn, "cost", F.round(score, 9).alias("score"))
+
+
+def compress_history(turns: DataFrame, conversation: str, turn: str, text: str, budget: int | None = None, keep_last: int = 6) -> DataFrame:
+    """The turns that stay: a conversation's first, its last ``keep_last``, and of those between, by falling score, each that still fits into what the budget leaves; all without a budget.
+
+    Turns have distinct numbers in their conversation; of equal scores the earlier turn is first. A conversation's numbers
+    (turn, cost, score) are gathered in one row, its texts are not.
+    """
+    if budget is None:
+        return turns
+    row = F.struct(F.col(turn).alias("turn"), "cost", "score")
+    lists = history_scores(turns, conversation, turn, text).groupBy(conversation).agg(F.array_sort(F.collect_list(row)).alias("_all"))
+    n = F.size("_all")
+    ends = F.when(n <= keep_last + 1, F.col("_all")).otherwise(F.concat(F.slice("_all", 1, 1), F.slice("_all", n - keep_last + 1, F.lit(keep_last))))
+    middle = F.when(n <= keep_last + 1, F.slice("_all", 1, 0)).otherwise(F.slice("_all", F.lit(2), n - keep_last - 1))
+    ranked = F.array_sort(middle, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["turn"] < b["turn"], -1).otherwise(1))
+    room = F.greatest(F.lit(budget) - F.aggregate(F.col("_ends"), F.lit(0).cast("long"), lambda s, x: s + x["cost"]), F.lit(0)).cast("long")
+    start = F.struct(F.col("_room").alias("left"), F.transform(F.slice("_all", 1, 0), lambda x: x["turn"]).alias("kept"))
+    step = lambda s, x: F.struct(F.when(x["cost"] <= s["left"], s["left"] - x["cost"]).otherwise(s["left"]).alias("left"), F.when(x["cost"] <= s["left"], F.concat(s["kept"], F.array(x["turn"]))).otherwise(s["kept"]).alias("kept"))
+    lists = lists.withColumns({"_ends": ends, "_ranked": ranked}).withColumn("_room", room)
+    kept = lists.select(conversation, F.explode(F.concat(F.transform("_ends", lambda x: x["turn"]), F.aggregate("_ranked", start, step)["kept"])).alias(turn))
+    return turns.join(kept, [conversation, turn], "left_semi")
+
+
 def turn_scores(turns: DataFrame, key: list[str], tokens: str) -> DataFrame:
     """Score of each turn: share of unique tokens x their mean inverse frequency x the logarithm of the length."""
     n = turns.agg(F.count("*").alias("n"))

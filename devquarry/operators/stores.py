@@ -18,9 +18,10 @@ def files(chunks: DataFrame, file: str) -> DataFrame:
     return chunks.select(file).filter(F.col(file).isNotNull()).distinct()
 
 
-def entities(rows: DataFrame, kind: str, name: str, kinds: tuple[str, ...] = (), file: str | None = None) -> DataFrame:
-    """Entities, of some kinds and of one file if told, in order of kind and name; ``kind`` and ``name`` are columns."""
+def entities(rows: DataFrame, kind: str, name: str, kinds: tuple[str, ...] = (), file: str | None = None, language: str | None = None) -> DataFrame:
+    """Entities, of some kinds, of one file and of one language (a column of that name) if told, in order of kind and name; ``kind`` and ``name`` are columns."""
     own = rows.filter(F.col(kind).isin(*kinds)) if kinds else rows
+    own = own.filter(F.col("language") == F.lit(language)) if language is not None else own
     own = own.filter(F.col("file") == F.lit(file)) if file is not None else own
     return own.orderBy(kind, name)
 

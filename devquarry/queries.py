@@ -824,4 +824,4 @@ def events_sessions(t):
     return windows.sessions(t("events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "6 hours", "user_id").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-from . import queries_more  # noqa: E402, F401
+from . import queries_more, queries_quality  # noqa: E402, F401
