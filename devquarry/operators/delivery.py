@@ -94,7 +94,9 @@ def percentile_thresholds(values: DataFrame, value: str, shares=(0.2, 0.4, 0.6,
     """
     counts = values.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
     cuts = counts.agg(F.percentile_approx("v", [i / 1000 for i in range(1, 1000)], 10000).alias("cuts"))
-    placed = counts.join(F.broadcast(cuts)).withColumn("stretch", F.when(F.size("cuts") > 0, F.size(F.filter("cuts", lambda c: c < F.col("v")))).otherwise(0)).drop("cuts")
+    passes = lambda lo, step: F.get("cuts", lo + step - 1) < F.col("v")
+    below = F.aggregate(F.array(*[F.lit(2**k) for k in range(9, -1, -1)]), F.lit(0), lambda lo, step: F.when(passes(lo, step), lo + step).otherwise(lo))  # how many cuts, by halves
+    placed = counts.join(F.broadcast(cuts)).withColumn("stretch", below).drop("cuts")
     sums = placed.groupBy("stretch").agg(F.sum("n").alias("own"))  # 1,000 rows at most
     before = sums.withColumn("before", F.sum("own").over(Window.orderBy("stretch")) - F.col("own")).withColumn("total", F.sum("own").over(Window.partitionBy()))
     asked = F.array(*[F.ceil(F.lit(s) * F.col("total")) for s in shares])
@@ -104,6 +106,27 @@ def percentile_thresholds(values: DataFrame, value: str, shares=(0.2, 0.4, 0.6,
     return ranked.agg(*[F.max(F.when((F.col("total") >= 5) & hit(s), F.col("v"))).alias(f"p{int(s * 100)}") for s in shares])
 
 
+def rebinned(efforts: DataFrame, score: str = "score", size: str = "size") -> DataFrame:
+    """Efforts with tshirt: 1 to 5 by the thresholds of all scores, by the size label where there are fewer than five."""
+    cuts = percentile_thresholds(efforts, score)  # one row
+    banded = scores.percentile_band(F.col(score), [F.col(f"_cuts.{c}") for c in cuts.columns])
+    out = efforts.withColumn("_cuts", cuts.select(F.struct(*cuts.columns)).scalar())
+    return out.withColumn("tshirt", F.coalesce(banded, scores.tshirt(F.col(size)))).drop("_cuts")
+
+
+def failure_signal(message: Column, category: Column, signals: list[tuple[str | None, str | None]]) -> Column:
+    """Whether any of the signals (work type, pattern) holds: a type equal but for case, a pattern found in the message; a signal without both always holds. A null message or type holds none that asks for it."""
+    held = F.lit(False)
+    for kind, pattern in signals:
+        own = F.lit(True)
+        if kind is not None:
+            own = own & (F.lower(category) == kind.lower())
+        if pattern is not None:
+            own = own & message.rlike(pattern)
+        held = held | F.coalesce(own, F.lit(False))
+    return held
+
+
 def commit_effort(files: DataFrame) -> DataFrame:
     """sha, score, size and T-shirt number from its files (sha, path, lines, is_test)."""
     out = files.groupBy("sha").agg(F.sum("lines").alias("loc"), F.count("*").alias("files"), F.sum(F.when(F.col("is_test"), F.col("lines")).otherwise(0)).alias("test_loc"))
