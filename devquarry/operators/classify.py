@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules, text
+
 
 def result(category: Column | str, confidence: float, method: str) -> Column:
     category = F.lit(category) if isinstance(category, str) else category
@@ -129,6 +131,27 @@ def fallback(commits: DataFrame, rules: DataFrame, least: float) -> DataFrame:
     return joined.withColumn("category", F.when(weak, F.col("usual")).otherwise(F.col("category"))).drop("usual")
 
 
+def classified(commits: DataFrame, exact: list = (), regex: list = (), projects: dict[str, str] | None = None, manual: DataFrame | None = None, scored: bool = True, defaults: bool = True, own: dict[str, str] | None = None) -> DataFrame:
+    """Commits (sha, repository, message, is_merge, issue_type) with category, confidence, method, top_level and ticket_id by all tiers.
+
+    Manual categories (sha, repository, category; one a commit) go first, then exact words, issue types, project keys,
+    patterns, scored words unless ``scored`` is off, and rough guesses with ``defaults``; the first that holds counts.
+    ``own`` are one's own top levels. A manual category has no ticket; null messages are uncategorised but for a manual
+    category, an issue type or a merge.
+    """
+    message, merge = F.col("message"), F.coalesce("is_merge", F.lit(False))
+    tiers = [exact_tier(message, list(exact))] if exact else []
+    tiers.append(rules.issue_type_tier(F.col("issue_type")))
+    tiers += [rules.project_tier(message, projects)] if projects else []
+    tiers += [regex_tier(message, list(regex))] if regex else []
+    tiers += [scored_tier(message, merge, F.array().cast("array<string>"))] if scored else []
+    tiers += [fuzzy_tier(message, merge)] if defaults else []
+    found = cascade(commits, tiers)
+    found = overrides(found, manual) if manual is not None else found
+    ticket = F.when(F.col("method") != "override", text.ticket_id(message))
+    return found.withColumns({"top_level": rules.top_level(F.col("category"), own), "ticket_id": ticket})
+
+
 #: Columns of a rule file's rows.
 RULE = "id string, category string, tier string, pattern string, priority int"
 

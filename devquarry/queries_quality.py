@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import code, paths, text
-from .operators import chunking, delivery, quality, reports, review
+from .operators import chunking, classify, delivery, quality, reports, review
 from .queries import DECISION_SQL, EXT, SHAPES, SQL, query, sql_list
+from .queries_more import TAXONOMY_SQL, scored_sql
 
 LEAD = "regexp_extract(l, '^([ \\t]*)', 1)"
 DEPTH_OF_LINE = f"least((length({LEAD}) - length(replace({LEAD}, ' ', ''))) // 4 + length(replace({LEAD}, chr(9), 'x')) - (length({LEAD}) - length(replace({LEAD}, ' ', ''))), 255)"
@@ -157,3 +158,22 @@ def review_trends(t):
     SELECT conv_id, CAST(turn AS BIGINT) AS turn FROM e UNION ALL SELECT conv_id, turn FROM g WHERE taken""")
 def chat_history(t):
     return review.compress_history(t("conversations"), "conv_id", "turn", "text", 60, 2).select("conv_id", F.col("turn").cast("long").alias("turn"))
+
+
+FOUND_SQL = "CASE WHEN o IS NOT NULL THEN {o} WHEN e IS NOT NULL THEN {e} WHEN i IS NOT NULL THEN {i} WHEN p IS NOT NULL THEN {p} WHEN r IS NOT NULL THEN {r} WHEN c IS NOT NULL THEN {s} WHEN f IS NOT NULL THEN {f} ELSE {n} END"
+
+
+@query(rf"""WITH b AS (SELECT sha, message, is_merge, trim(message) AS m, lower(trim(message)) AS l, {', '.join(f'0::FLOAT AS r{i}' for i in range(len(classify.PATH_SCORES)))} FROM worded), s AS (SELECT sha, {scored_sql()} FROM b),
+    g AS (SELECT sha, unnest([{', '.join(f"{{'c': '{c}', 's': {c}}}" for c in classify.WORDS)}]) AS x FROM s), k AS (SELECT sha, max(x.s) AS top FROM g GROUP BY sha), h AS (SELECT sha, any_value(x.c) AS c, any_value(top) AS top, count(*) AS n FROM g JOIN k USING (sha) WHERE x.s = top GROUP BY sha),
+    t AS (SELECT b.sha, message, h.c, top, CASE WHEN b.sha % 50 = 0 THEN 'security' END AS o, CASE WHEN contains(l, 'hotfixes') THEN 'bugfix' WHEN contains(l, 'typo') THEN 'docs' END AS e, CASE b.sha % 17 WHEN 0 THEN 'bugfix' WHEN 1 THEN 'feature' END AS i,
+    CASE WHEN regexp_extract(message, '\b([A-Z][A-Z0-9]+)-\d+\b', 1) = 'AB' THEN 'platform' END AS p, CASE WHEN regexp_matches(message, '^bump') THEN 'release' END AS r,
+    CASE WHEN is_merge OR regexp_matches(l, '^merge (pull request|branch|remote-tracking)') THEN 'merge' WHEN regexp_matches(l, '^revert[ :]') THEN 'revert' WHEN regexp_matches(m, '^[A-Z][A-Z0-9]+-\d+') THEN 'feature' WHEN strlen(l) < 12 AND l <> '' THEN 'chore' END AS f FROM b LEFT JOIN h ON h.sha = b.sha AND n = 1 AND top >= 0.55::FLOAT),
+    z AS (SELECT sha, {FOUND_SQL.format(o='o', e='e', i='i', p='p', r='r', s='c', f='f', n="'uncategorized'")} AS category, {FOUND_SQL.format(o="'override'", e="'exact'", i="'external'", p="'external'", r="'regex'", s="'weighted'", f="'fuzzy'", n="'none'")} AS method,
+    round(CAST({FOUND_SQL.format(o=1.0, e=1.0, i=0.9, p=0.88, r=0.85, s='least(top::DOUBLE, 0.95)', f="CASE f WHEN 'merge' THEN 0.95 WHEN 'revert' THEN 0.9 WHEN 'feature' THEN 0.6 ELSE 0.4 END", n=0.0)} AS DOUBLE), 6) AS confidence, CASE WHEN o IS NULL THEN nullif(regexp_extract(message, '\b([A-Z][A-Z0-9]*-\d+)\b', 1), '') END AS ticket_id FROM t)
+    SELECT *, CASE {TAXONOMY_SQL.format(c='category')} END AS top_level FROM z""", "worded")
+def git_classified(t):
+    """All tiers over all commits; a fiftieth has a manual category."""
+    c = t("worded").withColumns({"repository": F.lit("r"), "issue_type": F.when(F.col("sha") % 17 == 0, " Bug").when(F.col("sha") % 17 == 1, "epic")})
+    manual = t("worded").filter("sha % 50 = 0").select("sha", F.lit("r").alias("repository"), F.lit("security").alias("category"))
+    found = classify.classified(c, [("hotfixes", "bugfix", 50), ("typo", "docs", 60)], [("^bump", "release", 10)], {"AB": "platform"}, manual)
+    return found.select("sha", "category", "method", F.round("confidence", 6).alias("confidence"), "ticket_id", "top_level")

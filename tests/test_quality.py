@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from devquarry.functions import paths, text
-from devquarry.operators import chunking, delivery, quality, reports, review, stores
+from devquarry.operators import chunking, classify, delivery, quality, reports, review, stores
 
 
 def test_issue_references(spark):
@@ -119,3 +119,17 @@ def test_history(spark):
 def test_entities_of_a_language(spark):
     rows = spark.createDataFrame([("fn", "b", "rust"), ("fn", "a", "go"), ("class", "z", "rust")], "kind string, name string, language string")
     assert [(r.kind, r.name) for r in stores.entities(rows, "kind", "name", language="rust").collect()] == [("class", "z"), ("fn", "b")]
+
+
+def test_all_tiers(spark):
+    rows = [("a", "fix(x): AB-1 typo", False, "Bug"), ("b", "AB-1 thing", False, " bug "), ("c", "AB-1 thing", False, None), ("d", "bump it", False, None), ("e", "add new feature support", False, None), ("f", "x", True, None), ("g", "some words that tell nothing", False, None), ("h", None, None, None), ("m", "AB-9 by hand", False, "bug")]
+    commits = spark.createDataFrame(rows, "sha string, message string, is_merge boolean, issue_type string").withColumn("repository", F.lit("r"))
+    manual = spark.createDataFrame([("m", "r", "hotfix"), ("a", "other", "docs")], "sha string, repository string, category string")
+    found = classify.classified(commits, [("typo", "docs", 1)], [("^bump", "release", 1)], {"AB": "platform"}, manual, own={"release": "shipping"})
+    got = {r.sha: (r.category, r.method, r.top_level, r.ticket_id) for r in found.collect()}
+    assert got == {
+        "a": ("docs", "exact", "content", "AB-1"), "b": ("bugfix", "external", "bugfix", "AB-1"), "c": ("platform", "external", "platform_work", "AB-1"), "d": ("release", "regex", "shipping", None), "e": ("feature", "weighted", "feature", None),
+        "f": ("merge", "weighted", got["f"][2], None), "g": ("uncategorized", "none", got["g"][2], None), "h": ("uncategorized", "none", got["h"][2], None), "m": ("hotfix", "override", "bugfix", None),
+    }
+    bare = {r.sha: r.method for r in classify.classified(commits, scored=False, defaults=False).collect()}
+    assert bare["b"] == "external" and {bare[x] for x in "cdefgh"} == {"none"} and classify.classified(commits.limit(0)).count() == 0
