@@ -6,7 +6,8 @@ under a grey palette, so that the composed red channel is the payload.
 
 Null and empty texts have a payload of 64 zero bytes. Payloads over ``FRAME_ROWS`` lines become several
 frames. A broken file raises BadGif. Equal texts give equal files, so repeated rows have equal columns; a null
-id stays null. An empty table gives an empty result.
+id stays null. A very long text is one file of many frames. Only the id and the text are read, so further columns
+can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ of repeats, their windows are compared one by one.
 Null, empty and shorter texts have no windows and keep all words. Documents without id keep all words and
 cause no removal. Rows that repeat an id are documents of their own, none of which precedes another: each
 loses what starts in a smaller id, whether their texts are equal or not. Columns that are carried along are
-one struct, so their names can't clash. An empty table gives an empty result. A window's identity is 128 bits, and a row's its id and a 64-bit hash of its text.
+one struct, so their names can't clash. A very long text is one task's words. An empty table gives an empty result. A window's identity is 128 bits, and a row's its id and a 64-bit hash of its text.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ reads will do: a table written by ``write_archives`` or ``.warc.zst`` files thro
 
 Of pages with equal payloads of at least ``LEAST_REVISIT`` bytes the one with the smallest id is stored,
 the others refer to it. Null html is an empty payload; a null id never is referred to and stays null;
-rows that repeat the smallest id are all stored. A very long page is one record of one frame. No pages give no
-archives.
+rows that repeat the smallest id are all stored. A very long page is one record of one frame. Only the
+id, address and html are read, so further columns can't clash. No pages give no archives.
 """
 
 from __future__ import annotations
