@@ -104,6 +104,22 @@ def contribute(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame, more_e
 EDGE_WORDS = {"reads": "Reads", "writes": "Writes", "references": "References", "calls_function": "CallsFunction", "calls_proc": "CallsFunction", "accesses_resource": "AccessesResource"}
 
 
+def united(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame, more_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (by id) and edges (by src, dst and kind) with those of another graph that aren't there yet; further columns are the first graph's own.
+
+    Of several new rows with one key the least stays, column by column. Edges to nodes that neither graph has stay too.
+    """
+
+    def with_new(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+        rest = [c for c in old.columns if c not in key]
+        once = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_rest")).select(*key, *[F.col(f"_rest.{c}").alias(c) for c in rest]) if rest else new.select(*key).distinct()
+        have = old.select(*key).distinct().alias("old")
+        fresh = once.alias("new").join(have, F.expr(" and ".join(f"old.{k} <=> new.{k}" for k in key)), "left_anti")
+        return old.unionByName(fresh.select(*old.columns))
+
+    return with_new(nodes, more_nodes, ["id"]), with_new(edges, more_edges, ["src", "dst", "kind"])
+
+
 def replace_contributions(kept: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Contributions after each producer in ``new`` has replaced all of its own, and producer and replaced, whether it had any.
 

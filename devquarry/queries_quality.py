@@ -177,3 +177,11 @@ def git_classified(t):
     manual = t("worded").filter("sha % 50 = 0").select("sha", F.lit("r").alias("repository"), F.lit("security").alias("category"))
     found = classify.classified(c, [("hotfixes", "bugfix", 50), ("typo", "docs", 60)], [("^bump", "release", 10)], {"AB": "platform"}, manual)
     return found.select("sha", "category", "method", F.round("confidence", 6).alias("confidence"), "ticket_id", "top_level")
+
+
+@query("""WITH old AS (SELECT src, dst, kind, 0 AS weight FROM edges), new AS (SELECT l_suppkey + 3 AS src, l_partkey % 280 AS dst, CASE WHEN l_linenumber > 4 THEN 'Calls' END AS kind, l_linenumber AS weight FROM lineitem)
+    SELECT * FROM old UNION ALL SELECT src, dst, kind, min(weight) FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.src = new.src AND old.dst = new.dst AND old.kind IS NOT DISTINCT FROM new.kind) GROUP BY src, dst, kind""", "edges")
+def graph_united_edges(t):
+    old = t("edges").withColumn("weight", F.lit(0))
+    new = t("lineitem").select((F.col("l_suppkey") + 3).alias("src"), (F.col("l_partkey") % 280).alias("dst"), F.when(F.col("l_linenumber") > 4, "Calls").alias("kind"), F.col("l_linenumber").cast("int").alias("weight"))
+    return review.united(old.select(F.col("src").alias("id")).distinct(), old, new.select(F.col("src").alias("id")), new)[1]

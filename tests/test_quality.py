@@ -133,3 +133,13 @@ def test_all_tiers(spark):
     }
     bare = {r.sha: r.method for r in classify.classified(commits, scored=False, defaults=False).collect()}
     assert bare["b"] == "external" and {bare[x] for x in "cdefgh"} == {"none"} and classify.classified(commits.limit(0)).count() == 0
+
+
+def test_united_graphs(spark):
+    node, edge = "id string, name string", "src string, dst string, kind string, weight int"
+    old = spark.createDataFrame([("a", "mine"), ("b", None)], node), spark.createDataFrame([("a", "b", "Calls", 1), ("a", "b", "Calls", 2)], edge)
+    new = spark.createDataFrame([("a", "theirs"), ("c", "z"), ("c", "y"), (None, "n")], node), spark.createDataFrame([("a", "b", "Calls", 9), ("a", "b", None, 7), ("a", "b", None, 6), ("x", "y", "Calls", 5)], edge)
+    nodes, edges = review.united(*old, *new)
+    assert {tuple(r) for r in nodes.collect()} == {("a", "mine"), ("b", None), ("c", "y"), (None, "n")}
+    assert sorted(map(str, map(tuple, edges.collect()))) == sorted(map(str, [("a", "b", "Calls", 1), ("a", "b", "Calls", 2), ("a", "b", None, 6), ("x", "y", "Calls", 5)]))
+    assert review.united(*new, old[0].limit(0), old[1].limit(0))[1].count() == 4
