@@ -65,12 +65,47 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("src", "callee", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("near")).alias("dst"))
 
 
-def tests_of_same(calls: DataFrame, salts: int = 16) -> DataFrame:
-    """Both directions of all pairs that call one callee. Pairs are dealt by callee and a salt of ``src``, so a large callee is ``salts`` tasks' work."""
-    own = calls.select("src", "callee").filter("src is not null").distinct()
-    left = own.withColumn("salt", F.pmod(F.xxhash64("src"), F.lit(salts)))
-    right = own.select(F.col("src").alias("dst"), "callee", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    return left.join(right, ["callee", "salt"]).filter("src <> dst").select("src", "dst").distinct()
+#: Callers with more callees than this have their pairs made distinct by a shuffle; callees with more callers are several tasks' work.
+MANY_CALLEES, MANY_CALLERS = 64, 4096
+
+
+def tests_of_same(calls: DataFrame, many_callees: int = MANY_CALLEES, many_callers: int = MANY_CALLERS) -> DataFrame:
+    """Both directions of all pairs that call one callee, each once.
+
+    A pair is made at the smallest callee that both call: a row carries its caller's smaller callees, so the pairs, which
+    are far more than the rows, are never shuffled. Only pairs with a caller of more than ``many_callees``, if there is
+    one, are made distinct. Pairs of a callee of more than ``many_callers`` are dealt by a salt of ``src``.
+    """
+    calls = calls.select("src", "callee").filter("src is not null and callee is not null")
+    over = lambda key, most: calls.groupBy(key).agg(F.count("*").alias("calls")).filter(F.col("calls") > most)
+    mine = Window.partitionBy("src")
+    before = F.collect_list("callee").over(mine.orderBy("callee").rowsBetween(-many_callees, -1))
+    rows = calls.repartition("src").distinct().select("src", "callee", before.alias("before"), (F.count("*").over(mine) > many_callees).alias("many"))
+    large = F.broadcast(over("callee", many_callers).select("callee", F.ceil(F.col("calls") / many_callers).cast("int").alias("salts")))
+
+    def pairs(a: DataFrame, b: DataFrame) -> list[DataFrame]:
+        salted = a.join(large, "callee").withColumn("salt", F.pmod(F.xxhash64("src"), "salts").cast("int"))
+        dealt = b.join(large, "callee").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        out = []
+        for x, y, on in ((a.join(large, "callee", "left_anti"), b.join(large, "callee", "left_anti"), ["callee"]), (salted, dealt, ["callee", "salt"])):
+            x, y = x.alias("x"), y.hint("merge").alias("y")
+            same = F.col("x.src") != F.col("y.src")
+            for key in on:
+                same &= F.col(f"x.{key}") == F.col(f"y.{key}")
+            out.append(x.join(y, same))
+        return out
+
+    def ends(joined: list[DataFrame]) -> DataFrame:
+        one, two = (j.select(F.col("x.src").alias("src"), F.col("y.src").alias("dst")) for j in joined)
+        return one.unionByName(two)
+
+    few = rows.filter("not many").drop("many")
+    once = ends([j.filter("not arrays_overlap(x.before, y.before)") for j in pairs(few, few)])
+    if over("src", many_callees).isEmpty():
+        return once
+    rows = rows.drop("before")
+    rest = ends(pairs(rows.filter("many"), rows)).unionByName(ends(pairs(rows.filter("not many"), rows.filter("many"))))
+    return once.unionByName(rest.distinct())
 
 
 def test_groups(calls: DataFrame) -> DataFrame:
