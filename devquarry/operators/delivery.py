@@ -41,15 +41,20 @@ def change_failure_rate(deployments: DataFrame, failures: DataFrame) -> DataFram
 def first_after(deployments: DataFrame, commits: DataFrame, within_hours: int, signal: Column) -> DataFrame:
     """deploy_id and sha: the first commit of the repository in (t, t + within] if the signal holds for it.
 
-    A range join without comparing all pairs: time is cut into stretches of ``within_hours``, a deployment asks
-    its own stretch and the next, and each stretch's commits are few.
+    Nothing is joined: time is cut into stretches of ``within_hours``, commits stand in their own stretch and the one
+    before, and one pass over a stretch from its end hands each deployment the next commit.
     """
-    width = within_hours * 3600
-    ask = deployments.filter(SUCCESS).select("deploy_id", "repo", F.unix_timestamp("triggered_at").alias("t"))
-    ask = ask.withColumn("stretch", F.explode(F.array(F.floor(F.col("t") / width), F.floor(F.col("t") / width) + 1)))
-    have = commits.select(F.col("repository").alias("repo"), "sha", F.unix_timestamp("timestamp").alias("at"), signal.alias("signal")).withColumn("stretch", F.floor(F.col("at") / width))
-    near = ask.join(have, ["repo", "stretch"]).filter((F.col("at") > F.col("t")) & (F.col("at") <= F.col("t") + width))
-    first = near.groupBy("deploy_id").agg(F.min(F.struct("at", "sha", "signal")).alias("first"))
+    width = within_hours * 3_600_000_000
+    micros = lambda name: F.unix_micros(F.col(name).cast("timestamp"))
+    stretch = F.expr(f"(at - pmod(at, {width}L)) div {width}L")
+    ask = deployments.filter(SUCCESS).select("repo", micros("triggered_at").alias("at"), "deploy_id").withColumn("stretch", stretch)
+    have = commits.select(F.col("repository").alias("repo"), micros("timestamp").alias("at"), F.struct("sha", signal.alias("signal")).alias("commit"))
+    have = have.groupBy("repo", "at").agg(F.min("commit").alias("commit")).withColumn("stretch", F.explode(F.array(stretch, stretch - 1)))
+    both = ask.withColumn("asks", F.lit(True)).unionByName(have.withColumn("asks", F.lit(False)), allowMissingColumns=True).filter("repo is not null and at is not null")
+    down = Window.partitionBy("repo", "stretch").orderBy(F.desc("at"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = F.last(F.when(~F.col("asks"), F.struct("at", "commit.sha", "commit.signal")), ignorenulls=True).over(down)
+    near = both.withColumn("after", after).filter(F.col("asks") & (F.col("after.at") <= F.col("at") + width))
+    first = near.groupBy("deploy_id").agg(F.min("after").alias("first"))
     return first.filter("first.signal").select("deploy_id", F.col("first.sha").alias("sha"))
 
 
