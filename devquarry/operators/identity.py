@@ -5,11 +5,13 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 def winkler(a: str, b: str) -> float:
@@ -17,24 +19,53 @@ def winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    used, hits = [False] * len(b), []
+    used = next(c for c in map(chr, range(len(a) + 1)) if c not in a)  # stands where b's letters are taken
+    left, hits, at = b, [], []
     for i, c in enumerate(a):
-        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if not used[j] and b[j] == c), None)
-        if j is not None:
-            used[j] = True
-            hits.append((c, j))
+        j = left.find(c, max(0, i - reach), i + reach + 1)
+        if j >= 0:
+            left = left[:j] + used + left[j + 1 :]
+            hits.append(c)
+            at.append(j)
     if not hits:
         return 0.0
-    m, other = len(hits), [b[j] for j in range(len(b)) if used[j]]
-    swaps = sum(x != y for (x, _), y in zip(hits, other)) // 2  # whole pairs of letters out of place
+    m = len(hits)
+    swaps = sum(c != b[j] for c, j in zip(hits, sorted(at))) // 2  # whole pairs of letters out of place
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-@F.pandas_udf(DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else winkler(x, y) for x, y in zip(a, b)])
+#: Buckets of letters whose counts bound a pair's common letters.
+LETTERS = 64
+
+
+def likely(a: pd.Series, b: pd.Series, least: float) -> np.ndarray:
+    """Which pairs can have a Jaro-Winkler likeness of ``least``: by lengths, common letters and beginning."""
+    def counted(words: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        at, own = pd.factorize(words)
+        counts = np.zeros((len(own), LETTERS), np.uint16)
+        for row, w in zip(counts, own):
+            for c in w:
+                row[ord(c) % LETTERS] += 1
+        return counts[at], own.str.len().to_numpy(np.int64)[at]
+
+    (x, n), (y, k) = counted(a), counted(b)
+    common = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    jaro = np.where(common > 0, (common / np.maximum(n, 1) + common / np.maximum(k, 1) + 1) / 3, 0)
+    begins = np.fromiter((next((i for i in range(4) if v[i : i + 1] != w[i : i + 1]), 4) for v, w in zip(a, b)), float, len(a))
+    return (jaro + begins * 0.1 * (1 - jaro) >= least - 1e-9) | (a == b).to_numpy()
+
+
+def measured(pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs of words (a, b) with a score of ``least`` or more, each scored once."""
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[likely(pdf["a"], pdf["b"], least)]
+            pdf = pdf.assign(score=[winkler(x, y) for x, y in zip(pdf["a"], pdf["b"])])
+            yield pdf[pdf["score"].astype(float) >= least]
+
+    return pairs.mapInPandas(score, "a string, b string, score double")
 
 
 def local_part(email):
@@ -85,7 +116,7 @@ def near_emails(authors: DataFrame) -> DataFrame:
     domains = part.filter("domain <> ''").select("domain").distinct()
     endings = domains.select("domain", F.explode(F.expr("transform(sequence(1, length(domain)), i -> substring(domain, i))")).alias("ending"))
     a = grams.join(endings.join(domains.select(F.col("domain").alias("ending")), "ending"), "domain").alias("a")
-    b = grams.alias("b")
+    b = grams.hint("merge").alias("b")  # from a small table, but many times its size: not to be broadcast
     once = (F.col("a.domain") != F.col("b.domain")) | (F.col("a.email") < F.col("b.email"))
     pairs = a.join(b, (F.col("a.ending") == F.col("b.domain")) & (F.col("a.piece") == F.col("b.piece")) & once & (F.abs(F.length("a.local") - F.length("b.local")) <= 2))
     found = pairs.select(F.least("a.email", "b.email").alias("first"), F.greatest("a.email", "b.email").alias("second"), F.levenshtein(F.col("a.local"), F.col("b.local"), 2).alias("edits")).distinct()
@@ -157,7 +188,7 @@ def name_keys(word: str, least: float, left: bool) -> list[int]:
 
     A common beginning of p letters leaves a Jaro likeness j of at least (least - p/10) / (1 - p/10). So of lengths a and
     b at least o = (3j - 1) ab / (a + b) letters are common, and of the rarest a - o + k letters of the one and b - o + k
-    of the other k are: keys are the beginning, the classes of both lengths, whose least lengths make o, and k of these
+    of the other k are: keys are the beginning (its length in their last three bits), the classes of both lengths, whose least lengths make o, and k of these
     letters.
     """
     n, out = len(word), set()
@@ -185,7 +216,7 @@ def name_keys(word: str, least: float, left: bool) -> list[int]:
             head = f"{p}|{word[:p]}|{sizes}|"
             for some in itertools.combinations(letters[: n - common + k], k):
                 raw = (head + "".join(some)).encode()
-                out.add((zlib.crc32(raw) << 32 | zlib.crc32(raw[::-1])) - (1 << 63))
+                out.add((zlib.crc32(raw) << 32 | zlib.crc32(raw[::-1]) & ~7 | p) - (1 << 63))
     return list(out)
 
 
@@ -194,12 +225,21 @@ def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
     Pairs meet on keys that no such pair misses, so words are never all compared; a pair is measured once.
     """
-    def keyed(words: DataFrame, name: str, first: bool) -> DataFrame:
-        keys = F.pandas_udf(lambda s: s.map(lambda w: name_keys(w, least, first)), "array<long>")
-        return words.filter("word is not null").select("word").distinct().select(F.col("word").alias(name), F.explode(keys("word")).alias("key"))
+    parts = 4 * left.sparkSession.sparkContext.defaultParallelism  # keys are long work for few bytes
 
-    pairs = keyed(left, "a", True).join(keyed(right, "b", False), "key").select("a", "b").distinct()
-    return pairs.withColumn("score", jaro_winkler("a", "b")).filter(F.col("score") >= least)
+    def keyed(words: DataFrame, name: str, first: bool) -> DataFrame:
+        def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf.assign(keys=[name_keys(w, least, first) for w in pdf["word"]])
+
+        distinct = words.filter("word is not null").select("word").distinct().repartition(parts, "word")
+        return distinct.mapInPandas(keys, "word string, keys array<long>").select(F.col("word").alias(name), F.explode("keys").alias("key"))
+
+    own, theirs = keyed(left, "a", True), keyed(right, "b", False).hint("merge")  # from small tables, but many times their size: not to be broadcast
+    begins = F.expr("cast(key & 7 as int)")
+    differ = (begins == 4) | (F.substring("a", begins + 1, F.lit(1)) == "") | (F.substring("a", begins + 1, F.lit(1)) != F.substring("b", begins + 1, F.lit(1)))
+    pairs = own.join(theirs, "key").filter(differ).select("a", "b").distinct()
+    return measured(pairs.repartition(parts, "a", "b"), least)
 
 
 def resolve(people: DataFrame, known: DataFrame, least: float = 0.85, least_normalized: float = 0.82) -> DataFrame:

@@ -3,9 +3,10 @@
 import datetime as dt
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from devquarry.operators import chunking, delivery
+from devquarry.operators import chunking, delivery, identity
 
 
 def plan(df):
@@ -43,3 +44,16 @@ def test_first_commits_are_found_without_a_join(spark):
     out = delivery.first_after(left, right, 24, F.col("flag"))
     assert ("micro", "late") in wanted and sorted(map(tuple, out.collect())) == wanted
     assert "Join" not in plan(out)
+
+
+def test_keyed_words_are_not_broadcast_and_scored_once(spark):
+    words = ["", "a", "ab", "supplier#000000012o", "supplier#000000120", "maria", "mariah", "marai", "\0b", "jürgen müller", "jurgen muller"]
+    df = spark.createDataFrame([(w,) for w in [*words, None]], "word string")
+    wanted = sorted((a, b, identity.winkler(a, b)) for a in words for b in words if identity.winkler(a, b) >= 0.85)
+    out = identity.alike(df, df, 0.85)
+    assert sorted(map(tuple, out.collect())) == wanted
+    text = plan(out)
+    assert "BroadcastHashJoin" not in text and "ArrowEvalPython" not in text
+    a, b = (pd.Series(x) for x in zip(*((a, b) for a in words for b in words)))
+    sure = identity.likely(a, b, 0.85)
+    assert all(k or identity.winkler(x, y) < 0.85 for x, y, k in zip(a, b, sure)) and not sure.all()
