@@ -119,8 +119,11 @@ def near_emails(authors: DataFrame) -> DataFrame:
     b = grams.hint("merge").alias("b")  # from a small table, but many times its size: not to be broadcast
     once = (F.col("a.domain") != F.col("b.domain")) | (F.col("a.email") < F.col("b.email"))
     pairs = a.join(b, (F.col("a.ending") == F.col("b.domain")) & (F.col("a.piece") == F.col("b.piece")) & once & (F.abs(F.length("a.local") - F.length("b.local")) <= 2))
-    found = pairs.select(F.least("a.email", "b.email").alias("first"), F.greatest("a.email", "b.email").alias("second"), F.levenshtein(F.col("a.local"), F.col("b.local"), 2).alias("edits")).distinct()
-    return found.filter("edits between 1 and 2").withColumn("confidence", F.when(F.col("edits") == 1, BY_EDITS[1]).otherwise(BY_EDITS[2]))
+    edits = F.levenshtein(F.col("a.local"), F.col("b.local"), 2)
+    removed = F.greatest(F.length("a.local"), F.length("b.local")) - F.length("a.piece")
+    met = pairs.filter(edits.between(1, 2) & (F.col("a.piece").startswith("\0") | (removed == edits)))  # two words k edits apart also share a key with k characters less than the longer
+    found = met.select(F.least("a.email", "b.email").alias("first"), F.greatest("a.email", "b.email").alias("second"), edits.alias("edits")).distinct()
+    return found.withColumn("confidence", F.when(F.col("edits") == 1, BY_EDITS[1]).otherwise(BY_EDITS[2]))
 
 
 #: The domain of private addresses, the ending of host names, and confidences of the noise rules.

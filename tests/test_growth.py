@@ -57,3 +57,30 @@ def test_keyed_words_are_not_broadcast_and_scored_once(spark):
     a, b = (pd.Series(x) for x in zip(*((a, b) for a in words for b in words)))
     sure = identity.likely(a, b, 0.85)
     assert all(k or identity.winkler(x, y) < 0.85 for x, y, k in zip(a, b, sure)) and not sure.all()
+
+
+def test_near_emails_are_not_broadcast_and_none_is_lost(spark):
+    rng = random.Random(3)
+    mails = {f"{''.join(rng.choice('ab0') for _ in range(n))}@{d}" for n in (3, 3, 4, 5, 6, 23, 24, 25) for d in ("co.com", "mail.co.com", "x.org") for _ in range(12)}
+    base = "abcdefghijklmnopqrstuvwx"
+    mails |= {f"{w}@co.com" for w in (base, base[1:], base + "y", base[1:] + "zz", base[::-1], "\0bcd", "\0bce", "あ", "い", "ab", "aab", "aba")}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row = row, [i]
+            for j, e in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != e)))
+        return row[-1]
+
+    wanted = set()
+    for x in mails:
+        for y in mails:
+            (a, d), (b, e) = x.split("@"), y.split("@")
+            if x < y and min(len(a.encode()), len(b.encode())) >= 3 and (d.endswith(e) or e.endswith(d)) and edits(a, b) in (1, 2):
+                wanted.add((x, y, edits(a, b)))
+    out = identity.near_emails(spark.createDataFrame([(m,) for m in sorted(mails)], "email string"))
+    rows = out.select("first", "second", "edits").collect()
+    assert len(wanted) > 100 and sorted(map(tuple, rows)) == sorted(wanted)
+    text = plan(out)
+    assert "piece" not in "".join(line for line in text.splitlines() if "BroadcastHashJoin" in line)
