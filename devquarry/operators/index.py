@@ -161,7 +161,9 @@ def search(index: Index, terms: list[str], top_k: int | None = None) -> DataFram
     frequent = own.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
     idf = F.log((index.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / index.mean))
-    scored = own.join(F.broadcast(frequent), "term").groupBy("key").agg(F.sum(idf * weight).alias("score")).filter("score > 0")
+    parts = own.join(F.broadcast(frequent), "term").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", (idf * weight).alias("part")))).alias("parts"))
+    # parts are added in the order of terms, not of their arrival: chunks that are alike have one score, and ties stay ties
+    scored = parts.select("key", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("score")).filter("score > 0")
     return scored.orderBy(F.desc("score"), "key").limit(top_k) if top_k else scored
 
 

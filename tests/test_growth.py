@@ -6,7 +6,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from devquarry.operators import chunking, delivery, identity
+from devquarry.operators import chunking, delivery, identity, index
 
 
 def plan(df):
@@ -84,3 +84,13 @@ def test_near_emails_are_not_broadcast_and_none_is_lost(spark):
     assert len(wanted) > 100 and sorted(map(tuple, rows)) == sorted(wanted)
     text = plan(out)
     assert "piece" not in "".join(line for line in text.splitlines() if "BroadcastHashJoin" in line)
+
+
+def test_chunks_alike_have_one_score_whatever_order_their_terms_arrive_in(spark):
+    alike = [(k, ["ention", "the", "thing"] + [f"w{k % 7}"] * 1) for k in range(400)]
+    other = [(1000 + k, ["the"] + (["thing"] if k % 3 == 0 else []) + [f"v{k}"] * (k % 5)) for k in range(300)]
+    chunks = spark.createDataFrame(alike + other + [(5000, []), (5001, None)], "key long, terms array<string>")
+    found = index.search(index.build(chunks, "key", F.col("terms")), ["the", "thing", "ention"], 40).collect()
+    assert [r.key for r in found] == list(range(40)) and len({r.score for r in found}) == 1
+    text = plan(index.search(index.build(chunks, "key", F.col("terms")), ["the", "thing", "ention"]))
+    assert "collect_list" in text and "sum(" not in text
