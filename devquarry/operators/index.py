@@ -80,10 +80,15 @@ class Index:
         return self.read("lengths", "length long", lambda _, rows: rows, of)
 
 
-def postings_of(chunks: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """key, length, term and tf of the chunks' token lists; equal terms of a chunk are summed before anything moves."""
-    listed = chunks.select(F.col(key).alias("key"), tokens.alias("all"))
-    return listed.select("key", F.size("all").cast("long").alias("length"), F.explode("all").alias("term")).groupBy("key", "length", "term").agg(F.count("*").alias("tf"))
+def counted(rows: DataFrame) -> DataFrame:
+    """key, length, term and tf of token lists (key, length, all): equal tokens are counted in their row, so nothing moves."""
+    n, tokens = F.size("all"), F.col("all")
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(tokens, i - 1) != F.get(tokens, i - 2)))
+    repeated = F.transform(starts, lambda i, j: F.struct(F.get(tokens, i - 1).alias("term"), (F.coalesce(F.get(starts, j + 1), n + 1) - i).cast("long").alias("tf")))
+    once = F.transform(tokens, lambda w: F.struct(w.alias("term"), F.lit(1).cast("long").alias("tf")))
+    plain = rows.filter(n > 0).withColumn("plain", n == F.size(F.array_distinct("all")))
+    listed = plain.withColumn("all", F.when(F.col("plain"), tokens).otherwise(F.sort_array("all")))
+    return listed.select("key", "length", F.explode(F.when(F.col("plain"), once).otherwise(repeated)).alias("p")).select("key", "length", "p.term", "p.tf")
 
 
 def write_segment(spark: SparkSession, folder: str, number: int, lengths: DataFrame, postings: DataFrame) -> segments.Segment:
@@ -109,9 +114,13 @@ def build(chunks: DataFrame, key: str, tokens: Column, folder: str | None = None
 
 def grown(spark: SparkSession, version: segments.Version, chunks: DataFrame, key: str, tokens: Column) -> segments.Version:
     """``version`` with a segment of the chunks; not yet visible."""
-    lengths = chunks.select(F.col(key).alias("key"), F.size(tokens).cast("long").alias("length"))
     number = max(version.next_number() - 1, 1) if version.dead else version.next_number()  # what the last dead keys leave room for
-    own = write_segment(spark, version.folder, number, lengths, postings_of(chunks, key, tokens))
+    path = segments.fresh(version.folder, "tokens")  # texts are cut once, for lengths and postings
+    chunks.select(F.col(key).alias("key"), tokens.alias("all")).select("key", F.size("all").cast("long").alias("length"), "all").write.parquet(path)
+    told = spark.read.schema(f"key {version.facts['key']}, length long, all array<string>").parquet(path)
+    own = write_segment(spark, version.folder, number, told, counted(told))
+    target, fs = segments.path_of(spark, path)
+    fs.delete(target, True)
     facts = version.facts | {"docs": version.facts["docs"] + own.rows, "length": version.facts["length"] + own.facts["length"]}
     return replace(version, segments=(*version.segments, own) if own.rows else version.segments, facts=facts)
 

@@ -94,3 +94,12 @@ def test_chunks_alike_have_one_score_whatever_order_their_terms_arrive_in(spark)
     assert [r.key for r in found] == list(range(40)) and len({r.score for r in found}) == 1
     text = plan(index.search(index.build(chunks, "key", F.col("terms")), ["the", "thing", "ention"]))
     assert "collect_list" in text and "sum(" not in text
+
+
+def test_terms_are_counted_in_their_row(spark):
+    rows = [(1, ["b", "a", "b", "b"]), (2, ["x"]), (3, []), (4, None), (5, ["d", "c"]), (6, ["é", "e", "é"])]
+    told = spark.createDataFrame(rows, "key long, all array<string>").withColumn("length", F.size("all").cast("long"))
+    out = index.counted(told)
+    wanted = sorted((k, len(w), t, w.count(t)) for k, w in rows if w for t in set(w))
+    assert sorted(map(tuple, out.select("key", "length", "term", "tf").collect())) == wanted
+    assert "Exchange" not in plan(out)
