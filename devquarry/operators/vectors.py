@@ -22,6 +22,8 @@ from .index import shared_folder
 
 #: Vectors that the centroids are fitted on, rounds of the fit, most cells, and vectors that the number of cells to read is chosen on.
 SAMPLE, ROUNDS, CELLS, ASKED = 20_000, 10, 4096, 64
+#: Vectors of a cell and queries of it that one group compares, about, and queries and products that are held at once.
+VECTORS, QUERIES, SLICE, AT_ONCE = 2048, 4096, 128, 1 << 17
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -150,11 +152,32 @@ def search(index: VectorIndex, query: list[float], top_k: int, probes: int | Non
     return rows.select("key", dot(F.col("vec"), unit).alias("score")).orderBy(F.desc("score"), "key").limit(top_k)
 
 
+def best_of(queries: np.ndarray, vectors: np.ndarray, keys: list, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of queries, rows of vectors and scores of the best ``top_k`` of each query, ties by key.
+
+    A product of matrices finds what can be among them; these are scored in the order of the dimensions, as ``dot`` does.
+    """
+    rank = np.empty(len(keys), np.int64)
+    rank[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
+    out = []
+    for start in range(0, len(queries), SLICE):
+        own = queries[start : start + SLICE]
+        near = own @ vectors.T
+        least = np.partition(near, len(keys) - top_k, axis=1)[:, len(keys) - top_k] if len(keys) > top_k else np.full(len(own), -np.inf)
+        rows, cols = np.nonzero(near >= least[:, None] - 1e-9)  # unit vectors: both sums err by far less
+        score = np.concatenate([np.zeros(0), *[np.cumsum(own[rows[i : i + AT_ONCE]] * vectors[cols[i : i + AT_ONCE]], axis=1)[:, -1] for i in range(0, len(rows), AT_ONCE)]])
+        order = np.lexsort((rank[cols], -score, rows))
+        rows, cols, score = rows[order], cols[order], score[order]
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < top_k
+        out.append((rows[first] + start, cols[first], score[first]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def search_many(index: VectorIndex, queries: DataFrame, top_k: int, probes: int | None = None, exact: bool = False) -> DataFrame:
     """query, key, score, rank and cell of the nearest vectors of each of a block of queries (key, vec).
 
-    A query meets the vectors of its nearest cells by cell; each task keeps its best ``top_k`` of a query in an array, and
-    only those meet.
+    A query meets the vectors of its nearest cells by cell; large cells are dealt, and each part is compared as a product of
+    matrices that keeps the best ``top_k`` of a query, so that only those meet.
     """
     want = len(index.centroids) if exact else (probes or index.probes)
     centroids = index.centroids
@@ -168,8 +191,29 @@ def search_many(index: VectorIndex, queries: DataFrame, top_k: int, probes: int
 
     kind = unit.schema["key"].dataType.simpleString()
     probed = unit.mapInArrow(probing, f"query {kind}, asked array<double>, cells array<int>").select("query", "asked", F.explode("cells").alias("cell"))
-    met = probed.join(index.stored(), "cell").select("query", F.struct((-dot(F.col("vec"), F.col("asked"))).alias("d"), F.col("key").alias("key"), "cell").alias("hit"))
-    parts = met.groupBy("query", F.pmod(F.xxhash64("hit.key"), F.lit(64)).alias("part")).agg(F.slice(F.array_sort(F.collect_list("hit")), 1, top_k).alias("hits"))
+    stored = index.stored()
+    sizes = stored.groupBy("cell").agg(F.ceil(F.count("*") / VECTORS).cast("int").alias("vs"))
+    sizes = sizes.join(probed.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qs")), "cell")
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = probed.join(F.broadcast(sizes), "cell").select("cell", "query", "asked", dealt("query", "qs").alias("q"), every("vs").alias("v"))  # sizes: a row for each cell
+    right = stored.join(F.broadcast(sizes), "cell").select("cell", "key", "vec", dealt("key", "vs").alias("v"), every("qs").alias("q"))
+    own = index.version.facts["key"]
+
+    def compared(a: pa.Table, b: pa.Table) -> pa.Table:
+        names, rows, hits = ["query", "hits"], pa.array([], a.schema.field("query").type), []
+        type_ = pa.list_(pa.struct([("d", pa.float64()), ("key", b.schema.field("key").type), ("cell", pa.int32())]))
+        if not (a.num_rows and b.num_rows):
+            return pa.table([rows, pa.array(hits, type_)], names=names)
+        a, b = a.combine_chunks(), b.combine_chunks()
+        q, v, score = best_of(matrix(a.column("asked").combine_chunks()), matrix(b.column("vec").combine_chunks()), b.column("key").to_pylist(), top_k)
+        key, cell = b.column("key").combine_chunks().take(pa.array(v)), b.column("cell").combine_chunks().take(pa.array(v))
+        found = pa.StructArray.from_arrays([pa.array(-score), key, cell], fields=list(type_.value_type))
+        ends = pa.array(np.searchsorted(q, np.arange(a.num_rows + 1)).astype(np.int32))
+        return pa.table([a.column("query"), pa.ListArray.from_arrays(ends, found, type=type_)], names=names)
+
+    by = ["cell", "v", "q"]
+    parts = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compared, f"query {kind}, hits array<struct<d: double, key: {own}, cell: int>>")
     best = parts.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, top_k).alias("hits"))
     return best.select("query", F.posexplode("hits").alias("i", "hit")).select("query", "hit.key", (-F.col("hit.d")).alias("score"), (F.col("i") + 1).alias("rank"), "hit.cell")
 

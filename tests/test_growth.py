@@ -1,12 +1,14 @@
 """Steps whose shuffles must not grow faster than their input, with odd rows, against plain Python."""
 
 import datetime as dt
+import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from devquarry.operators import chunking, delivery, identity, index
+from devquarry.operators import chunking, delivery, identity, index, vectors
 
 
 def plan(df):
@@ -103,3 +105,26 @@ def test_terms_are_counted_in_their_row(spark):
     wanted = sorted((k, len(w), t, w.count(t)) for k, w in rows if w for t in set(w))
     assert sorted(map(tuple, out.select("key", "length", "term", "tf").collect())) == wanted
     assert "Exchange" not in plan(out)
+
+
+def test_near_vectors_are_compared_as_matrices(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 8)).round(1)
+    data = [(i, base[i % 60].tolist()) for i in range(300)] + [(900, [0.0] * 8), (901, None), (902, [1.0, 2.0])]
+    rows = spark.createDataFrame(data, "id long, vec array<double>")
+    own = vectors.build(rows, "id", "vec")
+    asked = rows.filter("id % 10 = 0").select(F.col("id").alias("key"), "vec")
+
+    def score(a, b):  # in the order of the dimensions
+        unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+        total = 0.0
+        for x, y in zip(unit(a), unit(b)):
+            total += x * y
+        return total
+
+    wanted = sorted((q, r, k) for q, a in data[:300:10] for r, (_, k) in enumerate(sorted((-score(a, b), k) for k, b in data[:300])[:7], 1))
+    out = vectors.search_many(own, asked, 7, exact=True)
+    assert sorted((r.query, r.rank, r.key) for r in out.collect()) == wanted
+    assert "FlatMapCoGroupsInArrow" in plan(out)
+    many = vectors.best_of(base, np.repeat(base, 40, axis=0), [f"{i:05d}" for i in range(2400)][::-1], 5)
+    assert [int(x) for x in many[1][:5]] == [39, 38, 37, 36, 35] and len(many[0]) == 300
