@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,65 +88,118 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     raise RuntimeError(f"components not found in {rounds} rounds")
 
 
+#: Entries of a graph that one step of ``louvain`` copies at once.
+ENTRIES = 1 << 22
+
+
+def adjacency(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of rows, columns and weights of the directed entries in pieces (row, column, weight), which are used up."""
+    counts = np.zeros(n + 1, np.int64)
+    for rows, _, _ in pieces:
+        counts[1:] += np.bincount(rows, minlength=n)
+    starts = np.cumsum(counts)
+    free, columns = starts[:-1].copy(), np.empty(starts[-1], np.int32)
+    exact = all((w == w.astype(np.float32)).all() for _, _, w in pieces)
+    weights = np.empty(starts[-1], np.float32 if exact else np.float64)
+    while pieces:
+        rows, cols, w = pieces.pop()
+        for a in range(0, len(rows), ENTRIES):
+            order = np.argsort(rows[a : a + ENTRIES], kind="stable")
+            own = rows[a : a + ENTRIES][order]
+            at = free[own] + np.arange(len(own)) - np.searchsorted(own, own)
+            columns[at], weights[at] = cols[a : a + ENTRIES][order], w[a : a + ENTRIES][order]
+            free += np.bincount(own, minlength=n)
+    return starts, columns, weights
+
+
+def moved_nodes(starts: np.ndarray, columns: np.ndarray, weights: np.ndarray, loops: np.ndarray, passes: int) -> np.ndarray | None:
+    """The community of each node after moves node by node; None if none moves."""
+    n = len(loops)
+    community = np.arange(n)
+    degree = 2 * loops + np.array([weights[starts[i] : starts[i + 1]].sum(dtype=float) for i in range(n)])
+    inside, total, ever = degree.copy(), float(degree.sum()), False
+    for _ in range(passes if total else 0):
+        moved = False
+        for i in range(n):
+            near = community[columns[starts[i] : starts[i + 1]]]
+            found, place = np.unique(near, return_inverse=True)
+            links = np.bincount(place, weights[starts[i] : starts[i + 1]], len(found))
+            own = best = int(community[i])
+            inside[own] -= degree[i]
+            gains = links - inside[found] * degree[i] / total
+            at = int(np.searchsorted(found, own))
+            most = gains[at] if at < len(found) and found[at] == own else 0.0 - inside[own] * degree[i] / total
+            at = 0
+            while at < len(found) and (better := gains[at:] > most + 1e-12).any():
+                at += int(better.argmax())
+                best, most, at = int(found[at]), gains[at], at + 1
+            inside[best] += degree[i]
+            community[i] = best
+            moved |= best != own
+        ever |= moved
+        if not moved:
+            break
+    return community if ever else None
+
+
+def contracted(starts: np.ndarray, columns: np.ndarray, weights: np.ndarray, loops: np.ndarray, community: np.ndarray, n: int) -> tuple[list, np.ndarray]:
+    """The entries between communities, summed, and the loops of communities."""
+    own = np.bincount(community, loops, n)
+    keys, sums = np.zeros(0, np.int64), np.zeros(0)
+    first = 0
+    while first < len(community):
+        last = max(int(np.searchsorted(starts, starts[first] + ENTRIES, "right")) - 1, first + 1)
+        rows = np.repeat(community[first:last], np.diff(starts[first : last + 1]))
+        cols, w = community[columns[starts[first] : starts[last]]], weights[starts[first] : starts[last]].astype(float)
+        own += np.bincount(rows[rows == cols], w[rows == cols], n)
+        apart = rows != cols
+        keys, place = np.unique(np.concatenate([keys, rows[apart] * n + cols[apart]]), return_inverse=True)
+        sums = np.bincount(place, np.concatenate([sums, w[apart]]), len(keys))
+        first = last
+    return [((keys // n).astype(np.int32), (keys % n).astype(np.int32), sums)], own / 2
+
+
 def louvain(edges: DataFrame, part: str | None = None, passes: int = 32) -> DataFrame:
     """id and community by Louvain moves, level by level; an edge has weight 1, so repeated pairs weigh as often as they occur.
 
     Pairs are summed by Spark first. Moves go node by node, each on what the moves before left, so a graph is one task's
-    work, whose memory is that of its distinct pairs; each value of ``part`` is a graph of its own.
+    work, whose memory is some 30 bytes for each of its distinct pairs; each value of ``part`` is a graph of its own.
     """
     own = [part] if part else []
     edges = edges.groupBy(*own, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    kind = dict(edges.dtypes)["src"]
 
-    def partition(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
-        weights: dict[int, dict[int, float]] = {i: {} for i in range(len(names))}
-        for a, b, w in zip(np.searchsorted(names, pdf["src"]).tolist(), np.searchsorted(names, pdf["dst"]).tolist(), pdf["weight"].tolist(), strict=True):
-            weights[a][b] = weights[a].get(b, 0.0) + w
-            if a != b:
-                weights[b][a] = weights[b].get(a, 0.0) + w
-        belongs = np.arange(len(names))
+    def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, names = [], None
+        for batch in batches:
+            ends = [batch.column(c) for c in ("src", "dst")]
+            type_ = ends[0].type
+            ends = [x.to_numpy(zero_copy_only=False) for x in ends]
+            w = batch.column("weight").to_numpy()
+            small = w.astype(np.float32)
+            read.append((*ends, small if (small == w).all() else w))
+            fresh = np.unique(np.concatenate(ends))
+            names = fresh if names is None else np.union1d(names, fresh)
+        pieces, loops = [], np.zeros(len(names))
+        while read:
+            a, b, w = read.pop()
+            a, b = (np.searchsorted(names, x).astype(np.int32) for x in (a, b))
+            np.add.at(loops, a[a == b], w[a == b])
+            a, b, w = a[a != b], b[a != b], w[a != b]
+            pieces += [(a, b, w), (b, a, w)]
+        belongs, n = np.arange(len(names)), len(names)
         while True:
-            community = {i: i for i in weights}
-            degree = {i: sum(w.values()) + w.get(i, 0.0) for i, w in weights.items()}
-            total, inside = sum(degree.values()), dict(degree)
-            moved_ever = False
-            for _ in range(passes if total else 0):
-                moved = False
-                for i in sorted(weights):
-                    links: dict[int, float] = {}
-                    for j, w in weights[i].items():
-                        if j != i:
-                            links[community[j]] = links.get(community[j], 0.0) + w
-                    own = community[i]
-                    inside[own] -= degree[i]
-                    gain = lambda c: links.get(c, 0.0) - inside[c] * degree[i] / total  # noqa: B023, E731
-                    best = own
-                    for c in sorted(links):
-                        if gain(c) > gain(best) + 1e-12:
-                            best = c
-                    inside[best] += degree[i]
-                    community[i] = best
-                    moved |= best != own
-                moved_ever |= moved
-                if not moved:
-                    break
-            if not moved_ever:
+            starts, columns, weights = adjacency(pieces, n)
+            community = moved_nodes(starts, columns, weights, loops, passes)
+            if community is None:
                 break
-            belongs = np.array([community[b] for b in belongs])
-            merged: dict[int, dict[int, float]] = {c: {} for c in set(community.values())}
-            for i, own in weights.items():
-                for j, w in own.items():
-                    a, b = community[i], community[j]
-                    merged[a][b] = merged[a].get(b, 0.0) + (w if a != b or i != j else w)
-            for c in merged:
-                if c in merged[c]:
-                    merged[c][c] /= 2
-            weights = merged
-        least = {c: names[belongs == c].min() for c in np.unique(belongs)}
-        return pd.DataFrame({"id": names, "community": [least[c] for c in belongs]})
+            kept, community = np.unique(community, return_inverse=True)
+            belongs, n = community[belongs], len(kept)
+            pieces, loops = contracted(starts, columns, weights, loops, community, n)
+        first = np.unique(belongs, return_index=True)[1]  # names are sorted: the first of a community is its smallest
+        yield pa.RecordBatch.from_arrays([pa.array(names, type_), pa.array(names[first[belongs]], type_)], names=["id", "community"])
 
-    kind = dict(edges.dtypes)["src"]
-    return edges.groupBy(part or F.lit(1).alias("one")).applyInPandas(partition, f"id {kind}, community {kind}")
+    return edges.groupBy(part or F.lit(1).alias("one")).applyInArrow(partition, f"id {kind}, community {kind}")
 
 
 # -- the symbol graph --------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from devquarry.operators import chunking, delivery, identity, index, vectors
+from devquarry.operators import chunking, delivery, graph, identity, index, vectors
 
 
 def plan(df):
@@ -128,3 +128,66 @@ def test_near_vectors_are_compared_as_matrices(spark):
     assert "FlatMapCoGroupsInArrow" in plan(out)
     many = vectors.best_of(base, np.repeat(base, 40, axis=0), [f"{i:05d}" for i in range(2400)][::-1], 5)
     assert [int(x) for x in many[1][:5]] == [39, 38, 37, 36, 35] and len(many[0]) == 300
+
+
+def test_louvain_moves_as_over_dictionaries_in_less_memory(spark, monkeypatch):
+    def plain(pdf, passes=32):
+        names = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
+        weights: dict[int, dict[int, float]] = {i: {} for i in range(len(names))}
+        for a, b, w in zip(np.searchsorted(names, pdf["src"]).tolist(), np.searchsorted(names, pdf["dst"]).tolist(), pdf["weight"].tolist(), strict=True):
+            weights[a][b] = weights[a].get(b, 0.0) + w
+            if a != b:
+                weights[b][a] = weights[b].get(a, 0.0) + w
+        belongs = np.arange(len(names))
+        while True:
+            community = {i: i for i in weights}
+            degree = {i: sum(w.values()) + w.get(i, 0.0) for i, w in weights.items()}
+            total, inside = sum(degree.values()), dict(degree)
+            moved_ever = False
+            for _ in range(passes if total else 0):
+                moved = False
+                for i in sorted(weights):
+                    links: dict[int, float] = {}
+                    for j, w in weights[i].items():
+                        if j != i:
+                            links[community[j]] = links.get(community[j], 0.0) + w
+                    own = community[i]
+                    inside[own] -= degree[i]
+                    gain = lambda c: links.get(c, 0.0) - inside[c] * degree[i] / total  # noqa: B023, E731
+                    best = own
+                    for c in sorted(links):
+                        if gain(c) > gain(best) + 1e-12:
+                            best = c
+                    inside[best] += degree[i]
+                    community[i] = best
+                    moved |= best != own
+                moved_ever |= moved
+                if not moved:
+                    break
+            if not moved_ever:
+                break
+            belongs = np.array([community[b] for b in belongs])
+            merged: dict[int, dict[int, float]] = {c: {} for c in set(community.values())}
+            for i, own in weights.items():
+                for j, w in own.items():
+                    a, b = community[i], community[j]
+                    merged[a][b] = merged[a].get(b, 0.0) + (w if a != b or i != j else w)
+            for c in merged:
+                if c in merged[c]:
+                    merged[c][c] /= 2
+            weights = merged
+        least = {c: names[belongs == c].min() for c in np.unique(belongs)}
+        return sorted((int(n), int(least[c])) for n, c in zip(names, belongs))
+
+    rng = random.Random(4)
+    for n, m in ((12, 20), (40, 60), (120, 900)):
+        pairs = [(rng.randrange(n) // rng.choice([1, 1, 3]), rng.randrange(n)) for _ in range(m)] + [(n + 5, n + 5)]
+        df = spark.createDataFrame(pairs, "src long, dst long")
+        summed = pd.DataFrame([(min(p), max(p)) for p in pairs], columns=["src", "dst"]).assign(weight=1.0).groupby(["src", "dst"], as_index=False).sum()
+        out = graph.louvain(df)
+        assert sorted(map(tuple, out.collect())) == plain(summed)
+    assert "FlatMapGroupsInArrow" in plan(out)
+    monkeypatch.setattr(graph, "ENTRIES", 7)
+    rows, cols, w = np.array([0, 0, 0, 0, 0, 0, 0, 0, 3, 1, 3]), np.arange(11), np.arange(11) + 0.5
+    starts, columns, weights = graph.adjacency([(rows, cols, w), (np.array([1]), np.array([4]), np.array([2.0]))], 4)
+    assert starts.tolist() == [0, 8, 10, 10, 12] and sorted(zip(columns[8:10].tolist(), weights[8:10].tolist())) == [(4, 2.0), (9, 9.5)]
