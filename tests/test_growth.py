@@ -3,12 +3,13 @@
 import datetime as dt
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from devquarry.operators import chunking, delivery, graph, identity, index, vectors
+from devquarry.operators import chunking, delivery, entities, graph, identity, index, vectors
 
 
 def plan(df):
@@ -191,3 +192,11 @@ def test_louvain_moves_as_over_dictionaries_in_less_memory(spark, monkeypatch):
     rows, cols, w = np.array([0, 0, 0, 0, 0, 0, 0, 0, 3, 1, 3]), np.arange(11), np.arange(11) + 0.5
     starts, columns, weights = graph.adjacency([(rows, cols, w), (np.array([1]), np.array([4]), np.array([2.0]))], 4)
     assert starts.tolist() == [0, 8, 10, 10, 12] and sorted(zip(columns[8:10].tolist(), weights[8:10].tolist())) == [(4, 2.0), (9, 9.5)]
+
+
+def test_entities_of_many_lines_in_a_string_take_linear_time():
+    began = time.process_time()
+    found = entities.rust_entities('fn f() { let t = "' + "a\n" * 8000 + '"; }\n \t\n use a::b;')
+    assert time.process_time() - began < 1
+    assert found[0][:3] == ("LiteralString", 17, 16019) and [e[0] for e in found[1:]] == ["ModulePath"]
+    assert [e[0] for e in entities.rust_entities("\n \t\n use Abc;\n type T = Vec<u8>;\nfn f() { x.unwrap() }")] == ["NamedType", "NamedType", "ErrorVariant", "TypeAlias"]
