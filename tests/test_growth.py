@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from devquarry.functions import scopes
 from devquarry.operators import chunking, delivery, entities, graph, identity, index, vectors
 
 
@@ -200,3 +201,12 @@ def test_entities_of_many_lines_in_a_string_take_linear_time():
     assert time.process_time() - began < 1
     assert found[0][:3] == ("LiteralString", 17, 16019) and [e[0] for e in found[1:]] == ["ModulePath"]
     assert [e[0] for e in entities.rust_entities("\n \t\n use Abc;\n type T = Vec<u8>;\nfn f() { x.unwrap() }")] == ["NamedType", "NamedType", "ErrorVariant", "TypeAlias"]
+
+
+def test_forms_of_definitions_are_looked_up_once(monkeypatch):
+    def never(*_):
+        raise AssertionError("a form was looked up for a text")
+
+    monkeypatch.setattr(scopes.regex, "finditer", never)
+    own, size = scopes.definitions("fn f(a: u8) {\n  words of prose; if a || b { x.map(|y| y ?? z) }\n}\n", "rust")
+    assert [(d["name"], d["cyclomatic"], d["parameters"], d["end_line"]) for d in own] == [("f", 4, 1, 3)] and size[0] == 4
