@@ -131,11 +131,23 @@ PRIVATE, HOSTS = "users.noreply.github.com", ".local"
 NOISE = {"host": 0.90, "login": 0.90, "part": 0.78, "typo": 0.88}
 
 
+def edits_apart(a: str, b: str) -> int:
+    """Levenshtein's distance of two words."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
 def noise_aliases(authors: DataFrame, domain: str | None = None) -> DataFrame:
     """source, target, confidence and rule of authors' e-mails that look like another's: host names and misspelt domains of ``domain``, private addresses by their login.
 
     A login or local part inside another meets it on its first three characters; nothing is compared with all. Of several
-    rules for a pair the most confident counts.
+    rules for a pair the most confident counts. A pair has several only where ``domain`` itself is a misspelt private one:
+    else the sources of host names and misspelt domains are no private addresses, of which a login is equal to a local part,
+    inside it or around it, and meets it once. So pairs need not be gathered.
     """
     mail = authors.select("email").filter("email is not null").distinct()
     split = mail.select("email", F.lower(F.regexp_extract("email", "^(.*)@([^@]*)$", 1)).alias("local"), F.lower(F.regexp_extract("email", "^(.*)@([^@]*)$", 2)).alias("domain")).filter("local <> '' and domain <> ''")
@@ -165,7 +177,10 @@ def noise_aliases(authors: DataFrame, domain: str | None = None) -> DataFrame:
     confidence = F.lit(0.0)
     for rule, value in NOISE.items():
         confidence = F.when(F.col("rule") == rule, value).otherwise(confidence)
-    best = found.withColumn("confidence", confidence).groupBy("source", "target").agg(F.max_by("rule", F.struct("confidence", "rule")).alias("rule"), F.max("confidence").alias("confidence"))
+    found = found.withColumn("confidence", confidence).select("source", "target", "confidence", "rule")
+    if not domain or not 1 <= edits_apart(home, PRIVATE) <= 2:
+        return found
+    best = found.groupBy("source", "target").agg(F.max_by("rule", F.struct("confidence", "rule")).alias("rule"), F.max("confidence").alias("confidence"))
     return best.select("source", "target", "confidence", "rule")
 
 

@@ -91,3 +91,17 @@ def spark_levenshtein(a, b):
         for j, y in enumerate(b, 1):
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
     return row[-1]
+
+
+def test_noise_aliases_are_not_gathered(spark):
+    private = "@users.noreply.github.com"
+    mails = ["ann@co.com", "ann@c0.com", "ann@pc.local", "ANN@co.com", f"1+ann{private}", f"2+anna{private}", f"ann{private}", "nn@co.com", "anna@users.noreply.github.co", f"an+an{private}", "an@co.com", None, "@co.com"]
+    df = spark.createDataFrame([(m,) for m in mails + mails], "email string")
+    for domain in ("co.com", None, "users.noreply.github.co"):
+        out = identity.noise_aliases(df, domain)
+        assert ("max_by" in out._jdf.queryExecution().optimizedPlan().toString()) == (domain == "users.noreply.github.co")
+        rows = out.collect()
+        assert rows and len({(r.source, r.target) for r in rows}) == len(rows)
+        if domain == "users.noreply.github.co":  # a pair by two rules has the more confident one
+            assert {r.rule for r in rows if (r.source, r.target) == (f"2+anna{private}", "anna@users.noreply.github.co")} == {"login"}
+    assert [identity.edits_apart(*p) for p in (("", "ab"), ("co.com", "c0.com"), ("abc", "abc"), ("abc", "xbcd"))] == [2, 1, 0, 2]
