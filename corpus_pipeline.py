@@ -3,7 +3,8 @@
 Every stage reads all rows that the stage before kept; all but the last return the columns of documents.
 Nulls and empty texts pass all stages. Rows that repeat an id leave exact deduplication as one if their
 texts are equal; those of different texts are documents of their own in every stage. Further columns go
-along as far as the last stage. An empty table leaves every stage empty.
+along as far as the last stage. An empty table leaves every stage empty. Stages begin by releasing what the stage
+before left on the driver, whose heap otherwise grows with the number of plans.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devquarry.llm.common import cut, documents, shared_dir, small_batches, version
+from devquarry.llm.common import cut, documents, release, shared_dir, small_batches, version
 from devquarry.llm.exact_dedup import exact_groups
 from devquarry.llm.minhash import near_duplicates
 from devquarry.llm.packing import pack
@@ -41,6 +42,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id."""
+    release(spark)
     folder = shared_dir(spark)
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
     again = cut(again, folder, "again")
@@ -56,6 +58,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class at a similarity of 0.8 on shingles of five words, the row with the smallest id."""
+    release(spark)
     folder = shared_dir(spark)
     dropped = near_duplicates(docs, width=5, percent=80).filter("not kept").select("doc_id", "ver")
     return less(docs, cut(dropped, folder, "dropped"))
@@ -63,6 +66,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of 50-word windows that also start in a row of smaller id; others are left as they are."""
+    release(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     found = remove_repeats(docs, span=50, carry=others)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
@@ -72,6 +76,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's length bucket, batch and padding."""
+    release(spark)
     return pack(docs)
 
 

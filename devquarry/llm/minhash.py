@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HEAVY, MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, shared_dir, slices, small_batches, version
+from .common import HEAVY, MIX_A, STEP, Bytes, as_long, cut, delete, documents, mix, release, shared_dir, slices, small_batches, version
 from .components import connected_components
 from .recompression import few
 
@@ -205,6 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     def placed(links: DataFrame, name: str) -> DataFrame:
         found = connected_components(links, folder, f"{name}-round")
+        release(spark)  # each round leaves plans behind, which the driver's heap would grow by
         return cut(sketches.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), folder, name)
 
     links = confirmed(sketched(bucketed.filter("doc_id <> hub").select("doc_id", F.col("hub").alias("other"))), "links-1")

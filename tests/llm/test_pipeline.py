@@ -30,3 +30,15 @@ def test_empty_tables(spark):
 
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
+
+
+def test_stages_release_the_driver(spark):
+    """Each stage after the first lets the driver's heap be collected as a whole before it begins, near_dedup in its rounds too."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None)], "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        before = whole()
+        kept = stage(spark, docs, SF).count()
+        assert whole() - before >= (4 if name == "near_dedup" else 1), name
+        assert kept == (2 if name in ("exact_dedup", "near_dedup") else 3), name
