@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -185,15 +186,20 @@ def slug(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(name, "[^A-Za-z0-9]+", "-")), "^-|-$", "")
 
 
+@functools.lru_cache(1 << 16)
+def word_hash(word: str) -> int:
+    h = 0
+    for b in word.lower().encode():
+        h = (h * 31 + b) & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
 def words(texts: list[str], size: int = 256) -> np.ndarray:
     """Counted words of texts, of length 1: what ``retrieval.bag_of_words`` gives."""
     out = np.zeros((len(texts), size), np.float32)
     for row, t in zip(out, texts):
         for w in re.findall(r"[A-Za-z0-9]+", t):
-            h = 0
-            for b in w.lower().encode():
-                h = (h * 31 + b) & 0xFFFFFFFFFFFFFFFF
-            row[h % size] += 1
+            row[word_hash(w) % size] += 1
         row /= max(float(np.sqrt((row * row).sum())), 1e-30)
     return out
 

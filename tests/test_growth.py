@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from devquarry.functions import scopes
-from devquarry.operators import chunking, delivery, entities, graph, identity, index, vectors
+from devquarry.operators import chunking, cluster, delivery, entities, graph, identity, index, vectors
 
 
 def plan(df):
@@ -210,3 +210,11 @@ def test_forms_of_definitions_are_looked_up_once(monkeypatch):
     monkeypatch.setattr(scopes.regex, "finditer", never)
     own, size = scopes.definitions("fn f(a: u8) {\n  words of prose; if a || b { x.map(|y| y ?? z) }\n}\n", "rust")
     assert [(d["name"], d["cyclomatic"], d["parameters"], d["end_line"]) for d in own] == [("f", 4, 1, 3)] and size[0] == 4
+
+
+def test_words_of_texts_are_hashed_once():
+    cluster.word_hash.cache_clear()
+    found = cluster.words(["abc Abc x9 " * 50, "abc, é", ""])
+    assert cluster.word_hash.cache_info().misses == 3
+    plain = sum(b * 31 ** (2 - i) for i, b in enumerate(b"abc")) % 256
+    assert found[1, plain] == 1 and found[1].sum() == 1 and not found[2].any() and abs(float((found[0] ** 2).sum()) - 1) < 1e-6
