@@ -92,15 +92,20 @@ def units(hunks: DataFrame, unit: int = UNIT, total: int = TOTAL, calls: int = C
 
 
 def changed_names(diff: Column, most: int) -> Column:
-    """The first ``most`` names in changed lines: those after a keyword, then words in camel case, line by line."""
-    lines = F.filter(F.split(diff, r"\r?\n"), lambda x: x.rlike(r"^[+-]") & ~x.rlike(r"^(\+\+\+|---)"))
+    """The first ``most`` names in changed lines: those after a keyword, then words in camel case, line by line.
 
-    def names(line: Column) -> Column:
-        rest = F.trim(F.substring(line, F.lit(2), F.length(line)))
-        after = [F.regexp_extract(rest, rf"^.*?{word}([\p{{IsAlphabetic}}\p{{N}}_]*)", 1) for word in BEFORE]
+    Each line is stripped once, and a keyword's form is only tried on lines that hold the keyword. A return at a line's
+    end is no part of a name, so lines are cut at their feeds alone.
+    """
+    own = lambda x: (F.startswith(x, F.lit("+")) & ~F.startswith(x, F.lit("+++"))) | (F.startswith(x, F.lit("-")) & ~F.startswith(x, F.lit("---")))
+    lines = F.transform(F.filter(F.split(diff, "\n"), own), lambda x: F.trim(F.substring(x, F.lit(2), F.length(x))))
+    letters = r"\p{IsAlphabetic}\p{N}_"
+
+    def names(rest: Column) -> Column:
+        after = [F.when(F.contains(rest, F.lit(word)), F.regexp_extract(rest, rf"^.*?{word}([{letters}]*)", 1)) for word in BEFORE]
         named = F.filter(F.array(*after), lambda x: (F.octet_length(x) >= 2) & x.rlike(r"^[\p{IsAlphabetic}_]") & ~x.isin(*RESERVED))
-        camel = F.filter(F.split(rest, r"[^\p{IsAlphabetic}\p{N}_]"), lambda x: (F.octet_length(x) >= 3) & x.rlike(r"^\p{IsUppercase}") & x.rlike(r"\p{IsLowercase}"))
-        return F.concat(named, camel)
+        camel = F.regexp_extract_all(rest, F.lit(rf"(?:^|[^{letters}])(?=\p{{IsUppercase}})([{letters}]*?\p{{IsLowercase}}[{letters}]*)"), F.lit(1))
+        return F.concat(named, F.filter(camel, lambda x: F.octet_length(x) >= 3))
 
     return F.slice(F.array_distinct(F.flatten(F.transform(lines, names))), 1, most)
 

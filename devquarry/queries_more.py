@@ -608,7 +608,7 @@ BEFORE_SQL = ", ".join(f"regexp_extract(y, '^.*?{word}([\\p{{L}}\\p{{N}}_]*)', 1
         list_filter(string_split_regex(y, '[^\\p{{L}}\\p{{N}}_]'), lambda z: strlen(z) >= 3 AND regexp_matches(z, '^\\p{{Lu}}') AND regexp_matches(z, '\\p{{Ll}}'))))) AS names FROM l)
     SELECT doc_id, array_to_string(list_sort(list_distinct(names)), ',') AS names FROM n""", "changes")
 def review_changed_names(t):
-    return t("changes").select("doc_id", F.array_join(F.array_sort(diffs.changed_names(F.col("diff"), 1 << 30)), ",").alias("names"))
+    return t("changes").select("doc_id", F.array_join(F.sort_array(diffs.changed_names(F.col("diff"), 1 << 30)), ",").alias("names"))
 
 
 @query()

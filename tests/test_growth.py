@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from devquarry.functions import scopes
-from devquarry.operators import chunking, cluster, delivery, entities, graph, identity, index, vectors
+from devquarry.operators import chunking, cluster, delivery, diffs, entities, graph, identity, index, vectors
 
 
 def plan(df):
@@ -218,3 +218,13 @@ def test_words_of_texts_are_hashed_once():
     assert cluster.word_hash.cache_info().misses == 3
     plain = sum(b * 31 ** (2 - i) for i, b in enumerate(b"abc")) % 256
     assert found[1, plain] == 1 and found[1].sum() == 1 and not found[2].any() and abs(float((found[0] ** 2).sum()) - 1) < 1e-6
+
+
+def test_forms_of_names_are_tried_on_lines_with_their_word(spark):
+    lines = ["+pub fn run_all(x: TypeName)", "-  private Foo2bar \r", "+++ class Head", "--- fn head", " fn same", "+fn \rclass Xy", "+\U0001d4eaBc \U0001d400bc Iⅷ \u01c5a Ünï ABC aB", "+fn as fn é if", "-", "+const  Ab", "+async fn zz(pub struct QqQ)"]
+    df = spark.createDataFrame([("\r\n".join(lines),), ("",), (None,)], "d string").repartition(1)
+    found = [r.n for r in df.select(diffs.changed_names(F.col("d"), 100).alias("n")).collect()]
+    own = ["run_all", "TypeName", "Foo2bar", "\U0001d400bc", "Iⅷ", "Ünï", "zz", "QqQ"]
+    assert found == [own, [], None]
+    forms = [line for line in plan(df.select(diffs.changed_names(F.col("d"), 100))).splitlines() if "regexp_extract(" in line]
+    assert forms and all("THEN regexp_extract(" in line and line.count("regexp_extract(") == line.count("THEN regexp_extract(") for line in forms)
