@@ -22,10 +22,6 @@ def edge_multiplier(kind: Column) -> Column:
     return out
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-
-
 def settled(front: DataFrame) -> DataFrame:
     """What a hop has found, in the checkpoint folder: the next hop's plan begins there, however many there are."""
     shared_folder(front.sparkSession)  # a local session gets a folder if it has none
@@ -74,8 +70,16 @@ def merge_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """id and component, the smallest id of the weakly connected part. Labels fall by neighbours and jumps; each round is checkpointed."""
-    both = undirected(edges)
+    """id and component, the smallest id of the weakly connected part. Labels fall by neighbours and jumps; each round is checkpointed.
+
+    Pairs are written once to the shared folder, for all rounds, and repeats stay, as they move no smallest label: a task
+    holds labels of nodes, and no table of edges.
+    """
+    spark, path = edges.sparkSession, shared_folder(edges.sparkSession)
+    pairs = edges.select("src", "dst")
+    pairs.write.parquet(path)
+    pairs = spark.read.schema(pairs.schema).parquet(path)
+    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     labels = both.select(F.col("src").alias("id")).distinct().withColumn("component", F.col("id"))
     for _ in range(rounds):
         near = both.join(labels, both["dst"] == labels["id"]).groupBy("src").agg(F.min("component").alias("near"))

@@ -228,3 +228,12 @@ def test_forms_of_names_are_tried_on_lines_with_their_word(spark):
     assert found == [own, [], None]
     forms = [line for line in plan(df.select(diffs.changed_names(F.col("d"), 100))).splitlines() if "regexp_extract(" in line]
     assert forms and all("THEN regexp_extract(" in line and line.count("regexp_extract(") == line.count("THEN regexp_extract(") for line in forms)
+
+
+def test_components_keep_no_edges_in_a_task(spark, monkeypatch):
+    rows = [(1, 2), (2, 1), (1, 2), (3, 3), (9, 8), (8, 7), (7, 9), (20, 10), (10, 30), (30, 30), (None, 5), (6, None)] + [(100, i) for i in range(101, 400)] * 3 + [(i, i + 1) for i in range(500, 560)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    monkeypatch.setattr(graph, "undirected", None, raising=False)  # every edge in both directions, told apart
+    found = graph.components(edges)
+    wanted = {1: 1, 2: 1, 3: 3, 7: 7, 8: 7, 9: 7, 10: 10, 20: 10, 30: 10} | {i: 100 for i in range(100, 400)} | {i: 500 for i in range(500, 561)}
+    assert sorted(map(tuple, found.collect())) == sorted(wanted.items())
