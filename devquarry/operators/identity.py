@@ -9,31 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-
-def winkler(a: str, b: str) -> float:
-    """Jaro-Winkler similarity."""
-    if a == b:
-        return 1.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    used = next(c for c in map(chr, range(len(a) + 1)) if c not in a)  # stands where b's letters are taken
-    left, hits, at = b, [], []
-    for i, c in enumerate(a):
-        j = left.find(c, max(0, i - reach), i + reach + 1)
-        if j >= 0:
-            left = left[:j] + used + left[j + 1 :]
-            hits.append(c)
-            at.append(j)
-    if not hits:
-        return 0.0
-    m = len(hits)
-    swaps = sum(c != b[j] for c, j in zip(hits, sorted(at))) // 2  # whole pairs of letters out of place
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
-    return jaro + prefix * 0.1 * (1 - jaro)
+from . import likeness
+from .index import shared_folder
+from .likeness import winkler  # noqa: F401
 
 
 #: Buckets of letters whose counts bound a pair's common letters.
@@ -57,17 +40,6 @@ def likely(a: pd.Series, b: pd.Series, least: float) -> np.ndarray:
     return (jaro + begins * 0.1 * (1 - jaro) >= least - 1e-9) | (a == b).to_numpy()
 
 
-def measured(pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs of words (a, b) with a score of ``least`` or more, each scored once."""
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[likely(pdf["a"], pdf["b"], least)]
-            pdf = pdf.assign(score=[winkler(x, y) for x, y in zip(pdf["a"], pdf["b"])])
-            yield pdf[pdf["score"].astype(float) >= least]
-
-    return pairs.mapInPandas(score, "a string, b string, score double")
-
-
 def local_part(email):
     """What stands before the @ of an e-mail, in lower case; all of it without one."""
     return F.lower(F.split(email, "@")[0])
@@ -238,34 +210,71 @@ def name_keys(word: str, least: float, left: bool) -> list[int]:
     return list(out)
 
 
+#: Most words of a side that a task compares, and fewest; a task's memory and what moves hang on them.
+BLOCK, LEAST_BLOCK = 1 << 14, 1 << 8
+
+
+def in_blocks(left: DataFrame, right: DataFrame) -> GroupedData:
+    """cell, side (0 or 1), word and owner of the distinct words (word) of two tables, dealt so that each pair of words meets in one cell; the smallest owner of a word counts.
+
+    Words of each side are dealt to blocks by their hash, and a cell is a block of the one with a block of the other. So
+    a word moves once for each block of the other side, and no pair moves.
+    """
+    sides = [left.filter("word is not null").select("word").distinct().withColumn("owner", F.lit(None).cast("string"))]
+    sides.append(right.filter("word is not null").groupBy("word").agg(F.min("owner").alias("owner")) if "owner" in right.columns else right.filter("word is not null").select("word").distinct().withColumn("owner", F.lit(None).cast("string")))
+    counts = [s.count() for s in sides]
+    size = min(max(math.isqrt(counts[0] * counts[1] // (4 * left.sparkSession.sparkContext.defaultParallelism)), LEAST_BLOCK), BLOCK)
+    n, m = (max(-(-c // size), 1) for c in counts)
+    block = lambda k: F.pmod(F.xxhash64("word"), F.lit(k)).cast("long")
+    a = sides[0].select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("other"), block(n).alias("own"), F.lit(0).alias("side"), "word", "owner")
+    b = sides[1].select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"), block(m).alias("own"), F.lit(1).alias("side"), "word", "owner")
+    cells = a.select((F.col("own") * m + F.col("other")).alias("cell"), "side", "word", "owner").unionByName(b.select((F.col("other") * m + F.col("own")).alias("cell"), "side", "word", "owner"))
+    return cells.repartition(min(n * m, 1 << 14), "cell").groupBy("cell")
+
+
+def read_cell(batches: Iterator[pa.RecordBatch]) -> tuple[list[str], list[str], list[str]]:
+    """The words of both sides and the owners of the second."""
+    left, right, owners = [], [], []
+    for batch in batches:
+        for side, word, owner in zip(*(batch.column(c).to_pylist() for c in ("side", "word", "owner"))):
+            if side:
+                right.append(word)
+                owners.append(owner)
+            else:
+                left.append(word)
+    return left, right, owners
+
+
 def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """a, b and score of all pairs of distinct words (word) of two tables with a Jaro-Winkler likeness of ``least`` (0.82 or above) or more.
+    """a, b and score of all pairs of distinct words (word) of two tables with a Jaro-Winkler likeness of ``least`` (above 0) or more.
 
-    Pairs meet on keys that no such pair misses, so words are never all compared; a pair is measured once.
+    Blocks of words are compared in a task, by bounds as products of matrices first; pairs that aren't alike never leave it.
     """
-    parts = 4 * left.sparkSession.sparkContext.defaultParallelism  # keys are long work for few bytes
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, others, _ = read_cell(batches)
+        for a, b, score in likeness.alike(words, others, least):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(score)], names=["a", "b", "score"])
+
+    return in_blocks(left, right.select("word")).applyInArrow(compared, "a string, b string, score double")
 
-    def keyed(words: DataFrame, name: str, first: bool) -> DataFrame:
-        def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pdf.assign(keys=[name_keys(w, least, first) for w in pdf["word"]])
 
-        distinct = words.filter("word is not null").select("word").distinct().repartition(parts, "word")
-        return distinct.mapInPandas(keys, "word string, keys array<long>").select(F.col("word").alias(name), F.explode("keys").alias("key"))
+def nearest(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """word, owner and score of the words (word) of a table that have one alike by ``least`` (above 0) or more in another (word, owner): the greatest likeness, and of equal ones the smallest owner."""
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(zip(*likeness.nearest(*read_cell(batches), least)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.float64())], names=["word", "owner", "score"])
 
-    own, theirs = keyed(left, "a", True), keyed(right, "b", False).hint("merge")  # from small tables, but many times their size: not to be broadcast
-    begins = F.expr("cast(key & 7 as int)")
-    differ = (begins == 4) | (F.substring("a", begins + 1, F.lit(1)) == "") | (F.substring("a", begins + 1, F.lit(1)) != F.substring("b", begins + 1, F.lit(1)))
-    pairs = own.join(theirs, "key").filter(differ).select("a", "b").distinct()
-    return measured(pairs.repartition(parts, "a", "b"), least)
+    blocks = in_blocks(left, right).applyInArrow(compared, "word string, owner string, score double")
+    return blocks.groupBy("word").agg(F.min_by("owner", F.struct(-F.col("score"), "owner")).alias("owner"), F.max("score").alias("score"))
 
 
 def resolve(people: DataFrame, known: DataFrame, least: float = 0.85, least_normalized: float = 0.82) -> DataFrame:
     """email, name and the known author by e-mail, then by name, then by likeness.
 
     Likeness is the larger of the names' and the e-mails', ``least`` or more; else that of normalised names and local
-    parts, each with each, ``least_normalized`` or more. Words meet by the keys of ``alike``; equal scores go to the
-    smallest author.
+    parts, each with each, ``least_normalized`` or more; equal scores go to the smallest author. Only the nearest of a word
+    leaves its block, and only who has none by names and e-mails is compared by what is normalised.
     """
     by_mail = known.select(F.col("email"), F.col("author").alias("by_mail")).dropDuplicates(["email"])
     by_name = known.groupBy("name").agg(F.min("author").alias("by_name"))
@@ -275,23 +284,25 @@ def resolve(people: DataFrame, known: DataFrame, least: float = 0.85, least_norm
     def forms(rows: DataFrame, *kept: str) -> list[DataFrame]:
         """The rows with a form as word: names and e-mails in lower case, normalised names, normalised local parts."""
         made = (F.lower("name"), F.lower("email"), normalized(F.col("name")), normalized(local_part(F.col("email"))))
-        return [rows.select(*kept, f.alias("word")).distinct() for f in made]
-
-    def scored(a: DataFrame, b: DataFrame, bound: float, step: int) -> DataFrame:
-        near = alike(a, b, bound)
-        met = a.join(near, a["word"] == near["a"]).drop("word", "a").join(b.groupBy("word").agg(F.min("author").alias("author")), F.col("b") == F.col("word"))
-        return met.select("email", "name", "author", F.lit(step).alias("step"), "score")
-
-    theirs = forms(known, "author")
-    own = forms(mine, "email", "name")
-    found = scored(own[0], theirs[0], least, 2).unionByName(scored(own[1], theirs[1], least, 2))
-    for i in (2, 3):
-        for j in (2, 3):
-            found = found.unionByName(scored(own[i], theirs[j], least_normalized, 1))
-    best = found.groupBy("email", "name").agg(F.min_by("author", F.struct(-F.col("step"), -F.col("score"), "author")).alias("by_like"))
-    best = best.select(F.col("email").alias("own_email"), F.col("name").alias("own_name"), "by_like")
-    same = F.col("email").eqNullSafe(F.col("own_email")) & F.col("name").eqNullSafe(F.col("own_name"))
-    return out.join(best, same, "left").select("email", "name", F.coalesce("by_mail", "by_name", "by_like", "name").alias("author"))
+        return [rows.select(*kept, f.alias("word")) for f in made]
+
+    theirs = forms(known.withColumn("owner", F.col("author").cast("string")), "owner")
+
+    def by_likeness(rows: DataFrame, compared: list[tuple[int, int]], bound: float) -> DataFrame:
+        """email, name and by_like of the rows that have one alike; written, as it is read twice."""
+        own, found = forms(rows, "email", "name"), None
+        for i, j in compared:
+            more = own[i].join(nearest(own[i], theirs[j], bound), "word").select("email", "name", "owner", "score")
+            found = more if found is None else found.unionByName(more)
+        path = shared_folder(rows.sparkSession)
+        found.groupBy("email", "name").agg(F.min_by("owner", F.struct(-F.col("score"), "owner")).alias("by_like")).write.parquet(path)
+        return rows.sparkSession.read.schema("email string, name string, by_like string").parquet(path)
+
+    same = lambda a, b: a["email"].eqNullSafe(b["email"]) & a["name"].eqNullSafe(b["name"])
+    first = by_likeness(mine, [(0, 0), (1, 1)], least)
+    rest = mine.join(first, same(mine, first), "left_anti")
+    best = first if rest.isEmpty() else first.unionByName(by_likeness(rest, [(2, 2), (2, 3), (3, 2), (3, 3)], least_normalized))
+    return out.join(best, same(out, best), "left").select(out["email"], out["name"], F.coalesce("by_mail", "by_name", "by_like", out["name"]).alias("author"))
 
 
 def greedy_clusters(items: DataFrame, key: str, tokens: str, group: str, least: float = 0.7) -> DataFrame:
