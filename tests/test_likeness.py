@@ -64,3 +64,15 @@ def test_only_the_nearest_of_a_word_leaves_its_block(spark, monkeypatch):
     assert rows == sorted(str((e, n, plain(e, n))) for e, n in people + people[:3]) and any("'q@q.q', 'Zoe_Weiss', 'Zoë'" in r for r in rows)
     text = found._jdf.queryExecution().toString()
     assert "MapInPandas" not in text and "Cartesian" not in text and "NestedLoop" not in text
+
+
+def test_no_pair_moves(spark, monkeypatch):
+    monkeypatch.setattr(identity, "LEAST_BLOCK", 30)
+    rng = random.Random(9)
+    a, b = words(rng, 100), words(rng, 160)
+    frame = lambda own: spark.createDataFrame([(w,) for w in [*own, *own[:9], None]], "word string")
+    out = identity.alike(frame(a), frame(b), 0.85)
+    assert sorted(map(tuple, out.collect())) == sorted((x, y, s) for x in a for y in b if (s := likeness.winkler(x, y)) >= 0.85)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.index("FlatMapGroupsInArrow") < plan.index("Exchange")
+    assert identity.alike(frame([]), frame(b), 0.85).collect() == []
