@@ -84,7 +84,8 @@ def counted(rows: DataFrame) -> DataFrame:
     """key, length, term and tf of token lists (key, length, all): equal tokens are counted in their row, so nothing moves."""
     n, tokens = F.size("all"), F.col("all")
     starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(tokens, i - 1) != F.get(tokens, i - 2)))
-    repeated = F.transform(starts, lambda i, j: F.struct(F.get(tokens, i - 1).alias("term"), (F.coalesce(F.get(starts, j + 1), n + 1) - i).cast("long").alias("tf")))
+    # starts are an element of an array, so that they are found once a row and not once for each of them
+    repeated = F.flatten(F.transform(F.array(starts), lambda own: F.transform(own, lambda i, j: F.struct(F.get(tokens, i - 1).alias("term"), (F.coalesce(F.get(own, j + 1), n + 1) - i).cast("long").alias("tf")))))
     once = F.transform(tokens, lambda w: F.struct(w.alias("term"), F.lit(1).cast("long").alias("tf")))
     plain = rows.filter(n > 0).withColumn("plain", n == F.size(F.array_distinct("all")))
     listed = plain.withColumn("all", F.when(F.col("plain"), tokens).otherwise(F.sort_array("all")))
