@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, GroupedData, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -73,28 +73,76 @@ def variants(words: pd.Series) -> pd.Series:
     return words.map(left)
 
 
+def met_once(at: DataFrame) -> DataFrame:
+    """first, second and edits of the pairs of rows (at, visits, local, tail) whose local parts are of one length and one or two edits apart, each pair once; a pair has one row at least that doesn't visit.
+
+    Two such words either differ in one or two places, or one is the other with a letter moved. So they share what is left
+    without two places, both of them told, or without one letter of a run of equal ones: keys that only such words share,
+    so that next to nothing is joined that isn't found. What a key finds besides is found by another one: two places that
+    don't both differ are one place, of which the words without it tell; a letter moved so that two places differ is found by
+    these; a letter that may have moved either way counts to the right. Places that all words of a length have in common
+    at their beginning make no keys.
+    """
+    sizes = at.withColumn("n", F.length("local"))
+    bounds = sizes.groupBy("at", "n").agg(F.min("local").alias("lo"), F.max("local").alias("hi"))
+    bounds = bounds.select("at", "n", F.expr("size(filter(sequence(1, n), i -> substring(lo, 1, i) = substring(hi, 1, i)))").alias("same"))
+    places = F.expr("""if(same > n - 2, array(), flatten(transform(sequence(same, n - 2), i -> transform(sequence(i + 1, n - 1), j -> named_struct(
+        'key', xxhash64(at, n, i, j, substring(local, 1, i), substring(local, i + 2, j - i - 1), substring(local, j + 2)), 'p', ascii(substring(local, i + 1, 1)), 'q', ascii(substring(local, j + 1, 1)))))))""")
+    runs = F.expr("""if(same > n - 1, array(), transform(filter(sequence(same, n - 1), i -> i = n - 1 or substring(local, i + 1, 1) <> substring(local, i + 2, 1)), i -> named_struct(
+        'key', xxhash64(at, n, concat(substring(local, 1, i), substring(local, i + 2))), 'p', length(trim(TRAILING substring(local, i + 1, 1) FROM substring(local, 1, i + 1))), 'q', i)))""")
+    # of both sides in one term, so that it isn't pushed to one of them and the other can read the same shuffle
+    once = F.expr("a.visits + 2 * b.visits < 2 and a.local <> b.local and (a.visits = 1 or a.local < b.local)")
+    edits = F.levenshtein(F.col("a.local"), F.col("b.local"), 2)
+
+    def met(made: Column, differ: Column) -> DataFrame:
+        """Pairs of words that share a key, with their edits; a collision of keys gives none that isn't near."""
+        keyed = sizes.join(bounds, ["at", "n"]).select("visits", "local", "tail", F.explode(made).alias("k")).select("k.*", "visits", "local", "tail")
+        a, b = keyed.alias("a"), keyed.hint("merge").alias("b")  # from a small table, but many times its size: not to be broadcast
+        return a.join(b, (F.col("a.key") == F.col("b.key")) & once & differ)
+
+    two = met(places, F.expr("a.p <> b.p and a.q <> b.q")).filter(edits == 2)
+    # p and q of a run are its first and last place; x is where the words differ first, y where last
+    moved = met(runs, F.lit(True)).withColumns({"x": F.least("a.q", "b.q"), "y": F.greatest("a.p", "b.p")})
+    inner = F.expr("substring(a.local, x + 2, y - x - 1) <> substring(b.local, x + 2, y - x - 1)")
+    right = F.expr("a.q < b.q or substring(a.local, x + 2, y - x) <> substring(b.local, x + 1, y - x)")
+    moved = moved.filter((edits == 1) | ((edits == 2) & inner & right))
+    first, second = F.concat("a.local", "a.tail"), F.concat("b.local", "b.tail")
+    ends = F.least(first, second).alias("first"), F.greatest(first, second).alias("second")
+    return two.select(*ends, F.lit(2).alias("edits")).unionByName(moved.select(*ends, edits.alias("edits")))
+
+
 def near_emails(authors: DataFrame) -> DataFrame:
     """first, second, edits and confidence of e-mails whose local parts, of three bytes at least, are one or two edits apart, of one domain or of two of which one ends with the other. The larger is the alias of the smaller.
 
-    Domains meet on their endings. Short local parts meet on what is left without two characters at most, long ones on
-    pieces of a third, one of which two edits leave whole: keys that only few parts share, so no domain is a task's work.
+    Domains meet on their endings. Short local parts of one length meet as ``met_once`` tells, those of several lengths on what is
+    left without two characters at most, long ones on pieces of a third, one of which two edits leave whole: keys that only
+    few parts share, so no domain is a task's work. Only pairs of the last two are told apart, as they may meet on several keys.
     """
     split = F.split("email", "@")
-    part = authors.select("email", split[0].alias("local"), split[1].alias("domain")).filter(f"octet_length(local) >= {LEAST_LOCAL}").distinct()
+    part = authors.select("email", split[0].alias("local"), F.get(split, F.lit(1)).alias("domain")).filter(f"octet_length(local) >= {LEAST_LOCAL} and domain <> ''").distinct()
+    domains = part.select("domain").distinct()
+    endings = domains.select("domain", F.explode(F.expr("transform(sequence(2, greatest(length(domain), 2)), i -> substring(domain, i))")).alias("at"))
+    visits = part.join(endings.join(domains.select(F.col("domain").alias("at")), "at"), "domain")
+    at = part.select("email", "local", F.col("domain").alias("at"), F.lit(0).alias("visits")).unionByName(visits.select("email", "local", "at", F.lit(1).alias("visits")))
+    at = at.select("at", "visits", "local", F.expr("substring(email, length(local) + 1)").alias("tail"))
+    found = met_once(at.filter(F.length("local") <= SHORT))
+
+    sizes = at.select("at", F.length("local").alias("n")).distinct()
+    other = sizes.select("at", F.explode(F.expr("array(n - 2, n - 1, n + 1, n + 2)")).alias("n")).distinct()
+    short = at.filter(F.length("local") <= SHORT).withColumn("n", F.length("local")).join(other.filter(F.col("n") <= SHORT), ["at", "n"], "left_semi").drop("n")
     pieces = F.expr("array_distinct(flatten(transform(sequence(greatest(cast(floor((length(local) - 2) / 3) as int), 1), cast(floor((length(local) + 2) / 3) as int)), k -> transform(sequence(1, length(local) - k + 1), i -> substring(local, i, k)))))")
-    short = part.filter(F.length("local") <= SHORT).withColumn("piece", F.explode(variants("local")))
-    long = part.filter(F.length("local") >= LONG).withColumn("piece", F.explode(F.transform(pieces, lambda x: F.concat(F.lit("\0"), x))))
-    grams = short.unionByName(long)
-    domains = part.filter("domain <> ''").select("domain").distinct()
-    endings = domains.select("domain", F.explode(F.expr("transform(sequence(1, length(domain)), i -> substring(domain, i))")).alias("ending"))
-    a = grams.join(endings.join(domains.select(F.col("domain").alias("ending")), "ending"), "domain").alias("a")
-    b = grams.hint("merge").alias("b")  # from a small table, but many times its size: not to be broadcast
-    once = (F.col("a.domain") != F.col("b.domain")) | (F.col("a.email") < F.col("b.email"))
-    pairs = a.join(b, (F.col("a.ending") == F.col("b.domain")) & (F.col("a.piece") == F.col("b.piece")) & once & (F.abs(F.length("a.local") - F.length("b.local")) <= 2))
+    grams = short.withColumn("piece", F.explode(variants("local"))).unionByName(at.filter(F.length("local") >= LONG).withColumn("piece", F.explode(F.transform(pieces, lambda x: F.concat(F.lit("\0"), x)))))
+    a, b = grams.alias("a"), grams.filter("visits = 0").hint("merge").alias("b")
+    once = (F.col("a.visits") == 1) | (F.col("a.local") < F.col("b.local"))
+    n, m = F.length("a.local"), F.length("b.local")
+    whole = F.col("a.piece").startswith("\0")
+    own = F.when(whole, F.greatest(n, m) > SHORT).otherwise((n != m) & (F.greatest(n, m) <= SHORT))
+    pairs = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.piece") == F.col("b.piece")) & once & (F.abs(n - m) <= 2) & own)
     edits = F.levenshtein(F.col("a.local"), F.col("b.local"), 2)
-    removed = F.greatest(F.length("a.local"), F.length("b.local")) - F.length("a.piece")
-    met = pairs.filter(edits.between(1, 2) & (F.col("a.piece").startswith("\0") | (removed == edits)))  # two words k edits apart also share a key with k characters less than the longer
-    found = met.select(F.least("a.email", "b.email").alias("first"), F.greatest("a.email", "b.email").alias("second"), edits.alias("edits")).distinct()
+    removed = F.greatest(n, m) - F.length("a.piece")
+    met = pairs.filter(edits.between(1, 2) & (whole | (removed == edits)))  # two words k edits apart also share a key with k characters less than the longer
+    x, y = F.concat("a.local", "a.tail"), F.concat("b.local", "b.tail")
+    found = found.unionByName(met.select(F.least(x, y).alias("first"), F.greatest(x, y).alias("second"), edits.alias("edits")).distinct())
     return found.withColumn("confidence", F.when(F.col("edits") == 1, BY_EDITS[1]).otherwise(BY_EDITS[2]))
 
 

@@ -105,3 +105,25 @@ def test_noise_aliases_are_not_gathered(spark):
         if domain == "users.noreply.github.co":  # a pair by two rules has the more confident one
             assert {r.rule for r in rows if (r.source, r.target) == (f"2+anna{private}", "anna@users.noreply.github.co")} == {"login"}
     assert [identity.edits_apart(*p) for p in (("", "ab"), ("co.com", "c0.com"), ("abc", "abc"), ("abc", "xbcd"))] == [2, 1, 0, 2]
+
+
+def test_near_emails_of_one_length_meet_once_without_being_told_apart(spark):
+    rng = random.Random(11)
+    words = {"".join(rng.choice("ab") for _ in range(n)) for n in (3, 4, 5, 6) for _ in range(40)} | {"".join(rng.choice("abc\0é") for _ in range(7)) for _ in range(60)}
+    words |= {f"dev{rng.randrange(300):06d}" for _ in range(80)} | {"averylonglocalpartoftwe" + w for w in ("", "n", "nt", "m", "mt", "nty", "ntz", "tny", "ntyx")}
+    mails = sorted({f"{w}@{rng.choice(['co.com', 'x.co.com', 'org', 'org@co.com'])}" for w in sorted(words) for _ in range(2)} | {"none", "abc@", "@org", "abd@"})
+    wanted = {}
+    for i, x in enumerate(mails):
+        for y in mails[i + 1 :]:
+            (la, da), (lb, db) = (m.split("@")[:2] if "@" in m else (m, "") for m in (x, y))
+            if da and db and min(len(la.encode()), len(lb.encode())) >= 3 and 1 <= (k := spark_levenshtein(la, lb)) <= 2 and (da.endswith(db) or db.endswith(da)):
+                wanted[x, y] = k
+    rows = identity.near_emails(spark.createDataFrame([(m,) for m in mails + mails[:9]], "email string")).collect()
+    assert len(rows) == len(wanted) > 1000 and {(r.first, r.second): r.edits for r in rows} == wanted
+    same = spark.createDataFrame([("co.com", 0, f"dev{i:06d}", "@co.com") for i in range(0, 4000, 3)], "at string, visits int, local string, tail string")
+    out = identity.met_once(same)
+    rows = out.collect()
+    assert len(set(rows)) == len(rows) > 1000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # none above the join
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
