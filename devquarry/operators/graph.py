@@ -92,8 +92,8 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     raise RuntimeError(f"components not found in {rounds} rounds")
 
 
-#: Entries of a graph that one step of ``louvain`` copies at once.
-ENTRIES = 1 << 22
+#: Entries of a graph that one step of ``louvain`` copies at once, and communities up to which a node's links are counted for all of them.
+ENTRIES, FEW = 1 << 22, 2048
 
 
 def adjacency(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,17 +117,25 @@ def adjacency(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -
 
 
 def moved_nodes(starts: np.ndarray, columns: np.ndarray, weights: np.ndarray, loops: np.ndarray, passes: int) -> np.ndarray | None:
-    """The community of each node after moves node by node; None if none moves."""
+    """The community of each node after moves node by node; None if none moves. Weights are above 0."""
     n = len(loops)
     community = np.arange(n)
     degree = 2 * loops + np.array([weights[starts[i] : starts[i + 1]].sum(dtype=float) for i in range(n)])
     inside, total, ever = degree.copy(), float(degree.sum()), False
+    names = community  # of the communities that have nodes, which are numbered anew in their order before each pass
     for _ in range(passes if total else 0):
         moved = False
+        left, community = np.unique(community, return_inverse=True)
+        names, inside = names[left], inside[left]
         for i in range(n):
             near = community[columns[starts[i] : starts[i + 1]]]
-            found, place = np.unique(near, return_inverse=True)
-            links = np.bincount(place, weights[starts[i] : starts[i + 1]], len(found))
+            if len(left) <= FEW:
+                links = np.bincount(near, weights[starts[i] : starts[i + 1]], len(left))
+                found = np.flatnonzero(links)
+                links = links[found]
+            else:
+                found, place = np.unique(near, return_inverse=True)
+                links = np.bincount(place, weights[starts[i] : starts[i + 1]], len(found))
             own = best = int(community[i])
             inside[own] -= degree[i]
             gains = links - inside[found] * degree[i] / total
@@ -143,7 +151,7 @@ def moved_nodes(starts: np.ndarray, columns: np.ndarray, weights: np.ndarray, lo
         ever |= moved
         if not moved:
             break
-    return community if ever else None
+    return names[community] if ever else None
 
 
 def contracted(starts: np.ndarray, columns: np.ndarray, weights: np.ndarray, loops: np.ndarray, community: np.ndarray, n: int) -> tuple[list, np.ndarray]:
@@ -163,6 +171,25 @@ def contracted(starts: np.ndarray, columns: np.ndarray, weights: np.ndarray, loo
     return [((keys // n).astype(np.int32), (keys % n).astype(np.int32), sums)], own / 2
 
 
+class Names:
+    """The distinct values of many pieces, sorted. Pieces wait until they outweigh what is known, so values aren't sorted anew for each of them."""
+
+    def __init__(self) -> None:
+        self.known, self.waiting, self.held = None, [], 0
+
+    def add(self, values: np.ndarray) -> None:
+        self.waiting.append(np.unique(values))
+        self.held += len(self.waiting[-1])
+        if self.held > max(ENTRIES >> 2, 0 if self.known is None else 2 * len(self.known)):
+            self.all()
+
+    def all(self) -> np.ndarray:
+        if self.waiting:
+            self.known = np.unique(np.concatenate(self.waiting if self.known is None else [self.known, *self.waiting]))
+            self.waiting, self.held = [], 0
+        return self.known
+
+
 def louvain(edges: DataFrame, part: str | None = None, passes: int = 32) -> DataFrame:
     """id and community by Louvain moves, level by level; an edge has weight 1, so repeated pairs weigh as often as they occur.
 
@@ -174,7 +201,7 @@ def louvain(edges: DataFrame, part: str | None = None, passes: int = 32) -> Data
     kind = dict(edges.dtypes)["src"]
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, names = [], None
+        read, own = [], Names()
         for batch in batches:
             ends = [batch.column(c) for c in ("src", "dst")]
             type_ = ends[0].type
@@ -182,8 +209,8 @@ def louvain(edges: DataFrame, part: str | None = None, passes: int = 32) -> Data
             w = batch.column("weight").to_numpy()
             small = w.astype(np.float32)
             read.append((*ends, small if (small == w).all() else w))
-            fresh = np.unique(np.concatenate(ends))
-            names = fresh if names is None else np.union1d(names, fresh)
+            own.add(np.concatenate(ends))
+        names = own.all()
         pieces, loops = [], np.zeros(len(names))
         while read:
             a, b, w = read.pop()

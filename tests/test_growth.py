@@ -261,3 +261,17 @@ def test_places_of_repeated_terms_are_found_once_a_row(spark):
     out = index.counted(told).groupBy("tf").agg(F.count("*").alias("n"), F.min("term").alias("first")).collect()
     assert sorted(map(tuple, out)) == [(1, 1, "once"), (2, 9000, "w0")]
     assert time.time() - began < 8  # 48 s when each term looked for all places
+
+
+def test_names_of_a_graph_are_not_sorted_anew_for_each_piece(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ENTRIES", 400)
+    rng, seen, plain = np.random.default_rng(3), [], np.unique
+    monkeypatch.setattr(np, "unique", lambda values, *a, **k: seen.append(len(values)) or plain(values, *a, **k))
+    own, pieces = graph.Names(), [rng.integers(0, 20000, 50) for _ in range(1000)]
+    for piece in pieces:
+        own.add(piece)
+    assert own.all().tolist() == sorted(set(np.concatenate(pieces).tolist())) == own.all().tolist()
+    assert sum(seen) < 6 * 50000  # some 10,000,000 when they were
+    monkeypatch.undo()
+    chain = spark.createDataFrame([(i, i + 1) for i in range(30000)], "src long, dst long").repartition(3)
+    assert sorted(r.id for r in graph.louvain(chain).collect()) == list(range(30001))
