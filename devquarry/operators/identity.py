@@ -24,7 +24,7 @@ LETTERS = 64
 
 
 def likely(a: pd.Series, b: pd.Series, least: float) -> np.ndarray:
-    """Which pairs can have a Jaro-Winkler likeness of ``least``: by lengths, common letters and beginning."""
+    """Which pairs can have a Jaro-Winkler likeness of ``least``: by lengths, common letters and beginning. For single pairs; ``likeness`` does blocks."""
     def counted(words: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         at, own = pd.factorize(words)
         counts = np.zeros((len(own), LETTERS), np.uint16)
@@ -222,7 +222,7 @@ def length_classes(most: int) -> list[tuple[int, int]]:
 
 
 def name_keys(word: str, least: float, left: bool) -> list[int]:
-    """Keys of which two words share one if their Jaro-Winkler likeness is ``least`` or more.
+    """Keys of which two words share one if their Jaro-Winkler likeness is ``least`` or more. ``alike`` needs none.
 
     A common beginning of p letters leaves a Jaro likeness j of at least (least - p/10) / (1 - p/10). So of lengths a and
     b at least o = (3j - 1) ab / (a + b) letters are common, and of the rarest a - o + k letters of the one and b - o + k
